@@ -90,8 +90,17 @@ def season(month: str | Column) -> Column:
 
 
 def round2(c: str | Column, digits: int = 2) -> Column:
-    """Half-even rounding, as ``Series.round`` does."""
-    return F.bround(_col(c), digits)
+    """``Series.round``: scale by ``10**digits``, round half-even, scale back.
+
+    Rounding happens on the binary product, as pandas/NumPy do; ``bround(x, d)``
+    alone rounds the shortest decimal text instead and differs on near-ties
+    (535.6203625 -> .362 vs .363).
+    """
+    x = _col(c)
+    if digits == 0:
+        return F.bround(x, 0)
+    scale = F.lit(float(10 ** digits))
+    return F.bround(x * scale, 0) / scale
 
 
 def nan_to_null(c: str | Column) -> Column:

@@ -13,7 +13,7 @@ order statistics are found by *selection* instead:
 3. a final pass ranks only the rows of each (now bounded) interval with
    ``row_number`` and picks the wanted ranks.
 
-The interpolation ``lo + (hi - lo) * frac`` at position ``p * (n - 1)`` is done
+The interpolation ``lo * (1 - frac) + hi * frac`` at position ``p * (n - 1)`` is done
 on the driver from the two order statistics; no data passes through the driver,
 only per-group counts and a few values per target.  Group keys must be of low
 cardinality (categories), guarded by ``max_groups``.
@@ -160,7 +160,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
         for lo_r, hi_r, frac in positions:
             a = targets[(g, lo_r)].value
             b = targets[(g, hi_r)].value
-            vals.append(a if frac == 0 or a == b else a + (b - a) * frac)
+            # same interpolation form as SQL engines' quantile_cont
+            vals.append(a if frac == 0 else a * (1.0 - frac) + b * frac)
         out[g] = vals
     return out
 

@@ -2,7 +2,7 @@
 
 Conventions:
 
-* R1 - where the dashboard rounds, ``bround(x, 2)`` (half-even); statistics it
+* R1 - where the dashboard rounds, ``round2(x, 2)`` (as ``Series.round``); statistics it
   shows unrounded are rounded to :data:`DIGITS` decimals so results are stable
   across engines and summation orders.
 * R2 - grouping by an ordered category keeps every label (count 0, means null)
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from staylens.functions import fixed
-from staylens.functions.expressions import cut, label_dimension, safe_corr
+from staylens.functions.expressions import cut, label_dimension, round2, safe_corr
 from staylens.operators.filters import keep_top_k
 from staylens.operators.quantiles import quantile_frame
 
@@ -27,7 +27,7 @@ DIGITS = 6
 
 
 def rnd(c: str | Column, digits: int = DIGITS) -> Column:
-    return F.bround(F.col(c) if isinstance(c, str) else c, digits)
+    return round2(c, digits)
 
 
 def _avg(c: str) -> Column:
@@ -341,9 +341,9 @@ def segment_display(segments: DataFrame) -> DataFrame:
         F.when(F.col("avg_price").isNotNull(),
                F.concat(F.lit("$"), F.format_number(F.col("avg_price"), 2))).alias("avg_price"),
         F.when(F.col("avg_revenue").isNotNull(),
-               F.concat(F.lit("$"), F.format_number(F.bround("avg_revenue", 0), 0))).alias("avg_revenue"),
+               F.concat(F.lit("$"), F.format_number(round2("avg_revenue", 0), 0))).alias("avg_revenue"),
         F.when(F.col("avg_occupancy").isNotNull(),
-               F.concat(F.format_number(F.bround(F.col("avg_occupancy") * 100, 1), 1),
+               F.concat(F.format_number(round2(F.col("avg_occupancy") * 100, 1), 1),
                         F.lit("%"))).alias("avg_occupancy"),
         "listings")
 
@@ -493,33 +493,34 @@ def filter_summary(filtered: DataFrame, baseline: DataFrame, spec, band) -> Data
     lo, hi = band if band is not None else (None, None)
     price_txt = (f"${lo:.0f} - ${hi:.0f}" if lo is not None else "")
     rows = [
-        F.struct(F.lit(1).alias("position"), F.lit("Total Listings").alias("label"),
-                 F.concat(F.format_number(F.col("f"), 0), F.lit(" / "),
-                          F.format_number(F.col("b"), 0)).alias("value")),
-        F.struct(F.lit(2), F.lit("Neighborhood Group"), F.lit(spec.neighbourhood_group)),
-        F.struct(F.lit(3), F.lit("Room Type"), F.lit(spec.room_type)),
-        F.struct(F.lit(4), F.lit("Price Range"), F.lit(price_txt)),
-        F.struct(F.lit(5), F.lit("Min Reviews"), F.lit(str(spec.min_reviews))),
-        F.struct(F.lit(6), F.lit("Availability Range"),
-                 F.lit(f"({spec.availability[0]}, {spec.availability[1]})")),
+        _row(1, "Total Listings", F.concat(F.format_number(F.col("f"), 0), F.lit(" / "),
+                                           F.format_number(F.col("b"), 0))),
+        _row(2, "Neighborhood Group", F.lit(spec.neighbourhood_group)),
+        _row(3, "Room Type", F.lit(spec.room_type)),
+        _row(4, "Price Range", F.lit(price_txt)),
+        _row(5, "Min Reviews", F.lit(str(spec.min_reviews))),
+        _row(6, "Availability Range", F.lit(f"({spec.availability[0]}, {spec.availability[1]})")),
     ]
     return counts.select(F.inline(F.array(*rows)))
 
 
+def _row(pos: int, label: str, value: Column, name: str = "label") -> Column:
+    return F.struct(F.lit(pos).alias("position"), F.lit(label).alias(name),
+                    value.cast("string").alias("value"))
+
+
 def export_summary(df: DataFrame, generated_at: str) -> DataFrame:
     """Metric/value rows of the summary sheet; the time stamp is passed in."""
     a = df.agg(F.count(F.lit(1)).alias("n"), F.avg("price").alias("p"),
                F.sum("estimated_revenue").alias("rev"), F.avg("occupancy_rate").alias("occ"))
-    money = F.concat(F.lit("$"), F.format_number(F.bround("p", 2), 2))
+    money = F.concat(F.lit("$"), F.format_number(round2("p", 2), 2))
     rows = [
-        F.struct(F.lit(1).alias("position"), F.lit("Total Listings").alias("metric"),
-                 F.col("n").cast("string").alias("value")),
-        F.struct(F.lit(2), F.lit("Average Price"), money),
-        F.struct(F.lit(3), F.lit("Total Revenue"),
-                 F.concat(F.lit("$"), F.format_number(F.bround("rev", 0), 0))),
-        F.struct(F.lit(4), F.lit("Average Occupancy"),
-                 F.concat(F.format_number(F.bround(F.col("occ") * 100, 1), 1), F.lit("%"))),
-        F.struct(F.lit(5), F.lit("Date Generated"), F.lit(generated_at)),
+        _row(1, "Total Listings", F.col("n"), "metric"),
+        _row(2, "Average Price", money, "metric"),
+        _row(3, "Total Revenue", F.concat(F.lit("$"), F.format_number(round2("rev", 0), 0)), "metric"),
+        _row(4, "Average Occupancy",
+             F.concat(F.format_number(round2(F.col("occ") * 100, 1), 1), F.lit("%")), "metric"),
+        _row(5, "Date Generated", F.lit(generated_at), "metric"),
     ]
     return a.select(F.inline(F.array(*rows)))
 
