@@ -48,46 +48,28 @@ def _rank_positions(n: int, p: float) -> tuple[int, int, float]:
     return lo, hi, h - lo
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
-                    by: Sequence[str] = (), *, direct_limit: int = 2_000_000,
-                    buckets: int = 2048, max_groups: int = 10_000,
-                    max_passes: int = 16) -> dict[tuple, list[float | None]]:
-    """Quantiles of ``value`` at ``probs`` per group of ``by`` (pandas ``linear``).
-
-    Nulls (and null group keys) are ignored.  Returns ``{group_tuple: [q...]}``;
-    groups without values are absent.
-    """
-    by = list(by)
+def _prepare(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     data = df.select(*[F.col(c) for c in by], F.col(value).cast("double").alias("_x"))
     data = data.where(F.col("_x").isNotNull() & ~F.isnan("_x"))
     for c in by:
         data = data.where(F.col(c).isNotNull())
+    return data
 
+
+def _group_stats(data: DataFrame, by: Sequence[str], max_groups: int) -> list:
     stats = (data.groupBy(*by)
              .agg(F.count("_x").alias("n"), F.min("_x").alias("mn"), F.max("_x").alias("mx"))
              .limit(max_groups + 1).collect())
     if len(stats) > max_groups:
-        raise ValueError(f"exact_quantiles: more than {max_groups} groups in {by}")
+        raise ValueError(f"quantiles: more than {max_groups} groups in {list(by)}")
+    # a global aggregate over no rows still returns one row with n = 0
+    return [r for r in stats if r["n"]]
 
-    targets: dict[tuple, _Target] = {}
-    plan: dict[tuple, list[tuple[int, int, float]]] = {}
-    for row in stats:
-        g = tuple(row[c] for c in by)
-        n = row["n"]
-        if not n:
-            continue  # a global aggregate over no rows still returns one row
-        plan[g] = []
-        for p in probs:
-            lo_r, hi_r, frac = _rank_positions(n, p)
-            plan[g].append((lo_r, hi_r, frac))
-            for r in {lo_r, hi_r}:
-                if (g, r) not in targets:
-                    t = _Target(g, r, row["mn"], row["mx"], 0, n)
-                    if t.lo == t.hi:
-                        t.value = t.lo
-                    targets[(g, r)] = t
 
-    spark = df.sparkSession
+def _select(data: DataFrame, by: Sequence[str], targets: dict[tuple, _Target], *,
+            direct_limit: int, buckets: int, max_passes: int) -> None:
+    """Fill ``value`` of every target (histogram narrowing, then ranking)."""
+    spark = data.sparkSession
     group_fields = [f for f in data.schema.fields if f.name in by]
 
     def intervals_frame(active: list[_Target]) -> tuple[DataFrame, dict]:
@@ -106,8 +88,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
         return spark.createDataFrame(rows, schema), keys
 
     def join_intervals(iv: DataFrame) -> DataFrame:
-        # The interval table is built on the driver from at most
-        # max_groups * len(probs) * 2 rows: a proven bound, so broadcast it.
+        # The interval table is built on the driver from at most one row per
+        # target (groups x ranks): a proven bound, so it is broadcast.
         cond = [data[c] == iv[c] for c in by]
         cond.append(data["_x"].between(iv["_lo"], iv["_hi"]))
         joined = data.join(F.broadcast(iv), cond, "inner")
@@ -144,8 +126,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     if pending:
         iv, keys = intervals_frame(pending)
         wanted_rows = sorted({(keys[(t.group, t.lo, t.hi)], t.rank - t.below) for t in pending})
-        wanted = spark.createDataFrame(
-            wanted_rows, "_iid int, _rn int")
+        wanted = spark.createDataFrame(wanted_rows, "_iid int, _rn int")
         w = Window.partitionBy("_iid").orderBy("_x")
         ranked = (join_intervals(iv)
                   .withColumn("_rn", (F.row_number().over(w) - 1).cast("int")))
@@ -154,15 +135,61 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
         for t in pending:
             t.value = found[(keys[(t.group, t.lo, t.hi)], t.rank - t.below)]
 
+
+def order_statistics(df: DataFrame, value: str, ranks, by: Sequence[str] = (), *,
+                     direct_limit: int = 2_000_000, buckets: int = 2048,
+                     max_groups: int = 10_000, max_passes: int = 16) -> dict[tuple, dict]:
+    """The k-th smallest values (0-based ``ranks``) per group.
+
+    ``ranks`` is a function ``n -> iterable of ranks`` (called with each group's
+    size).  Returns ``{group: {rank: value}}`` plus ``{group: {"n": n}}`` entries.
+    """
+    by = list(by)
+    data = _prepare(df, value, by)
+    targets: dict[tuple, _Target] = {}
+    sizes = {}
+    for row in _group_stats(data, by, max_groups):
+        g = tuple(row[c] for c in by)
+        n = row["n"]
+        sizes[g] = n
+        for r in ranks(n):
+            r = max(0, min(int(r), n - 1))
+            if (g, r) not in targets:
+                t = _Target(g, r, row["mn"], row["mx"], 0, n)
+                if t.lo == t.hi:
+                    t.value = t.lo
+                targets[(g, r)] = t
+    _select(data, by, targets, direct_limit=direct_limit, buckets=buckets,
+            max_passes=max_passes)
+    out: dict[tuple, dict] = {g: {"n": n} for g, n in sizes.items()}
+    for (g, r), t in targets.items():
+        out[g][r] = t.value
+    return out
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
+                    by: Sequence[str] = (), **kw) -> dict[tuple, list[float | None]]:
+    """Quantiles of ``value`` at ``probs`` per group of ``by`` (linear rule).
+
+    Nulls (and null group keys) are ignored.  Returns ``{group_tuple: [q...]}``;
+    groups without values are absent.
+    """
+    def ranks(n):
+        for p in probs:
+            lo, hi, _ = _rank_positions(n, p)
+            yield lo
+            yield hi
+
+    stats = order_statistics(df, value, ranks, by, **kw)
     out: dict[tuple, list[float | None]] = {}
-    for g, positions in plan.items():
-        vals = []
-        for lo_r, hi_r, frac in positions:
-            a = targets[(g, lo_r)].value
-            b = targets[(g, hi_r)].value
+    for g, vals in stats.items():
+        row = []
+        for p in probs:
+            lo, hi, frac = _rank_positions(vals["n"], p)
+            a, b = vals[lo], vals[hi]
             # same interpolation form as SQL engines' quantile_cont
-            vals.append(a if frac == 0 else a * (1.0 - frac) + b * frac)
-        out[g] = vals
+            row.append(a if frac == 0 else a * (1.0 - frac) + b * frac)
+        out[g] = row
     return out
 
 

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from staylens.functions.expressions import round2
 from staylens.operators import filters as flt
+from staylens.operators import ml
+from staylens.operators import stats as st
 from staylens.operators import summaries as sm
 from staylens.operators.summaries import rnd
 from staylens.plans.context import Context, tpch_context
@@ -177,6 +179,18 @@ def q_market_share(c: Context) -> DataFrame:
     return sm.market_share(sm.guest_segments(c.filtered))
 
 
+def q_stable_sample(c: Context) -> DataFrame:
+    return st.stable_sample(c.iqr).select("id", "availability_365", "price", "occupancy_rate")
+
+
+def q_cluster_summary(c: Context) -> DataFrame:
+    return ml.cluster_summary(c.filtered, ml.kmeans_clusters(c.filtered))
+
+
+def q_cluster_winners(c: Context) -> DataFrame:
+    return ml.cluster_winners(ml.cluster_summary(c.filtered, ml.kmeans_clusters(c.filtered)))
+
+
 def _filtered(fn):
     return _q(lambda c: fn(c.filtered))
 
@@ -241,6 +255,22 @@ QUERIES: dict[str, Query] = {
     "export_stats": _filtered(sm.export_stats),
     "column_profile": _filtered(sm.column_profile),
     "preview": _q(q_preview),
+    # statistics
+    "price_histogram": _filtered(st.price_histogram),
+    "price_kde": _filtered(st.price_kde),
+    "availability_trend": _q(lambda c: st.availability_trend(c.iqr)),
+    "local_trend": _q(lambda c: st.local_trend(c.reviewed)),
+    "stable_sample": _q(q_stable_sample),
+    # segmentation
+    "standardised_features": _filtered(ml.standardised_features),
+    "pca_scores": _filtered(ml.pca_scores),
+    "pca_loadings": _filtered(ml.pca_loadings),
+    "pca_variance": _filtered(ml.pca_variance),
+    "kmeans_clusters": _filtered(ml.kmeans_clusters),
+    "cluster_summary": _q(q_cluster_summary),
+    "cluster_winners": _q(q_cluster_winners),
+    "feature_corr": _filtered(ml.feature_corr),
+    "strong_correlations": _filtered(ml.strong_correlations),
 }
 
 FLAGSHIP = "price_by_proximity"

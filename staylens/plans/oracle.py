@@ -11,18 +11,6 @@ from __future__ import annotations
 from staylens.functions import fixed
 
 
-def _case(col: str, edges, labels, include_lowest: bool = False) -> str:
-    parts = []
-    for i, lab in enumerate(labels):
-        lo, hi = edges[i], edges[i + 1]
-        op = ">=" if (include_lowest and i == 0) else ">"
-        cond = f"{col} {op} {lo!r}E0"
-        if hi is not None:
-            cond += f" AND {col} <= {hi!r}E0"
-        parts.append(f"WHEN {cond} THEN '{lab}'")
-    return "CASE " + " ".join(parts) + " END"
-
-
 def _num(v) -> str:
     return f"{float(v)!r}".replace("e", "E") if "e" in f"{float(v)!r}" else f"{float(v)!r}E0"
 
@@ -44,14 +32,6 @@ def _dim(name: str, labels) -> str:
     return f"(VALUES {rows}) AS d(rank, {name})"
 
 
-def _hav(lat, lon) -> str:
-    return (f"(6371E0 * 2E0 * atan2(sqrt(a_{_key(lat, lon)}), sqrt(1E0 - a_{_key(lat, lon)})))")
-
-
-def _key(lat, lon) -> str:
-    return f"{abs(lat):.4f}_{abs(lon):.4f}".replace(".", "")
-
-
 def _hav_expr(lat: float, lon: float) -> str:
     a = (f"(pow(sin(radians({_num(lat)} - latitude) / 2E0), 2) + cos(radians(latitude)) * "
          f"cos(radians({_num(lat)})) * pow(sin(radians({_num(lon)} - longitude) / 2E0), 2))")
@@ -517,4 +497,55 @@ def oracle_queries() -> dict[str, str]:
                     f"AS null_pct FROM filt")
     q["column_profile"] = _sql(" UNION ALL ".join(prof))
     q["preview"] = _sql("SELECT id, name, price, room_type, neighbourhood FROM filt ORDER BY id LIMIT 10")
+
+    nb = fixed.HISTOGRAM_BINS
+    q["price_histogram"] = _sql(
+        f"""SELECT CAST(t.g AS INTEGER) AS bin, round_even(mn + (t.g - 1) * ((mx - mn) / {nb}E0), 6) AS lo,
+                   round_even(mn + t.g * ((mx - mn) / {nb}E0), 6) AS hi,
+                   CAST(COALESCE(c.n, 0) AS BIGINT) AS listings
+            FROM s, generate_series(1, {nb}) t(g) LEFT JOIN c ON c.bin = t.g
+            WHERE s.n > 0 ORDER BY 1""",
+        ctes=f"""s AS (SELECT count(price) n, min(price) mn, max(price) mx FROM filt),
+                c AS (SELECT CASE WHEN mx > mn THEN LEAST(CAST(floor((price - mn) / (mx - mn) * {nb}E0) AS BIGINT) + 1, {nb})
+                                  ELSE 1 END AS bin, count(*) AS n
+                      FROM filt, s WHERE price IS NOT NULL GROUP BY 1)""")
+    npts = fixed.KDE_GRID_POINTS
+    q["price_kde"] = _sql(
+        f"""SELECT CAST(g.i AS INTEGER) AS point, round_even(g.x, 6) AS x,
+                   round_even(sum(exp(-0.5E0 * pow((g.x - f.price) / p.h, 2)))
+                              * (1E0 / (p.n * p.h * sqrt(2E0 * pi())) * p.n * (p.mx - p.mn) / {nb}E0), 6) AS density
+            FROM g, p, filt f WHERE f.price IS NOT NULL GROUP BY g.i, g.x, p.n, p.h, p.mx, p.mn""",
+        ctes=f"""s AS (SELECT count(price) n, min(price) mn, max(price) mx, stddev_samp(price) sd FROM filt),
+                p AS (SELECT n, mn, mx, sd * pow(n, -0.2E0) AS h FROM s WHERE n >= 2 AND sd > 0),
+                g AS (SELECT t.i, CASE WHEN t.i = {npts - 1} THEN mx ELSE mn + t.i * ((mx - mn) / {npts - 1}E0) END AS x
+                      FROM p, generate_series(0, {npts - 1}) t(i))""")
+    q["availability_trend"] = _sql(
+        """SELECT n, round_even(slope, 6) AS slope, round_even(intercept, 6) AS intercept,
+                  round_even(r, 6) AS r, round_even(intercept, 6) AS y_at_0,
+                  round_even(slope * 365 + intercept, 6) AS y_at_365
+           FROM (SELECT count(CASE WHEN availability_365 IS NOT NULL AND price IS NOT NULL THEN 1 END) AS n,
+                        regr_slope(price, CAST(availability_365 AS DOUBLE)) AS slope,
+                        regr_intercept(price, CAST(availability_365 AS DOUBLE)) AS intercept,
+                        """ + _corr("CAST(availability_365 AS DOUBLE)", "price") + """ AS r
+                 FROM iqr) WHERE n > 30""")
+    feats3 = fixed.CLUSTER_FEATURES
+    filled = {f: f"COALESCE(CAST({f} AS DOUBLE), 0E0)" for f in feats3}
+    st_aggs = ", ".join(f"avg({filled[f]}) AS m{i}, stddev_pop({filled[f]}) AS s{i}"
+                        for i, f in enumerate(feats3))
+    z_cols = ", ".join(
+        f"round_even(({filled[f]} - m{i}) / CASE WHEN s{i} IS NULL OR s{i} = 0 THEN 1E0 ELSE s{i} END, 6) AS z_{f}"
+        for i, f in enumerate(feats3))
+    q["standardised_features"] = _sql(f"SELECT id, {z_cols} FROM filt, st",
+                                      ctes=f"st AS (SELECT {st_aggs} FROM filt)")
+    pairs3 = [(a, b) for a in feats3 for b in feats3]
+    q["feature_corr"] = _sql(" UNION ALL ".join(
+        f"SELECT '{a}' AS feature_x, '{b}' AS feature_y, {R(_corr(a, b))} AS r FROM filt"
+        for a, b in pairs3))
+    strong = []
+    for i, a in enumerate(feats3):
+        for b in feats3[i + 1:]:
+            strong.append(f"SELECT '{a}' AS feature_x, '{b}' AS feature_y, {R(_corr(a, b))} AS r FROM filt")
+    q["strong_correlations"] = _sql(
+        f"SELECT feature_x, feature_y, CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END AS direction, r "
+        f"FROM ({' UNION ALL '.join(strong)}) WHERE abs(r) > {_num(fixed.STRONG_CORRELATION)}")
     return q
