@@ -103,6 +103,21 @@ def round2(c: str | Column, digits: int = 2) -> Column:
     return F.bround(x * scale, 0) / scale
 
 
+EXACT_TYPE = T.DecimalType(28, 10)
+
+
+def exact_avg(c: str | Column) -> Column:
+    """Mean from an exact DECIMAL(28,10) sum: the same value whatever the
+    partitioning or summation order (a double sum is order dependent in its last
+    bits, which decides rounding on exact ties).  Inputs are held to 1e-10."""
+    return F.avg(_col(c).cast(EXACT_TYPE)).cast("double")
+
+
+def exact_sum(c: str | Column) -> Column:
+    """Order-independent sum (see :func:`exact_avg`)."""
+    return F.sum(_col(c).cast(EXACT_TYPE)).cast("double")
+
+
 def nan_to_null(c: str | Column) -> Column:
     """Spark keeps NaN apart from null; pandas treats NaN as missing."""
     x = _col(c)

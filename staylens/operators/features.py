@@ -54,8 +54,18 @@ def price_category(price: str, bounds: PriceBounds) -> F.Column:
                include_lowest=True)
 
 
-def enrich(clean: DataFrame, bounds: PriceBounds) -> DataFrame:
-    """Derived columns, in the dashboard's order, appended to the listing columns."""
+DERIVED_ORDER = ["price_per_review", "occupancy_rate", "estimated_revenue", "price_category",
+                 "review_month", "review_season", "host_category", "distance_to_beach",
+                 "beach_proximity", "host_experience"]
+
+
+def derive(clean: DataFrame) -> DataFrame:
+    """Every derived column that does not need table-wide bounds.
+
+    This is the table to keep (cache / write): filters and groupings on the
+    categories then read stored values instead of re-evaluating the distance
+    expressions that Catalyst would inline into each pushed-down predicate.
+    """
     avail = F.col("availability_365")
     occupied = F.lit(365) - avail
     month = F.month("last_review")
@@ -64,7 +74,6 @@ def enrich(clean: DataFrame, bounds: PriceBounds) -> DataFrame:
         (F.col("price") / (F.col("number_of_reviews") + F.lit(1))).alias("price_per_review"),
         (occupied / F.lit(365.0)).alias("occupancy_rate"),
         (F.col("price") * occupied).alias("estimated_revenue"),
-        price_category("price", bounds).alias("price_category"),
         month.alias("review_month"),
         season(month).alias("review_season"),
         cut("calculated_host_listings_count", fixed.HOST_CATEGORY_EDGES,
@@ -77,3 +86,15 @@ def enrich(clean: DataFrame, bounds: PriceBounds) -> DataFrame:
         cut("number_of_reviews", fixed.HOST_EXPERIENCE_EDGES,
             fixed.HOST_EXPERIENCE_LABELS).alias("host_experience"),
     )
+
+
+def finish(derived: DataFrame, bounds: PriceBounds) -> DataFrame:
+    """Add the price quintile label and put the columns in the dashboard's order."""
+    base_cols = [c for c in derived.columns if c not in DERIVED_ORDER]
+    out = derived.withColumn("price_category", price_category("price", bounds))
+    return out.select(*base_cols, *DERIVED_ORDER)
+
+
+def enrich(clean: DataFrame, bounds: PriceBounds) -> DataFrame:
+    """Derived columns, in the dashboard's order, appended to the listing columns."""
+    return finish(derive(clean), bounds)

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from staylens.functions import fixed
-from staylens.functions.expressions import cut, label_dimension, round2, safe_corr
+from staylens.functions.expressions import (cut, exact_avg, exact_sum, label_dimension,
+                                            round2, safe_corr)
 from staylens.operators.filters import keep_top_k
 from staylens.operators.quantiles import quantile_frame
 
@@ -31,7 +32,7 @@ def rnd(c: str | Column, digits: int = DIGITS) -> Column:
 
 
 def _avg(c: str) -> Column:
-    return F.avg(F.col(c))
+    return exact_avg(c)
 
 
 def grouped_summary(df: DataFrame, key: str, aggs: Sequence[tuple[str, Column]],
@@ -72,8 +73,8 @@ def kpi_summary(filtered: DataFrame, baseline: DataFrame) -> DataFrame:
     """Listings, mean price, mean occupancy and distinct hosts, with their change
     against the unfiltered table (share %, % difference, percentage points)."""
     def one(df, p):
-        return df.agg(F.count(F.lit(1)).alias(p + "n"), F.avg("price").alias(p + "price"),
-                      F.avg("occupancy_rate").alias(p + "occ"),
+        return df.agg(F.count(F.lit(1)).alias(p + "n"), exact_avg("price").alias(p + "price"),
+                      exact_avg("occupancy_rate").alias(p + "occ"),
                       F.countDistinct("host_id").alias(p + "hosts"))
     f, b = one(filtered, "f_"), one(baseline, "b_")
     j = f.crossJoin(b)  # two one-row frames
@@ -132,7 +133,7 @@ def monthly_price_by_room(df: DataFrame) -> DataFrame:
     """Mean price per (month end, room type); absent pairs stay absent."""
     return (df.where(F.col("last_review").isNotNull() & F.col("room_type").isNotNull())
             .groupBy(F.last_day("last_review").alias("month"), "room_type")
-            .agg(rnd(F.avg("price")).alias("avg_price")))
+            .agg(rnd(exact_avg("price")).alias("avg_price")))
 
 
 def price_by_proximity(df: DataFrame) -> DataFrame:
@@ -152,8 +153,8 @@ def count_by_proximity(df: DataFrame) -> DataFrame:
 # --- E10-E14 geography -------------------------------------------------------------------
 
 def map_centre(df: DataFrame) -> DataFrame:
-    return df.agg(rnd(F.avg("latitude")).alias("centre_lat"),
-                  rnd(F.avg("longitude")).alias("centre_lon"))
+    return df.agg(rnd(exact_avg("latitude")).alias("centre_lat"),
+                  rnd(exact_avg("longitude")).alias("centre_lon"))
 
 
 def top_neighbourhoods(df: DataFrame, k: int = 10) -> DataFrame:
@@ -164,17 +165,17 @@ def top_neighbourhoods(df: DataFrame, k: int = 10) -> DataFrame:
 
 def priciest_neighbourhoods(df: DataFrame, k: int = 10) -> DataFrame:
     return (df.where(F.col("neighbourhood").isNotNull()).groupBy("neighbourhood")
-            .agg(F.avg("price").alias("avg_price"))
+            .agg(exact_avg("price").alias("avg_price"))
             .orderBy(F.desc_nulls_last("avg_price"), F.asc("neighbourhood")).limit(k)
             .select("neighbourhood", rnd("avg_price").alias("avg_price")))
 
 
 def review_activity(df: DataFrame, k: int = 15) -> DataFrame:
     agg = (df.where(F.col("neighbourhood").isNotNull()).groupBy("neighbourhood")
-           .agg(F.avg("number_of_reviews").alias("avg_reviews"),
+           .agg(exact_avg("number_of_reviews").alias("avg_reviews"),
                 F.sum("number_of_reviews").alias("total_reviews"),
                 F.count("number_of_reviews").alias("listings"),
-                F.avg("reviews_per_month").alias("reviews_per_month")))
+                exact_avg("reviews_per_month").alias("reviews_per_month")))
     return (agg.orderBy(F.desc("total_reviews"), F.asc("neighbourhood")).limit(k)
             .select("neighbourhood", rnd("avg_reviews", 2).alias("avg_reviews"),
                     "total_reviews", "listings",
@@ -384,7 +385,7 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols
     ])).alias("s")).select("s.column", "s.v")
     moments = stacked.groupBy("column").agg(
-        F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
+        F.count("v").alias("count"), exact_avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
         F.min("v").alias("min"), F.max("v").alias("max"))
     q = quantile_frame(stacked, "v", [0.25, 0.5, 0.75], ["p25", "p50", "p75"], by=["column"])
     out = moments.join(q, "column", "left")
@@ -424,8 +425,8 @@ def categorical_top5(df: DataFrame, cols: Sequence[str] = tuple(fixed.CATEGORICA
 
 
 def explorer_kpis(df: DataFrame) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("listings"), rnd(F.avg("price"), 2).alias("avg_price"),
-                  rnd(F.sum("estimated_revenue"), 2).alias("total_revenue"))
+    return df.agg(F.count(F.lit(1)).alias("listings"), rnd(exact_avg("price"), 2).alias("avg_price"),
+                  rnd(exact_sum("estimated_revenue"), 2).alias("total_revenue"))
 
 
 # --- E32-E35 advanced ---------------------------------------------------------------------------
@@ -435,8 +436,8 @@ def monthly_metrics(df: DataFrame) -> DataFrame:
     between the first and the last present, gaps with count 0 and null means."""
     ts = df.where(F.col("last_review").isNotNull())
     agg = ts.groupBy(F.last_day("last_review").alias("month")).agg(
-        F.avg("price").alias("avg_price"), F.count("number_of_reviews").alias("listings"),
-        F.avg("availability_365").alias("avg_availability"))
+        exact_avg("price").alias("avg_price"), F.count("number_of_reviews").alias("listings"),
+        exact_avg("availability_365").alias("avg_availability"))
     span = agg.agg(F.min("month").alias("lo"), F.max("month").alias("hi"))
     months = span.select(F.explode(F.sequence(F.trunc("lo", "month"), F.trunc("hi", "month"),
                                               F.expr("INTERVAL 1 MONTH"))).alias("m")) \
@@ -460,11 +461,11 @@ def competition_top10(df: DataFrame, k: int = 10) -> DataFrame:
     one listing have no std and a null score, sorted last."""
     w_list, w_std, w_occ = fixed.COMPETITION_WEIGHTS
     agg = (df.where(F.col("neighbourhood").isNotNull()).groupBy("neighbourhood")
-           .agg(rnd(F.avg("price"), 2).alias("avg_price"),
+           .agg(rnd(exact_avg("price"), 2).alias("avg_price"),
                 rnd(F.stddev_samp("price"), 2).alias("price_std"),
                 F.count("price").alias("listings"),
-                rnd(F.avg("occupancy_rate"), 2).alias("avg_occupancy"),
-                rnd(F.avg("number_of_reviews"), 2).alias("avg_reviews")))
+                rnd(exact_avg("occupancy_rate"), 2).alias("avg_occupancy"),
+                rnd(exact_avg("number_of_reviews"), 2).alias("avg_reviews")))
     score = (F.col("listings") * F.lit(w_list)
              + F.lit(1.0) / (F.col("price_std") + F.lit(1.0)) * F.lit(100.0) * F.lit(w_std)
              + F.col("avg_occupancy") * F.lit(100.0) * F.lit(w_occ))
@@ -511,8 +512,8 @@ def _row(pos: int, label: str, value: Column, name: str = "label") -> Column:
 
 def export_summary(df: DataFrame, generated_at: str) -> DataFrame:
     """Metric/value rows of the summary sheet; the time stamp is passed in."""
-    a = df.agg(F.count(F.lit(1)).alias("n"), F.avg("price").alias("p"),
-               F.sum("estimated_revenue").alias("rev"), F.avg("occupancy_rate").alias("occ"))
+    a = df.agg(F.count(F.lit(1)).alias("n"), exact_avg("price").alias("p"),
+               exact_sum("estimated_revenue").alias("rev"), exact_avg("occupancy_rate").alias("occ"))
     money = F.concat(F.lit("$"), F.format_number(round2("p", 2), 2))
     rows = [
         _row(1, "Total Listings", F.col("n"), "metric"),

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staylens.functions.expressions import round2
+from staylens.functions.expressions import exact_avg, round2
 from staylens.operators import filters as flt
 from staylens.operators import ml
 from staylens.operators import stats as st
@@ -103,7 +103,7 @@ def q_map_density(c: Context) -> DataFrame:
     cell_lat = F.floor(F.col("latitude") / F.lit(MAP_CELL_DEG)).cast("long")
     cell_lon = F.floor(F.col("longitude") / F.lit(MAP_CELL_DEG)).cast("long")
     return (d.groupBy(cell_lat.alias("cell_lat"), cell_lon.alias("cell_lon"))
-            .agg(F.count(F.lit(1)).alias("listings"), rnd(F.avg("price")).alias("avg_price")))
+            .agg(F.count(F.lit(1)).alias("listings"), rnd(exact_avg("price")).alias("avg_price")))
 
 
 # --- filters -----------------------------------------------------------------------------

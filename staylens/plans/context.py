@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from staylens.operators.features import PriceBounds, clean_listings, enrich, price_bounds
+from staylens.operators.features import PriceBounds, clean_listings, derive, finish, price_bounds
 from staylens.operators.filters import FilterSpec, apply_filters, iqr_clean, with_reviews_filter
 from staylens.session import scratch_path
 from staylens.sources.listings import listings_from_tpch
@@ -44,15 +44,15 @@ class Context:
 
 def build_context(spark: SparkSession, raw: DataFrame, spec: FilterSpec = FilterSpec(),
                   materialize: str = "cache") -> Context:
-    clean = clean_listings(raw)
+    staged = derive(clean_listings(raw))
     if materialize == "table":
-        path = scratch_path(spark, f"listings-clean-{uuid.uuid4().hex}")
-        clean.write.mode("overwrite").parquet(path)
-        clean = spark.read.parquet(path)
+        path = scratch_path(spark, f"listings-derived-{uuid.uuid4().hex}")
+        staged.write.mode("overwrite").parquet(path)
+        staged = spark.read.parquet(path)
     elif materialize == "cache":
-        clean = clean.cache()
-    bounds = price_bounds(clean)
-    baseline = enrich(clean, bounds)
+        staged = staged.cache()
+    bounds = price_bounds(staged)
+    baseline = finish(staged, bounds)
     filtered = apply_filters(baseline, spec, bounds)
     return Context(spark, baseline, filtered, bounds, spec)
 

@@ -192,9 +192,9 @@ def _corr(a: str, b: str) -> str:
 
 def _guest_segments_sql() -> str:
     return _grouped("guest_type", fixed.GUEST_TYPE_LABELS,
-                    [("avg_price", "avg(price)"), ("avg_revenue", "avg(estimated_revenue)"),
-                     ("avg_occupancy", "avg(occupancy_rate)"),
-                     ("avg_reviews", "avg(number_of_reviews)"), ("listings", "count(id)")],
+                    [("avg_price", "avg(CAST(price AS DECIMAL(28,10)))"), ("avg_revenue", "avg(CAST(estimated_revenue AS DECIMAL(28,10)))"),
+                     ("avg_occupancy", "avg(CAST(occupancy_rate AS DECIMAL(28,10)))"),
+                     ("avg_reviews", "avg(CAST(number_of_reviews AS DECIMAL(28,10)))"), ("listings", "count(id)")],
                     counts=["listings"], key_expr=_GUEST)
 
 
@@ -236,7 +236,7 @@ def oracle_queries() -> dict[str, str]:
     q["map_density"] = _sql(
         f"SELECT CAST(floor(latitude / {cell}) AS BIGINT) AS cell_lat, "
         f"CAST(floor(longitude / {cell}) AS BIGINT) AS cell_lon, count(*) AS listings, "
-        f"{R('avg(price)')} AS avg_price FROM filt "
+        f"{R('avg(CAST(price AS DECIMAL(28,10)))')} AS avg_price FROM filt "
         f"WHERE latitude IS NOT NULL AND longitude IS NOT NULL GROUP BY 1, 2")
 
     q["filter_listings"] = _sql("SELECT id, price, host_category FROM filt")
@@ -251,8 +251,8 @@ def oracle_queries() -> dict[str, str]:
     q["adhoc_filter"] = _sql(
         f"SELECT id, neighbourhood_group, neighbourhood, price FROM filt WHERE {_adhoc_where()}")
     q["explorer_kpis"] = _sql(
-        f"SELECT count(*) AS listings, round_even(avg(price), 2) AS avg_price, "
-        f"round_even(sum(estimated_revenue), 2) AS total_revenue FROM filt WHERE {_adhoc_where()}")
+        f"SELECT count(*) AS listings, round_even(avg(CAST(price AS DECIMAL(28,10))), 2) AS avg_price, "
+        f"round_even(CAST(sum(CAST(estimated_revenue AS DECIMAL(28,10))) AS DOUBLE), 2) AS total_revenue FROM filt WHERE {_adhoc_where()}")
 
     q["kpi_summary"] = _sql(
         """SELECT f.n AS total_listings,
@@ -263,10 +263,10 @@ def oracle_queries() -> dict[str, str]:
                   round_even(f.o * 100 - b.o * 100, 2) AS occupancy_diff_pp,
                   f.h AS active_hosts,
                   round_even(f.h * 100E0 / b.h, 2) AS hosts_share_pct
-           FROM (SELECT count(*) n, avg(price) p, avg(occupancy_rate) o, count(DISTINCT host_id) h FROM filt) f,
-                (SELECT count(*) n, avg(price) p, avg(occupancy_rate) o, count(DISTINCT host_id) h FROM enr) b""")
+           FROM (SELECT count(*) n, avg(CAST(price AS DECIMAL(28,10))) p, avg(CAST(occupancy_rate AS DECIMAL(28,10))) o, count(DISTINCT host_id) h FROM filt) f,
+                (SELECT count(*) n, avg(CAST(price AS DECIMAL(28,10))) p, avg(CAST(occupancy_rate AS DECIMAL(28,10))) o, count(DISTINCT host_id) h FROM enr) b""")
     q["price_by_room"] = _sql(_grouped(
-        "room_type", None, [("mean_price", "avg(price)"), ("std_price", "stddev_samp(price)"),
+        "room_type", None, [("mean_price", "avg(CAST(price AS DECIMAL(28,10)))"), ("std_price", "stddev_samp(price)"),
                             ("listings", "count(price)")],
         medians=[("median_price", "price")], counts=["listings"]))
     q["box_by_room"] = _sql(
@@ -289,29 +289,29 @@ def oracle_queries() -> dict[str, str]:
         ctes="""qr AS (SELECT room_type, quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.75) AS q3
                  FROM filt WHERE room_type IS NOT NULL AND price IS NOT NULL GROUP BY room_type)""")
     q["monthly_price_by_room"] = _sql(
-        f"SELECT last_day(last_review) AS month, room_type, {R('avg(price)')} AS avg_price FROM filt "
+        f"SELECT last_day(last_review) AS month, room_type, {R('avg(CAST(price AS DECIMAL(28,10)))')} AS avg_price FROM filt "
         "WHERE last_review IS NOT NULL AND room_type IS NOT NULL GROUP BY 1, 2")
     q["price_by_proximity"] = _sql(_grouped(
         "beach_proximity", fixed.BEACH_PROXIMITY_LABELS,
-        [("mean_price", "avg(price)"), ("listings", "count(price)")],
+        [("mean_price", "avg(CAST(price AS DECIMAL(28,10)))"), ("listings", "count(price)")],
         medians=[("median_price", "price")], counts=["listings"]))
     q["count_by_proximity"] = _sql(_grouped(
         "beach_proximity", fixed.BEACH_PROXIMITY_LABELS, [("listings", "count(*)")],
         counts=["listings"]))
-    q["map_centre"] = _sql(f"SELECT {R('avg(latitude)')} AS centre_lat, "
-                           f"{R('avg(longitude)')} AS centre_lon FROM filt")
+    q["map_centre"] = _sql(f"SELECT {R('avg(CAST(latitude AS DECIMAL(28,10)))')} AS centre_lat, "
+                           f"{R('avg(CAST(longitude AS DECIMAL(28,10)))')} AS centre_lon FROM filt")
     q["top_neighbourhoods"] = _sql(
         "SELECT neighbourhood, count(*) AS listings FROM filt WHERE neighbourhood IS NOT NULL "
         "GROUP BY 1 ORDER BY listings DESC, neighbourhood LIMIT 10")
     q["priciest_neighbourhoods"] = _sql(
-        f"SELECT neighbourhood, {R('p')} AS avg_price FROM (SELECT neighbourhood, avg(price) p "
+        f"SELECT neighbourhood, {R('p')} AS avg_price FROM (SELECT neighbourhood, avg(CAST(price AS DECIMAL(28,10))) p "
         "FROM filt WHERE neighbourhood IS NOT NULL GROUP BY 1 ORDER BY p DESC NULLS LAST, "
         "neighbourhood LIMIT 10)")
     q["review_activity"] = _sql(
         """SELECT neighbourhood, round_even(a, 2) AS avg_reviews, CAST(s AS BIGINT) AS total_reviews,
                   c AS listings, round_even(r, 2) AS reviews_per_month FROM (
-             SELECT neighbourhood, avg(number_of_reviews) a, sum(number_of_reviews) s,
-                    count(number_of_reviews) c, avg(reviews_per_month) r
+             SELECT neighbourhood, avg(CAST(number_of_reviews AS DECIMAL(28,10))) a, sum(number_of_reviews) s,
+                    count(number_of_reviews) c, avg(CAST(reviews_per_month AS DECIMAL(28,10))) r
              FROM filt WHERE neighbourhood IS NOT NULL GROUP BY 1
              ORDER BY s DESC, neighbourhood LIMIT 15)""")
     q["room_mix"] = _sql(
@@ -326,13 +326,13 @@ def oracle_queries() -> dict[str, str]:
            rt AS (SELECT DISTINCT room_type FROM sub),
            cnt AS (SELECT neighbourhood, room_type, count(*) AS n FROM sub GROUP BY 1, 2)""")
     q["revenue_by_room"] = _sql(_grouped(
-        "room_type", None, [("avg_revenue", "avg(estimated_revenue)"),
-                            ("avg_occupancy", "avg(occupancy_rate)"), ("avg_price", "avg(price)")],
+        "room_type", None, [("avg_revenue", "avg(CAST(estimated_revenue AS DECIMAL(28,10)))"),
+                            ("avg_occupancy", "avg(CAST(occupancy_rate AS DECIMAL(28,10)))"), ("avg_price", "avg(CAST(price AS DECIMAL(28,10)))")],
         digits=6))
     q["host_portfolio"] = _sql(_grouped(
         "host_category", fixed.HOST_CATEGORY_LABELS,
-        [("avg_price", "avg(price)"), ("avg_revenue", "avg(estimated_revenue)"),
-         ("avg_occupancy", "avg(occupancy_rate)"), ("listings", "count(host_id)")],
+        [("avg_price", "avg(CAST(price AS DECIMAL(28,10)))"), ("avg_revenue", "avg(CAST(estimated_revenue AS DECIMAL(28,10)))"),
+         ("avg_occupancy", "avg(CAST(occupancy_rate AS DECIMAL(28,10)))"), ("listings", "count(host_id)")],
         counts=["listings"], digits=6))
     feats = fixed.CORRELATION_FEATURES
     unions = []
@@ -343,13 +343,13 @@ def oracle_queries() -> dict[str, str]:
 
     q["price_by_occupancy"] = _sql(_grouped(
         "occupancy_band", fixed.OCCUPANCY_BAND_LABELS,
-        [("mean_price", "avg(price)"), ("listings", "count(price)")],
+        [("mean_price", "avg(CAST(price AS DECIMAL(28,10)))"), ("listings", "count(price)")],
         medians=[("median_price", "price")], counts=["listings"], source="iqr",
         key_expr=_OCC_BAND))
     rbp = _grouped("price_range", fixed.PRICE_RANGE_LABELS,
-                   [("avg_reviews", "avg(number_of_reviews)"),
-                    ("avg_reviews_per_month", "avg(reviews_per_month)"),
-                    ("avg_occupancy", "avg(occupancy_rate)")],
+                   [("avg_reviews", "avg(CAST(number_of_reviews AS DECIMAL(28,10)))"),
+                    ("avg_reviews_per_month", "avg(CAST(reviews_per_month AS DECIMAL(28,10)))"),
+                    ("avg_occupancy", "avg(CAST(occupancy_rate AS DECIMAL(28,10)))")],
                    source="reviewed", key_expr=_PRICE_RANGE)
     q["reviews_by_price_range"] = _sql(rbp)
     q["price_review_corr"] = _sql(
@@ -359,8 +359,8 @@ def oracle_queries() -> dict[str, str]:
         f"SELECT {_argmax('price_range', 'avg_reviews', fixed.PRICE_RANGE_LABELS)} AS sweet_spot FROM rbp",
         ctes=f"rbp AS ({rbp})")
     exp = _grouped("host_experience", fixed.HOST_EXPERIENCE_LABELS,
-                   [("avg_occupancy", "avg(occupancy_rate)"), ("avg_price", "avg(price)"),
-                    ("avg_revenue", "avg(estimated_revenue)"),
+                   [("avg_occupancy", "avg(CAST(occupancy_rate AS DECIMAL(28,10)))"), ("avg_price", "avg(CAST(price AS DECIMAL(28,10)))"),
+                    ("avg_revenue", "avg(CAST(estimated_revenue AS DECIMAL(28,10)))"),
                     ("listings", "count(number_of_reviews)")], counts=["listings"])
     q["experience_performance"] = _sql(
         "SELECT *, round_even(avg_occupancy * 100, 2) AS occupancy_pct FROM e", ctes=f"e AS ({exp})")
@@ -373,8 +373,8 @@ def oracle_queries() -> dict[str, str]:
         counts=["listings"], key_expr=_NIGHTS))
     q["price_by_min_nights"] = _sql(_grouped(
         "nights_category", fixed.MIN_NIGHTS_LABELS,
-        [("mean_price", "avg(price)"), ("listings", "count(price)"),
-         ("avg_occupancy", "avg(occupancy_rate)"), ("avg_revenue", "avg(estimated_revenue)")],
+        [("mean_price", "avg(CAST(price AS DECIMAL(28,10)))"), ("listings", "count(price)"),
+         ("avg_occupancy", "avg(CAST(occupancy_rate AS DECIMAL(28,10)))"), ("avg_revenue", "avg(CAST(estimated_revenue AS DECIMAL(28,10)))")],
         medians=[("median_price", "price")], counts=["listings"], key_expr=_NIGHTS))
     seg = _guest_segments_sql()
     q["guest_segments"] = _sql(seg)
@@ -436,8 +436,8 @@ def oracle_queries() -> dict[str, str]:
             FROM (SELECT last_day(CAST(g AS DATE)) AS month FROM span,
                   generate_series(date_trunc('month', lo), date_trunc('month', hi), INTERVAL 1 MONTH) t(g)) m
             LEFT JOIN agg a ON a.month = m.month ORDER BY m.month""",
-        ctes="""agg AS (SELECT last_day(last_review) AS month, avg(price) p, count(number_of_reviews) c,
-                               avg(availability_365) v FROM filt WHERE last_review IS NOT NULL GROUP BY 1),
+        ctes="""agg AS (SELECT last_day(last_review) AS month, avg(CAST(price AS DECIMAL(28,10))) p, count(number_of_reviews) c,
+                               avg(CAST(availability_365 AS DECIMAL(28,10))) v FROM filt WHERE last_review IS NOT NULL GROUP BY 1),
                 span AS (SELECT min(month) lo, max(month) hi FROM agg)""")
     q["price_ranges_by_room"] = _sql(
         f"SELECT room_type, {R('p25')} AS p25, {R('p50')} AS p50, {R('p75')} AS p75, "
@@ -449,10 +449,10 @@ def oracle_queries() -> dict[str, str]:
     q["competition_top10"] = _sql(
         f"""SELECT *, round_even(listings * {_num(w1)} + 1E0 / (price_std + 1E0) * 100E0 * {_num(w2)}
                                  + avg_occupancy * 100E0 * {_num(w3)}, 2) AS competition_score
-            FROM (SELECT neighbourhood, round_even(avg(price), 2) AS avg_price,
+            FROM (SELECT neighbourhood, round_even(avg(CAST(price AS DECIMAL(28,10))), 2) AS avg_price,
                          round_even(stddev_samp(price), 2) AS price_std, count(price) AS listings,
-                         round_even(avg(occupancy_rate), 2) AS avg_occupancy,
-                         round_even(avg(number_of_reviews), 2) AS avg_reviews
+                         round_even(avg(CAST(occupancy_rate AS DECIMAL(28,10))), 2) AS avg_occupancy,
+                         round_even(avg(CAST(number_of_reviews AS DECIMAL(28,10))), 2) AS avg_reviews
                   FROM filt WHERE neighbourhood IS NOT NULL GROUP BY 1)
             ORDER BY competition_score DESC NULLS LAST, neighbourhood LIMIT 10""")
     q["top_efficiency"] = _sql(
@@ -471,9 +471,9 @@ def oracle_queries() -> dict[str, str]:
     q["export_summary"] = _sql(
         f"""SELECT * FROM (VALUES
              (1, 'Total Listings', (SELECT CAST(count(*) AS VARCHAR) FROM filt)),
-             (2, 'Average Price', (SELECT '$' || format('{{:,.2f}}', round_even(avg(price), 2)) FROM filt)),
-             (3, 'Total Revenue', (SELECT '$' || format('{{:,.0f}}', round_even(sum(estimated_revenue), 0)) FROM filt)),
-             (4, 'Average Occupancy', (SELECT format('{{:,.1f}}', round_even(avg(occupancy_rate) * 100, 1)) || '%' FROM filt)),
+             (2, 'Average Price', (SELECT '$' || format('{{:,.2f}}', round_even(avg(CAST(price AS DECIMAL(28,10))), 2)) FROM filt)),
+             (3, 'Total Revenue', (SELECT '$' || format('{{:,.0f}}', round_even(CAST(sum(CAST(estimated_revenue AS DECIMAL(28,10))) AS DOUBLE), 0)) FROM filt)),
+             (4, 'Average Occupancy', (SELECT format('{{:,.1f}}', round_even(avg(CAST(occupancy_rate AS DECIMAL(28,10))) * 100, 1)) || '%' FROM filt)),
              (5, 'Date Generated', '{GENERATED_AT}')) AS t(position, metric, value)""")
     q["export_stats"] = _sql(
         "SELECT count(*) AS rows, 26 AS columns, min(last_review) AS first_review, "
