@@ -396,32 +396,43 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
 def categorical_top5(df: DataFrame, cols: Sequence[str] = tuple(fixed.CATEGORICAL_SUMMARY_COLUMNS),
                      k: int = 5) -> DataFrame:
     """Top ``k`` values per column with count and % of *all* rows (nulls in the
-    denominator).  Ordered categories list their empty labels too."""
+    denominator).  Ordered categories list their empty labels too.
+
+    Each column is a ``groupBy`` with partial aggregation followed by a
+    distributed top-k (``orderBy + limit``), so a high-cardinality column never
+    sits in one task; the per-column results (k rows each) are unioned.
+    """
     spark = df.sparkSession
     ordered = {"host_category": fixed.HOST_CATEGORY_LABELS,
                "price_category": fixed.PRICE_CATEGORY_LABELS}
-    cols = [c for c in cols if c in df.columns]
-    stacked = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols
-    ])).alias("s")).select("s.column", "s.value")
-    counts = (stacked.where(F.col("value").isNotNull()).groupBy("column", "value")
-              .agg(F.count(F.lit(1)).alias("listings")))
-    dims = [(c, i + 1, lab) for c, labs in ordered.items() if c in cols for i, lab in enumerate(labs)]
-    if dims:
-        dim = spark.createDataFrame(dims, "column string, rank int, value string")
-        counts = (counts.join(dim, ["column", "value"], "full")
-                  .select("column", "value", F.coalesce("listings", F.lit(0)).cast("long")
-                          .alias("listings"), "rank"))
-    else:
-        counts = counts.withColumn("rank", F.lit(None).cast("int"))
     total = df.agg(F.count(F.lit(1)).alias("total"))
-    w = Window.partitionBy("column").orderBy(F.desc("listings"), F.asc_nulls_last("rank"),
-                                             F.asc("value"))
-    top = counts.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k)
-    return (top.crossJoin(total)  # one-row total
+    parts = []
+    for c in [c for c in cols if c in df.columns]:
+        counts = (df.where(F.col(c).isNotNull())
+                  .groupBy(F.col(c).cast("string").alias("value"))
+                  .agg(F.count(F.lit(1)).alias("listings")))
+        if c in ordered:
+            dim = label_dimension(spark, ordered[c], "value")
+            counts = (counts.join(dim, "value", "full")
+                      .select("value", F.coalesce("listings", F.lit(0)).cast("long").alias("listings"),
+                              "rank"))
+        else:
+            counts = counts.withColumn("rank", F.lit(None).cast("int"))
+        top = (counts.orderBy(F.desc("listings"), F.asc_nulls_last("rank"), F.asc("value"))
+               .limit(k))
+        w = Window.orderBy(F.desc("listings"), F.asc_nulls_last("rank"), F.asc("value"))
+        parts.append(top.select(F.lit(c).alias("column"), "value", "listings",
+                                F.row_number().over(w).cast("int").alias("position")))
+    if not parts:
+        return spark.createDataFrame(
+            [], "column string, value string, listings long, pct double, position int")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return (out.crossJoin(total)  # one-row total
             .select("column", "value", "listings",
                     rnd(F.try_divide(F.col("listings") * F.lit(100.0), F.col("total")), 2).alias("pct"),
-                    F.col("pos").cast("int").alias("position")))
+                    "position"))
 
 
 def explorer_kpis(df: DataFrame) -> DataFrame:

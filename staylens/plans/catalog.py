@@ -19,6 +19,8 @@ from staylens.operators import stats as st
 from staylens.operators import summaries as sm
 from staylens.operators.summaries import rnd
 from staylens.plans.context import Context, tpch_context
+from staylens.session import scratch_path
+from staylens.sources import sinks
 from staylens.sources.listings import listings_from_tpch, parse_price
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +29,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 ADHOC_GROUPS = ["AMERICA", "EUROPE"]
 ADHOC_PATTERN = "an"
 GENERATED_AT = "2024-01-01 00:00:00"
+# Fixed parameters of the registered non-default sidebar filter.
+CUSTOM_FILTER = dict(neighbourhood_group="ASIA", room_type="1-URGENT", price_range=(50.0, 500.0),
+                     min_reviews=10, availability=(30, 300),
+                     host_categories=("Small Portfolio", "Medium Portfolio"))
 MAP_CELL_DEG = 0.01
 
 
@@ -112,6 +118,48 @@ def q_filter(c: Context) -> DataFrame:
     return c.filtered.select("id", "price", "host_category")
 
 
+def q_filter_custom(c: Context) -> DataFrame:
+    """Every sidebar control set away from its default."""
+    spec = flt.FilterSpec(**CUSTOM_FILTER)
+    return flt.apply_filters(c.baseline, spec, c.bounds).select(
+        "id", "neighbourhood_group", "room_type", "price", "number_of_reviews",
+        "availability_365", "host_category")
+
+
+def _export_cols(df: DataFrame) -> DataFrame:
+    return df.select("id", "name", "price", "room_type", "last_review", "reviews_per_month",
+                     "host_category")
+
+
+def q_export_csv(c: Context) -> DataFrame:
+    """Filtered rows written as CSV under the shared scratch folder, read back."""
+    import uuid
+    src = _export_cols(c.filtered)
+    path = sinks.export_csv(src, scratch_path(c.spark, f"export-csv-{uuid.uuid4().hex}"))
+    return c.spark.read.schema(src.schema).option("header", True).csv(path)
+
+
+def q_export_json(c: Context) -> DataFrame:
+    """Filtered rows written as JSON Lines (nulls kept), read back."""
+    import uuid
+    src = _export_cols(c.filtered)
+    path = sinks.export_json(src, scratch_path(c.spark, f"export-json-{uuid.uuid4().hex}"))
+    return c.spark.read.schema(src.schema).json(path)
+
+
+def q_export_bundle(c: Context) -> DataFrame:
+    """The two-dataset export; returns the summary dataset as read back."""
+    import uuid
+    from pyspark.sql import types as T
+    summary = sm.export_summary(c.filtered, GENERATED_AT)
+    paths = sinks.export_bundle(_export_cols(c.filtered), summary,
+                                scratch_path(c.spark, f"export-bundle-{uuid.uuid4().hex}"))
+    schema = T.StructType([T.StructField("position", T.IntegerType()),
+                           T.StructField("metric", T.StringType()),
+                           T.StructField("value", T.StringType())])
+    return c.spark.read.schema(schema).option("header", True).csv(paths["summary"])
+
+
 def q_default_band(c: Context) -> DataFrame:
     b = flt.default_price_band(c.bounds, c.spark)
     return b.select(*[rnd(x).alias(x) for x in b.columns])
@@ -211,6 +259,7 @@ QUERIES: dict[str, Query] = {
     "map_density": _q(q_map_density),
     # filters
     "filter_listings": _q(q_filter),
+    "filter_custom": _q(q_filter_custom),
     "default_price_band": _q(q_default_band),
     "iqr_clean": _q(q_iqr_clean),
     "value_domain": _q(q_value_domain),
@@ -255,6 +304,9 @@ QUERIES: dict[str, Query] = {
     "export_stats": _filtered(sm.export_stats),
     "column_profile": _filtered(sm.column_profile),
     "preview": _q(q_preview),
+    "export_csv": _q(q_export_csv),
+    "export_json": _q(q_export_json),
+    "export_bundle": _q(q_export_bundle),
     # statistics
     "price_histogram": _filtered(st.price_histogram),
     "price_kde": _filtered(st.price_kde),

@@ -496,6 +496,17 @@ def oracle_queries() -> dict[str, str]:
                     f"CASE WHEN count(*) = 0 THEN NULL ELSE round_even((count(*) - count({c})) * 100E0 / count(*), 2) END "
                     f"AS null_pct FROM filt")
     q["column_profile"] = _sql(" UNION ALL ".join(prof))
+    q["filter_custom"] = _sql(
+        "SELECT id, neighbourhood_group, room_type, price, number_of_reviews, availability_365, "
+        "host_category FROM enr WHERE neighbourhood_group = 'ASIA' AND room_type = '1-URGENT' "
+        "AND price >= 50E0 AND price <= 500E0 AND number_of_reviews >= 10 "
+        "AND availability_365 >= 30 AND availability_365 <= 300 "
+        "AND host_category IN ('Small Portfolio', 'Medium Portfolio')")
+    export_sel = ("SELECT id, name, price, room_type, last_review, reviews_per_month, "
+                  "host_category FROM filt")
+    q["export_csv"] = _sql(export_sel)
+    q["export_json"] = _sql(export_sel)
+    q["export_bundle"] = q["export_summary"]
     q["preview"] = _sql("SELECT id, name, price, room_type, neighbourhood FROM filt ORDER BY id LIMIT 10")
 
     nb = fixed.HISTOGRAM_BINS
