@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from staylens.functions.expressions import nan_to_null
+from staylens.operators.skew import attach_key_count
 
 LISTINGS_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()),
@@ -72,7 +73,7 @@ def read_tpch(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def listings_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
+def listings_from_tpch(spark: SparkSession, sf_dir: str, hot_rows: int = 2_000_000) -> DataFrame:
     """The listing star view over orders, customer, nation, region and lineitem.
 
     One listing per order.  Shape of the plan at scale:
@@ -84,8 +85,9 @@ def listings_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
     * ``nation`` and ``region`` are dimension tables - left to the planner's
       size-checked automatic broadcast;
     * the per-host listing count is a ``groupBy(host_id).count()`` joined back,
-      not a window: a hot host (a third of all rows) is split by AQE's skew join
-      instead of landing whole in one window task.
+      not a window, with hot hosts salted (:func:`attach_key_count`): a host
+      holding a third of all rows is spread over many join tasks instead of
+      landing whole in one.
     """
     orders = read_tpch(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
@@ -131,7 +133,6 @@ def listings_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("li_n") / F.lit(4.0)).alias("reviews_per_month"),
         ((k * 37) % 366).cast("int").alias("availability_365"),
     )
-    host_counts = (listings.groupBy("host_id")
-                   .agg(F.count(F.lit(1)).alias("calculated_host_listings_count")))
-    out = listings.join(host_counts, "host_id")
+    out = attach_key_count(listings, "host_id", "calculated_host_listings_count",
+                           salt_col="id", hot_rows=hot_rows)
     return out.select(*[F.col(f.name) for f in LISTINGS_SCHEMA.fields])
