@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from staylens.functions import fixed
 from staylens.functions.expressions import round2, safe_corr
-from staylens.operators.quantiles import order_statistics
+from staylens.operators.quantiles import exact_quantiles, order_statistics
 
 DIGITS = 6
 
@@ -92,15 +92,22 @@ def availability_trend(df: DataFrame, x: str = "availability_365", y: str = "pri
 
 
 def local_trend(df: DataFrame, x: str = "price", y: str = "number_of_reviews",
-                frac: float = 0.3, points: int = 50, min_rows: int = 30) -> DataFrame:
-    """Locally weighted linear regression (LOWESS without robustifying rounds),
-    evaluated on ``points`` evenly spaced x values.
-
-    For each grid point the span radius is the distance to its
-    ``int(frac * n)``-th nearest x, found with the exact order-statistics
-    operator over the (row, grid point) distances; tricube-weighted sums per grid
-    point then give the local line in closed form.  Rows fan out to a fixed grid
-    through a generator (constant factor), never to pairs of rows.
+                frac: float = 0.3, points: int = 50, min_rows: int = 30,
+                iterations: int = 3) -> DataFrame:
+    """Locally weighted linear regression (LOWESS) evaluated on ``points`` evenly
+    spaced x values, with ``iterations`` robustifying rounds.
+
+    * span radius per grid point: distance to its ``int(frac * n)``-th nearest x,
+      from the exact order-statistics operator over (row, grid point) distances;
+    * fit: tricube-weighted sums per grid point give the local line in closed form;
+    * robust rounds: residuals at every row against the current fit (linear
+      interpolation between grid points), their median absolute value from the
+      selection operator, bisquare weights ``(1 - (r / 6 mad)^2)^2`` multiplied
+      into the tricube weights, then refit.  Only the ``points`` fitted values
+      reach the driver between rounds.
+
+    Rows fan out to the fixed grid through a generator (constant factor), never
+    to pairs of rows.
     """
     spark = df.sparkSession
     empty = spark.createDataFrame([], "point int, x double, fitted double")
@@ -124,20 +131,49 @@ def local_trend(df: DataFrame, x: str = "price", y: str = "number_of_reviews",
                                       for c in (F.lit(i), F.lit(float(rad.get(i, 0.0))))]),
                         F.col("point"))
     u = F.when(rcol > 0, F.col("d") / rcol).otherwise(F.when(F.col("d") == 0, 0.0))
-    w = F.when(u < 1, F.pow(F.lit(1.0) - F.pow(u, 3), 3)).otherwise(F.lit(0.0))
-    sums = (dist.withColumn("w", w).groupBy("point", "g").agg(
-        F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("x")).alias("swx"),
-        F.sum(F.col("w") * F.col("y")).alias("swy"),
-        F.sum(F.col("w") * F.col("x") * F.col("x")).alias("swxx"),
-        F.sum(F.col("w") * F.col("x") * F.col("y")).alias("swxy")))
-    xb = F.col("swx") / F.col("sw")
-    yb = F.col("swy") / F.col("sw")
-    den = F.col("swxx") - F.col("sw") * xb * xb
-    slope = F.when(F.abs(den) > F.lit(1e-12) * F.col("swxx"),
-                   (F.col("swxy") - F.col("sw") * xb * yb) / den).otherwise(F.lit(0.0))
-    fitted = F.when(F.col("sw") > 0, yb + slope * (F.col("g") - xb))
-    return sums.select("point", round2("g", DIGITS).alias("x"),
-                       round2(fitted, DIGITS).alias("fitted")).orderBy("point")
+    tricube = F.when(u < 1, F.pow(F.lit(1.0) - F.pow(u, 3), 3)).otherwise(F.lit(0.0))
+
+    def fit(robust: Column) -> DataFrame:
+        sums = (dist.withColumn("w", tricube * robust).groupBy("point", "g").agg(
+            F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("x")).alias("swx"),
+            F.sum(F.col("w") * F.col("y")).alias("swy"),
+            F.sum(F.col("w") * F.col("x") * F.col("x")).alias("swxx"),
+            F.sum(F.col("w") * F.col("x") * F.col("y")).alias("swxy")))
+        xb = F.col("swx") / F.col("sw")
+        yb = F.col("swy") / F.col("sw")
+        den = F.col("swxx") - F.col("sw") * xb * xb
+        slope = F.when(F.abs(den) > F.lit(1e-12) * F.col("swxx"),
+                       (F.col("swxy") - F.col("sw") * xb * yb) / den).otherwise(F.lit(0.0))
+        return sums.select("point", "g", F.when(F.col("sw") > 0, yb + slope * (F.col("g") - xb))
+                           .alias("fitted"))
+
+    robust = F.lit(1.0)
+    fitted = fit(robust)
+    for _ in range(iterations):
+        vals = {r["point"]: r["fitted"] for r in fitted.collect()}   # `points` rows
+        if any(vals.get(i) is None for i in range(len(grid))) or step <= 0:
+            break
+        resid = F.col("y") - _interpolate(F.col("x"), mn, step, [vals[i] for i in range(len(grid))])
+        mad = exact_quantiles(data.select(F.abs(resid).alias("r")), "r", [0.5]).get((), [None])[0]
+        if not mad:
+            break
+        v = resid / F.lit(6.0 * mad)
+        robust = F.when(F.abs(v) < 1, F.pow(F.lit(1.0) - v * v, 2)).otherwise(F.lit(0.0))
+        fitted = fit(robust)
+    return fitted.select("point", round2("g", DIGITS).alias("x"),
+                         round2("fitted", DIGITS).alias("fitted")).orderBy("point")
+
+
+def _interpolate(xc: Column, start: float, step: float, values: list[float]) -> Column:
+    """Piecewise-linear value at ``xc`` of a curve given on an even grid."""
+    last = len(values) - 2
+    j = F.least(F.greatest(F.floor((xc - F.lit(start)) / F.lit(step)), F.lit(0)),
+                F.lit(last)).cast("int")
+    arr = F.array(*[F.lit(float(v)) for v in values])
+    f0 = F.element_at(arr, j + 1)
+    f1 = F.element_at(arr, j + 2)
+    g0 = F.lit(start) + j * F.lit(step)
+    return f0 + (f1 - f0) * (xc - g0) / F.lit(step)
 
 
 def stable_sample(df: DataFrame, n: int = fixed.SAMPLE_SIZE, seed: int = fixed.SAMPLE_SEED,

@@ -231,12 +231,16 @@ def q_stable_sample(c: Context) -> DataFrame:
     return st.stable_sample(c.iqr).select("id", "availability_365", "price", "occupancy_rate")
 
 
+def q_kmeans(c: Context) -> DataFrame:
+    return c.clusters()
+
+
 def q_cluster_summary(c: Context) -> DataFrame:
-    return ml.cluster_summary(c.filtered, ml.kmeans_clusters(c.filtered))
+    return ml.cluster_summary(c.filtered, c.clusters())
 
 
 def q_cluster_winners(c: Context) -> DataFrame:
-    return ml.cluster_winners(ml.cluster_summary(c.filtered, ml.kmeans_clusters(c.filtered)))
+    return ml.cluster_winners(ml.cluster_summary(c.filtered, c.clusters()))
 
 
 def _filtered(fn):
@@ -318,7 +322,7 @@ QUERIES: dict[str, Query] = {
     "pca_scores": _filtered(ml.pca_scores),
     "pca_loadings": _filtered(ml.pca_loadings),
     "pca_variance": _filtered(ml.pca_variance),
-    "kmeans_clusters": _filtered(ml.kmeans_clusters),
+    "kmeans_clusters": _q(q_kmeans),
     "cluster_summary": _q(q_cluster_summary),
     "cluster_winners": _q(q_cluster_winners),
     "feature_corr": _filtered(ml.feature_corr),

@@ -29,6 +29,7 @@ class Context:
     bounds: PriceBounds
     spec: FilterSpec
     _iqr: DataFrame | None = None
+    _clusters: dict | None = None
 
     @property
     def iqr(self) -> DataFrame:
@@ -41,6 +42,15 @@ class Context:
     def reviewed(self) -> DataFrame:
         return with_reviews_filter(self.iqr)
 
+    def clusters(self, k: int = 4) -> DataFrame:
+        """k-means labels of the filtered table, fitted once per ``k`` and kept."""
+        from staylens.operators.ml import kmeans_clusters
+        if self._clusters is None:
+            self._clusters = {}
+        if k not in self._clusters:
+            self._clusters[k] = kmeans_clusters(self.filtered, k).cache()
+        return self._clusters[k]
+
 
 def build_context(spark: SparkSession, raw: DataFrame, spec: FilterSpec = FilterSpec(),
                   materialize: str = "cache") -> Context:

@@ -91,3 +91,16 @@ def test_scan_prunes_columns(spark):
     df = listings_from_tpch(spark, "/root/testdata/sf0.001").select("id", "price")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "l_extendedprice" not in plan and "o_orderstatus" not in plan
+
+
+def test_materialized_table_context_matches_cache(spark):
+    from staylens.plans.context import build_context
+    from staylens.sources.listings import listings_from_tpch
+    raw = listings_from_tpch(spark, "/root/testdata/sf0.001")
+    a = build_context(spark, raw, materialize="cache")
+    b = build_context(spark, raw, materialize="table")
+    assert a.bounds == b.bounds
+    assert "InMemoryRelation" not in b.baseline._jdf.queryExecution().optimizedPlan().toString()
+    x = sm.price_by_room(a.filtered).collect()
+    y = sm.price_by_room(b.filtered).collect()
+    assert sorted(map(tuple, x)) == sorted(map(tuple, y))

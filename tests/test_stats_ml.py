@@ -53,11 +53,13 @@ def test_linear_trend(sample):
     assert r.r == pytest.approx(np.corrcoef(avail, price)[0, 1], abs=1e-6)
 
 
-def _lowess_at(x, y, g, k):
+def _lowess_at(x, y, g, k, robust=None):
     d = np.abs(x - g)
     h = np.sort(d)[k - 1]
     u = d / h if h > 0 else np.where(d == 0, 0.0, np.inf)
     w = np.where(u < 1, (1 - u ** 3) ** 3, 0.0)
+    if robust is not None:
+        w = w * robust
     sw = w.sum()
     xb, yb = (w * x).sum() / sw, (w * y).sum() / sw
     den = (w * x * x).sum() - sw * xb * xb
@@ -73,11 +75,19 @@ def test_local_trend_against_brute_force(sample, monkeypatch, direct_limit):
         orig = quantiles.order_statistics
         monkeypatch.setattr(st, "order_statistics",
                             lambda *a, **kw: orig(*a, direct_limit=direct_limit, buckets=8, **kw))
-    out = st.local_trend(df, points=20).collect()
     k = int(0.3 * len(price) + 1e-10)
     grid = np.linspace(price.min(), price.max(), 20)
-    expect = [_lowess_at(price, reviews, g, k) for g in grid]
-    assert [r.fitted for r in out] == pytest.approx(expect, rel=1e-6, abs=1e-6)
+    plain = [_lowess_at(price, reviews, g, k) for g in grid]
+    out = st.local_trend(df, points=20, iterations=0).collect()
+    assert [r.fitted for r in out] == pytest.approx(plain, rel=1e-6, abs=1e-6)
+    fit = np.array(plain)
+    for _ in range(2):   # robustifying rounds against interpolated residuals
+        resid = reviews - np.interp(price, grid, fit)
+        v = resid / (6 * np.median(np.abs(resid)))
+        fit = np.array([_lowess_at(price, reviews, g, k, np.where(np.abs(v) < 1, (1 - v * v) ** 2, 0.0))
+                        for g in grid])
+    out = st.local_trend(df, points=20, iterations=2).collect()
+    assert [r.fitted for r in out] == pytest.approx(list(fit), rel=1e-5, abs=1e-5)
 
 
 def test_stable_sample_ignores_partitioning(sample):
