@@ -41,7 +41,7 @@ def price_histogram(df: DataFrame, col: str = "price", bins: int = fixed.HISTOGR
         b = F.lit(1)
     counts = df.where(x.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("listings"))
     dim = spark.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
-    out = dim.join(counts, "bin", "left")
+    out = dim.join(F.broadcast(counts), "bin", "left")  # at most `bins` rows
     return out.select(
         "bin",
         round2(F.lit(mn) + (F.col("bin") - 1) * F.lit(width), DIGITS).alias("lo"),

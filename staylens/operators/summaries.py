@@ -47,12 +47,14 @@ def grouped_summary(df: DataFrame, key: str, aggs: Sequence[tuple[str, Column]],
     data = df.where(F.col(key).isNotNull())
     out = data.groupBy(key).agg(*[a.alias(n) for n, a in aggs])
     for name, col in medians:
+        # one row per group, at most max_groups rows (guarded): broadcast
         med = quantile_frame(data, col, [0.5], [name], by=[key])
-        out = out.join(med, key, "left")
+        out = out.join(F.broadcast(med), key, "left")
     names = [n for n, _ in aggs] + [n for n, _ in medians]
     if labels is not None:
+        # keys come from a fixed label list, so the aggregate has <= len(labels) rows
         dim = label_dimension(df.sparkSession, labels, key)
-        out = dim.join(out, key, "left")
+        out = dim.join(F.broadcast(out), key, "left")
     sel = [F.col(key)]
     for n in names:
         c = F.col(n)
@@ -412,8 +414,9 @@ def categorical_top5(df: DataFrame, cols: Sequence[str] = tuple(fixed.CATEGORICA
                   .groupBy(F.col(c).cast("string").alias("value"))
                   .agg(F.count(F.lit(1)).alias("listings")))
         if c in ordered:
+            # values of an ordered category are its labels: <= len(labels) count rows
             dim = label_dimension(spark, ordered[c], "value")
-            counts = (counts.join(dim, "value", "full")
+            counts = (dim.join(F.broadcast(counts), "value", "left")
                       .select("value", F.coalesce("listings", F.lit(0)).cast("long").alias("listings"),
                               "rank"))
         else:
@@ -453,7 +456,7 @@ def monthly_metrics(df: DataFrame) -> DataFrame:
     months = span.select(F.explode(F.sequence(F.trunc("lo", "month"), F.trunc("hi", "month"),
                                               F.expr("INTERVAL 1 MONTH"))).alias("m")) \
         .select(F.last_day("m").alias("month"))
-    out = months.join(agg, "month", "left")
+    out = months.join(F.broadcast(agg), "month", "left")  # one row per calendar month
     return out.select("month", rnd("avg_price").alias("avg_price"),
                       F.coalesce("listings", F.lit(0)).cast("long").alias("listings"),
                       rnd("avg_availability").alias("avg_availability")).orderBy("month")
