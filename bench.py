@@ -26,10 +26,13 @@ def main() -> None:
 
     from staylens.plans.catalog import QUERIES
     from staylens.plans.context import tpch_context
-    from staylens.session import checkpoint_dir, local_session
+    from staylens.session import checkpoint_dir, input_bytes, local_session, tune_for_input
 
     spark = local_session(cores=cpus, shuffle_partitions=max(8, cpus * 2), app="staylens-bench")
     checkpoint_dir(spark)
+    tables = ("orders", "customer", "nation", "region", "lineitem")
+    partitions = tune_for_input(spark, input_bytes(
+        [os.path.join(sf_dir, f"{t}.parquet") for t in tables]))
 
     times: dict[str, float] = {}
     t0 = time.perf_counter()
@@ -49,7 +52,8 @@ def main() -> None:
     total = round(sum(times.values()), 3)
     print(json.dumps({"metric": "total_query_seconds", "value": total, "unit": "sec",
                       "queries": times, "sf": float(m.group(1)) if m else sf_dir,
-                      "cpus": cpus, "n_queries": len(times) - 1}))
+                      "cpus": cpus, "shuffle_partitions": partitions,
+                      "n_queries": len(times) - 1}))
     spark.stop()
 
 

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +29,8 @@ def attach_key_count(df: DataFrame, key: str, name: str, salt_col: str, *,
                      hot_rows: int = 2_000_000, max_hot: int = 100_000) -> DataFrame:
     """``df`` with a column ``name`` = number of rows sharing its ``key``."""
     spark = df.sparkSession
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
+    # one row per key; kept so that finding the hot keys and the join share one pass
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias(name)).persist(StorageLevel.MEMORY_AND_DISK)
     hot = (counts.where(F.col(name) > F.lit(hot_rows)).limit(max_hot + 1).collect())
     if len(hot) > max_hot:
         raise ValueError(f"attach_key_count: more than {max_hot} keys above {hot_rows} rows")

@@ -50,3 +50,35 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the shared checkpoint folder for written intermediate tables."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def input_bytes(paths) -> int:
+    """Total size of the files under ``paths`` (local or mounted folders)."""
+    total = 0
+    for p in paths:
+        if os.path.isfile(p):
+            total += os.path.getsize(p)
+        for root, _dirs, files in os.walk(p):
+            total += sum(os.path.getsize(os.path.join(root, f)) for f in files)
+    return total
+
+
+def tune_for_input(spark: SparkSession, n_bytes: int, partition_bytes: int = 128 << 20,
+                   expansion: float = 4.0) -> int:
+    """Size shuffles and scans for an input of ``n_bytes`` (compressed Parquet).
+
+    Initial shuffle partitions = expanded input / ``partition_bytes`` (never fewer
+    than the cluster's cores); AQE then coalesces small ones toward the same
+    advisory size and splits skewed ones.  Scan splits use ``partition_bytes``.
+    Call it explicitly (bench, jobs); the library never changes a session by itself.
+    """
+    import math
+    n = max(spark.sparkContext.defaultParallelism,
+            int(math.ceil(n_bytes * expansion / partition_bytes)))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(partition_bytes))
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(partition_bytes))
+    return n
