@@ -226,24 +226,37 @@ def host_portfolio(df: DataFrame) -> DataFrame:
 # --- E17, E20 correlation ------------------------------------------------------------------
 
 def corr_matrix(df: DataFrame, cols: Sequence[str] = tuple(fixed.CORRELATION_FEATURES)) -> DataFrame:
-    """Pearson matrix in long form ``(feature_x, feature_y, r)``; one aggregate pass
-    for all pairs, pairwise-complete rows, null for constants."""
+    """Pearson matrix in long form ``(feature_x, feature_y, r)`` over
+    pairwise-complete rows; null for constants or fewer than two rows.
+
+    Each row fans out to one ``(pair, a, b)`` struct per column pair (a constant
+    factor), rows missing either side are dropped, and ``groupBy(pair)`` with
+    partial aggregation computes covariance and deviations.  A small aggregation
+    buffer keeps the pass inside whole-stage codegen (one wide aggregate of every
+    pair would exceed the generated-code field limit and fall back).
+    """
     cols = [c for c in cols if c in df.columns]
-    exprs, keys = [], []
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            exprs.append(safe_corr(a, b).alias(f"c{len(keys)}"))
-            keys.append((a, b))
-    row = df.agg(*exprs)
-    pairs = []
-    for idx, (a, b) in enumerate(keys):
-        pairs.append(F.struct(F.lit(a).alias("feature_x"), F.lit(b).alias("feature_y"),
-                              F.col(f"c{idx}").alias("r")))
-        if a != b:
-            pairs.append(F.struct(F.lit(b).alias("feature_x"), F.lit(a).alias("feature_y"),
-                                  F.col(f"c{idx}").alias("r")))
-    return (row.select(F.explode(F.array(*pairs)).alias("p"))
-            .select("p.feature_x", "p.feature_y", rnd("p.r").alias("r")))
+    keys = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    if not keys:
+        return df.sparkSession.createDataFrame([], "feature_x string, feature_y string, r double")
+    fan = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("a"),
+                 F.col(b).cast("double").alias("b"))
+        for i, (a, b) in enumerate(keys)])).alias("p")
+    pairs = (df.select(fan).select("p.*")
+             .where(F.col("a").isNotNull() & F.col("b").isNotNull()))
+    stats = pairs.groupBy("pair").agg(
+        F.try_divide(F.covar_samp("a", "b"), F.stddev_samp("a") * F.stddev_samp("b")).alias("r"))
+    # every pair is listed, also those without complete rows (r null)
+    all_pairs = df.sparkSession.createDataFrame(
+        [(i, a, b) for i, (a, b) in enumerate(keys)], "pair int, x string, y string")
+    j = all_pairs.join(F.broadcast(stats), "pair", "left")   # <= len(keys) rows each side
+    both = F.explode(F.array(
+        F.struct(F.col("x").alias("feature_x"), F.col("y").alias("feature_y"), F.col("r")),
+        F.when(F.col("x") != F.col("y"),   # mirrored cell, off the diagonal only
+               F.struct(F.col("y").alias("feature_x"), F.col("x").alias("feature_y"), F.col("r")))))
+    return (j.select(both.alias("m")).where(F.col("m").isNotNull())
+            .select("m.feature_x", "m.feature_y", rnd("m.r").alias("r")))
 
 
 # --- E18-E22 insights on the IQR-cleaned table ----------------------------------------------

@@ -104,3 +104,19 @@ def test_materialized_table_context_matches_cache(spark):
     x = sm.price_by_room(a.filtered).collect()
     y = sm.price_by_room(b.filtered).collect()
     assert sorted(map(tuple, x)) == sorted(map(tuple, y))
+
+
+def test_aggregations_stay_in_whole_stage_codegen(spark):
+    import re
+
+    import __spark_entry__ as E
+    sf = "/root/testdata/sf0.001"
+    for key in ("price_by_proximity", "corr_matrix", "describe_numeric", "price_kde",
+                "kpi_summary", "monthly_metrics", "map_density"):
+        df = E.queries()[key](spark, sf)
+        df.collect()   # executes this DataFrame's own (adaptive) plan
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        plan = plan.split("InMemoryRelation")[0]
+        interpreted = [ln for ln in plan.split("\n")
+                       if re.match(r"^[\s:+-]*HashAggregate\(", ln)]
+        assert not interpreted, (key, interpreted[:2])
