@@ -10,6 +10,8 @@ import __spark_entry__ as E
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer orders lineitem".split()
 SQL = E.oracle_sql()
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+         "date": "DATE"}
 
 
 @pytest.fixture(scope="module")
@@ -52,3 +54,7 @@ def test_query_matches_sql(spark, duck, key):
     d_rows = res.fetchall()
     assert sorted(df.columns) == sorted(d_cols)
     assert _norm(s_rows, df.columns) == _norm(d_rows, d_cols)
+    spark_types = {f.name: TYPES.get(f.dataType.simpleString(), f.dataType.simpleString())
+                   for f in df.schema.fields}
+    duck_types = {r[0]: r[1] for r in duck.execute(f"DESCRIBE {SQL[key]}").fetchall()}
+    assert spark_types == duck_types

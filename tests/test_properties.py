@@ -48,3 +48,22 @@ def test_topk_is_full_sort_cut(spark, names, k):
         counts[n] = counts.get(n, 0) + 1
     full = sorted(counts.items(), key=lambda kv: (-kv[1], kv[0]))
     assert top == full[:k]
+
+
+def test_results_do_not_depend_on_partitioning(spark):
+    import numpy as np
+
+    from staylens.operators import stats as st_ops
+    rng = np.random.default_rng(11)
+    rows = [dict(price=float(np.round(rng.lognormal(5, 0.7), 2)),
+                 neighbourhood=str(rng.choice(list("ABCDE"))),
+                 availability_365=int(rng.integers(0, 366)),
+                 number_of_reviews=int(rng.integers(0, 300))) for _ in range(600)]
+    df = listings(spark, rows)
+    df = enrich(df, price_bounds(df))
+    other = df.repartition(7, "price")
+    for fn in (sm.price_by_proximity, sm.review_activity, sm.competition_top10,
+               sm.describe_numeric, sm.corr_matrix, lambda d: st_ops.stable_sample(d, 40)):
+        a = sorted(map(tuple, fn(df).collect()), key=repr)
+        b = sorted(map(tuple, fn(other).collect()), key=repr)
+        assert a == b
