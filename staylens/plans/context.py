@@ -1,10 +1,10 @@
 """The analysis context: baseline (clean, enriched, unfiltered) and filtered tables.
 
 Built once per (session, input, filter spec).  The enriched baseline is the
-table every summary reads (about 40 times), so it is kept: ``cache`` by default
-(lost blocks are recomputed from lineage), or ``table`` to write it as Parquet
-under the shared ``spark.checkpoint.dir`` and read it back, which cuts the
-lineage (joins over lineitem) for long sessions on clusters that lose executors.
+table every summary reads (about 40 times), so it is kept.  On a cluster whose
+platform names a shared ``spark.checkpoint.dir`` it is written there as Parquet
+and read back (``table``): that cuts the lineage (joins over lineitem), so a lost
+executor costs a re-read, not a re-join.  Without one (local tests) it is cached.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from staylens.operators.features import PriceBounds, clean_listings, derive, finish, price_bounds
 from staylens.operators.filters import FilterSpec, apply_filters, iqr_clean, with_reviews_filter
-from staylens.session import scratch_path
+from staylens.session import has_shared_checkpoint_dir, scratch_path
 from staylens.sources.listings import listings_from_tpch
 
 
@@ -53,7 +53,12 @@ class Context:
 
 
 def build_context(spark: SparkSession, raw: DataFrame, spec: FilterSpec = FilterSpec(),
-                  materialize: str = "cache") -> Context:
+                  materialize: str = "auto") -> Context:
+    """``materialize``: ``"table"`` (Parquet under the shared checkpoint folder,
+    cuts lineage), ``"cache"``, ``"none"``, or ``"auto"`` = table when the platform
+    names ``spark.checkpoint.dir``, else cache."""
+    if materialize == "auto":
+        materialize = "table" if has_shared_checkpoint_dir(spark) else "cache"
     staged = derive(clean_listings(raw))
     if materialize == "table":
         path = scratch_path(spark, f"listings-derived-{uuid.uuid4().hex}")
@@ -71,7 +76,7 @@ _MEMO: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictiona
 
 
 def tpch_context(spark: SparkSession, sf_dir: str, spec: FilterSpec = FilterSpec(),
-                 materialize: str = "cache") -> Context:
+                 materialize: str = "auto") -> Context:
     """Context over the listing star view of ``sf_dir`` (memoised per session)."""
     memo = _MEMO.setdefault(spark, {})
     key = (sf_dir, spec, materialize)

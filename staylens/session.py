@@ -32,6 +32,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+_OWN_DIRS: set[str] = set()
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
@@ -41,12 +44,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = tempfile.mkdtemp(prefix="staylens-ckpt-")
+        _OWN_DIRS.add(current)
         spark.conf.set("spark.checkpoint.dir", current)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(current)
     return current
 
 
+def has_shared_checkpoint_dir(spark: SparkSession) -> bool:
+    """True when the platform (not this library) named a checkpoint folder."""
+    current = spark.conf.get("spark.checkpoint.dir", None)
+    return bool(current) and current not in _OWN_DIRS
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the shared checkpoint folder for written intermediate tables."""
     return os.path.join(checkpoint_dir(spark), name)
