@@ -137,13 +137,22 @@ def _select(data: DataFrame, by: Sequence[str], targets: dict[tuple, _Target], *
 
 
 def order_statistics(df: DataFrame, value: str, ranks, by: Sequence[str] = (), *,
+                     ranks_by_group: dict | None = None,
                      direct_limit: int = 2_000_000, buckets: int = 2048,
                      max_groups: int = 10_000, max_passes: int = 16) -> dict[tuple, dict]:
     """The k-th smallest values (0-based ``ranks``) per group.
 
     ``ranks`` is a function ``n -> iterable of ranks`` (called with each group's
-    size).  Returns ``{group: {rank: value}}`` plus ``{group: {"n": n}}`` entries.
+    size); alternatively ``ranks_by_group`` maps a single group key (first ``by``
+    column) to one rank.  Returns ``{group: {rank: value}}`` plus
+    ``{group: {"n": n}}`` entries.
     """
+    if ranks_by_group is not None:
+        def ranks_for(g, n):
+            return [ranks_by_group[g[0]]]
+    else:
+        def ranks_for(g, n):
+            return ranks(n)
     by = list(by)
     data = _prepare(df, value, by)
     targets: dict[tuple, _Target] = {}
@@ -152,7 +161,7 @@ def order_statistics(df: DataFrame, value: str, ranks, by: Sequence[str] = (), *
         g = tuple(row[c] for c in by)
         n = row["n"]
         sizes[g] = n
-        for r in ranks(n):
+        for r in ranks_for(g, n):
             r = max(0, min(int(r), n - 1))
             if (g, r) not in targets:
                 t = _Target(g, r, row["mn"], row["mx"], 0, n)

@@ -121,20 +121,22 @@ def local_trend(df: DataFrame, x: str = "price", y: str = "number_of_reviews",
     step = (mx - mn) / (points - 1) if points > 1 else 0.0
     grid = [mn + i * step for i in range(points - 1)] + [mx]
     k = max(1, int(frac * n + 1e-10))
-    fan = F.explode(F.array(*[F.struct(F.lit(i).alias("point"), F.lit(g).alias("g"))
-                              for i, g in enumerate(grid)])).alias("p")
-    dist = data.select("x", "y", fan).select("x", "y", "p.point", "p.g",
-                                              F.abs(F.col("x") - F.col("p.g")).alias("d"))
-    radius = order_statistics(dist, "d", lambda m: [k - 1], ["point"])
-    rad = {g[0]: v[k - 1] for g, v in radius.items()}
-    rcol = F.element_at(F.create_map(*[c for i in range(len(grid))
-                                      for c in (F.lit(i), F.lit(float(rad.get(i, 0.0))))]),
-                        F.col("point"))
+    rad = knn_radius(data, "x", grid, k)
+    # fit passes: each grid point carries its radius, and a row only reaches the
+    # grid points whose span covers it (zero tricube weight elsewhere)
+    near = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("point"), F.lit(g).alias("g"),
+                 F.lit(float(rad.get(i, 0.0))).alias("r"))
+        for i, g in enumerate(grid)])).alias("p")
+    local = (data.select("x", "y", near)
+             .select("x", "y", "p.point", "p.g", "p.r", F.abs(F.col("x") - F.col("p.g")).alias("d"))
+             .where((F.col("d") < F.col("r")) | (F.col("d") == 0)))
+    rcol = F.col("r")
     u = F.when(rcol > 0, F.col("d") / rcol).otherwise(F.when(F.col("d") == 0, 0.0))
     tricube = F.when(u < 1, F.pow(F.lit(1.0) - F.pow(u, 3), 3)).otherwise(F.lit(0.0))
 
     def fit(robust: Column) -> DataFrame:
-        sums = (dist.withColumn("w", tricube * robust).groupBy("point", "g").agg(
+        sums = (local.withColumn("w", tricube * robust).groupBy("point", "g").agg(
             F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("x")).alias("swx"),
             F.sum(F.col("w") * F.col("y")).alias("swy"),
             F.sum(F.col("w") * F.col("x") * F.col("x")).alias("swxx"),
@@ -164,6 +166,59 @@ def local_trend(df: DataFrame, x: str = "price", y: str = "number_of_reviews",
                          round2("fitted", DIGITS).alias("fitted")).orderBy("point")
 
 
+def knn_radius(data: DataFrame, x: str, grid: list[float], k: int,
+               buckets: int = 4096) -> dict[int, float]:
+    """Exact distance from each grid value to its ``k``-th nearest ``x``.
+
+    1. one histogram pass over ``x`` (``buckets`` rows of count/min/max reach
+       the driver) brackets each grid point's radius in ``[lo, hi]``: buckets
+       wholly within ``hi`` hold at least ``k`` rows, buckets that can reach
+       below ``lo`` hold fewer than ``k``;
+    2. one aggregate counts, per grid point, the rows closer than ``lo``;
+    3. the order-statistics operator ranks only the rows inside the bracket.
+    """
+    s = data.agg(F.min(x).alias("mn"), F.max(x).alias("mx")).collect()[0]
+    mn, mx = float(s["mn"]), float(s["mx"])
+    width = (mx - mn) / buckets if mx > mn else 1.0
+    b = F.least(F.floor((F.col(x) - F.lit(mn)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
+    hist = (data.groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(x).alias("lo"),
+                                           F.max(x).alias("hi")).collect())
+    brackets = {}
+    for i, g in enumerate(grid):
+        near, far = [], []
+        for r in hist:
+            lo, hi, c = float(r["lo"]), float(r["hi"]), r["c"]
+            dmin = 0.0 if lo <= g <= hi else min(abs(lo - g), abs(hi - g))
+            near.append((dmin, c))
+            far.append((max(abs(lo - g), abs(hi - g)), c))
+        acc, r_hi = 0, None
+        for dmax, c in sorted(far):
+            acc += c
+            if acc >= k:
+                r_hi = dmax
+                break
+        acc, r_lo = 0, 0.0
+        for dmin, c in sorted(near):
+            if acc + c >= k:
+                r_lo = dmin
+                break
+            acc += c
+        brackets[i] = (r_lo, r_hi)
+    fan = F.explode(F.array(*[F.struct(F.lit(i).alias("point"), F.lit(float(g)).alias("g"),
+                                       F.lit(brackets[i][0]).alias("r_lo"),
+                                       F.lit(brackets[i][1]).alias("r_hi"))
+                              for i, g in enumerate(grid)])).alias("p")
+    dist = (data.select(F.col(x), fan)
+            .select("p.point", "p.r_lo", "p.r_hi", F.abs(F.col(x) - F.col("p.g")).alias("d")))
+    below = {r["point"]: r["n"] for r in
+             dist.where(F.col("d") < F.col("r_lo")).groupBy("point")
+             .agg(F.count(F.lit(1)).alias("n")).collect()}
+    inside = dist.where((F.col("d") >= F.col("r_lo")) & (F.col("d") <= F.col("r_hi")))
+    ranks = {i: k - 1 - below.get(i, 0) for i in range(len(grid))}
+    stats = order_statistics(inside, "d", None, ["point"], ranks_by_group=ranks)
+    return {g[0]: v[ranks[g[0]]] for g, v in stats.items()}
+
+
 def _interpolate(xc: Column, start: float, step: float, values: list[float]) -> Column:
     """Piecewise-linear value at ``xc`` of a curve given on an even grid."""
     last = len(values) - 2
