@@ -159,6 +159,35 @@ def map_centre(df: DataFrame) -> DataFrame:
                   rnd(exact_avg("longitude")).alias("centre_lon"))
 
 
+MAP_COLOURS = ("price_category", "room_type", "occupancy_rate")
+MAP_SIZES = ("price", "number_of_reviews", "estimated_revenue")
+
+
+def map_points(df: DataFrame, colour: str = "price_category", size: str = "price",
+               key: str = "id") -> DataFrame:
+    """Point layer: position, name, colour and size columns, and hover columns
+    (occupancy when coloured by occupancy, else the review count)."""
+    if colour not in MAP_COLOURS or size not in MAP_SIZES:
+        raise ValueError(f"colour in {MAP_COLOURS}, size in {MAP_SIZES}")
+    hover = ["name", "price", "room_type",
+             "occupancy_rate" if colour == "occupancy_rate" else "number_of_reviews"]
+    cols = [key, "latitude", "longitude"]
+    for c in [colour, size, *hover]:
+        if c not in cols:
+            cols.append(c)
+    return df.select(*cols)
+
+
+def map_density(df: DataFrame, cell_deg: float = 0.01) -> DataFrame:
+    """Listings and mean price per grid cell of ``cell_deg`` degrees: the density
+    view of the map at any scale (one row per occupied cell)."""
+    d = df.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+    cell_lat = F.floor(F.col("latitude") / F.lit(float(cell_deg))).cast("long")
+    cell_lon = F.floor(F.col("longitude") / F.lit(float(cell_deg))).cast("long")
+    return (d.groupBy(cell_lat.alias("cell_lat"), cell_lon.alias("cell_lon"))
+            .agg(F.count(F.lit(1)).alias("listings"), rnd(exact_avg("price")).alias("avg_price")))
+
+
 def top_neighbourhoods(df: DataFrame, k: int = 10) -> DataFrame:
     return (df.where(F.col("neighbourhood").isNotNull()).groupBy("neighbourhood")
             .agg(F.count(F.lit(1)).alias("listings"))

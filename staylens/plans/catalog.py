@@ -99,17 +99,12 @@ def q_host_experience(c: Context) -> DataFrame:
 
 def q_map_points(c: Context) -> DataFrame:
     """Map layer coloured by price category, sized by price."""
-    return c.filtered.select("id", "latitude", "longitude", "name", "price", "room_type",
-                             "price_category", "number_of_reviews")
+    return sm.map_points(c.filtered, "price_category", "price")
 
 
 def q_map_density(c: Context) -> DataFrame:
     """Listings per grid cell of MAP_CELL_DEG degrees."""
-    d = c.filtered.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-    cell_lat = F.floor(F.col("latitude") / F.lit(MAP_CELL_DEG)).cast("long")
-    cell_lon = F.floor(F.col("longitude") / F.lit(MAP_CELL_DEG)).cast("long")
-    return (d.groupBy(cell_lat.alias("cell_lat"), cell_lon.alias("cell_lon"))
-            .agg(F.count(F.lit(1)).alias("listings"), rnd(exact_avg("price")).alias("avg_price")))
+    return sm.map_density(c.filtered, MAP_CELL_DEG)
 
 
 # --- filters -----------------------------------------------------------------------------

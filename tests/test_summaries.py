@@ -156,3 +156,16 @@ def test_column_profile_and_describe(spark):
     assert prof["reviews_per_month"].null_pct == 25.0 and prof["price"].type == "double"
     d = {r.column: r for r in sm.describe_numeric(df, ["price"]).collect()}
     assert (d["price"].p50, d["price"].p25, d["price"].std) == (2.5, 1.75, 1.29)
+
+
+def test_map_layer_columns_follow_colour(spark):
+    df = _enriched(spark, [dict(price=10.0), dict(price=20.0)])
+    occ = sm.map_points(df, "occupancy_rate", "estimated_revenue").columns
+    assert occ == ["id", "latitude", "longitude", "occupancy_rate", "estimated_revenue",
+                   "name", "price", "room_type"]
+    cat = sm.map_points(df, "room_type", "number_of_reviews").columns
+    assert cat == ["id", "latitude", "longitude", "room_type", "number_of_reviews", "name", "price"]
+    with pytest.raises(ValueError):
+        sm.map_points(df, "host_id", "price")
+    cells = sm.map_density(df, 0.5).collect()
+    assert sum(r.listings for r in cells) == 2
