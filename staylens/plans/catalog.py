@@ -21,7 +21,7 @@ from staylens.operators.summaries import rnd
 from staylens.plans.context import Context, tpch_context
 from staylens.session import scratch_path
 from staylens.sources import sinks
-from staylens.sources.listings import listings_from_tpch, parse_price
+from staylens.sources.listings import listings_from_tpch, parse_price, read_listings_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +55,18 @@ def listings_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings_from_tpch(spark, sf_dir)
 
 
+def scan_listings_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The star view written as a listings CSV with text prices (``$1,234.56``)
+    under the shared scratch folder, then scanned back by the CSV source."""
+    import uuid
+    raw = listings_from_tpch(spark, sf_dir)
+    cols = [(F.concat(F.lit("$"), F.format_number("price", 2)) if f == "price" else F.col(f))
+            .cast("string").alias(f) for f in raw.columns]
+    path = scratch_path(spark, f"listings-csv-{uuid.uuid4().hex}")
+    raw.select(*cols).write.option("header", True).csv(path)
+    return read_listings_csv(spark, path)
+
+
 def q_parse_price(c: Context) -> DataFrame:
     """Prices rendered as ``$1,234.56`` text and parsed back."""
     text = F.concat(F.lit("$"), F.format_number(F.col("price"), 2))
@@ -245,6 +257,7 @@ def _filtered(fn):
 QUERIES: dict[str, Query] = {
     # sources and projections
     "listings_view": listings_view,
+    "scan_listings_csv": scan_listings_csv,
     "parse_price": _q(q_parse_price),
     "clean_listings": _q(q_clean),
     "enrich_basic": _q(q_enrich_basic),

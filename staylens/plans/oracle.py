@@ -215,6 +215,9 @@ def oracle_queries() -> dict[str, str]:
     from staylens.plans.catalog import GENERATED_AT, MAP_CELL_DEG
     q: dict[str, str] = {}
     q["listings_view"] = f"WITH {_VIEW} SELECT * FROM raw"
+    q["scan_listings_csv"] = (
+        f"WITH {_VIEW} SELECT * REPLACE (CAST(replace(format('{{:,.2f}}', price), ',', '') "
+        f"AS DOUBLE) AS price) FROM raw")
     q["parse_price"] = _sql(
         "SELECT id, price_text, CAST(replace(replace(price_text, '$', ''), ',', '') AS DOUBLE) "
         "AS parsed_price FROM (SELECT id, '$' || format('{:,.2f}', price) AS price_text FROM enr)")
