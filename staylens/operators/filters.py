@@ -31,6 +31,14 @@ class FilterSpec:
     availability: tuple[int, int] = fixed.AVAILABILITY_DEFAULT
     host_categories: Sequence[str | None] | None = field(default=None)
 
+    def __post_init__(self):
+        # hashable (the spec keys the per-session context memo)
+        if self.host_categories is not None:
+            object.__setattr__(self, "host_categories", tuple(self.host_categories))
+        if self.price_range is not None:
+            object.__setattr__(self, "price_range", tuple(self.price_range))
+        object.__setattr__(self, "availability", tuple(self.availability))
+
     def resolved_price_range(self, bounds: PriceBounds) -> tuple[float, float] | None:
         if self.price_range is not None:
             return self.price_range
