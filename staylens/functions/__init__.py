@@ -1,4 +1,4 @@
 from staylens.functions.expressions import (  # noqa: F401
-    cut, cut_rank, haversine_km, min_distance_km, round2, safe_corr, season,
+    cut, exact_avg, exact_sum, haversine_km, min_distance_km, round2, safe_corr, season,
     label_dimension, nan_to_null,
 )

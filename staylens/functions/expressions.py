@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,15 +38,6 @@ def cut(c: str | Column, edges: Sequence, labels: Sequence[str],
     return expr
 
 
-def cut_rank(label_col: str | Column, labels: Sequence[str]) -> Column:
-    """1-based position of a label in its ordered category (null stays null)."""
-    expr = None
-    for i, label in enumerate(labels):
-        cond = _col(label_col) == F.lit(label)
-        expr = F.when(cond, F.lit(i + 1)) if expr is None else expr.when(cond, F.lit(i + 1))
-    return expr
-
-
 def label_dimension(spark: SparkSession, labels: Sequence[str],
                     name: str = "label") -> DataFrame:
     """A tiny (rank, label) table carrying the order and the empty categories."""
@@ -139,9 +129,3 @@ def safe_corr(a: str | Column, b: str | Column) -> Column:
     """
     x, y = pairwise(a, b)
     return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
-
-
-def double_literal(v: float) -> Column:
-    if v is None or (isinstance(v, float) and math.isnan(v)):
-        return F.lit(None).cast("double")
-    return F.lit(float(v))

@@ -236,7 +236,3 @@ def stable_sample(df: DataFrame, n: int = fixed.SAMPLE_SIZE, seed: int = fixed.S
     """``n`` rows chosen by a seeded hash of the key: the same rows however the
     table is partitioned (top-k per partition, then a final merge)."""
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
-
-
-def feature_select(df: DataFrame, cols) -> list[Column]:
-    return [F.col(c) for c in cols if c in df.columns]

@@ -12,7 +12,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staylens.functions.expressions import exact_avg, round2
 from staylens.operators import filters as flt
 from staylens.operators import ml
 from staylens.operators import stats as st
@@ -339,4 +338,4 @@ QUERIES: dict[str, Query] = {
 
 FLAGSHIP = "price_by_proximity"
 
-__all__ = ["QUERIES", "FLAGSHIP", "round2"]
+__all__ = ["QUERIES", "FLAGSHIP"]
