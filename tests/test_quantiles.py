@@ -43,3 +43,25 @@ def test_quantiles_small_and_empty(spark):
     assert exact_quantiles(empty, "x", [0.5]) == {}
     one = df.where("x = 3")
     assert exact_quantiles(one, "x", [0.25, 0.75])[()] == [3.0, 3.0]
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(values=st.lists(st.one_of(st.integers(-5, 5).map(float),
+                                 st.floats(-1e6, 1e6, allow_nan=False)), min_size=1, max_size=300),
+       groups=st.integers(1, 3), direct_limit=st.integers(1, 400), buckets=st.integers(2, 64),
+       probs=st.lists(st.floats(0, 1), min_size=1, max_size=4))
+def test_quantiles_property(spark, values, groups, direct_limit, buckets, probs):
+    rows = [(i % groups, v) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "g int, x double")
+    got = exact_quantiles(df, "x", probs, ["g"], direct_limit=direct_limit, buckets=buckets)
+    for g in range(groups):
+        vals = [v for k, v in rows if k == g]
+        if not vals:
+            assert (g,) not in got
+            continue
+        for p, q in zip(probs, got[(g,)]):
+            assert q == pytest.approx(_ref(vals, p), rel=1e-12, abs=1e-9)
