@@ -26,6 +26,12 @@ from staylens.operators.summaries import corr_matrix, rnd
 FEATURES = tuple(fixed.CLUSTER_FEATURES)
 
 
+def feature_vector(df: DataFrame, features: Sequence[str] = FEATURES, key: str = "id") -> DataFrame:
+    """The clustering features as doubles with nulls filled by 0 (the ML input)."""
+    return df.select(key, *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f)
+                            for f in features])
+
+
 @dataclass(frozen=True)
 class Scaler:
     features: tuple[str, ...]

@@ -256,7 +256,7 @@ def _filtered(fn):
 QUERIES: dict[str, Query] = {
     # sources and projections
     "listings_view": listings_view,
-    "scan_listings_csv": scan_listings_csv,
+    "scan_listings": scan_listings_csv,
     "parse_price": _q(q_parse_price),
     "clean_listings": _q(q_clean),
     "enrich_basic": _q(q_enrich_basic),
@@ -325,6 +325,7 @@ QUERIES: dict[str, Query] = {
     "local_trend": _q(lambda c: st.local_trend(c.reviewed)),
     "stable_sample": _q(q_stable_sample),
     # segmentation
+    "feature_vector": _filtered(ml.feature_vector),
     "standardised_features": _filtered(ml.standardised_features),
     "pca_scores": _filtered(ml.pca_scores),
     "pca_loadings": _filtered(ml.pca_loadings),

@@ -215,7 +215,7 @@ def oracle_queries() -> dict[str, str]:
     from staylens.plans.catalog import GENERATED_AT, MAP_CELL_DEG
     q: dict[str, str] = {}
     q["listings_view"] = f"WITH {_VIEW} SELECT * FROM raw"
-    q["scan_listings_csv"] = (
+    q["scan_listings"] = (
         f"WITH {_VIEW} SELECT * REPLACE (CAST(replace(format('{{:,.2f}}', price), ',', '') "
         f"AS DOUBLE) AS price) FROM raw")
     q["parse_price"] = _sql(
@@ -549,6 +549,8 @@ def oracle_queries() -> dict[str, str]:
     z_cols = ", ".join(
         f"round_even(({filled[f]} - m{i}) / CASE WHEN s{i} IS NULL OR s{i} = 0 THEN 1E0 ELSE s{i} END, 6) AS z_{f}"
         for i, f in enumerate(feats3))
+    q["feature_vector"] = _sql("SELECT id, " + ", ".join(f"{filled[f]} AS {f}" for f in feats3)
+                               + " FROM filt")
     q["standardised_features"] = _sql(f"SELECT id, {z_cols} FROM filt, st",
                                       ctes=f"st AS (SELECT {st_aggs} FROM filt)")
     pairs3 = [(a, b) for a in feats3 for b in feats3]
