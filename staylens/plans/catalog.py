@@ -7,6 +7,7 @@ applies the default filter set, then runs one operator over the whole table.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,7 +58,6 @@ def listings_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_listings_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The star view written as a listings CSV with text prices (``$1,234.56``)
     under the shared scratch folder, then scanned back by the CSV source."""
-    import uuid
     raw = listings_from_tpch(spark, sf_dir)
     cols = [(F.concat(F.lit("$"), F.format_number("price", 2)) if f == "price" else F.col(f))
             .cast("string").alias(f) for f in raw.columns]
@@ -139,7 +139,6 @@ def _export_cols(df: DataFrame) -> DataFrame:
 
 def q_export_csv(c: Context) -> DataFrame:
     """Filtered rows written as CSV under the shared scratch folder, read back."""
-    import uuid
     src = _export_cols(c.filtered)
     path = sinks.export_csv(src, scratch_path(c.spark, f"export-csv-{uuid.uuid4().hex}"))
     return c.spark.read.schema(src.schema).option("header", True).csv(path)
@@ -147,7 +146,6 @@ def q_export_csv(c: Context) -> DataFrame:
 
 def q_export_json(c: Context) -> DataFrame:
     """Filtered rows written as JSON Lines (nulls kept), read back."""
-    import uuid
     src = _export_cols(c.filtered)
     path = sinks.export_json(src, scratch_path(c.spark, f"export-json-{uuid.uuid4().hex}"))
     return c.spark.read.schema(src.schema).json(path)
@@ -155,7 +153,6 @@ def q_export_json(c: Context) -> DataFrame:
 
 def q_export_bundle(c: Context) -> DataFrame:
     """The two-dataset export; returns the summary dataset as read back."""
-    import uuid
     from pyspark.sql import types as T
     summary = sm.export_summary(c.filtered, GENERATED_AT)
     paths = sinks.export_bundle(_export_cols(c.filtered), summary,
