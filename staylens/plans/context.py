@@ -53,17 +53,24 @@ class Context:
 
 
 def build_context(spark: SparkSession, raw: DataFrame, spec: FilterSpec = FilterSpec(),
-                  materialize: str = "auto") -> Context:
+                  materialize: str = "auto", partition_by: tuple[str, ...] = ()) -> Context:
     """``materialize``: ``"table"`` (Parquet under the shared checkpoint folder,
     cuts lineage), ``"cache"``, ``"none"``, or ``"auto"`` = table when the platform
-    names ``spark.checkpoint.dir``, else cache."""
+    names ``spark.checkpoint.dir``, else cache.  ``partition_by`` (table only):
+    low-cardinality columns such as ``room_type`` whose filters then prune whole
+    directories."""
     if materialize == "auto":
         materialize = "table" if has_shared_checkpoint_dir(spark) else "cache"
     staged = derive(clean_listings(raw))
     if materialize == "table":
         path = scratch_path(spark, f"listings-derived-{uuid.uuid4().hex}")
-        staged.write.mode("overwrite").parquet(path)
-        staged = spark.read.parquet(path)
+        cols = staged.columns
+        writer = staged.write.mode("overwrite")
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        writer.parquet(path)
+        # partition columns come back last: keep the schema's order
+        staged = spark.read.schema(staged.schema).parquet(path).select(*cols)
     elif materialize == "cache":
         staged = staged.cache()
     bounds = price_bounds(staged)

@@ -120,3 +120,18 @@ def test_aggregations_stay_in_whole_stage_codegen(spark):
         interpreted = [ln for ln in plan.split("\n")
                        if re.match(r"^[\s:+-]*HashAggregate\(", ln)]
         assert not interpreted, (key, interpreted[:2])
+
+
+def test_partitioned_table_prunes_room_type(spark):
+    from staylens.operators.filters import FilterSpec
+    from staylens.plans.context import build_context
+    from staylens.sources.listings import listings_from_tpch
+    raw = listings_from_tpch(spark, "/root/testdata/sf0.001")
+    spec = FilterSpec(room_type="1-URGENT")
+    a = build_context(spark, raw, spec, materialize="cache")
+    b = build_context(spark, raw, spec, materialize="table", partition_by=("room_type",))
+    assert b.baseline.columns == a.baseline.columns
+    plan = b.filtered._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(room_type" in plan and "1-URGENT" in plan
+    assert sorted(map(tuple, sm.price_by_room(a.filtered).collect())) == \
+        sorted(map(tuple, sm.price_by_room(b.filtered).collect()))
