@@ -121,7 +121,7 @@ def local_trend(df: DataFrame, x: str = "price", y: str = "number_of_reviews",
     step = (mx - mn) / (points - 1) if points > 1 else 0.0
     grid = [mn + i * step for i in range(points - 1)] + [mx]
     k = max(1, int(frac * n + 1e-10))
-    rad = knn_radius(data, "x", grid, k)
+    rad = knn_radius(data, "x", grid, k, bounds=(mn, mx))
     # fit passes: each grid point carries its radius, and a row only reaches the
     # grid points whose span covers it (zero tricube weight elsewhere)
     near = F.explode(F.array(*[
@@ -167,7 +167,7 @@ def local_trend(df: DataFrame, x: str = "price", y: str = "number_of_reviews",
 
 
 def knn_radius(data: DataFrame, x: str, grid: list[float], k: int,
-               buckets: int = 4096) -> dict[int, float]:
+               buckets: int = 4096, bounds: tuple[float, float] | None = None) -> dict[int, float]:
     """Exact distance from each grid value to its ``k``-th nearest ``x``.
 
     1. one histogram pass over ``x`` (``buckets`` rows of count/min/max reach
@@ -177,8 +177,10 @@ def knn_radius(data: DataFrame, x: str, grid: list[float], k: int,
     2. one aggregate counts, per grid point, the rows closer than ``lo``;
     3. the order-statistics operator ranks only the rows inside the bracket.
     """
-    s = data.agg(F.min(x).alias("mn"), F.max(x).alias("mx")).collect()[0]
-    mn, mx = float(s["mn"]), float(s["mx"])
+    if bounds is None:
+        s = data.agg(F.min(x).alias("mn"), F.max(x).alias("mx")).collect()[0]
+        bounds = (float(s["mn"]), float(s["mx"]))
+    mn, mx = bounds
     width = (mx - mn) / buckets if mx > mn else 1.0
     b = F.least(F.floor((F.col(x) - F.lit(mn)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
     hist = (data.groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(x).alias("lo"),
