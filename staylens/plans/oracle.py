@@ -211,6 +211,64 @@ def _adhoc_where() -> str:
             f"regexp_matches(neighbourhood, '(?i){ADHOC_PATTERN}')")
 
 
+def _pca_ctes(features) -> str:
+    """CTEs for PCA of the standardised features in closed form (symmetric 3 x 3):
+    eigenvalues from the trigonometric solution of the characteristic cubic,
+    eigenvectors from the largest cross product of two rows of ``A - l I``, signed
+    so that the largest absolute component is positive."""
+    assert len(features) == 3
+    filled = [f"COALESCE(CAST({f} AS DOUBLE), 0E0)" for f in features]
+    st = ", ".join(f"avg({c}) AS m{i}, stddev_pop({c}) AS s{i}" for i, c in enumerate(filled))
+    zc = ", ".join(f"({c} - m{i}) / CASE WHEN s{i} IS NULL OR s{i} = 0 THEN 1E0 ELSE s{i} END AS z{i}"
+                   for i, c in enumerate(filled))
+    cov = ", ".join(f"covar_pop(z{i}, z{j}) AS a{i}{j}" for i in range(3) for j in range(i, 3))
+    eig = """
+      SELECT *, q + 2E0 * p * cos(phi) AS e1, q + 2E0 * p * cos(phi + 2E0 * pi() / 3E0) AS e3,
+             3E0 * q - (q + 2E0 * p * cos(phi)) - (q + 2E0 * p * cos(phi + 2E0 * pi() / 3E0)) AS e2
+      FROM (SELECT *, CASE WHEN r <= -1E0 THEN pi() / 3E0 WHEN r >= 1E0 THEN 0E0 ELSE acos(r) / 3E0 END AS phi
+            FROM (SELECT *, (b00 * (b11 * b22 - b12 * b12) - b01 * (b01 * b22 - b12 * b02)
+                             + b02 * (b01 * b12 - b11 * b02)) / 2E0 AS r
+                  FROM (SELECT *, (a00 - q) / p AS b00, (a11 - q) / p AS b11, (a22 - q) / p AS b22,
+                               a01 / p AS b01, a02 / p AS b02, a12 / p AS b12
+                        FROM (SELECT *, sqrt(((a00 - q) * (a00 - q) + (a11 - q) * (a11 - q) + (a22 - q) * (a22 - q)
+                                              + 2E0 * (a01 * a01 + a02 * a02 + a12 * a12)) / 6E0) AS p
+                              FROM (SELECT *, (a00 + a11 + a22) / 3E0 AS q FROM cov)))))"""
+
+    def vec(lam: str, name: str) -> str:
+        r1 = (f"(a00 - {lam})", "a01", "a02")
+        r2 = ("a01", f"(a11 - {lam})", "a12")
+        r3 = ("a02", "a12", f"(a22 - {lam})")
+
+        def cross(u, v):
+            return (f"({u[1]} * {v[2]} - {u[2]} * {v[1]})", f"({u[2]} * {v[0]} - {u[0]} * {v[2]})",
+                    f"({u[0]} * {v[1]} - {u[1]} * {v[0]})")
+        cands = [cross(r1, r2), cross(r1, r3), cross(r2, r3)]
+        norms = [f"({c[0]} * {c[0]} + {c[1]} * {c[1]} + {c[2]} * {c[2]})" for c in cands]
+        pick = []
+        for k in range(3):
+            pick.append(f"CASE WHEN {norms[0]} >= {norms[1]} AND {norms[0]} >= {norms[2]} THEN {cands[0][k]} "
+                        f"WHEN {norms[1]} >= {norms[2]} THEN {cands[1][k]} ELSE {cands[2][k]} END")
+        return ", ".join(f"{pick[k]} AS {name}_r{k}" for k in range(3))
+
+    unit = []
+    for v in ("v1", "v2"):
+        n = f"sqrt({v}_r0 * {v}_r0 + {v}_r1 * {v}_r1 + {v}_r2 * {v}_r2)"
+        unit.append(", ".join(f"{v}_r{k} / {n} AS {v}_u{k}" for k in range(3)))
+    signed = []
+    for v in ("v1", "v2"):
+        big = (f"CASE WHEN abs({v}_u0) >= abs({v}_u1) AND abs({v}_u0) >= abs({v}_u2) THEN {v}_u0 "
+               f"WHEN abs({v}_u1) >= abs({v}_u2) THEN {v}_u1 ELSE {v}_u2 END")
+        signed.append(", ".join(f"CASE WHEN {big} < 0 THEN -{v}_u{k} ELSE {v}_u{k} END AS {v}_{k}"
+                                for k in range(3)))
+    return (f"pst AS (SELECT {st} FROM filt),\n"
+            f"pz AS (SELECT id, {zc} FROM filt, pst),\n"
+            f"cov AS (SELECT {cov} FROM pz),\n"
+            f"eig AS ({eig}),\n"
+            f"vr AS (SELECT *, {vec('e1', 'v1')}, {vec('e2', 'v2')} FROM eig),\n"
+            f"vu AS (SELECT *, {unit[0]}, {unit[1]} FROM vr),\n"
+            f"pca AS (SELECT *, {signed[0]}, {signed[1]} FROM vu)")
+
+
 def oracle_queries() -> dict[str, str]:
     from staylens.plans.catalog import GENERATED_AT, MAP_CELL_DEG
     q: dict[str, str] = {}
@@ -553,6 +611,17 @@ def oracle_queries() -> dict[str, str]:
                                + " FROM filt")
     q["standardised_features"] = _sql(f"SELECT id, {z_cols} FROM filt, st",
                                       ctes=f"st AS (SELECT {st_aggs} FROM filt)")
+    pca = _pca_ctes(feats3)
+    q["pca_variance"] = _sql(
+        "SELECT t.component, round_even(CASE t.k WHEN 1 THEN r1 WHEN 2 THEN r2 ELSE r1 + r2 END, 6) "
+        "AS explained_ratio FROM (VALUES ('PC1', 1), ('PC2', 2), ('total', 3)) AS t(component, k), "
+        "(SELECT e1 / (e1 + e2 + e3) AS r1, e2 / (e1 + e2 + e3) AS r2 FROM pca) AS v", ctes=pca)
+    q["pca_loadings"] = _sql(" UNION ALL ".join(
+        f"SELECT '{f}' AS feature, round_even(v1_{i}, 6) AS pc1, round_even(v2_{i}, 6) AS pc2 FROM pca"
+        for i, f in enumerate(feats3)), ctes=pca)
+    q["pca_scores"] = _sql(
+        "SELECT pz.id, round_even(z0 * v1_0 + z1 * v1_1 + z2 * v1_2, 6) AS pca_1, "
+        "round_even(z0 * v2_0 + z1 * v2_1 + z2 * v2_2, 6) AS pca_2 FROM pz, pca", ctes=pca)
     pairs3 = [(a, b) for a in feats3 for b in feats3]
     q["feature_corr"] = _sql(" UNION ALL ".join(
         f"SELECT '{a}' AS feature_x, '{b}' AS feature_y, {R(_corr(a, b))} AS r FROM filt"
