@@ -90,3 +90,10 @@ def tpch_context(spark: SparkSession, sf_dir: str, spec: FilterSpec = FilterSpec
     if key not in memo:
         memo[key] = build_context(spark, listings_from_tpch(spark, sf_dir), spec, materialize)
     return memo[key]
+
+
+def register_context(spark: SparkSession, sf_dir: str, ctx: Context,
+                     materialize: str = "auto") -> None:
+    """Make ``tpch_context(spark, sf_dir, ctx.spec)`` return ``ctx`` (e.g. a context
+    built with a partitioned table by a batch job)."""
+    _MEMO.setdefault(spark, {})[(sf_dir, ctx.spec, materialize)] = ctx

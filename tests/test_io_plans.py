@@ -135,3 +135,13 @@ def test_partitioned_table_prunes_room_type(spark):
     assert "PartitionFilters: [isnotnull(room_type" in plan and "1-URGENT" in plan
     assert sorted(map(tuple, sm.price_by_room(a.filtered).collect())) == \
         sorted(map(tuple, sm.price_by_room(b.filtered).collect()))
+
+
+def test_batch_run_writes_results(spark):
+    from staylens.plans.run import run
+    out = _tmp()
+    times = run(spark, "/root/testdata/sf0.001", out, ["price_by_room", "kpi_summary"],
+                partition_by=("room_type",))
+    assert set(times) == {"build_context", "price_by_room", "kpi_summary"}
+    assert spark.read.parquet(os.path.join(out, "price_by_room")).count() == 5
+    assert spark.read.parquet(os.path.join(out, "kpi_summary")).count() == 1
