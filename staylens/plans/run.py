@@ -1,8 +1,12 @@
 """Batch job: run registered queries over one input folder and write each result.
 
-    spark-submit -m staylens.plans.run --input /data/tpch --output /data/out \
+    zip -r staylens.zip staylens
+    spark-submit --py-files staylens.zip staylens/plans/run.py \
+        --input /data/tpch --output /data/out \
         [--queries price_by_room,kpi_summary] [--partition-by room_type] [--tune]
 
+(locally: ``python -m staylens.plans.run --input ... --output ...``)
+
 The session comes from the platform (``getOrCreate``): its ``spark.checkpoint.dir``
 receives the derived listings table, so a lost executor re-reads it instead of
 re-running the joins.  Every result is written as Parquet under
