@@ -380,15 +380,15 @@ def guest_segments(df: DataFrame) -> DataFrame:
 
 
 def segment_display(segments: DataFrame) -> DataFrame:
-    """Display strings: ``$x.xx``, ``$x,xxx`` and ``x.x%``."""
+    """Display strings: ``$x.xx`` (no separator), ``$x,xxx`` and ``x.x%``."""
     return segments.select(
         "guest_type",
         F.when(F.col("avg_price").isNotNull(),
-               F.concat(F.lit("$"), F.format_number(F.col("avg_price"), 2))).alias("avg_price"),
+               F.concat(F.lit("$"), F.format_string("%.2f", F.col("avg_price")))).alias("avg_price"),
         F.when(F.col("avg_revenue").isNotNull(),
                F.concat(F.lit("$"), F.format_number(round2("avg_revenue", 0), 0))).alias("avg_revenue"),
         F.when(F.col("avg_occupancy").isNotNull(),
-               F.concat(F.format_number(round2(F.col("avg_occupancy") * 100, 1), 1),
+               F.concat(F.format_string("%.1f", round2(F.col("avg_occupancy") * 100, 1)),
                         F.lit("%"))).alias("avg_occupancy"),
         "listings")
 
@@ -570,13 +570,13 @@ def export_summary(df: DataFrame, generated_at: str) -> DataFrame:
     """Metric/value rows of the summary sheet; the time stamp is passed in."""
     a = df.agg(F.count(F.lit(1)).alias("n"), exact_avg("price").alias("p"),
                exact_sum("estimated_revenue").alias("rev"), exact_avg("occupancy_rate").alias("occ"))
-    money = F.concat(F.lit("$"), F.format_number(round2("p", 2), 2))
+    money = F.concat(F.lit("$"), F.format_string("%.2f", round2("p", 2)))
     rows = [
         _row(1, "Total Listings", F.col("n"), "metric"),
         _row(2, "Average Price", money, "metric"),
         _row(3, "Total Revenue", F.concat(F.lit("$"), F.format_number(round2("rev", 0), 0)), "metric"),
         _row(4, "Average Occupancy",
-             F.concat(F.format_number(round2(F.col("occ") * 100, 1), 1), F.lit("%")), "metric"),
+             F.concat(F.format_string("%.1f", round2(F.col("occ") * 100, 1)), F.lit("%")), "metric"),
         _row(5, "Date Generated", F.lit(generated_at), "metric"),
     ]
     return a.select(F.inline(F.array(*rows)))

@@ -441,9 +441,9 @@ def oracle_queries() -> dict[str, str]:
     q["guest_segments"] = _sql(seg)
     q["segment_display"] = _sql(
         """SELECT guest_type,
-                  CASE WHEN avg_price IS NOT NULL THEN '$' || format('{:,.2f}', avg_price) END AS avg_price,
+                  CASE WHEN avg_price IS NOT NULL THEN '$' || format('{:.2f}', avg_price) END AS avg_price,
                   CASE WHEN avg_revenue IS NOT NULL THEN '$' || format('{:,.0f}', round_even(avg_revenue, 0)) END AS avg_revenue,
-                  CASE WHEN avg_occupancy IS NOT NULL THEN format('{:,.1f}', round_even(avg_occupancy * 100, 1)) || '%' END AS avg_occupancy,
+                  CASE WHEN avg_occupancy IS NOT NULL THEN format('{:.1f}', round_even(avg_occupancy * 100, 1)) || '%' END AS avg_occupancy,
                   listings FROM seg""", ctes=f"seg AS ({seg})")
     labels = fixed.GUEST_TYPE_LABELS
     q["segment_winners"] = _sql(
@@ -532,9 +532,9 @@ def oracle_queries() -> dict[str, str]:
     q["export_summary"] = _sql(
         f"""SELECT * FROM (VALUES
              (1, 'Total Listings', (SELECT CAST(count(*) AS VARCHAR) FROM filt)),
-             (2, 'Average Price', (SELECT '$' || format('{{:,.2f}}', round_even(avg(CAST(price AS DECIMAL(28,10))), 2)) FROM filt)),
+             (2, 'Average Price', (SELECT '$' || format('{{:.2f}}', round_even(avg(CAST(price AS DECIMAL(28,10))), 2)) FROM filt)),
              (3, 'Total Revenue', (SELECT '$' || format('{{:,.0f}}', round_even(CAST(sum(CAST(estimated_revenue AS DECIMAL(28,10))) AS DOUBLE), 0)) FROM filt)),
-             (4, 'Average Occupancy', (SELECT format('{{:,.1f}}', round_even(avg(CAST(occupancy_rate AS DECIMAL(28,10))) * 100, 1)) || '%' FROM filt)),
+             (4, 'Average Occupancy', (SELECT format('{{:.1f}}', round_even(avg(CAST(occupancy_rate AS DECIMAL(28,10))) * 100, 1)) || '%' FROM filt)),
              (5, 'Date Generated', '{GENERATED_AT}')) AS t(position, metric, value)""")
     q["export_stats"] = _sql(
         "SELECT count(*) AS rows, 26 AS columns, min(last_review) AS first_review, "

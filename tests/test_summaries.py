@@ -169,3 +169,15 @@ def test_map_layer_columns_follow_colour(spark):
         sm.map_points(df, "host_id", "price")
     cells = sm.map_density(df, 0.5).collect()
     assert sum(r.listings for r in cells) == 2
+
+
+def test_display_formats_follow_dashboard(spark):
+    df = _enriched(spark, [dict(price=1234.5, minimum_nights=1, availability_365=0),
+                           dict(price=1234.5, minimum_nights=1, availability_365=0)])
+    seg = {r.guest_type: r for r in sm.segment_display(sm.guest_segments(df)).collect()}
+    tourist = seg["Tourist (1 night)"]
+    assert tourist.avg_price == "$1234.50"            # f"${x:.2f}": no separator
+    assert tourist.avg_revenue == "$450,592"           # f"${x:,.0f}"
+    assert tourist.avg_occupancy == "100.0%"
+    summ = {r.metric: r.value for r in sm.export_summary(df, "t").collect()}
+    assert summ["Average Price"] == "$1234.50" and summ["Total Revenue"] == "$901,185"
