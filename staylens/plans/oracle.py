@@ -269,6 +269,58 @@ def _pca_ctes(features) -> str:
             f"pca AS (SELECT *, {signed[0]}, {signed[1]} FROM vu)")
 
 
+def _lowess_sql(points: int = 50, frac: float = 0.3, iterations: int = 3) -> tuple[str, str]:
+    """LOWESS on an even grid in SQL: radius = k-th smallest distance per grid
+    point (``row_number``), tricube-weighted local line, then robust rounds with
+    residuals interpolated between grid points and bisquare weights from
+    ``6 * median(|residual|)``.  Returns ``(ctes, final_select)``."""
+    last = points - 1
+    ctes = [f"""lw AS (SELECT CAST(price AS DOUBLE) AS x, CAST(number_of_reviews AS DOUBLE) AS y
+                      FROM reviewed WHERE price IS NOT NULL AND number_of_reviews IS NOT NULL)""",
+            f"""lp AS (SELECT count(*) AS n, min(x) AS mn, max(x) AS mx,
+                              (max(x) - min(x)) / {last}E0 AS step,
+                              CAST(floor({frac!r}E0 * count(*) + 1E-10) AS BIGINT) AS k FROM lw)""",
+            f"""lg AS (SELECT t.i AS point, CASE WHEN t.i = {last} THEN mx ELSE mn + t.i * step END AS g
+                      FROM lp, generate_series(0, {last}) t(i) WHERE lp.n > 30)""",
+            """ld AS (SELECT lg.point, lg.g, lw.x, lw.y, abs(lw.x - lg.g) AS d FROM lg, lw)""",
+            """lr AS (SELECT point, d AS r FROM (
+                      SELECT point, d, row_number() OVER (PARTITION BY point ORDER BY d) AS rn FROM ld) s, lp
+                    WHERE rn = GREATEST(lp.k, 1))""",
+            """lt AS (SELECT ld.*, CASE WHEN lr.r > 0 THEN ld.d / lr.r WHEN ld.d = 0 THEN 0E0 END AS u
+                    FROM ld JOIN lr USING (point))"""]
+
+    def fit(name: str, robust: str) -> str:
+        w = f"(CASE WHEN u < 1 THEN pow(1E0 - pow(u, 3), 3) ELSE 0E0 END * {robust})"
+        return f"""{name} AS (
+          SELECT point, g, CASE WHEN sw > 0 THEN yb + slope * (g - xb) END AS fitted FROM (
+            SELECT *, CASE WHEN abs(swxx - sw * xb * xb) > 1E-12 * swxx
+                           THEN (swxy - sw * xb * yb) / (swxx - sw * xb * xb) ELSE 0E0 END AS slope
+            FROM (SELECT *, swx / sw AS xb, swy / sw AS yb FROM (
+              SELECT point, g, sum(w) AS sw, sum(w * x) AS swx, sum(w * y) AS swy,
+                     sum(w * x * x) AS swxx, sum(w * x * y) AS swxy
+              FROM (SELECT point, g, x, y, {w} AS w FROM lt{'' if robust == '1E0' else ' JOIN ' + robust.split('.')[0] + '_rw ' + robust.split('.')[0] + ' USING (x, y)'})
+              GROUP BY point, g))))"""
+
+    ctes.append(fit("lf0", "1E0"))
+    prev = "lf0"
+    for it in range(1, iterations + 1):
+        res = f"lres{it}"
+        ctes.append(f"""{res} AS (
+          SELECT lw.x, lw.y, lw.y - (f0.fitted + (f1.fitted - f0.fitted) * (lw.x - (lp.mn + j.j * lp.step)) / lp.step) AS res
+          FROM lw, lp,
+               LATERAL (SELECT CAST(LEAST(GREATEST(floor((lw.x - lp.mn) / lp.step), 0), {last - 1}) AS BIGINT) AS j) j
+          JOIN {prev} f0 ON f0.point = j.j JOIN {prev} f1 ON f1.point = j.j + 1)""")
+        ctes.append(f"""lm{it} AS (SELECT quantile_cont(abs(res), 0.5) AS mad FROM {res})""")
+        ctes.append(f"""lq{it}_rw AS (SELECT DISTINCT x, y, CASE WHEN abs(res / (6E0 * mad)) < 1
+                                   THEN pow(1E0 - (res / (6E0 * mad)) * (res / (6E0 * mad)), 2) ELSE 0E0 END AS rw
+                                   FROM {res}, lm{it})""")
+        ctes.append(fit(f"lf{it}", f"lq{it}.rw"))
+        prev = f"lf{it}"
+    final = (f"SELECT CAST(point AS INTEGER) AS point, round_even(g, 6) AS x, "
+             f"round_even(fitted, 6) AS fitted FROM {prev}")
+    return ",\n".join(ctes), final
+
+
 def oracle_queries() -> dict[str, str]:
     from staylens.plans.catalog import GENERATED_AT, MAP_CELL_DEG
     q: dict[str, str] = {}
@@ -611,6 +663,8 @@ def oracle_queries() -> dict[str, str]:
                                + " FROM filt")
     q["standardised_features"] = _sql(f"SELECT id, {z_cols} FROM filt, st",
                                       ctes=f"st AS (SELECT {st_aggs} FROM filt)")
+    lctes, lsel = _lowess_sql()
+    q["local_trend"] = _sql(lsel, ctes=lctes)
     pca = _pca_ctes(feats3)
     q["pca_variance"] = _sql(
         "SELECT t.component, round_even(CASE t.k WHEN 1 THEN r1 WHEN 2 THEN r2 ELSE r1 + r2 END, 6) "
