@@ -321,6 +321,51 @@ def _lowess_sql(points: int = 50, frac: float = 0.3, iterations: int = 3) -> tup
     return ",\n".join(ctes), final
 
 
+# xxHash64 (public algorithm) as Spark evaluates ``xxhash64(long_col, int_literal)``
+# with its fixed seed 42: hash the long, then the int with the first result as seed.
+_XX_PRIMES = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
+              0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+_TWO64 = "18446744073709551616::UHUGEINT"
+
+
+def _xx_mul(a: str, b) -> str:
+    return f"CAST((CAST({a} AS UHUGEINT) * CAST({b} AS UHUGEINT)) % {_TWO64} AS UBIGINT)"
+
+
+def _xx_add(a: str, b) -> str:
+    return f"CAST((CAST({a} AS UHUGEINT) + CAST({b} AS UHUGEINT)) % {_TWO64} AS UBIGINT)"
+
+
+def _xx_rotl(a: str, r: int) -> str:
+    return f"({_xx_mul(a, 1 << r)} | ({a} >> {64 - r}))"
+
+
+def _xxhash64_sql(col: str, int_seed: int, seed: int = 42) -> list[str]:
+    """Select-list items (lateral aliases) ending in ``_xx``, Spark's signed hash."""
+    p1, p2, p3, p4, p5 = _XX_PRIMES
+    m = (1 << 64) - 1
+    items = [
+        f"CAST(((CAST({col} AS HUGEINT) % {_TWO64}::HUGEINT) + {_TWO64}::HUGEINT) % {_TWO64}::HUGEINT AS UBIGINT) AS _v",
+        f"xor({(seed + p5 + 8) & m}::UBIGINT, {_xx_mul(_xx_rotl(_xx_mul('_v', p2), 31), p1)}) AS _h1",
+        f"{_xx_add(_xx_mul(_xx_rotl('_h1', 27), p1), p4)} AS _h2",
+    ]
+
+    def fmix(src: str, tag: str) -> list[str]:
+        return [f"xor({src}, {src} >> 33) AS {tag}a", f"{_xx_mul(tag + 'a', p2)} AS {tag}b",
+                f"xor({tag}b, {tag}b >> 29) AS {tag}c", f"{_xx_mul(tag + 'c', p3)} AS {tag}d",
+                f"xor({tag}d, {tag}d >> 32) AS {tag}e"]
+    items += fmix("_h2", "_f")
+    items += [
+        f"{_xx_add('_fe', p5 + 4)} AS _g0",
+        f"xor(_g0, {((int_seed & 0xFFFFFFFF) * p1) & m}::UBIGINT) AS _g1",
+        f"{_xx_add(_xx_mul(_xx_rotl('_g1', 23), p2), p3)} AS _g2",
+    ]
+    items += fmix("_g2", "_k")
+    items.append(f"CAST(CASE WHEN _ke >= 9223372036854775808::UBIGINT "
+                 f"THEN CAST(_ke AS HUGEINT) - {_TWO64}::HUGEINT ELSE CAST(_ke AS HUGEINT) END AS BIGINT) AS _xx")
+    return items
+
+
 def oracle_queries() -> dict[str, str]:
     from staylens.plans.catalog import GENERATED_AT, MAP_CELL_DEG
     q: dict[str, str] = {}
@@ -663,6 +708,10 @@ def oracle_queries() -> dict[str, str]:
                                + " FROM filt")
     q["standardised_features"] = _sql(f"SELECT id, {z_cols} FROM filt, st",
                                       ctes=f"st AS (SELECT {st_aggs} FROM filt)")
+    xx = ", ".join(_xxhash64_sql("id", fixed.SAMPLE_SEED))
+    q["stable_sample"] = _sql(
+        f"SELECT id, availability_365, price, occupancy_rate FROM (SELECT *, {xx} FROM iqr) "
+        f"ORDER BY _xx, id LIMIT {fixed.SAMPLE_SIZE}")
     lctes, lsel = _lowess_sql()
     q["local_trend"] = _sql(lsel, ctes=lctes)
     pca = _pca_ctes(feats3)
