@@ -46,6 +46,13 @@ def label_dimension(spark: SparkSession, labels: Sequence[str],
     return spark.createDataFrame([(i + 1, lab) for i, lab in enumerate(labels)], schema)
 
 
+def sorted_small(df: DataFrame, *cols) -> DataFrame:
+    """Order an output whose size has a fixed bound (category labels, histogram
+    bins, grid points, k clusters, calendar months) in one partition - no range
+    partitioning, sampling job or shuffle for a handful of rows."""
+    return df.coalesce(1).sortWithinPartitions(*cols)
+
+
 def haversine_km(lat1: str | Column, lon1: str | Column, lat2, lon2) -> Column:
     """Great-circle distance in km (atan2 form), R = 6371."""
     la1, lo1 = _col(lat1), _col(lon1)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staylens.functions import fixed
-from staylens.functions.expressions import exact_avg, round2
+from staylens.functions.expressions import exact_avg, round2, sorted_small
 from staylens.operators.summaries import corr_matrix, rnd
 
 FEATURES = tuple(fixed.CLUSTER_FEATURES)
@@ -152,12 +152,12 @@ def kmeans_clusters(df: DataFrame, k: int = fixed.KMEANS_DEFAULT_K,
 
 def cluster_summary(df: DataFrame, clusters: DataFrame, key: str = "id") -> DataFrame:
     j = df.join(clusters, key)
-    return (j.groupBy("cluster").agg(
+    return sorted_small(j.groupBy("cluster").agg(
         rnd(exact_avg("price"), 2).alias("avg_price"), F.count("price").alias("listings"),
         rnd(exact_avg("number_of_reviews"), 2).alias("avg_reviews"),
         rnd(exact_avg("availability_365"), 2).alias("avg_availability"),
         rnd(exact_avg("occupancy_rate"), 2).alias("avg_occupancy"),
-        rnd(exact_avg("estimated_revenue"), 2).alias("avg_revenue")).orderBy("cluster"))
+        rnd(exact_avg("estimated_revenue"), 2).alias("avg_revenue")), "cluster")
 
 
 def cluster_winners(summary: DataFrame) -> DataFrame:

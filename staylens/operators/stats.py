@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staylens.functions import fixed
-from staylens.functions.expressions import round2, safe_corr
+from staylens.functions.expressions import round2, safe_corr, sorted_small
 from staylens.operators.quantiles import exact_quantiles, order_statistics
 
 DIGITS = 6
@@ -42,11 +42,11 @@ def price_histogram(df: DataFrame, col: str = "price", bins: int = fixed.HISTOGR
     counts = df.where(x.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("listings"))
     dim = spark.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
     out = dim.join(F.broadcast(counts), "bin", "left")  # at most `bins` rows
-    return out.select(
+    return sorted_small(out.select(
         "bin",
         round2(F.lit(mn) + (F.col("bin") - 1) * F.lit(width), DIGITS).alias("lo"),
         round2(F.lit(mn) + F.col("bin") * F.lit(width), DIGITS).alias("hi"),
-        F.coalesce("listings", F.lit(0)).cast("long").alias("listings")).orderBy("bin")
+        F.coalesce("listings", F.lit(0)).cast("long").alias("listings")), "bin")
 
 
 def price_kde(df: DataFrame, col: str = "price", points: int = fixed.KDE_GRID_POINTS,
@@ -162,8 +162,8 @@ def local_trend(df: DataFrame, x: str = "price", y: str = "number_of_reviews",
         v = resid / F.lit(6.0 * mad)
         robust = F.when(F.abs(v) < 1, F.pow(F.lit(1.0) - v * v, 2)).otherwise(F.lit(0.0))
         fitted = fit(robust)
-    return fitted.select("point", round2("g", DIGITS).alias("x"),
-                         round2("fitted", DIGITS).alias("fitted")).orderBy("point")
+    return sorted_small(fitted.select("point", round2("g", DIGITS).alias("x"),
+                                      round2("fitted", DIGITS).alias("fitted")), "point")
 
 
 def knn_radius(data: DataFrame, x: str, grid: list[float], k: int,

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from staylens.functions import fixed
 from staylens.functions.expressions import (cut, exact_avg, exact_sum, label_dimension,
-                                            round2, safe_corr)
+                                            round2, safe_corr, sorted_small)
 from staylens.operators.filters import keep_top_k
 from staylens.operators.quantiles import quantile_frame
 
@@ -65,7 +65,7 @@ def grouped_summary(df: DataFrame, key: str, aggs: Sequence[tuple[str, Column]],
         else:
             sel.append(c.alias(n))
     if labels is not None:
-        return out.orderBy("rank").select(*sel)
+        return sorted_small(out, "rank").select(*sel)
     return out.select(*sel)
 
 
@@ -149,7 +149,7 @@ def price_by_proximity(df: DataFrame) -> DataFrame:
 def count_by_proximity(df: DataFrame) -> DataFrame:
     out = grouped_summary(df, "beach_proximity", [("listings", F.count(F.lit(1)))],
                           labels=fixed.BEACH_PROXIMITY_LABELS, counts=["listings"])
-    return out.orderBy(F.desc("listings"))
+    return sorted_small(out, F.desc("listings"))
 
 
 # --- E10-E14 geography -------------------------------------------------------------------
@@ -501,7 +501,8 @@ def monthly_metrics(df: DataFrame) -> DataFrame:
     out = months.join(F.broadcast(agg), "month", "left")  # one row per calendar month
     return out.select("month", rnd("avg_price").alias("avg_price"),
                       F.coalesce("listings", F.lit(0)).cast("long").alias("listings"),
-                      rnd("avg_availability").alias("avg_availability")).orderBy("month")
+                      rnd("avg_availability").alias("avg_availability")).transform(
+        lambda d: sorted_small(d, "month"))
 
 
 def price_ranges_by_room(df: DataFrame) -> DataFrame:
