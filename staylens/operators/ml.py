@@ -145,6 +145,7 @@ def kmeans_clusters(df: DataFrame, k: int = fixed.KMEANS_DEFAULT_K,
     # stable ids: clusters ordered by mean price (k rows on the driver)
     order = (labelled.groupBy("raw").agg(F.avg("price").alias("p"))
              .orderBy("p", "raw").collect())
+    vec.unpersist()   # labels below are recomputed from the model (one cheap pass)
     remap = F.create_map(*[c for i, r in enumerate(order) for c in (F.lit(r["raw"]), F.lit(i))])
     out = labelled.select(key, F.element_at(remap, F.col("raw")).cast("int").alias("cluster"))
     return out

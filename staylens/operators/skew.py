@@ -26,11 +26,17 @@ from pyspark.sql import types as T
 
 
 def attach_key_count(df: DataFrame, key: str, name: str, salt_col: str, *,
-                     hot_rows: int = 2_000_000, max_hot: int = 100_000) -> DataFrame:
-    """``df`` with a column ``name`` = number of rows sharing its ``key``."""
+                     hot_rows: int = 2_000_000, max_hot: int = 100_000,
+                     held: list | None = None) -> DataFrame:
+    """``df`` with a column ``name`` = number of rows sharing its ``key``.
+
+    The per-key counts are persisted; they are appended to ``held`` (when given)
+    so the caller can release them once the result is materialised."""
     spark = df.sparkSession
     # one row per key; kept so that finding the hot keys and the join share one pass
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias(name)).persist(StorageLevel.MEMORY_AND_DISK)
+    if held is not None:
+        held.append(counts)
     hot = (counts.where(F.col(name) > F.lit(hot_rows)).limit(max_hot + 1).collect())
     if len(hot) > max_hot:
         raise ValueError(f"attach_key_count: more than {max_hot} keys above {hot_rows} rows")

@@ -88,7 +88,11 @@ def tpch_context(spark: SparkSession, sf_dir: str, spec: FilterSpec = FilterSpec
     memo = _MEMO.setdefault(spark, {})
     key = (sf_dir, spec, materialize)
     if key not in memo:
-        memo[key] = build_context(spark, listings_from_tpch(spark, sf_dir), spec, materialize)
+        held: list = []
+        memo[key] = build_context(spark, listings_from_tpch(spark, sf_dir, held=held), spec,
+                                  materialize)
+        for frame in held:      # the derived table is materialised: release helpers
+            frame.unpersist()
     return memo[key]
 
 

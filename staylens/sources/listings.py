@@ -73,7 +73,8 @@ def read_tpch(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def listings_from_tpch(spark: SparkSession, sf_dir: str, hot_rows: int = 2_000_000) -> DataFrame:
+def listings_from_tpch(spark: SparkSession, sf_dir: str, hot_rows: int = 2_000_000,
+                       held: list | None = None) -> DataFrame:
     """The listing star view over orders, customer, nation, region and lineitem.
 
     One listing per order.  Shape of the plan at scale:
@@ -134,5 +135,5 @@ def listings_from_tpch(spark: SparkSession, sf_dir: str, hot_rows: int = 2_000_0
         ((k * 37) % 366).cast("int").alias("availability_365"),
     )
     out = attach_key_count(listings, "host_id", "calculated_host_listings_count",
-                           salt_col="id", hot_rows=hot_rows)
+                           salt_col="id", hot_rows=hot_rows, held=held)
     return out.select(*[F.col(f.name) for f in LISTINGS_SCHEMA.fields])
