@@ -44,15 +44,13 @@ def parse_price(c: str | Column = "price") -> Column:
     return nan_to_null(text.try_cast("double"))
 
 
-def read_listings_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Scan listing CSV files (header row, quoted multi-line fields).
+def conform(raw: DataFrame) -> DataFrame:
+    """Text columns (as read from a listings dump) to :data:`LISTINGS_SCHEMA`.
 
-    All columns are read as text and converted with ``try_cast``: an unparsable
-    value is null for that row only.  Extra columns in the file are ignored,
-    missing optional ones are null.
+    Values are converted with ``try_cast``, so an unparsable value is null for
+    that row only. Prices accept ``$`` and thousands separators. Extra columns are
+    ignored; missing ones are null.
     """
-    raw = (spark.read.option("header", True).option("multiLine", True)
-           .option("escape", '"').option("mode", "PERMISSIVE").csv(path))
     present = set(raw.columns)
     cols = []
     for f in LISTINGS_SCHEMA.fields:
@@ -61,7 +59,7 @@ def read_listings_csv(spark: SparkSession, path: str) -> DataFrame:
         elif f.name == "price":
             cols.append(parse_price("price").alias("price"))
         elif f.name == "last_review":
-            cols.append(F.expr("try_cast(last_review AS DATE)").alias(f.name))
+            cols.append(F.col(f.name).cast("string").try_cast("date").alias(f.name))
         elif isinstance(f.dataType, T.DoubleType):
             cols.append(nan_to_null(F.col(f.name).try_cast("double")).alias(f.name))
         else:
@@ -69,6 +67,17 @@ def read_listings_csv(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*cols)
 
 
+TEXT_SCHEMA = T.StructType([T.StructField(f.name, T.StringType()) for f in LISTINGS_SCHEMA.fields])
+
+
+def read_listings_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Scan listing CSV files (header row, quoted multi-line fields) and conform
+    them to the listing schema (:func:`conform`)."""
+    raw = (spark.read.option("header", True).option("multiLine", True)
+           .option("escape", '"').option("mode", "PERMISSIVE").csv(path))
+    return conform(raw)
+
+
 def read_tpch(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 

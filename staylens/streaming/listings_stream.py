@@ -17,17 +17,20 @@ from pyspark.sql import functions as F
 
 from staylens.operators.features import PriceBounds, clean_listings, enrich
 from staylens.session import scratch_path
-from staylens.sources.listings import LISTINGS_SCHEMA
+from staylens.sources.listings import LISTINGS_SCHEMA, TEXT_SCHEMA, conform
 
 
 def enriched_stream(spark: SparkSession, source_dir: str, bounds: PriceBounds,
                     fmt: str = "parquet", max_files_per_trigger: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(LISTINGS_SCHEMA).format(fmt)
-    if fmt == "csv":
-        reader = reader.option("header", True)
+    if fmt == "csv":   # listing dumps: text columns, prices like "$1,234.00"
+        reader = (spark.readStream.schema(TEXT_SCHEMA).format("csv").option("header", True)
+                  .option("multiLine", True).option("escape", '"'))
+    else:
+        reader = spark.readStream.schema(LISTINGS_SCHEMA).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return enrich(clean_listings(reader.load(source_dir)), bounds)
+    raw = reader.load(source_dir)
+    return enrich(clean_listings(conform(raw) if fmt == "csv" else raw), bounds)
 
 
 def kpi_stream(stream: DataFrame, key: str = "room_type") -> DataFrame:

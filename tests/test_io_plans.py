@@ -145,3 +145,17 @@ def test_batch_run_writes_results(spark):
     assert set(times) == {"build_context", "price_by_room", "kpi_summary"}
     assert spark.read.parquet(os.path.join(out, "price_by_room")).count() == 5
     assert spark.read.parquet(os.path.join(out, "kpi_summary")).count() == 1
+
+
+def test_csv_stream_parses_text_prices(spark):
+    from staylens.operators.features import price_bounds
+    d = _tmp()
+    src = os.path.join(d, "in")
+    os.makedirs(src)
+    with open(os.path.join(src, "part1.csv"), "w") as f:
+        f.write(CSV)
+    bounds = price_bounds(read_listings_csv(spark, os.path.join(src, "part1.csv")).where("price < 10000"))
+    out = run_to_memory(kpi_stream(enriched_stream(spark, src, bounds, fmt="csv")), "kpi_csv",
+                        os.path.join(d, "ckpt"))
+    got = {r.room_type: (r.listings, r.avg_price) for r in out.collect()}
+    assert got == {"Entire home/apt": (1, 1234.0), "Private room": (1, 80.0)}
