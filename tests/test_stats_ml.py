@@ -145,3 +145,16 @@ def test_strong_pairs(spark):
     out = ml.strong_correlations(_enriched(spark, rows)).collect()
     assert [(r.feature_x, r.feature_y, r.direction) for r in out] == [
         ("price", "number_of_reviews", "positive")]
+
+
+def test_correlation_of_exactly_half_is_not_strong(spark):
+    # x = (1, 2, 3), y = (1, 3, 2): covariance 0.5, both deviations 1 -> r = 0.5
+    rows = [dict(price=float(p), number_of_reviews=r, availability_365=a)
+            for p, r, a in ((1, 1, 10), (2, 3, 30), (3, 2, 20))]
+    df = _enriched(spark, rows)
+    m = {(r.feature_x, r.feature_y): r.r for r in ml.feature_corr(df).collect()}
+    assert m[("price", "number_of_reviews")] == 0.5
+    pairs = {(r.feature_x, r.feature_y) for r in ml.strong_correlations(df).collect()}
+    assert ("price", "number_of_reviews") not in pairs
+    # availability (10, 30, 20) has r = 0.5 with price as well, and r = 1 with reviews
+    assert pairs == {("number_of_reviews", "availability_365")}
