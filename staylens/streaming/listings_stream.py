@@ -50,3 +50,23 @@ def run_to_memory(agg: DataFrame, name: str, checkpoint: str | None = None):
     q.processAllAvailable()
     q.stop()
     return spark.table(name)
+
+
+def write_kpis(agg: DataFrame, path: str, checkpoint: str | None = None,
+               trigger_seconds: int | None = None):
+    """Keep a Parquet snapshot of a streaming aggregation at ``path``.
+
+    Each micro-batch of the complete-mode result (one row per key) replaces the
+    snapshot; the checkpoint under the shared folder lets a restarted query resume
+    where it stopped.  Returns the running query.
+    """
+    spark = agg.sparkSession
+
+    def snapshot(batch: DataFrame, _epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    w = (agg.writeStream.outputMode("complete").foreachBatch(snapshot)
+         .option("checkpointLocation", checkpoint or scratch_path(spark, "stream-kpis")))
+    if trigger_seconds:
+        w = w.trigger(processingTime=f"{trigger_seconds} seconds")
+    return w.start()

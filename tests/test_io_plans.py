@@ -159,3 +159,18 @@ def test_csv_stream_parses_text_prices(spark):
                         os.path.join(d, "ckpt"))
     got = {r.room_type: (r.listings, r.avg_price) for r in out.collect()}
     assert got == {"Entire home/apt": (1, 1234.0), "Private room": (1, 80.0)}
+
+
+def test_stream_snapshot_sink(spark):
+    from staylens.operators.features import price_bounds
+    from staylens.streaming import write_kpis
+    d = _tmp()
+    df = listings(spark, [dict(price=float(p), room_type=rt) for p in range(1, 11) for rt in ("A", "B")])
+    src = os.path.join(d, "in")
+    df.write.parquet(src)
+    q = write_kpis(kpi_stream(enriched_stream(spark, src, price_bounds(df))),
+                   os.path.join(d, "snap"), os.path.join(d, "ckpt"))
+    q.processAllAvailable()
+    q.stop()
+    got = {r.room_type: r.listings for r in spark.read.parquet(os.path.join(d, "snap")).collect()}
+    assert got == {"A": 10, "B": 10}
