@@ -35,14 +35,27 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 _OWN_DIRS: set[str] = set()
 
 
+def is_local(spark: SparkSession) -> bool:
+    """True for a local-mode session (tests, bench): one machine, one filesystem."""
+    try:
+        master = spark.sparkContext.master
+    except Exception:  # noqa: BLE001 - no SparkContext (e.g. Spark Connect)
+        master = spark.conf.get("spark.master", "")
+    return str(master).startswith("local")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must be set by the platform to shared storage.  Only when it
-    is unset (local tests, the bench) do we create one of our own.
+    On a cluster this must be set by the platform to shared storage (an error
+    otherwise).  Only a local-mode session without one (tests, the bench) gets a
+    temporary folder of its own.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors "
+                               "(a machine-local temporary folder is unusable on a cluster)")
         current = tempfile.mkdtemp(prefix="staylens-ckpt-")
         _OWN_DIRS.add(current)
         spark.conf.set("spark.checkpoint.dir", current)
