@@ -27,11 +27,15 @@ from pyspark.sql import types as T
 
 def attach_key_count(df: DataFrame, key: str, name: str, salt_col: str, *,
                      hot_rows: int = 2_000_000, max_hot: int = 100_000,
-                     held: list | None = None) -> DataFrame:
+                     held: list | None = None, max_rows: int | None = None) -> DataFrame:
     """``df`` with a column ``name`` = number of rows sharing its ``key``.
 
     The per-key counts are persisted; they are appended to ``held`` (when given)
-    so the caller can release them once the result is materialised."""
+    so the caller can release them once the result is materialised.  When the
+    caller knows ``df`` has at most ``max_rows <= hot_rows`` rows, no key can be
+    hot and the detection pass is skipped (plain join)."""
+    if max_rows is not None and max_rows <= hot_rows:
+        return df.join(df.groupBy(key).agg(F.count(F.lit(1)).alias(name)), key)
     spark = df.sparkSession
     # one row per key; kept so that finding the hot keys and the join share one pass
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias(name)).persist(StorageLevel.MEMORY_AND_DISK)
