@@ -181,3 +181,17 @@ def test_display_formats_follow_dashboard(spark):
     assert tourist.avg_occupancy == "100.0%"
     summ = {r.metric: r.value for r in sm.export_summary(df, "t").collect()}
     assert summ["Average Price"] == "$1234.50" and summ["Total Revenue"] == "$901,185"
+
+
+def test_adhoc_filter_date_range_and_pattern(spark):
+    rows = [dict(last_review=dt.date(2024, 1, 10), neighbourhood="Copa Norte"),
+            dict(last_review=dt.date(2024, 3, 1), neighbourhood="copa sul"),
+            dict(last_review=None, neighbourhood="COPA"),
+            dict(last_review=dt.date(2024, 2, 1), neighbourhood="Leme")]
+    df = _enriched(spark, rows)
+    got = flt.adhoc_filter(df, [
+        flt.ColumnFilter("last_review", between=(dt.date(2024, 1, 1), dt.date(2024, 2, 15))),
+        flt.ColumnFilter("neighbourhood", pattern="copa")]).select("id").collect()
+    assert [r.id for r in got] == [1]
+    got = flt.adhoc_filter(df, [flt.ColumnFilter("neighbourhood", pattern="^copa")]).count()
+    assert got == 3
