@@ -28,7 +28,7 @@ def _norm(rows, cols):
 
     def v(x):
         if isinstance(x, float):
-            return None if math.isnan(x) else round(x, 9)
+            return None if math.isnan(x) else x      # exact equality
         return x
     return sorted((tuple(v(r[i]) for i in order) for r in rows), key=repr)
 
