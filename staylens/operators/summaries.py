@@ -45,6 +45,10 @@ def grouped_summary(df: DataFrame, key: str, aggs: Sequence[tuple[str, Column]],
     ``counts`` names the count columns (filled with 0 for empty categories).
     """
     data = df.where(F.col(key).isNotNull())
+    if labels is not None:
+        # only label rows survive the completion join: aggregating just those
+        # bounds the aggregate (and its broadcast) by len(labels)
+        data = data.where(F.col(key).isin(*labels))
     out = data.groupBy(key).agg(*[a.alias(n) for n, a in aggs])
     for name, col in medians:
         # one row per group, at most max_groups rows (guarded): broadcast
@@ -52,7 +56,6 @@ def grouped_summary(df: DataFrame, key: str, aggs: Sequence[tuple[str, Column]],
         out = out.join(F.broadcast(med), key, "left")
     names = [n for n, _ in aggs] + [n for n, _ in medians]
     if labels is not None:
-        # keys come from a fixed label list, so the aggregate has <= len(labels) rows
         dim = label_dimension(df.sparkSession, labels, key)
         out = dim.join(F.broadcast(out), key, "left")
     sel = [F.col(key)]
@@ -452,11 +455,12 @@ def categorical_top5(df: DataFrame, cols: Sequence[str] = tuple(fixed.CATEGORICA
     total = df.agg(F.count(F.lit(1)).alias("total"))
     parts = []
     for c in [c for c in cols if c in df.columns]:
-        counts = (df.where(F.col(c).isNotNull())
-                  .groupBy(F.col(c).cast("string").alias("value"))
+        present = df.where(F.col(c).isNotNull())
+        if c in ordered:   # an ordered category holds only its labels: bounded counts
+            present = present.where(F.col(c).isin(*ordered[c]))
+        counts = (present.groupBy(F.col(c).cast("string").alias("value"))
                   .agg(F.count(F.lit(1)).alias("listings")))
         if c in ordered:
-            # values of an ordered category are its labels: <= len(labels) count rows
             dim = label_dimension(spark, ordered[c], "value")
             counts = (dim.join(F.broadcast(counts), "value", "left")
                       .select("value", F.coalesce("listings", F.lit(0)).cast("long").alias("listings"),
