@@ -502,7 +502,9 @@ def monthly_metrics(df: DataFrame) -> DataFrame:
     months = span.select(F.explode(F.sequence(F.trunc("lo", "month"), F.trunc("hi", "month"),
                                               F.expr("INTERVAL 1 MONTH"))).alias("m")) \
         .select(F.last_day("m").alias("month"))
-    out = months.join(F.broadcast(agg), "month", "left")  # one row per calendar month
+    # one row per calendar month on each side; no hint - the planner (and AQE at
+    # run time) broadcasts only after checking the measured size
+    out = months.join(agg, "month", "left")
     return out.select("month", rnd("avg_price").alias("avg_price"),
                       F.coalesce("listings", F.lit(0)).cast("long").alias("listings"),
                       rnd("avg_availability").alias("avg_availability")).transform(
