@@ -140,7 +140,10 @@ def kmeans_clusters(df: DataFrame, k: int = fixed.KMEANS_DEFAULT_K,
         return spark.createDataFrame([], f"{key} long, cluster int")
     vec = VectorAssembler(inputCols=[f"z_{f}" for f in features], outputCol="features") \
         .transform(z).select(key, "price", "features").cache()
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="raw").fit(vec)
+    # run to convergence, up to 300 iterations; on standardised features a centre
+    # shift below 0.01 matches the usual criterion (squared shifts < 1e-4 x variance)
+    model = KMeans(k=k, seed=seed, maxIter=300, tol=1e-2, featuresCol="features",
+                   predictionCol="raw").fit(vec)
     labelled = model.transform(vec).select(key, "price", "raw")
     # stable ids: clusters ordered by mean price (k rows on the driver)
     order = (labelled.groupBy("raw").agg(F.avg("price").alias("p"))
