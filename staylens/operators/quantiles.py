@@ -137,14 +137,16 @@ def _select(data: DataFrame, by: Sequence[str], targets: dict[tuple, _Target], *
 
 
 def order_statistics(df: DataFrame, value: str, ranks, by: Sequence[str] = (), *,
-                     ranks_by_group: dict | None = None,
+                     ranks_by_group: dict | None = None, stats: Sequence[dict] | None = None,
                      direct_limit: int = 2_000_000, buckets: int = 2048,
                      max_groups: int = 10_000, max_passes: int = 16) -> dict[tuple, dict]:
     """The k-th smallest values (0-based ``ranks``) per group.
 
     ``ranks`` is a function ``n -> iterable of ranks`` (called with each group's
     size); alternatively ``ranks_by_group`` maps a single group key (first ``by``
-    column) to one rank.  Returns ``{group: {rank: value}}`` plus
+    column) to one rank.  ``stats`` may carry per-group ``n`` / ``mn`` / ``mx``
+    (non-null count, min, max of ``value``) that the caller already aggregated,
+    which saves the first pass.  Returns ``{group: {rank: value}}`` plus
     ``{group: {"n": n}}`` entries.
     """
     if ranks_by_group is not None:
@@ -157,7 +159,13 @@ def order_statistics(df: DataFrame, value: str, ranks, by: Sequence[str] = (), *
     data = _prepare(df, value, by)
     targets: dict[tuple, _Target] = {}
     sizes = {}
-    for row in _group_stats(data, by, max_groups):
+    if stats is not None:
+        if len(stats) > max_groups:
+            raise ValueError(f"quantiles: more than {max_groups} groups in {list(by)}")
+        group_rows = [r for r in stats if r["n"]]
+    else:
+        group_rows = _group_stats(data, by, max_groups)
+    for row in group_rows:
         g = tuple(row[c] for c in by)
         n = row["n"]
         sizes[g] = n

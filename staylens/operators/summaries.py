@@ -22,7 +22,7 @@ from staylens.functions import fixed
 from staylens.functions.expressions import (cut, exact_avg, exact_sum, label_dimension,
                                             round2, safe_corr, sorted_small)
 from staylens.operators.filters import keep_top_k
-from staylens.operators.quantiles import quantile_frame
+from staylens.operators.quantiles import exact_quantiles, quantile_frame
 
 DIGITS = 6
 
@@ -424,18 +424,30 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """count, mean, std, min, 25/50/75% (linear), max per numeric column, long form.
 
-    One unpivoted aggregate for the moments and one quantile selection for all
-    columns at once (the column name is the group key).
+    The columns are unpivoted to ``(column, v)``.  One aggregate gives the moments,
+    and its count/min/max (one row per column) seed the quantile selection, so the
+    quantiles need no separate statistics pass.
     """
+    spark = df.sparkSession
     cols = list(cols) if cols is not None else numeric_columns(df)
     stacked = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols
-    ])).alias("s")).select("s.column", "s.v")
-    moments = stacked.groupBy("column").agg(
-        F.count("v").alias("count"), exact_avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
-        F.min("v").alias("min"), F.max("v").alias("max"))
-    q = quantile_frame(stacked, "v", [0.25, 0.5, 0.75], ["p25", "p50", "p75"], by=["column"])
-    out = moments.join(q, "column", "left")
+    ])).alias("s")).select("s.column", "s.v").where(F.col("v").isNotNull() & ~F.isnan("v"))
+    moments = (stacked.groupBy("column").agg(
+        F.count("v").alias("n"), exact_avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
+        F.min("v").alias("mn"), F.max("v").alias("mx")).collect())   # one row per column
+    q = exact_quantiles(stacked, "v", [0.25, 0.5, 0.75], ["column"],
+                        stats=[r.asDict() for r in moments])
+    found = {r["column"]: r for r in moments}
+    rows = []
+    for c in cols:
+        r = found.get(c)
+        p25, p50, p75 = q.get((c,), [None, None, None])
+        rows.append((c, r["n"] if r else 0, r["mean"] if r else None, r["std"] if r else None,
+                     r["mn"] if r else None, p25, p50, p75, r["mx"] if r else None))
+    out = spark.createDataFrame(rows, "column string, count long, mean double, std double, "
+                                      "min double, p25 double, p50 double, p75 double, "
+                                      "max double")
     return out.select("column", "count", *[rnd(c, 2).alias(c) for c in
                                            ("mean", "std", "min", "p25", "p50", "p75", "max")])
 
