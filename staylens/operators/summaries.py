@@ -50,10 +50,8 @@ def grouped_summary(df: DataFrame, key: str, aggs: Sequence[tuple[str, Column]],
         # bounds the aggregate (and its broadcast) by len(labels)
         data = data.where(F.col(key).isin(*labels))
     out = data.groupBy(key).agg(*[a.alias(n) for n, a in aggs])
-    for name, col in medians:
-        # one row per group, at most max_groups rows (guarded): broadcast
-        med = quantile_frame(data, col, [0.5], [name], by=[key])
-        out = out.join(F.broadcast(med), key, "left")
+    if medians:
+        out = _with_medians(data, key, aggs, medians)
     names = [n for n, _ in aggs] + [n for n, _ in medians]
     if labels is not None:
         dim = label_dimension(df.sparkSession, labels, key)
@@ -72,6 +70,39 @@ def grouped_summary(df: DataFrame, key: str, aggs: Sequence[tuple[str, Column]],
     return out.select(*sel)
 
 
+def _with_medians(data: DataFrame, key: str, aggs: Sequence[tuple[str, Column]],
+                  medians: Sequence[tuple[str, str]], max_groups: int = 10_000) -> DataFrame:
+    """The grouped aggregate plus exact medians.
+
+    The same aggregate also computes count/min/max of each median column; its rows
+    (one per group, guarded by ``max_groups``) seed the quantile selection, so the
+    medians need no separate statistics pass.  The result is a small frame built
+    from those rows.
+    """
+    extra = []
+    for i, (_name, col) in enumerate(medians):
+        c = F.col(col).cast("double")
+        ok = c.isNotNull() & ~F.isnan(c)
+        extra += [F.count(F.when(ok, c)).alias(f"_n{i}"), F.min(F.when(ok, c)).alias(f"_mn{i}"),
+                  F.max(F.when(ok, c)).alias(f"_mx{i}")]
+    agg_df = data.groupBy(key).agg(*[a.alias(n) for n, a in aggs], *extra)
+    rows = agg_df.limit(max_groups + 1).collect()
+    if len(rows) > max_groups:
+        raise ValueError(f"grouped_summary: more than {max_groups} groups in {key}")
+    values = []
+    for i, (_name, col) in enumerate(medians):
+        stats = [{key: r[key], "n": r[f"_n{i}"], "mn": r[f"_mn{i}"], "mx": r[f"_mx{i}"]}
+                 for r in rows]
+        values.append(exact_quantiles(data, col, [0.5], [key], stats=stats,
+                                      max_groups=max_groups))
+    fields = [f for f in agg_df.schema.fields if not f.name.startswith("_")]
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields]
+                          + [T.StructField(n, T.DoubleType(), True) for n, _ in medians])
+    out_rows = [tuple(r[f.name] for f in fields)
+                + tuple(v.get((r[key],), [None])[0] for v in values) for r in rows]
+    return data.sparkSession.createDataFrame(out_rows, schema)
+
+
 # --- E1-E4 KPIs --------------------------------------------------------------------
 
 def kpi_summary(filtered: DataFrame, baseline: DataFrame) -> DataFrame:
