@@ -49,9 +49,10 @@ def grouped_summary(df: DataFrame, key: str, aggs: Sequence[tuple[str, Column]],
         # only label rows survive the completion join: aggregating just those
         # bounds the aggregate (and its broadcast) by len(labels)
         data = data.where(F.col(key).isin(*labels))
-    out = data.groupBy(key).agg(*[a.alias(n) for n, a in aggs])
     if medians:
         out = _with_medians(data, key, aggs, medians)
+    else:
+        out = data.groupBy(key).agg(*[a.alias(n) for n, a in aggs])
     names = [n for n, _ in aggs] + [n for n, _ in medians]
     if labels is not None:
         dim = label_dimension(df.sparkSession, labels, key)
