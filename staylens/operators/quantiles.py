@@ -224,3 +224,17 @@ def quantile_frame(df: DataFrame, value: str, probs: Sequence[float],
     schema = T.StructType(by_fields + [T.StructField(n, T.DoubleType(), True) for n in names])
     rows = [(*g, *[None if v is None else float(v) for v in vals]) for g, vals in res.items()]
     return spark.createDataFrame(rows, schema)
+
+
+def approx_quantiles(df: DataFrame, value: str, probs: Sequence[float],
+                     by: Sequence[str] = (), accuracy: int = 10_000) -> dict[tuple, list]:
+    """Opt-in approximate quantiles (``percentile_approx``, one aggregate pass).
+
+    Rank error is about ``n / accuracy``.  Not used by any registered query: the
+    exact selection above is the default; this is for users who accept the error.
+    """
+    by = list(by)
+    data = _prepare(df, value, by)
+    rows = (data.groupBy(*by)
+            .agg(F.percentile_approx("_x", list(probs), accuracy).alias("_q")).collect())
+    return {tuple(r[c] for c in by): list(r["_q"]) for r in rows}

@@ -65,3 +65,11 @@ def test_quantiles_property(spark, values, groups, direct_limit, buckets, probs)
             continue
         for p, q in zip(probs, got[(g,)]):
             assert q == pytest.approx(_ref(vals, p), rel=1e-12, abs=1e-9)
+
+
+def test_approx_quantiles_are_opt_in_and_close(spark):
+    from staylens.operators.quantiles import approx_quantiles
+    df = spark.createDataFrame([(float(i),) for i in range(1, 1001)], "x double")
+    exact = exact_quantiles(df, "x", [0.1, 0.5, 0.9])[()]
+    approx = approx_quantiles(df, "x", [0.1, 0.5, 0.9], accuracy=1000)[()]
+    assert all(abs(a - e) <= 2.0 for a, e in zip(approx, exact))

@@ -195,3 +195,10 @@ def test_adhoc_filter_date_range_and_pattern(spark):
     assert [r.id for r in got] == [1]
     got = flt.adhoc_filter(df, [flt.ColumnFilter("neighbourhood", pattern="^copa")]).count()
     assert got == 3
+
+
+def test_kpi_approx_hosts_opt_in(spark):
+    df = _enriched(spark, [dict(host_id=h) for h in range(50)] + [dict(host_id=1)])
+    exact = sm.kpi_summary(df, df).collect()[0]
+    approx = sm.kpi_summary(df, df, approx_hosts=True).collect()[0]
+    assert exact.active_hosts == 50 and abs(approx.active_hosts - 50) <= 2
