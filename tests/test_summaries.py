@@ -202,3 +202,16 @@ def test_kpi_approx_hosts_opt_in(spark):
     exact = sm.kpi_summary(df, df).collect()[0]
     approx = sm.kpi_summary(df, df, approx_hosts=True).collect()[0]
     assert exact.active_hosts == 50 and abs(approx.active_hosts - 50) <= 2
+
+
+def test_empty_input_keeps_schemas(spark):
+    from staylens.operators import ml
+    from staylens.operators import stats as st_ops
+    rows = [dict(price=float(p), number_of_reviews=p, minimum_nights=p % 7 + 1,
+                 neighbourhood="N" + str(p % 3), availability_365=p * 7 % 366) for p in range(1, 60)]
+    full = _enriched(spark, rows)
+    empty = full.where("price < 0")
+    for fn in (st_ops.price_kde, st_ops.price_histogram, lambda d: st_ops.local_trend(d, points=10),
+               ml.kmeans_clusters, sm.room_mix, sm.categorical_top5, sm.describe_numeric,
+               sm.price_by_room, sm.monthly_metrics, sm.corr_matrix):
+        assert fn(full).schema.simpleString() == fn(empty).schema.simpleString()
