@@ -1,9 +1,13 @@
-"""Independent SQL (DuckDB dialect) for each registered query.
+"""Independent SQL (DuckDB dialect) for the registered queries.
 
 Written as plain SQL over the pre-registered TPC-H views: the listing star view,
 cleaning, price bounds (``quantile_cont``), enrichment and the default filter are
 a shared CTE prefix; each key adds its own tail.  Double constants are written
-as ``1E3``-style literals so both engines use DOUBLE arithmetic.
+as ``1E3``-style literals so both engines use DOUBLE arithmetic.  The SQL takes
+its own routes where the library uses custom operators: ``quantile_cont`` for
+the selection-based quantiles, a closed-form 3 x 3 eigen-solution for PCA, a
+``row_number`` radius and unrolled robust rounds for LOWESS, and xxHash64 in
+128-bit integer arithmetic for the seeded sample.
 """
 
 from __future__ import annotations
