@@ -212,12 +212,20 @@ def knn_radius(data: DataFrame, x: str, grid: list[float], k: int,
                               for i, g in enumerate(grid)])).alias("p")
     dist = (data.select(F.col(x), fan)
             .select("p.point", "p.r_lo", "p.r_hi", F.abs(F.col(x) - F.col("p.g")).alias("d")))
-    below = {r["point"]: r["n"] for r in
-             dist.where(F.col("d") < F.col("r_lo")).groupBy("point")
-             .agg(F.count(F.lit(1)).alias("n")).collect()}
-    inside = dist.where((F.col("d") >= F.col("r_lo")) & (F.col("d") <= F.col("r_hi")))
+    # one aggregate: rows closer than the bracket, and count/min/max inside it
+    # (which seed the selection, so it needs no statistics pass of its own)
+    in_bracket = (F.col("d") >= F.col("r_lo")) & (F.col("d") <= F.col("r_hi"))
+    agg = (dist.where(F.col("d") <= F.col("r_hi")).groupBy("point").agg(
+        F.count(F.when(F.col("d") < F.col("r_lo"), 1)).alias("below"),
+        F.count(F.when(in_bracket, 1)).alias("n"),
+        F.min(F.when(in_bracket, F.col("d"))).alias("mn"),
+        F.max(F.when(in_bracket, F.col("d"))).alias("mx")).collect())   # one row per point
+    below = {r["point"]: r["below"] for r in agg}
+    inside = dist.where(in_bracket)
     ranks = {i: k - 1 - below.get(i, 0) for i in range(len(grid))}
-    stats = order_statistics(inside, "d", None, ["point"], ranks_by_group=ranks)
+    stats = order_statistics(inside, "d", None, ["point"], ranks_by_group=ranks,
+                             stats=[{"point": r["point"], "n": r["n"], "mn": r["mn"], "mx": r["mx"]}
+                                    for r in agg])
     return {g[0]: v[ranks[g[0]]] for g, v in stats.items()}
 
 
