@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from staylens.llm import exact_dedup, shards, token_files
+from staylens.llm import decontaminate, exact_dedup, language, shards, token_files
 from staylens.llm.common import table
 from staylens.session import scratch_path
 
@@ -25,16 +25,28 @@ def op2_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"),
+                                       table(spark, sf_dir, "benchmark"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict_languages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_rendezvous_shards": op2_rendezvous_shards,
+    "op6_decontaminate": op6_decontaminate,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_decontaminate": decontaminate.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
 }
