@@ -8,7 +8,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from staylens.llm import decontaminate, exact_dedup, language, shards, token_files
+from staylens.llm import (bpe_tables, decontaminate, exact_dedup, html_text, language, shards,
+                          token_files, toxicity)
 from staylens.llm.common import table
 from staylens.session import scratch_path
 
@@ -25,6 +26,15 @@ def op2_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_bpe_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_tables.round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"),
+                                   table(spark, sf_dir, "labels"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"),
                                        table(spark, sf_dir, "benchmark"))
@@ -38,12 +48,19 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_languages(table(spark, sf_dir, "documents"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_rendezvous_shards": op2_rendezvous_shards,
+    "op3_bpe_tables": op3_bpe_tables,
+    "op4_toxicity": op4_toxicity,
     "op6_decontaminate": op6_decontaminate,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_language_id": op9_language_id,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLE_SQL: dict[str, str] = {
