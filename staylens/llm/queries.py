@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from staylens.llm import (bpe_tables, decontaminate, exact_dedup, html_text, language,
+from staylens.llm import (bpe_tables, decontaminate, exact_dedup, html_text, katz, language,
                           near_dedup, shards, token_files, toxicity)
 from staylens.llm.common import table
 from staylens.session import scratch_path
@@ -35,6 +35,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    table(spark, sf_dir, "labels"))
 
 
+def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"),
                                        table(spark, sf_dir, "benchmark"))
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_rendezvous_shards": op2_rendezvous_shards,
     "op3_bpe_tables": op3_bpe_tables,
     "op4_toxicity": op4_toxicity,
+    "op5_katz": op5_katz,
     "op6_decontaminate": op6_decontaminate,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_near_dedup": op8_near_dedup,
