@@ -8,7 +8,8 @@ by bucket of their hash, a grouped task per bucket answers all blocks, and the
 answers come back to the block by a join on its number and are placed by code.
 
 Blocks are written to the shared folder before use: their numbers and codes depend on
-how rows were dealt to tasks.  A block ends at ``MAX_TOKENS`` tokens or ``MAX_WORDS``
+how rows were dealt to tasks.  They are bucketed by number, so joins with answers
+shuffle the answers only.  A block ends at ``MAX_TOKENS`` tokens or ``MAX_WORDS``
 distinct words (a longer document has a block of its own), which bounds memory.
 """
 
@@ -25,11 +26,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staylens.llm.common import map_arrow, rows_of, ship_code, slices, store
+from staylens.llm.common import map_arrow, rows_of, ship_code, slices, store_bucketed
 
-MAX_TOKENS = 4_000_000
-MAX_WORDS = 400_000
-BUCKET_WORDS = 400_000
+MAX_TOKENS = 1_200_000
+MAX_WORDS = 200_000
+BUCKET_WORDS = 150_000
 
 _BLOCK = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
                     ("flags", pa.list_(pa.bool_())), ("lens", pa.list_(pa.int32())),
@@ -37,8 +38,9 @@ _BLOCK = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
                     ("n_tokens", pa.int64())])
 _BLOCK_DDL = ("block long, doc_ids array<long>, flags array<boolean>, lens array<int>, "
               "codes binary, words binary, n_words long, n_tokens long")
-_ASK = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("ask", pa.binary())])
-_ASK_DDL = "bucket long, block long, ask binary"
+_ASK = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("at", pa.binary()),
+                  ("ask", pa.binary())])
+_ASK_DDL = "bucket long, block long, at binary, ask binary"
 
 
 def pack_ints(values: np.ndarray) -> bytes:
@@ -78,6 +80,23 @@ def buckets_of(words: list[bytes], n_buckets: int) -> np.ndarray:
     return (hashes % np.uint64(n_buckets)).astype(np.int64)
 
 
+def pack_rising(values: np.ndarray) -> bytes:
+    """Non-decreasing integers, as differences."""
+    return pack_ints(np.diff(values, prepend=0))
+
+
+def unpack_rising(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack_ints(data))
+
+
+def by_bucket(at: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, positions in rising order) of each bucket in ``at``."""
+    order = np.argsort(at, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
+        if len(part):
+            yield int(at[part[0]]), part
+
+
 def word_blocks(docs: DataFrame, splitter: Callable[[], Callable[[str], list]],
                 name: str) -> DataFrame:
     """Stored blocks of ``docs`` (doc_id, text, and flag where there is one);
@@ -127,7 +146,7 @@ def word_blocks(docs: DataFrame, splitter: Callable[[], Callable[[str], list]],
         yield from slices(rows(), _BLOCK, size=1)
 
     columns = ["doc_id", "text", *["flag"] * flagged]
-    return store(map_arrow(docs.select(*columns), build, _BLOCK_DDL), name)
+    return store_bucketed(map_arrow(docs.select(*columns), build, _BLOCK_DDL), name, "block")
 
 
 def n_buckets(blocks: DataFrame, per_bucket: int = BUCKET_WORDS) -> int:
@@ -137,19 +156,15 @@ def n_buckets(blocks: DataFrame, per_bucket: int = BUCKET_WORDS) -> int:
 
 
 def ask_words(blocks: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, block, ask): the block's words of the bucket, in the order of their codes."""
+    """(bucket, block, at, ask): codes and words of the block's words of the bucket."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for block, packed in rows_of(batches, "block", "words"):
                 words = unpack_words(packed)
-                at = buckets_of(words, buckets)
-                order = np.argsort(at, kind="stable")
-                cuts = np.flatnonzero(np.diff(at[order])) + 1
-                for part in np.split(order, cuts):
-                    if len(part):
-                        yield (int(at[part[0]]), block,
-                               pack_words([words[i] for i in part.tolist()]))
+                for bucket, part in by_bucket(buckets_of(words, buckets)):
+                    yield (bucket, block, pack_rising(part),
+                           pack_words([words[i] for i in part.tolist()]))
 
         yield from slices(rows(), _ASK, size=64)
 
@@ -160,20 +175,3 @@ def answer(asked: DataFrame, fn: Callable, ddl: str) -> DataFrame:
     """One grouped task per bucket: ``fn`` takes the bucket's requests as an Arrow table."""
     ship_code(asked.sparkSession)
     return asked.groupBy("bucket").applyInArrow(fn, ddl)
-
-
-def with_answers(blocks: DataFrame, answers: DataFrame, name: str) -> DataFrame:
-    """Blocks with ``name``: their (bucket, answer) pairs."""
-    gathered = answers.groupBy("block").agg(
-        F.collect_list(F.struct("bucket", "answer")).alias(name))
-    return blocks.join(gathered, "block", "left")
-
-
-def place_by_word(words: list[bytes], buckets: int, answers: list[dict]) -> Iterator[tuple]:
-    """(codes, answer) of each bucket that the block has asked."""
-    at = buckets_of(words, buckets)
-    order = np.argsort(at, kind="stable")
-    starts = np.searchsorted(at[order], [a["bucket"] for a in answers], side="left")
-    ends = np.searchsorted(at[order], [a["bucket"] for a in answers], side="right")
-    for a, i, j in zip(answers, starts, ends):
-        yield order[i:j], a["answer"]

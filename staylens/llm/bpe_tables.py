@@ -20,13 +20,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from staylens.llm import blocks as bl
 from staylens.llm.bpe import word_bpe
 from staylens.llm.common import map_arrow, rows_of, slices, whole_text
 
-_ANSWER = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("answer", pa.binary())])
-_ANSWER_DDL = "block long, bucket long, answer binary"
+_ANSWER = pa.schema([("block", pa.int64()), ("at", pa.binary()), ("answer", pa.binary())])
+_ANSWER_DDL = "block long, at binary, answer binary"
 
 
 def _pack_ids(ids: list[tuple[int, ...]]) -> bytes:
@@ -47,12 +48,12 @@ def word_ids(asked: DataFrame, tokenizer: str) -> DataFrame:
         bpe = word_bpe(tokenizer)
         known: dict[bytes, tuple[int, ...]] = {}
         out = []
-        for block, bucket, packed in rows_of([table], "block", "bucket", "ask"):
+        for block, at, packed in rows_of([table], "block", "at", "ask"):
             words = bl.unpack_words(packed)
             for w in words:
                 if w not in known:
                     known[w] = bpe.word(w.decode())
-            out.append((block, bucket, _pack_ids([known[w] for w in words])))
+            out.append((block, at, _pack_ids([known[w] for w in words])))
         return pa.Table.from_batches(slices(out, _ANSWER, size=1 << 30, weight=1 << 40), _ANSWER)
 
     return bl.answer(asked, encode, _ANSWER_DDL)
@@ -68,19 +69,21 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     blocks = bl.word_blocks(texts, splitter, "bpe-blocks")
     buckets = bl.n_buckets(blocks)
     answers = word_ids(bl.ask_words(blocks, buckets), tokenizer)
-    full = bl.with_answers(blocks.select("block", "doc_ids", "lens", "codes", "words"),
-                           answers, "answers")
+    gathered = answers.groupBy("block").agg(
+        F.collect_list(F.struct("at", "answer")).alias("answers"))
+    full = blocks.select("block", "doc_ids", "lens", "codes", "n_words").join(
+        gathered, "block", "left")
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_ids, lens, packed, words, got in rows_of(
-                batches, "doc_ids", "lens", "codes", "words", "answers"):
-            words = bl.unpack_words(words)
-            sizes = np.zeros(len(words), dtype=np.int64)
-            starts = np.zeros(len(words), dtype=np.int64)
+        for doc_ids, lens, packed, n_words, got in rows_of(
+                batches, "doc_ids", "lens", "codes", "n_words", "answers"):
+            sizes = np.zeros(n_words, dtype=np.int64)
+            starts = np.zeros(n_words, dtype=np.int64)
             parts, used = [np.zeros(0, np.int64)], 0
-            for at, data in bl.place_by_word(words, buckets, got or []):
-                n, flat = _unpack_ids(data)
+            for a in got or []:
+                at = bl.unpack_rising(a["at"])
+                n, flat = _unpack_ids(a["answer"])
                 sizes[at] = n
                 starts[at] = used + np.cumsum(n) - n
                 parts.append(flat)
@@ -102,7 +105,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
                      pa.ListArray.from_arrays(pa.array(bounds, pa.int32()),
                                               pa.array(flat, pa.int32()))], schema=schema)
 
-    return map_arrow(full.select("doc_ids", "lens", "codes", "words", "answers"), assemble,
+    return map_arrow(full.select("doc_ids", "lens", "codes", "n_words", "answers"), assemble,
                      "doc_id long, ids array<int>")
 
 
@@ -114,11 +117,8 @@ def decoded(encoded: DataFrame, tokenizer: str) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces.value
-        for batch in batches:
-            texts = [_text(ids, table) for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("ids").cast(schema.field("ids").type),
-                 pa.array(texts, pa.string())], schema=schema)
+        yield from slices(((doc_id, ids, _text(ids, table))
+                           for doc_id, ids in rows_of(batches, "doc_id", "ids")), schema, 500)
 
     return map_arrow(encoded.select("doc_id", "ids"), decode,
                      "doc_id long, ids array<int>, text string")

@@ -57,6 +57,18 @@ def store(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataF
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+def store_bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+    """Like :func:`store`, bucketed by ``column``: joins on it shuffle only the other
+    side.  The table is external; its files lie below the shared checkpoint folder."""
+    spark = df.sparkSession
+    key = uuid.uuid4().hex
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    title = f"llm_{name.replace('-', '_')}_{key}"
+    (df.write.bucketBy(n, column).sortBy(column).format("parquet")
+     .option("path", scratch_path(spark, f"llm-{name}-{key}")).saveAsTable(title))
+    return spark.table(title)
+
+
 def id_remainder(doc_id: str, modulus: int) -> Column:
     """crc32(id as text) mod ``modulus``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus
@@ -68,9 +80,12 @@ def whole_text(col: str = "text") -> Column:
 
 
 def rows_of(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[tuple]:
-    """The named columns of Arrow batches, row by row."""
+    """The named columns of Arrow batches (or tables), row by row; few rows at a time
+    become Python values."""
     for batch in batches:
-        yield from zip(*(batch.column(n).to_pylist() for n in names))
+        for first in range(0, batch.num_rows, 256):
+            part = batch.slice(first, 256)
+            yield from zip(*(part.column(n).to_pylist() for n in names))
 
 
 def slices(rows: Iterable[tuple], schema: pa.Schema, size: int = 2000,

@@ -49,13 +49,13 @@ HOT_LEAST = 100_000
 BUCKET_TOKENS = 1_000_000
 
 _TABLE = pa.schema([("kind", pa.string()), ("bucket", pa.int64()), ("block", pa.int64()),
-                    ("answer", pa.binary()), ("more", pa.binary()), ("n", pa.int64()),
+                    ("at", pa.binary()), ("answer", pa.binary()), ("more", pa.binary()), ("n", pa.int64()),
                     ("hist", pa.list_(pa.int64()))])
-_TABLE_DDL = ("kind string, bucket long, block long, answer binary, more binary, n long, "
+_TABLE_DDL = ("kind string, bucket long, block long, at binary, answer binary, more binary, n long, "
               "hist array<long>")
-_ASK = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("ask", pa.binary()),
-                  ("counts", pa.binary())])
-_ASK_DDL = "bucket long, block long, ask binary, counts binary"
+_ASK = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("at", pa.binary()),
+                  ("ask", pa.binary()), ("counts", pa.binary())])
+_ASK_DDL = "bucket long, block long, at binary, ask binary, counts binary"
 
 
 def join_parts(*parts: bytes) -> bytes:
@@ -156,13 +156,10 @@ def _ask_words(blocks: DataFrame, buckets: int) -> DataFrame:
                 words = bl.unpack_words(words)
                 learn = np.repeat(np.array(flags, dtype=bool), lens)
                 counts = np.bincount(bl.unpack_ints(codes)[learn], minlength=len(words))
-                at = bl.buckets_of(words, buckets)
-                order = np.argsort(at, kind="stable")
-                for part in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
-                    if len(part):
-                        yield (int(at[part[0]]), block,
-                               bl.pack_words([words[i] for i in part.tolist()]),
-                               bl.pack_ints(counts[part]))
+                for bucket, part in bl.by_bucket(bl.buckets_of(words, buckets)):
+                    yield (bucket, block, bl.pack_rising(part),
+                           bl.pack_words([words[i] for i in part.tolist()]),
+                           bl.pack_ints(counts[part]))
 
         yield from slices(rows(), _ASK, size=64)
 
@@ -171,9 +168,9 @@ def _ask_words(blocks: DataFrame, buckets: int) -> DataFrame:
 
 def _count_words(table: pa.Table) -> pa.Table:
     """A bucket's words: numbered by falling count, then by the word."""
-    asked = [(block, bucket, bl.unpack_words(words), bl.unpack_ints(counts))
-             for block, bucket, words, counts in
-             rows_of([table], "block", "bucket", "ask", "counts")]
+    asked = [(block, at, bl.unpack_words(words), bl.unpack_ints(counts))
+             for block, at, words, counts in rows_of([table], "block", "at", "ask", "counts")]
+    bucket = table.column("bucket")[0].as_py()
     total: dict[bytes, int] = {}
     for _, _, words, counts in asked:
         for w, n in zip(words, counts.tolist()):
@@ -181,11 +178,12 @@ def _count_words(table: pa.Table) -> pa.Table:
     listed = sorted(total, key=lambda w: (-total[w], w))
     number = {w: i for i, w in enumerate(listed)}
     sums = np.array([total[w] for w in listed])
-    out = [("gram", asked[0][1], None, bl.pack_words(listed), bl.pack_ints(sums), len(listed),
+    out = [("gram", bucket, None, None, bl.pack_words(listed), bl.pack_ints(sums), len(listed),
             [*histogram(sums), int((sums > 0).sum()), int(sums.sum())])]
-    for block, bucket, words, _ in asked:
-        at = np.array([number[w] for w in words])
-        out.append(("answer", bucket, block, bl.pack_ints(at), bl.pack_ints(sums[at]), None, None))
+    for block, at, words, _ in asked:
+        mine = np.array([number[w] for w in words])
+        out.append(("answer", bucket, block, at, bl.pack_ints(mine), bl.pack_ints(sums[mine]),
+                    None, None))
     return _arrow(out)
 
 
@@ -211,15 +209,13 @@ def _unigrams(grams: DataFrame, n_buckets: int, docs: int, hot_least: int) -> Un
 class BlockGrams:
     """A block's tokens as word numbers, and its distinct bigrams in order."""
 
-    def __init__(self, lens, codes, words, answers, uni: Unigrams, n_words_buckets: int):
-        words = bl.unpack_words(words)
-        number = np.zeros(len(words), dtype=np.int64)
-        count = np.zeros(len(words), dtype=np.int64)
-        listed = [{"bucket": a["bucket"], "answer": (a["answer"], a["more"], a["bucket"])}
-                  for a in answers]
-        for at, (numbers, counts, bucket) in bl.place_by_word(words, n_words_buckets, listed):
-            number[at] = bl.unpack_ints(numbers) + uni.offsets[bucket]
-            count[at] = bl.unpack_ints(counts)
+    def __init__(self, lens, codes, n_words, answers, uni: Unigrams):
+        number = np.zeros(n_words, dtype=np.int64)
+        count = np.zeros(n_words, dtype=np.int64)
+        for a in answers:
+            at = bl.unpack_rising(a["at"])
+            number[at] = bl.unpack_ints(a["answer"]) + uni.offsets[a["bucket"]]
+            count[at] = bl.unpack_ints(a["more"])
         codes = bl.unpack_ints(codes)
         lens = np.array(lens, dtype=np.int64)
         self.owner = np.repeat(np.arange(len(lens)), lens)
@@ -274,28 +270,25 @@ def unpack_pairs(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return h, run - np.repeat(before, np.diff(np.append(first, len(dw))))
 
 
-_GRAM_FIELDS = ("block", "flags", "lens", "codes", "words", "words_at")
+_GRAM_FIELDS = ("block", "flags", "lens", "codes", "n_words", "words_at")
 
 
-def _ask_bigrams(full: DataFrame, uni, n_words_buckets: int, buckets: int) -> DataFrame:
+def _ask_bigrams(full: DataFrame, uni: Unigrams, buckets: int) -> DataFrame:
     sent = full.sparkSession.sparkContext.broadcast(uni)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            for block, flags, lens, codes, words, got in rows_of(batches, *_GRAM_FIELDS):
+            for block, flags, lens, codes, n_words, got in rows_of(batches, *_GRAM_FIELDS):
                 uni = sent.value
-                grams = BlockGrams(lens, codes, words, got or [], uni, n_words_buckets)
+                grams = BlockGrams(lens, codes, n_words, got or [], uni)
                 learn = np.repeat(np.array(flags, dtype=bool), lens)
                 counts = np.bincount(grams.gram[learn], minlength=len(grams.h))
                 hot = grams.h_count > uni.hot
-                at = grams.buckets(buckets, uni.hot)
-                order = np.argsort(at, kind="stable")
-                for part in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
-                    if len(part):
-                        yield (int(at[part[0]]), block, pack_pairs(grams.h[part], grams.w[part]),
-                               join_parts(bl.pack_ints(counts[part]),
-                                          bl.pack_ints(grams.w_count[part]),
-                                          bl.pack_ints(hot[part])))
+                for bucket, part in bl.by_bucket(grams.buckets(buckets, uni.hot)):
+                    yield (bucket, block, None, pack_pairs(grams.h[part], grams.w[part]),
+                           join_parts(bl.pack_ints(counts[part]),
+                                      bl.pack_ints(grams.w_count[part]),
+                                      bl.pack_ints(hot[part])))
 
         yield from slices(rows(), _ASK, size=64)
 
@@ -333,10 +326,10 @@ def _bigram_counter(sent):
         hot_h = hot1[fresh]
         bucket = asked[0][1]
         seen = c > 0
-        out = [("gram", bucket, None, pack_pairs(h1[seen], w1[seen]), bl.pack_ints(c[seen]),
+        out = [("gram", bucket, None, None, pack_pairs(h1[seen], w1[seen]), bl.pack_ints(c[seen]),
                 int(seen.sum()), histogram(c))]
         for i in np.flatnonzero(hot_h).tolist():
-            out.append(("hot", bucket, int(h1[fresh][i]), None, np.float64(mass[i]).tobytes(),
+            out.append(("hot", bucket, int(h1[fresh][i]), None, None, np.float64(mass[i]).tobytes(),
                         int(types[i]), small[i].tolist()))
         at = 0
         for block, bucket, own_h, *_ in asked:
@@ -350,7 +343,7 @@ def _bigram_counter(sent):
                                  minlength=len(listed)) > 0
             plain = (small[listed].sum(axis=1) == 0) & ~hot_h[listed]
             wanted = listed[unseen & ~hot_h[listed]]
-            out.append(("answer", bucket, block, bl.pack_ints(counts), join_parts(
+            out.append(("answer", bucket, block, None, bl.pack_ints(counts), join_parts(
                 bl.pack_ints(np.where(plain, types[listed], 0)), bl.pack_ints(types[wanted]),
                 *(bl.pack_ints(small[wanted, r]) for r in range(K)), mass[wanted].tobytes()),
                 None, None))
@@ -365,12 +358,9 @@ def _log_probabilities(grams: BlockGrams, at: np.ndarray, answers, uni: Unigrams
                        hot: dict) -> np.ndarray:
     """log10 p(w | h) of the block's bigrams."""
     p = np.zeros(len(grams.h))
-    order = np.argsort(at, kind="stable")
-    buckets = [a["bucket"] for a in answers]
-    starts = np.searchsorted(at[order], buckets, side="left")
-    ends = np.searchsorted(at[order], buckets, side="right")
-    for a, i, j in zip(answers, starts, ends):
-        mine = order[i:j]
+    mine_of = dict(bl.by_bucket(at))
+    for a in answers:
+        mine = mine_of[a["bucket"]]
         c = bl.unpack_ints(a["answer"])
         plain, types, *rest = split_parts(a["more"])
         plain, types = bl.unpack_ints(plain), bl.unpack_ints(types)
@@ -418,19 +408,19 @@ def score_documents(docs: DataFrame, hot_least: int = HOT_LEAST,
     full = _joined(blocks, words, "words_at")
     buckets = max(1, -(-n_tokens // bucket_tokens))
     sent = docs.sparkSession.sparkContext.broadcast(uni)
-    pairs = store(bl.answer(_ask_bigrams(full, uni, word_buckets, buckets),
+    pairs = store(bl.answer(_ask_bigrams(full, uni, buckets),
                             _bigram_counter(sent), _TABLE_DDL), "katz-bigrams", ("kind",))
     hist = np.zeros(K + 1, dtype=np.int64)
     for r in pairs.filter("kind = 'gram'").select("hist").collect():
         hist += np.array(r["hist"])
     level = Level(good_turing(hist))
     hot = _hot_histories(pairs)
-    return _score_blocks(_joined(full, pairs, "pairs_at"), uni, level, hot, word_buckets, buckets)
+    return _score_blocks(_joined(full, pairs, "pairs_at"), uni, level, hot, buckets)
 
 
 def _joined(blocks: DataFrame, table: DataFrame, name: str) -> DataFrame:
     gathered = (table.filter("kind = 'answer'").groupBy("block")
-                .agg(F.collect_list(F.struct("bucket", "answer", "more")).alias(name)))
+                .agg(F.collect_list(F.struct("bucket", "at", "answer", "more")).alias(name)))
     return blocks.join(gathered, "block", "left")
 
 
@@ -445,10 +435,10 @@ def _hot_histories(pairs: DataFrame) -> dict:
     return out
 
 
-def _score_blocks(full: DataFrame, uni: Unigrams, level: Level, hot: dict, word_buckets: int,
+def _score_blocks(full: DataFrame, uni: Unigrams, level: Level, hot: dict,
                   buckets: int) -> DataFrame:
     sent = full.sparkSession.sparkContext.broadcast((uni, level, hot))
-    fields = ("doc_ids", "flags", "lens", "codes", "words", "words_at", "pairs_at")
+    fields = ("doc_ids", "flags", "lens", "codes", "n_words", "words_at", "pairs_at")
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()),
                         ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                         ("train_tokens", pa.int64()), ("base_score", pa.float64()),
@@ -456,8 +446,8 @@ def _score_blocks(full: DataFrame, uni: Unigrams, level: Level, hot: dict, word_
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uni, level, hot = sent.value
-        for doc_ids, flags, lens, codes, words, words_at, pairs_at in rows_of(batches, *fields):
-            grams = BlockGrams(lens, codes, words, words_at or [], uni, word_buckets)
+        for doc_ids, flags, lens, codes, n_words, words_at, pairs_at in rows_of(batches, *fields):
+            grams = BlockGrams(lens, codes, n_words, words_at or [], uni)
             logs = _log_probabilities(grams, grams.buckets(buckets, uni.hot), pairs_at or [],
                                       uni, level, hot)
             c = grams.token_count
