@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from staylens.llm.common import store
 
 
-def _state(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    return r["n"], r["x"]
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every edge leads from a leaf (u, of one edge) to a centre."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")) \
+        .unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("leaf"),
+                                  F.lit(1).alias("centre")))
+    return (ends.groupBy("x").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre"))
+            .filter(F.col("leaf") + F.col("centre") > 1).isEmpty())
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -37,15 +41,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, class) of the nodes of ``links`` (u, v); a class is named by its smallest
     node.  Self-links are ignored; no links give no rows."""
-    edges = store(links.select("u", "v").filter(F.col("u") != F.col("v")).distinct(), "links")
-    before = _state(edges)
-    while before[0]:
+    edges = store(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+                  .filter(F.col("u") != F.col("v")).distinct(), "links")
+    while not _are_stars(edges):
         edges = store(_star(_star(edges, True), False), "links")
-        after = _state(edges)
-        if after == before:
-            break
-        before = after
-    named = edges.groupBy("u").agg(F.min("v").alias("class"))
-    roots = edges.select(F.col("v").alias("u")).distinct().join(named, "u", "left_anti")
-    return named.unionByName(roots.select("u", F.col("u").alias("class"))) \
-        .withColumnRenamed("u", "node")
+    centres = edges.select(F.col("v").alias("node"), F.col("v").alias("class")).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("class")).unionByName(centres)

@@ -10,11 +10,15 @@ connected components of the links.
 
 A sketch takes the three smallest shingles under one hash function and keeps them in
 the order of the text; equal sketches put documents into one bucket.  At similarity
-0.8, 16 sketches miss a pair with probability below 2e-5.  In each bucket, one
-member stands for all in a round, and the others are verified against it: as many
-pairs as members, with different members standing in different buckets.  Documents
-already in one class are not compared again, and rounds with other members standing
-go on until one finds no new link.
+0.8, 16 sketches miss a pair with probability below 2e-5.  In each round one member
+of each bucket, the first in an order of all documents, stands for it, and the others
+are verified against it: no more pairs than members, and few different ones, since
+the same document stands in all buckets of a group.  Members of the standing
+document's class are not compared, and buckets of one class are closed.  In later
+rounds ``STANDING`` members that have not stood yet stand for each open bucket, the
+first in as many other orders, until a round adds less than ``TOLERANCE`` of the links
+found so far: links between members that have never stood can remain unseen where most
+pairs of a large bucket lie just below 0.8.
 
 A pair is verified by aligning its shingle sequences within the band that similarity
 0.8 allows: the longest increasing run of matched positions.
@@ -46,6 +50,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 16
 SAMPLED = 3
+STANDING = 4
+TOLERANCE = 0.01
 CACHE_WORDS = 300_000
 
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -149,12 +155,13 @@ def _node(text: str, seq: list[bytes]) -> bytes:
 
 
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("text_md5", pa.string()), ("node", pa.binary()),
-                     ("sketch", pa.list_(pa.int64()))])
-_SKETCH_DDL = "doc_id long, text_md5 string, node binary, sketch array<long>"
+                     ("size", pa.int64()), ("sketch", pa.list_(pa.int64()))])
+_SKETCH_DDL = "doc_id long, text_md5 string, node binary, size long, sketch array<long>"
 
 
 def sketch_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_md5, node, sketch) of every document, stored."""
+    """(doc_id, text_md5, node, size, sketch) of every document, stored; ``size`` is the
+    number of shingles."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler()
@@ -162,8 +169,9 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
         def rows():
             for doc_id, text in rows_of(batches, "doc_id", "text"):
                 seq = words(text)
+                found = shingles(seq)
                 yield (doc_id, hashlib.md5(text.encode()).hexdigest(), _node(text, seq),
-                       order_sketches(shingles(seq)))
+                       len(found), order_sketches(found))
 
         yield from slices(rows(), _SKETCH, 4000)
 
@@ -207,12 +215,9 @@ def verified(pairs: DataFrame, bodies: DataFrame, least: float = SIMILARITY) ->
 
         yield from slices(rows(), schema, 10_000)
 
-    sized = bodies.withColumn("n", F.octet_length("body"))
-    left = sized.select(F.col("node").alias("u"), F.col("body").alias("a"), F.col("n").alias("na"))
-    right = sized.select(F.col("node").alias("v"), F.col("body").alias("b"), F.col("n").alias("nb"))
-    lengths = pairs.join(left.select("u", "na"), "u").join(right.select("v", "nb"), "v").filter(
-        F.least("na", "nb") >= least * F.greatest("na", "nb")).select("u", "v")
-    both = lengths.join(left.drop("na"), "u").join(right.drop("nb"), "v")
+    left = bodies.select(F.col("node").alias("u"), F.col("body").alias("a"))
+    right = bodies.select(F.col("node").alias("v"), F.col("body").alias("b"))
+    both = pairs.join(left, "u").join(right, "v")
     return store(map_arrow(both.select("u", "v", "a", "b"), align, "u binary, v binary"),
                  "near-links")
 
@@ -220,43 +225,53 @@ def verified(pairs: DataFrame, bodies: DataFrame, least: float = SIMILARITY) ->
 def near_classes(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(sketch rows, (node, class) of the nodes with a link)."""
     sketched = sketch_documents(docs)
-    listed = (sketched.select("node", F.explode("sketch").alias("bucket")).distinct())
+    listed = sketched.select("node", "size", F.explode("sketch").alias("bucket")).distinct()
     shared = (listed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
               .select("bucket"))
-    members = store(listed.join(shared, "bucket"), "near-members")
+    members = store(listed.join(shared, "bucket").withColumn("stood", F.lit(False)),
+                    "near-members")
     bodies = shingle_bodies(docs, members.select("node").distinct())
     classes = None
-    tried = None
-    turn = 0
+    turn = found = 0
     while True:
-        pairs = _round_pairs(members, classes, turn)
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = store(pairs, "near-pairs")
+        met = _meet(members, classes, turn)
+        pairs = (met.filter((F.col("class") != F.col("rep.class"))
+                            & (F.least("size", "rep.size")
+                               >= least * F.greatest("size", "rep.size")))
+                 .select(F.least("node", "rep.node").alias("u"),
+                         F.greatest("node", "rep.node").alias("v")).distinct())
         links = verified(pairs, bodies, least)
-        if links.isEmpty():
+        new = links.count()
+        if not new:
             break
-        tried = pairs if tried is None else tried.unionByName(pairs)
         classes = _merge(classes, links)
+        found += new
+        if turn and new < TOLERANCE * found:
+            break
+        members = met.groupBy("bucket", "node", "size").agg(
+            F.max(F.col("stood") | (F.col("node") == F.col("rep.node"))).alias("stood"))
         turn += 1
     if classes is None:
         classes = members.select("node", F.col("node").alias("class")).limit(0)
     return sketched, classes
 
 
-def _round_pairs(members: DataFrame, classes: DataFrame | None, turn: int) -> DataFrame:
-    """Each bucket's standing member with its members of other classes: (u, v), u < v."""
+def _meet(members: DataFrame, classes: DataFrame | None, turn: int) -> DataFrame:
+    """The members of buckets of several classes, with their class and the bucket's
+    standing member ``rep`` (node, size, class), stored."""
     known = members.withColumn("class", F.col("node")) if classes is None else (
         members.join(classes, "node", "left")
         .withColumn("class", F.coalesce("class", "node")))
+    orders = [F.col("node")] if turn == 0 else [
+        F.md5(F.concat("node", F.lit(f"{turn}-{i}"))) for i in range(STANDING)]
+    firsts = [F.min(F.when(~F.col("stood"), F.struct(o.alias("place"), F.struct(
+        "node", "size", "class").alias("who"))))["who"] for o in orders]
     standing = (known.groupBy("bucket")
-                .agg(F.min(F.struct(F.xxhash64("node", "bucket", F.lit(turn)).alias("h"),
-                                    "node", "class")).alias("rep"),
+                .agg(F.array_compact(F.array_distinct(F.array(*firsts))).alias("reps"),
                      F.min("class").alias("low"), F.max("class").alias("high"))
-                .filter(F.col("low") != F.col("high")).select("bucket", "rep"))
-    met = known.join(standing, "bucket").filter(F.col("class") != F.col("rep.class"))
-    return met.select(F.least("node", "rep.node").alias("u"),
-                      F.greatest("node", "rep.node").alias("v")).distinct()
+                .filter(F.col("low") != F.col("high"))
+                .select("bucket", F.explode("reps").alias("rep")))
+    return store(known.join(standing, "bucket"), "near-met")
 
 
 def _merge(classes: DataFrame | None, links: DataFrame) -> DataFrame:
