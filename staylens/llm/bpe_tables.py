@@ -137,13 +137,18 @@ def round_trip(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> DataF
     ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" \
         + ", ids array<int>" * with_ids
 
+    texts = docs.sparkSession.sparkContext.broadcast(word_bpe(tokenizer).pieces())
+
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = texts.value
+        numerals = [str(i) for i in range(len(pieces))]
+
         def rows():
-            for doc_id, ids, text in rows_of(batches, "doc_id", "ids", "text"):
+            for doc_id, ids in rows_of(batches, "doc_id", "ids"):
                 yield (doc_id, len(ids),
-                       hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
-                       hashlib.sha256(text.encode()).hexdigest(), *[ids] * with_ids)
+                       hashlib.sha256(",".join([numerals[i] for i in ids]).encode()).hexdigest(),
+                       hashlib.sha256(_text(ids, pieces).encode()).hexdigest(), *[ids] * with_ids)
 
         yield from slices(rows(), schema)
 
-    return map_arrow(decoded(encode(docs, tokenizer), tokenizer), digest, ddl)
+    return map_arrow(encode(docs, tokenizer), digest, ddl)
