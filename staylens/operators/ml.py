@@ -132,7 +132,8 @@ def kmeans_clusters(df: DataFrame, k: int = fixed.KMEANS_DEFAULT_K,
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    k = max(2, min(6, int(k)))
+    if k < 2:
+        raise ValueError("k-means needs at least two clusters")
     spark = df.sparkSession
     sc = fit_scaler(df, features)
     z = df.select(key, "price", *sc.columns())

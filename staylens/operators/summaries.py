@@ -658,6 +658,5 @@ def column_profile(df: DataFrame) -> DataFrame:
 
 
 def preview(df: DataFrame, n: int = 10, order_by: str = "id") -> DataFrame:
-    """First ``n`` rows (5..50) in a deterministic order."""
-    n = max(5, min(50, int(n)))
+    """First ``n`` rows in a deterministic order."""
     return df.orderBy(order_by).limit(n)

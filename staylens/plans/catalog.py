@@ -27,13 +27,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # Fixed parameters of the registered explorer filter.
 ADHOC_GROUPS = ["AMERICA", "EUROPE"]
-ADHOC_PATTERN = "an"
+ADHOC_PATTERN = "nation_1"
+ADHOC_PRICES = (50.0, 600.0)
 GENERATED_AT = "2024-01-01 00:00:00"
 # Fixed parameters of the registered non-default sidebar filter.
 CUSTOM_FILTER = dict(neighbourhood_group="ASIA", room_type="1-URGENT", price_range=(50.0, 500.0),
                      min_reviews=10, availability=(30, 300),
                      host_categories=("Small Portfolio", "Medium Portfolio"))
 MAP_CELL_DEG = 0.01
+DERIVED_DOUBLES = ("price_per_review", "occupancy_rate", "estimated_revenue", "distance_to_beach")
 
 
 def _ctx(spark: SparkSession, sf_dir: str) -> Context:
@@ -133,8 +135,8 @@ def q_filter_custom(c: Context) -> DataFrame:
 
 
 def _export_cols(df: DataFrame) -> DataFrame:
-    return df.select("id", "name", "price", "room_type", "last_review", "reviews_per_month",
-                     "host_category")
+    """All columns; derived doubles rounded, since engines differ in the last bits."""
+    return df.select(*[rnd(c).alias(c) if c in DERIVED_DOUBLES else F.col(c) for c in df.columns])
 
 
 def q_export_csv(c: Context) -> DataFrame:
@@ -185,14 +187,16 @@ def q_value_domain(c: Context) -> DataFrame:
 def q_adhoc(c: Context) -> DataFrame:
     f = flt.adhoc_filter(c.filtered, [
         flt.ColumnFilter("neighbourhood_group", values=ADHOC_GROUPS),
-        flt.ColumnFilter("neighbourhood", pattern=ADHOC_PATTERN)])
+        flt.ColumnFilter("neighbourhood", pattern=ADHOC_PATTERN),
+        flt.ColumnFilter("price", between=ADHOC_PRICES)])
     return f.select("id", "neighbourhood_group", "neighbourhood", "price")
 
 
 def q_explorer_kpis(c: Context) -> DataFrame:
     f = flt.adhoc_filter(c.filtered, [
         flt.ColumnFilter("neighbourhood_group", values=ADHOC_GROUPS),
-        flt.ColumnFilter("neighbourhood", pattern=ADHOC_PATTERN)])
+        flt.ColumnFilter("neighbourhood", pattern=ADHOC_PATTERN),
+        flt.ColumnFilter("price", between=ADHOC_PRICES)])
     return sm.explorer_kpis(f)
 
 
@@ -211,7 +215,7 @@ def q_export_summary(c: Context) -> DataFrame:
 
 
 def q_preview(c: Context) -> DataFrame:
-    return sm.preview(c.filtered, 10).select("id", "name", "price", "room_type", "neighbourhood")
+    return _export_cols(sm.preview(c.filtered, 10))
 
 
 def q_segment_display(c: Context) -> DataFrame:
@@ -276,7 +280,7 @@ QUERIES: dict[str, Query] = {
     "kpi_summary": _q(q_kpi),
     "price_by_room": _filtered(sm.price_by_room),
     "box_by_room": _filtered(sm.box_by_room),
-    "box_outliers": _filtered(sm.box_outliers),
+    "box_outliers": _q(lambda c: sm.box_outliers(c.baseline)),
     "monthly_price_by_room": _filtered(sm.monthly_price_by_room),
     "price_by_proximity": _filtered(sm.price_by_proximity),
     "count_by_proximity": _filtered(sm.count_by_proximity),

@@ -209,10 +209,11 @@ def _argmax(key: str, value: str, labels) -> str:
 
 
 def _adhoc_where() -> str:
-    from staylens.plans.catalog import ADHOC_GROUPS, ADHOC_PATTERN
+    from staylens.plans.catalog import ADHOC_GROUPS, ADHOC_PATTERN, ADHOC_PRICES
     groups = ", ".join(f"'{g}'" for g in ADHOC_GROUPS)
     return (f"neighbourhood_group IN ({groups}) AND "
-            f"regexp_matches(neighbourhood, '(?i){ADHOC_PATTERN}')")
+            f"regexp_matches(neighbourhood, '(?i){ADHOC_PATTERN}') AND "
+            f"price BETWEEN {_num(ADHOC_PRICES[0])} AND {_num(ADHOC_PRICES[1])}")
 
 
 def _pca_ctes(features) -> str:
@@ -446,10 +447,10 @@ def oracle_queries() -> dict[str, str]:
                         quantile_cont(price, 0.75) AS q3 FROM filt
                  WHERE room_type IS NOT NULL AND price IS NOT NULL GROUP BY room_type)""")
     q["box_outliers"] = _sql(
-        """SELECT f.room_type, f.id, f.price FROM filt f JOIN qr ON f.room_type = qr.room_type
+        """SELECT f.room_type, f.id, f.price FROM enr f JOIN qr ON f.room_type = qr.room_type
            WHERE f.price < q1 - 1.5E0 * (q3 - q1) OR f.price > q3 + 1.5E0 * (q3 - q1)""",
         ctes="""qr AS (SELECT room_type, quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.75) AS q3
-                 FROM filt WHERE room_type IS NOT NULL AND price IS NOT NULL GROUP BY room_type)""")
+                 FROM enr WHERE room_type IS NOT NULL AND price IS NOT NULL GROUP BY room_type)""")
     q["monthly_price_by_room"] = _sql(
         f"SELECT last_day(last_review) AS month, room_type, {R('avg(CAST(price AS DECIMAL(28,10)))')} AS avg_price FROM filt "
         "WHERE last_review IS NOT NULL AND room_type IS NOT NULL GROUP BY 1, 2")
@@ -664,12 +665,13 @@ def oracle_queries() -> dict[str, str]:
         "AND price >= 50E0 AND price <= 500E0 AND number_of_reviews >= 10 "
         "AND availability_365 >= 30 AND availability_365 <= 300 "
         "AND host_category IN ('Small Portfolio', 'Medium Portfolio')")
-    export_sel = ("SELECT id, name, price, room_type, last_review, reviews_per_month, "
-                  "host_category FROM filt")
+    derived = ("price_per_review", "occupancy_rate", "estimated_revenue", "distance_to_beach")
+    export_sel = "SELECT " + ", ".join(f"{R(c)} AS {c}" if c in derived else c
+                                       for c, _ in prof_cols) + " FROM filt"
     q["export_csv"] = _sql(export_sel)
     q["export_json"] = _sql(export_sel)
     q["export_bundle"] = q["export_summary"]
-    q["preview"] = _sql("SELECT id, name, price, room_type, neighbourhood FROM filt ORDER BY id LIMIT 10")
+    q["preview"] = _sql(export_sel + " ORDER BY id LIMIT 10")
 
     nb = fixed.HISTOGRAM_BINS
     q["price_histogram"] = _sql(
