@@ -10,15 +10,22 @@ connected components of the links.
 
 A sketch takes the three smallest shingles under one hash function and keeps them in
 the order of the text; equal sketches put documents into one bucket.  At similarity
-0.8, 16 sketches miss a pair with probability below 2e-5.  In each round one member
+0.8, 16 sketches miss a pair with probability below 2e-5.  In a first round one member
 of each bucket, the first in an order of all documents, stands for it, and the others
 are verified against it: no more pairs than members, and few different ones, since
 the same document stands in all buckets of a group.  Members of the standing
-document's class are not compared, and buckets of one class are closed.  In later
-rounds ``STANDING`` members that have not stood yet stand for each open bucket, the
-first in as many other orders, until a round adds less than ``TOLERANCE`` of the links
-found so far: links between members that have never stood can remain unseen where most
-pairs of a large bucket lie just below 0.8.
+document's class are not compared, and buckets of one class are closed.  In a second
+round ``STANDING`` further members stand for each open bucket, the first in as many
+other orders.  What is left are buckets of several classes: a closing pass takes their
+members that have not stood, in blocks of about ``BLOCK``, and compares every block
+with every other by parity prints (below).  Only pairs of different classes that the
+prints cannot exclude leave the pass and are verified, so that every pair with an equal
+sketch is decided, whatever the size of its bucket, and no group meets in one task.
+
+A parity print has one bit per class of shingle hashes, set if a document holds an odd
+number of them.  Shared shingles cancel out in the difference of two prints, so its set
+bits are at most the shingles that only one of the two holds, of which similarity 0.8
+allows (n1 + n2) / 9.  Excluding a pair by it is exact.
 
 A pair is verified by aligning its shingle sequences within the band that similarity
 0.8 allows: the longest increasing run of matched positions.
@@ -35,6 +42,7 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +59,8 @@ SIMILARITY = 0.8
 SKETCHES = 16
 SAMPLED = 3
 STANDING = 4
-TOLERANCE = 0.01
+BLOCK = 512
+PRINT_BITS = 1 << 14
 CACHE_WORDS = 300_000
 
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -222,6 +231,89 @@ def verified(pairs: DataFrame, bodies: DataFrame, least: float = SIMILARITY) ->
                  "near-links")
 
 
+def parity_print(body: np.ndarray) -> bytes:
+    """One bit per class of the 4-byte hashes, set if their number is odd; about four
+    bits a shingle, a power of two, from 64 to ``PRINT_BITS``."""
+    width = min(PRINT_BITS, max(64, 1 << (4 * len(body) - 1).bit_length()))
+    odd = np.bincount(body & np.uint32(width - 1), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _prints(rows: list[tuple], width: int) -> np.ndarray:
+    """The prints of one length as a matrix, folded to ``width`` bytes."""
+    out = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
+    while out.shape[1] > width:
+        half = out.shape[1] // 2
+        out = out[:, :half] ^ out[:, half:]
+    return np.ascontiguousarray(out).view(np.uint64)
+
+
+def unexcluded_pairs(left: list[tuple], right: list[tuple],
+                     least: float) -> Iterator[tuple[bytes, bytes]]:
+    """Pairs of members (node, size, class, print) of different classes, one of each
+    list, that sizes and prints cannot exclude."""
+
+    def by_length(rows):
+        rows = sorted(rows, key=lambda r: len(r[3]))
+        return [(n, list(g)) for n, g in groupby(rows, lambda r: len(r[3]))]
+
+    for long_a, rows_a in by_length(left):
+        for long_b, rows_b in by_length(right):
+            width = min(long_a, long_b)
+            a, b = _prints(rows_a, width), _prints(rows_b, width)
+            size = np.array([r[1] for r in rows_b])
+            names = {c: i for i, c in enumerate({r[2] for r in rows_b})}
+            cls = np.array([names[r[2]] for r in rows_b])
+            for (node, n, c, _), bits in zip(rows_a, a):
+                at = np.flatnonzero((cls != names.get(c, -1))
+                                    & (np.minimum(size, n) >= least * np.maximum(size, n)))
+                apart = np.bitwise_count(b[at] ^ bits).sum(axis=1)
+                allowed = (size[at] + n) * ((1 - least) / (1 + least)) + 1e-6
+                for i in at[apart <= allowed].tolist():
+                    other = rows_b[i][0]
+                    if node != other:
+                        yield min(node, other), max(node, other)
+
+
+def remaining_pairs(members: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
+    """The pairs (u, v) of members (bucket, node, size, stood, class) that share a bucket,
+    have not stood, are of different classes and cannot be excluded."""
+    left = members.filter(~F.col("stood")).drop("stood")
+    open_ = (left.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"),
+                                        F.count("*").alias("n"))
+             .filter(F.col("low") != F.col("high"))
+             .select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    left = store(left.join(open_, "bucket"), "near-left")
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from slices(((node, parity_print(np.frombuffer(body, "<u4")))
+                           for node, body in rows_of(batches, "node", "body")),
+                          pa.schema([("node", pa.binary()), ("print", pa.binary())]), 10_000)
+
+    printed = map_arrow(bodies.join(left.select("node").distinct(), "node", "left_semi"),
+                        prints, "node binary, print binary")
+    dealt = (left.join(printed, "node")
+             .withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+             .repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            dealt_rows = rows_of(batches, "bucket", "lo", "hi", "block", "node", "size",
+                                 "class", "print")
+            for (_, lo, hi), met in groupby(dealt_rows, lambda r: r[:3]):
+                met = list(met)
+                first = [r[4:] for r in met if r[3] == lo]
+                second = first if lo == hi else [r[4:] for r in met if r[3] == hi]
+                yield from unexcluded_pairs(first, second, least)
+
+        yield from slices(rows(), pa.schema([("u", pa.binary()), ("v", pa.binary())]), 10_000)
+
+    columns = ["bucket", "lo", "hi", "block", "node", "size", "class", "print"]
+    return map_arrow(dealt.select(*columns), compare, "u binary, v binary").distinct()
+
+
 def near_classes(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(sketch rows, (node, class) of the nodes with a link)."""
     sketched = sketch_documents(docs)
@@ -232,36 +324,31 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame,
                     "near-members")
     bodies = shingle_bodies(docs, members.select("node").distinct())
     classes = None
-    turn = found = 0
-    while True:
+    for turn in range(2):
         met = _meet(members, classes, turn)
         pairs = (met.filter((F.col("class") != F.col("rep.class"))
                             & (F.least("size", "rep.size")
                                >= least * F.greatest("size", "rep.size")))
                  .select(F.least("node", "rep.node").alias("u"),
                          F.greatest("node", "rep.node").alias("v")).distinct())
-        links = verified(pairs, bodies, least)
-        new = links.count()
-        if not new:
-            break
-        classes = _merge(classes, links)
-        found += new
-        if turn and new < TOLERANCE * found:
-            break
+        classes = _merge(classes, verified(pairs, bodies, least))
         members = met.groupBy("bucket", "node", "size").agg(
             F.max(F.col("stood") | (F.col("node") == F.col("rep.node"))).alias("stood"))
-        turn += 1
+    left = remaining_pairs(_with_class(members, classes), bodies, least)
+    return sketched, _merge(classes, verified(left, bodies, least))
+
+
+def _with_class(members: DataFrame, classes: DataFrame | None) -> DataFrame:
     if classes is None:
-        classes = members.select("node", F.col("node").alias("class")).limit(0)
-    return sketched, classes
+        return members.withColumn("class", F.col("node"))
+    return (members.join(classes, "node", "left")
+            .withColumn("class", F.coalesce("class", "node")))
 
 
 def _meet(members: DataFrame, classes: DataFrame | None, turn: int) -> DataFrame:
     """The members of buckets of several classes, with their class and the bucket's
     standing member ``rep`` (node, size, class), stored."""
-    known = members.withColumn("class", F.col("node")) if classes is None else (
-        members.join(classes, "node", "left")
-        .withColumn("class", F.coalesce("class", "node")))
+    known = _with_class(members, classes)
     orders = [F.col("node")] if turn == 0 else [
         F.md5(F.concat("node", F.lit(f"{turn}-{i}"))) for i in range(STANDING)]
     firsts = [F.min(F.when(~F.col("stood"), F.struct(o.alias("place"), F.struct(

@@ -148,6 +148,42 @@ def test_exact_with_heavy_hitters(spark):
     assert got.filter("group_size = 1000 and keep_id = 2997").count() == 1000
 
 
+def test_near_closing_pass(spark, monkeypatch):
+    """A group whose pairs lie around 0.8: all links with an equal sketch are found,
+    in blocks of a few members too."""
+    import random
+    rnd = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    texts = {}
+    for i in range(120):
+        seq = list(base)
+        for at in rnd.sample(range(200), rnd.choice([2, 3, 4, 5])):
+            seq[at] = f"x{i}_{at}"
+        texts[i] = " ".join(seq)
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(table).collect()}
+    shingler = near_dedup.Shingler()
+    bodies = {i: shingler(decontaminate.words(t)).astype("<u4") for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    rows = {i: [(i, len(b), i, near_dedup.parity_print(b))] for i, b in bodies.items()}
+    links = 0
+    for i in texts:
+        for j in range(i):
+            if near_dedup.alignment_similarity(bodies[i], bodies[j]):
+                links += 1
+                assert list(near_dedup.unexcluded_pairs(rows[j], rows[i], 0.8)) == [(j, i)]
+                root[find(j)] = find(i)
+    want = {i: max(j for j in texts if find(j) == find(i)) for i in texts}
+    assert got == want and 0 < links < 120 * 119 / 2
+
+
 def test_near(spark, docs, empty):
     rng = np.random.default_rng(1)
     base = [" ".join(rng.choice(list("abcdefghijklmnop"), 4)) for _ in range(100)]
