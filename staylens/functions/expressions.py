@@ -48,9 +48,9 @@ def label_dimension(spark: SparkSession, labels: Sequence[str],
 
 def sorted_small(df: DataFrame, *cols) -> DataFrame:
     """Order an output whose size has a fixed bound (category labels, histogram
-    bins, grid points, k clusters, calendar months) in one partition - no range
-    partitioning, sampling job or shuffle for a handful of rows."""
-    return df.coalesce(1).sortWithinPartitions(*cols)
+    bins, grid points, k clusters, calendar months) in one partition.  The rows move
+    there after the aggregate has run in all its partitions; no sampling job."""
+    return df.repartition(1).sortWithinPartitions(*cols)
 
 
 def haversine_km(lat1: str | Column, lon1: str | Column, lat2, lon2) -> Column:

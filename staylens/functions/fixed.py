@@ -75,7 +75,6 @@ CORRELATION_FEATURES = ["price", "number_of_reviews", "reviews_per_month",
                         "availability_365", "calculated_host_listings_count",
                         "occupancy_rate", "estimated_revenue"]
 CLUSTER_FEATURES = ["price", "number_of_reviews", "availability_365"]
-KMEANS_SEED = 42
 KMEANS_DEFAULT_K = 4
 STRONG_CORRELATION = 0.5
 

@@ -6,24 +6,32 @@
   aggregate (``covar_pop`` per pair); its eigen-decomposition is a k x k problem
   on the driver.  Scores are linear column expressions (codegen, no UDF).  Signs
   are fixed so that the largest absolute loading of each component is positive.
-* K-means: ``pyspark.ml.clustering.KMeans`` with a seed; cluster ids are
-  renumbered by ascending mean price so they are stable across runs.
+* K-means: Lloyd steps, one small aggregate each, over features on a grid of whole
+  numbers, so that neither partitions nor the order of rows change the result; cluster
+  ids are renumbered by ascending mean of the first feature (the price).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staylens.functions import fixed
 from staylens.functions.expressions import exact_avg, round2, sorted_small
+from staylens.operators.quantiles import order_statistics
 from staylens.operators.summaries import corr_matrix, rnd
 
 FEATURES = tuple(fixed.CLUSTER_FEATURES)
+GRID_BITS = 20
+KMEANS_MAX_ITER = 300
+KMEANS_TOL = 1e-4
 
 
 def feature_vector(df: DataFrame, features: Sequence[str] = FEATURES, key: str = "id") -> DataFrame:
@@ -70,6 +78,11 @@ class PCAResult:
     components: np.ndarray        # (k, n_features), rows are components
     explained_ratio: np.ndarray   # (k,)
 
+    def scores(self) -> list[Column]:
+        z = self.scaler.columns("")
+        return [round2(reduce(add, [c * F.lit(float(w)) for w, c in zip(comp, z)]), DIGITS)
+                for comp in self.components]
+
 
 def fit_pca(df: DataFrame, features: Sequence[str] = FEATURES, k: int = 2) -> PCAResult:
     sc = fit_scaler(df, features)
@@ -97,15 +110,7 @@ def fit_pca(df: DataFrame, features: Sequence[str] = FEATURES, k: int = 2) -> PC
 def pca_scores(df: DataFrame, features: Sequence[str] = FEATURES, key: str = "id",
                model: PCAResult | None = None) -> DataFrame:
     model = model or fit_pca(df, features)
-    z = model.scaler.columns("")
-    cols = []
-    for i, comp in enumerate(model.components):
-        expr = None
-        for w, c in zip(comp, z):
-            term = c * F.lit(float(w))
-            expr = term if expr is None else expr + term
-        cols.append(round2(expr, DIGITS).alias(f"pca_{i + 1}"))
-    return df.select(key, *cols)
+    return df.select(key, *[c.alias(f"pca_{i + 1}") for i, c in enumerate(model.scores())])
 
 
 def pca_loadings(df: DataFrame, features: Sequence[str] = FEATURES,
@@ -125,39 +130,121 @@ def pca_variance(df: DataFrame, features: Sequence[str] = FEATURES,
     return df.sparkSession.createDataFrame(rows, "component string, explained_ratio double")
 
 
+@dataclass(frozen=True)
+class KMeansModel:
+    """``steps`` and ``weights`` per feature; ``centres`` in steps; ``ids`` maps the
+    place of a centre to its cluster id (none for a centre without rows)."""
+    features: tuple[str, ...]
+    steps: tuple[float, ...]
+    weights: tuple[float, ...]
+    centres: tuple[tuple[float, ...], ...]
+    ids: tuple[int | None, ...]
+
+    def cluster(self) -> Column:
+        place = _nearest(_on_grid(self.features, self.steps), self.centres, self.weights)
+        label = None
+        for i, name in enumerate(self.ids):
+            if name is not None:
+                label = (F if label is None else label).when(place == i, F.lit(name))
+        return label.cast("int")
+
+
+def _on_grid(features: Sequence[str], steps: Sequence[float]) -> list[Column]:
+    return [F.bround(F.coalesce(F.col(f).cast("double"), F.lit(0.0)) / F.lit(s), 0).cast("long")
+            for f, s in zip(features, steps)]
+
+
+def _nearest(point: Sequence[Column], centres, weights) -> Column:
+    """The place of the nearest centre, the first of equally near ones."""
+    dists = []
+    for centre in centres:
+        terms = [(p - F.lit(c)) * (p - F.lit(c)) * F.lit(w)
+                 for p, c, w in zip(point, centre, weights)]
+        dists.append(reduce(add, terms))
+    near = F.array(*dists)
+    return F.array_position(near, F.array_min(near)) - 1
+
+
+def fit_kmeans(df: DataFrame, k: int = fixed.KMEANS_DEFAULT_K,
+               features: Sequence[str] = FEATURES, key: str = "id", min_rows: int = 10,
+               max_iter: int = KMEANS_MAX_ITER, tol: float = KMEANS_TOL) -> KMeansModel | None:
+    """Lloyd's algorithm; ``None`` when there are ``min_rows`` rows or fewer.
+
+    The same for every partitioning: features lie on a grid whose step is a power of
+    two near ``2**-GRID_BITS`` deviations, so that the sums of a pass are sums of whole
+    numbers.  The first centres are the rows at ``k`` evenly spaced ranks of the first
+    feature, the smallest key among equals.  It stops when the squared shifts of the
+    centres, in deviations, add up to ``tol`` or less.  A centre that no row is nearest
+    to stays where it is.  Every pass reads ``df`` once and returns at most ``k`` rows:
+    ``df`` should be a stored table.
+    """
+    if k < 2:
+        raise ValueError("k-means needs at least two clusters")
+    filled = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]
+    r = df.agg(F.count(F.lit(1)).alias("n"),
+               *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(filled)]).collect()[0]
+    if r["n"] <= min_rows:
+        return None
+    steps, weights = [], []
+    for i in range(len(features)):
+        s = r[f"s{i}"]
+        power = 2.0 ** math.floor(math.log2(s)) if s else 1.0
+        steps.append(power / 2 ** GRID_BITS if s else 1.0)
+        weights.append(round(power * power / (s * s), DIGITS) if s else 0.0)
+    names = [f"z{i}" for i in range(len(features))]
+    z = df.select(key, *[c.alias(n) for c, n in zip(_on_grid(features, steps), names)])
+
+    ranks = [(2 * j + 1) * r["n"] // (2 * k) for j in range(k)]
+    at = order_statistics(z, names[0], lambda n: ranks)[()]
+    wanted = [int(at[rank]) for rank in ranks]
+    starts = {row["z0"]: row["who"] for row in z.where(F.col("z0").isin(sorted(set(wanted))))
+              .groupBy("z0").agg(F.min(F.struct(key, *names)).alias("who")).collect()}
+    centres = [tuple(float(starts[v][n]) for n in names) for v in wanted]
+
+    def assigned(centres):
+        place = _nearest([F.col(n) for n in names], centres, weights)
+        sums = [F.sum(F.col(n).cast("decimal(20,0)")).alias(n) for n in names]
+        return (z.groupBy(place.cast("int").alias("place"))
+                .agg(F.count(F.lit(1)).alias("n"), *sums).collect())
+
+    for _ in range(max_iter):
+        moved = list(centres)
+        for row in assigned(centres):
+            moved[row["place"]] = tuple(float(row[n]) / row["n"] for n in names)
+        shift = sum((a - b) * (a - b) * w for old, new in zip(centres, moved)
+                    for a, b, w in zip(old, new, weights))
+        centres = moved
+        if shift <= tol * 4.0 ** GRID_BITS:
+            break
+    means = sorted((float(row["z0"]) / row["n"], row["place"]) for row in assigned(centres))
+    ids = {place: i for i, (_, place) in enumerate(means)}
+    return KMeansModel(tuple(features), tuple(steps), tuple(weights), tuple(centres),
+                       tuple(ids.get(i) for i in range(k)))
+
+
+def with_clusters(df: DataFrame, model: KMeansModel | None) -> DataFrame:
+    """``df`` with its ``cluster``; no rows without a model."""
+    if model is None:
+        return df.withColumn("cluster", F.lit(None).cast("int")).where(F.lit(False))
+    return df.withColumn("cluster", model.cluster())
+
+
+def segments(df: DataFrame, model: KMeansModel | None, pca: PCAResult) -> DataFrame:
+    """``df`` with ``cluster`` and the PCA scores, in one pass and without a join."""
+    return with_clusters(df, model).withColumns(
+        {f"pca_{i + 1}": c for i, c in enumerate(pca.scores())})
+
+
 def kmeans_clusters(df: DataFrame, k: int = fixed.KMEANS_DEFAULT_K,
                     features: Sequence[str] = FEATURES, key: str = "id",
-                    seed: int = fixed.KMEANS_SEED, min_rows: int = 10) -> DataFrame:
+                    min_rows: int = 10) -> DataFrame:
     """``(key, cluster)`` for every row; empty when there are ``min_rows`` or fewer."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
+    return with_clusters(df, fit_kmeans(df, k, features, key, min_rows)).select(key, "cluster")
 
-    if k < 2:
-        raise ValueError("k-means needs at least two clusters")
-    spark = df.sparkSession
-    sc = fit_scaler(df, features)
-    z = df.select(key, "price", *sc.columns())
-    if z.limit(min_rows + 1).count() <= min_rows:
-        return spark.createDataFrame([], f"{key} long, cluster int")
-    vec = VectorAssembler(inputCols=[f"z_{f}" for f in features], outputCol="features") \
-        .transform(z).select(key, "price", "features").cache()
-    # run to convergence, up to 300 iterations; on standardised features a centre
-    # shift below 0.01 matches the usual criterion (squared shifts < 1e-4 x variance)
-    model = KMeans(k=k, seed=seed, maxIter=300, tol=1e-2, featuresCol="features",
-                   predictionCol="raw").fit(vec)
-    labelled = model.transform(vec).select(key, "price", "raw")
-    # stable ids: clusters ordered by mean price (k rows on the driver)
-    order = (labelled.groupBy("raw").agg(F.avg("price").alias("p"))
-             .orderBy("p", "raw").collect())
-    vec.unpersist()   # labels below are recomputed from the model (one cheap pass)
-    remap = F.create_map(*[c for i, r in enumerate(order) for c in (F.lit(r["raw"]), F.lit(i))])
-    out = labelled.select(key, F.element_at(remap, F.col("raw")).cast("int").alias("cluster"))
-    return out
-
-
-def cluster_summary(df: DataFrame, clusters: DataFrame, key: str = "id") -> DataFrame:
-    j = df.join(clusters, key)
-    return sorted_small(j.groupBy("cluster").agg(
+
+def cluster_summary(labelled: DataFrame) -> DataFrame:
+    """Summary by ``cluster`` of listings that carry it (:func:`with_clusters`)."""
+    return sorted_small(labelled.groupBy("cluster").agg(
         rnd(exact_avg("price"), 2).alias("avg_price"), F.count("price").alias("listings"),
         rnd(exact_avg("number_of_reviews"), 2).alias("avg_reviews"),
         rnd(exact_avg("availability_365"), 2).alias("avg_availability"),

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from staylens.functions import fixed
 from staylens.functions.expressions import (cut, exact_avg, exact_sum, label_dimension,
-                                            round2, safe_corr, sorted_small)
+                                            nan_to_null, round2, safe_corr, sorted_small)
 from staylens.operators.filters import keep_top_k
 from staylens.operators.quantiles import exact_quantiles, quantile_frame
 
@@ -460,27 +460,32 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """count, mean, std, min, 25/50/75% (linear), max per numeric column, long form.
 
-    The columns are unpivoted to ``(column, v)``.  One aggregate gives the moments,
-    and its count/min/max (one row per column) seed the quantile selection, so the
-    quantiles need no separate statistics pass.
+    One aggregate over the columns side by side gives the moments (whole numbers are
+    summed exactly, whatever their size), and its count/min/max seed the quantile
+    selection.  Only the selection unpivots the columns to ``(column, v)``.
     """
     spark = df.sparkSession
     cols = list(cols) if cols is not None else numeric_columns(df)
+    aggs = []
+    for i, c in enumerate(cols):
+        v = nan_to_null(F.col(c).cast("double"))
+        whole = isinstance(df.schema[c].dataType, T.IntegralType)
+        mean = (F.try_divide(F.sum(F.col(c).cast("decimal(20,0)")).cast("double"), F.count(v))
+                if whole else F.avg(v))
+        aggs += [F.count(v).alias(f"n{i}"), mean.alias(f"mean{i}"),
+                 F.stddev_samp(v).alias(f"std{i}"), F.min(v).alias(f"mn{i}"),
+                 F.max(v).alias(f"mx{i}")]
+    one = df.agg(*aggs).collect()[0] if cols else {}
+    found = [{"column": c, **{s: one[f"{s}{i}"] for s in ("n", "mean", "std", "mn", "mx")}}
+             for i, c in enumerate(cols)]
     stacked = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols
     ])).alias("s")).select("s.column", "s.v").where(F.col("v").isNotNull() & ~F.isnan("v"))
-    moments = (stacked.groupBy("column").agg(
-        F.count("v").alias("n"), exact_avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
-        F.min("v").alias("mn"), F.max("v").alias("mx")).collect())   # one row per column
-    q = exact_quantiles(stacked, "v", [0.25, 0.5, 0.75], ["column"],
-                        stats=[r.asDict() for r in moments])
-    found = {r["column"]: r for r in moments}
+    q = exact_quantiles(stacked, "v", [0.25, 0.5, 0.75], ["column"], stats=found)
     rows = []
-    for c in cols:
-        r = found.get(c)
-        p25, p50, p75 = q.get((c,), [None, None, None])
-        rows.append((c, r["n"] if r else 0, r["mean"] if r else None, r["std"] if r else None,
-                     r["mn"] if r else None, p25, p50, p75, r["mx"] if r else None))
+    for r in found:
+        rows.append((r["column"], r["n"], r["mean"], r["std"], r["mn"],
+                     *q.get((r["column"],), [None, None, None]), r["mx"]))
     out = spark.createDataFrame(rows, "column string, count long, mean double, std double, "
                                       "min double, p25 double, p50 double, p75 double, "
                                       "max double")

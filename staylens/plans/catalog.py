@@ -239,15 +239,20 @@ def q_stable_sample(c: Context) -> DataFrame:
 
 
 def q_kmeans(c: Context) -> DataFrame:
-    return c.clusters()
+    return ml.with_clusters(c.filtered, c.kmeans()).select("id", "cluster")
 
 
 def q_cluster_summary(c: Context) -> DataFrame:
-    return ml.cluster_summary(c.filtered, c.clusters())
+    return ml.cluster_summary(ml.with_clusters(c.filtered, c.kmeans()))
 
 
 def q_cluster_winners(c: Context) -> DataFrame:
-    return ml.cluster_winners(ml.cluster_summary(c.filtered, c.clusters()))
+    return ml.cluster_winners(q_cluster_summary(c))
+
+
+def q_segmented(c: Context) -> DataFrame:
+    """Every filtered listing with all its columns, its cluster and its PCA scores."""
+    return _export_cols(ml.segments(c.filtered, c.kmeans(), c.pca))
 
 
 def _filtered(fn):
@@ -328,10 +333,11 @@ QUERIES: dict[str, Query] = {
     # segmentation
     "feature_vector": _filtered(ml.feature_vector),
     "standardised_features": _filtered(ml.standardised_features),
-    "pca_scores": _filtered(ml.pca_scores),
-    "pca_loadings": _filtered(ml.pca_loadings),
-    "pca_variance": _filtered(ml.pca_variance),
+    "pca_scores": _q(lambda c: ml.pca_scores(c.filtered, model=c.pca)),
+    "pca_loadings": _q(lambda c: ml.pca_loadings(c.filtered, model=c.pca)),
+    "pca_variance": _q(lambda c: ml.pca_variance(c.filtered, model=c.pca)),
     "kmeans_clusters": _q(q_kmeans),
+    "segmented_listings": _q(q_segmented),
     "cluster_summary": _q(q_cluster_summary),
     "cluster_winners": _q(q_cluster_winners),
     "feature_corr": _filtered(ml.feature_corr),

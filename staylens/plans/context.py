@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import uuid
 import weakref
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
 from staylens.operators.features import PriceBounds, clean_listings, derive, finish, price_bounds
 from staylens.operators.filters import FilterSpec, apply_filters, iqr_clean, with_reviews_filter
+from staylens.operators.ml import KMeansModel, PCAResult, fit_kmeans, fit_pca
 from staylens.session import has_shared_checkpoint_dir, scratch_path
 from staylens.sources.listings import listings_from_tpch
 
@@ -29,7 +30,7 @@ class Context:
     bounds: PriceBounds
     spec: FilterSpec
     _iqr: DataFrame | None = None
-    _clusters: dict | None = None
+    _models: dict = field(default_factory=dict)
 
     @property
     def iqr(self) -> DataFrame:
@@ -42,14 +43,18 @@ class Context:
     def reviewed(self) -> DataFrame:
         return with_reviews_filter(self.iqr)
 
-    def clusters(self, k: int = 4) -> DataFrame:
-        """k-means labels of the filtered table, fitted once per ``k`` and kept."""
-        from staylens.operators.ml import kmeans_clusters
-        if self._clusters is None:
-            self._clusters = {}
-        if k not in self._clusters:
-            self._clusters[k] = kmeans_clusters(self.filtered, k).cache()
-        return self._clusters[k]
+    @property
+    def pca(self) -> PCAResult:
+        """PCA of the filtered table, fitted once."""
+        if "pca" not in self._models:
+            self._models["pca"] = fit_pca(self.filtered)
+        return self._models["pca"]
+
+    def kmeans(self, k: int = 4) -> KMeansModel | None:
+        """k-means of the filtered table, fitted once per ``k``: a few numbers."""
+        if k not in self._models:
+            self._models[k] = fit_kmeans(self.filtered, k)
+        return self._models[k]
 
 
 def build_context(spark: SparkSession, raw: DataFrame, spec: FilterSpec = FilterSpec(),

@@ -147,6 +147,63 @@ iqr AS (
 reviewed AS (SELECT * FROM iqr WHERE number_of_reviews > 0)"""
 
 
+_ROUNDED = ("price_per_review", "occupancy_rate", "estimated_revenue", "distance_to_beach")
+_LISTING_COLUMNS = (
+    "id", "name", "host_id", "host_name", "neighbourhood_group", "neighbourhood", "latitude",
+    "longitude", "room_type", "price", "minimum_nights", "number_of_reviews", "last_review",
+    "reviews_per_month", "calculated_host_listings_count", "availability_365", "price_per_review",
+    "occupancy_rate", "estimated_revenue", "price_category", "review_month", "review_season",
+    "host_category", "distance_to_beach", "beach_proximity", "host_experience")
+
+
+def _kmeans_ctes(features, k: int = 4) -> str:
+    """CTEs for k-means as a recursive query, one row of centres per Lloyd step: the
+    features on a grid of 2^-20 times the power of two below their deviation, first
+    centres at k even ranks of the first feature, at most 300 steps, an end when the
+    squared shifts in deviations add up to 1E-4 or less; ``kfin`` has the labels."""
+    m = range(len(features))
+    x = [f"COALESCE(CAST({f} AS DOUBLE), 0E0)" for f in features]
+    scale = ", ".join(f"stddev_pop({x[i]}) AS s{i}" for i in m)
+    power = [f"pow(2E0, floor(log2(CASE WHEN s{i} > 0 THEN s{i} ELSE 1E0 END)))" for i in m]
+    step = ", ".join(f"CASE WHEN s{i} > 0 THEN {power[i]} / 1048576E0 ELSE 1E0 END AS g{i}, "
+                     f"CASE WHEN s{i} > 0 THEN round_even({power[i]} * {power[i]} / (s{i} * s{i}), 6) "
+                     f"ELSE 0E0 END AS w{i}" for i in m)
+    grid = ", ".join(f"CAST(round_even({x[i]} / g{i}, 0) AS BIGINT) AS z{i}" for i in m)
+    cells = [f"c{j}_{i}" for j in range(k) for i in m]
+    first = ", ".join(f"max(CASE WHEN j = {j} THEN CAST(z{i} AS DOUBLE) END) AS c{j}_{i}"
+                      for j in range(k) for i in m)
+    dist = [" + ".join(f"(z{i} - c{j}_{i}) * (z{i} - c{j}_{i}) * w{i}" for i in m) for j in range(k)]
+    place = f"list_position([{', '.join(dist)}], list_min([{', '.join(dist)}])) - 1"
+    means = ", ".join(f"COALESCE(CAST(sum(z{i}) FILTER (WHERE l = {j}) AS DOUBLE) "
+                      f"/ CAST(count(*) FILTER (WHERE l = {j}) AS DOUBLE), c{j}_{i}) AS n{j}_{i}"
+                      for j in range(k) for i in m)
+    shift = " + ".join(f"(c{j}_{i} - n{j}_{i}) * (c{j}_{i} - n{j}_{i}) * w{i}"
+                       for j in range(k) for i in m)
+    moved = ", ".join(f"n{j}_{i}" for j in range(k) for i in m)
+    held = ", ".join(cells + [f"w{i}" for i in m])
+    starts = ", ".join(f"({j})" for j in range(k))
+    return (f"ks0 AS (SELECT count(*) AS n, {scale} FROM filt),\n"
+            f"ks AS (SELECT n, {step} FROM ks0),\n"
+            f"kz AS (SELECT filt.*, {grid}, {', '.join(f'w{i}' for i in m)} FROM filt, ks WHERE ks.n > 10),\n"
+            f"kr AS (SELECT z0, row_number() OVER (ORDER BY z0, id) - 1 AS rn FROM kz),\n"
+            f"kstart AS (SELECT t.j, min(kz.id) AS id FROM (VALUES {starts}) AS t(j), ks, kr, kz\n"
+            f"  WHERE kr.rn = ((2 * t.j + 1) * ks.n) // {2 * k} AND kz.z0 = kr.z0 GROUP BY t.j),\n"
+            f"km AS (WITH RECURSIVE it AS (\n"
+            f"  SELECT 0 AS step, CAST('Infinity' AS DOUBLE) AS shift, {first}\n"
+            f"  FROM kstart JOIN kz ON kz.id = kstart.id\n"
+            f"  UNION ALL\n"
+            f"  SELECT step + 1, {shift}, {moved} FROM (\n"
+            f"    SELECT step, {held}, {means}\n"
+            f"    FROM (SELECT it.*, z0, z1, z2, w0, w1, w2, {place} AS l FROM it, kz\n"
+            f"          WHERE it.shift > 1E-4 * 1099511627776E0 AND it.step < 300)\n"
+            f"    GROUP BY step, {held}))\n"
+            f"  SELECT * FROM it ORDER BY step DESC LIMIT 1),\n"
+            f"kl AS (SELECT kz.*, {place} AS l FROM kz, km),\n"
+            f"kord AS (SELECT l, CAST(row_number() OVER (ORDER BY CAST(sum(z0) AS DOUBLE) / count(*), l) - 1 "
+            f"AS INTEGER) AS cluster FROM kl GROUP BY l),\n"
+            f"kfin AS (SELECT kl.*, cluster FROM kl JOIN kord ON kl.l = kord.l)")
+
+
 def _sql(tail: str, ctes: str = "") -> str:
     extra = f",\n{ctes}" if ctes else ""
     return f"{_prefix()}{extra}\n{tail}"
@@ -731,6 +788,27 @@ def oracle_queries() -> dict[str, str]:
     q["pca_scores"] = _sql(
         "SELECT pz.id, round_even(z0 * v1_0 + z1 * v1_1 + z2 * v1_2, 6) AS pca_1, "
         "round_even(z0 * v2_0 + z1 * v2_1 + z2 * v2_2, 6) AS pca_2 FROM pz, pca", ctes=pca)
+    km = _kmeans_ctes(feats3)
+    q["kmeans_clusters"] = _sql("SELECT id, cluster FROM kfin", ctes=km)
+    listed = ", ".join(
+        f"round_even({c}, 6) AS {c}" if c in _ROUNDED else c for c in _LISTING_COLUMNS)
+    q["segmented_listings"] = _sql(
+        f"SELECT f.*, pca_1, pca_2 FROM (SELECT {listed}, cluster FROM kfin) AS f JOIN "
+        "(SELECT pz.id, round_even(z0 * v1_0 + z1 * v1_1 + z2 * v1_2, 6) AS pca_1, "
+        "round_even(z0 * v2_0 + z1 * v2_1 + z2 * v2_2, 6) AS pca_2 FROM pz, pca) AS p "
+        "ON f.id = p.id", ctes=f"{km},\n{pca}")
+    by_cluster = ("SELECT cluster, round_even(avg(CAST(price AS DECIMAL(28,10))), 2) AS avg_price, "
+                  "count(price) AS listings, "
+                  + ", ".join(f"round_even(avg(CAST({c} AS DECIMAL(28,10))), 2) AS {n}" for c, n in (
+                      ("number_of_reviews", "avg_reviews"), ("availability_365", "avg_availability"),
+                      ("occupancy_rate", "avg_occupancy"), ("estimated_revenue", "avg_revenue")))
+                  + " FROM kfin GROUP BY cluster")
+    q["cluster_summary"] = _sql(by_cluster, ctes=km)
+    q["cluster_winners"] = _sql("SELECT " + ", ".join(
+        f"(SELECT cluster FROM ks_ ORDER BY {c} DESC, cluster LIMIT 1) AS {n}" for c, n in (
+            ("avg_revenue", "highest_revenue"), ("listings", "largest_segment"),
+            ("avg_occupancy", "best_occupancy"), ("avg_price", "most_expensive"))),
+        ctes=f"{km},\nks_ AS ({by_cluster})")
     pairs3 = [(a, b) for a in feats3 for b in feats3]
     q["feature_corr"] = _sql(" UNION ALL ".join(
         f"SELECT '{a}' AS feature_x, '{b}' AS feature_y, {R(_corr(a, b))} AS r FROM filt"

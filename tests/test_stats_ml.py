@@ -121,16 +121,56 @@ def test_standardise_constant_column(spark):
 
 def test_kmeans_labels_cover_rows(sample):
     df = sample[0]
-    cl = ml.kmeans_clusters(df, k=3)
-    assert cl.count() == df.count()
-    summary = ml.cluster_summary(df, cl).collect()
+    cl = ml.with_clusters(df, ml.fit_kmeans(df, k=3))
+    assert cl.count() == df.count() and cl.where("cluster IS NULL").count() == 0
+    summary = ml.cluster_summary(cl).collect()
     assert sum(r.listings for r in summary) == df.count()
     prices = [r.avg_price for r in summary]
     assert prices == sorted(prices)        # ids renumbered by mean price
-    w = ml.cluster_winners(ml.cluster_summary(df, cl)).collect()[0]
+    w = ml.cluster_winners(ml.cluster_summary(cl)).collect()[0]
     assert w.most_expensive == len(summary) - 1
 
 
+def test_kmeans_rows_are_nearest_to_their_own_centre(sample):
+    df, price, reviews, avail = sample
+    x = np.column_stack([price, reviews, avail])
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    model = ml.fit_kmeans(df, k=4, tol=0.0)
+    got = np.array([r.cluster for r in df.select(model.cluster().alias("cluster")).collect()])
+    centres = np.array([z[got == c].mean(axis=0) for c in range(4)])
+    d = ((z[:, None, :] - centres[None]) ** 2).sum(axis=2)
+    assert (d[np.arange(len(z)), got] <= d.min(axis=1) + 1e-5).all()
+
+
+def test_kmeans_does_not_depend_on_partitioning(sample):
+    df = sample[0]
+    models = {ml.fit_kmeans(d, k=4) for d in (df, df.repartition(11), df.repartition(3, "price"))}
+    assert len(models) == 1
+
+
+def test_kmeans_of_few_values(spark):
+    df = _enriched(spark, [dict(price=float(50 + p % 2), availability_365=p % 2,
+                                number_of_reviews=3) for p in range(20)])
+    got = ml.with_clusters(df, ml.fit_kmeans(df, k=4)).groupBy("cluster").count().collect()
+    assert sorted((r.cluster, r["count"]) for r in got) == [(0, 10), (1, 10)]
+
+
+def test_segments_have_all_columns(sample):
+    df = sample[0]
+    out = ml.segments(df, ml.fit_kmeans(df), ml.fit_pca(df))
+    assert out.columns == df.columns + ["cluster", "pca_1", "pca_2"]
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_describe_of_large_ids_and_tiny_values(spark):
+    from staylens.operators.summaries import describe_numeric
+    big = 1_060_000_000_000_000_000
+    df = spark.createDataFrame([(big, 1e-11), (big + 2, 3e-11), (None, None)], "id long, x double")
+    rows = {r["column"]: r for r in describe_numeric(df).collect()}
+    assert rows["id"]["mean"] == float(big + 1) and rows["id"]["count"] == 2
+    assert rows["x"]["count"] == 2
+
+
 def test_kmeans_too_few_rows(spark):
     df = _enriched(spark, [dict(price=float(p)) for p in range(1, 6)])
     assert ml.kmeans_clusters(df).count() == 0
