@@ -44,22 +44,35 @@ def parse_price(c: str | Column = "price") -> Column:
     return nan_to_null(text.try_cast("double"))
 
 
+#: Tried in this order after ISO dates and times; of two readings the month is first.
+DATE_FORMATS = ("M/d/yyyy", "d/M/yyyy", "yyyy/M/d", "M-d-yyyy", "yyyyMMdd", "MMM d, yyyy",
+                "MMMM d, yyyy", "d MMM yyyy", "d-MMM-yyyy")
+
+
+def parse_date(c: str | Column) -> Column:
+    """Text in ISO form or one of ``DATE_FORMATS`` to a date; other text -> null."""
+    x = F.col(c) if isinstance(c, str) else c
+    text = F.trim(x.cast("string"))
+    return F.coalesce(text.try_cast("date"), *[
+        F.try_to_timestamp(text, F.lit(f)).cast("date") for f in DATE_FORMATS])
+
+
 def conform(raw: DataFrame) -> DataFrame:
     """Text columns (as read from a listings dump) to :data:`LISTINGS_SCHEMA`.
 
     Values are converted with ``try_cast``, so an unparsable value is null for
-    that row only. Prices accept ``$`` and thousands separators. Extra columns are
-    ignored; missing ones are null.
+    that row only. Prices accept ``$`` and thousands separators, dates several
+    formats (:func:`parse_date`). Extra columns are ignored; a missing one raises.
     """
-    present = set(raw.columns)
+    missing = [f.name for f in LISTINGS_SCHEMA.fields if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"listings without the columns {missing}")
     cols = []
     for f in LISTINGS_SCHEMA.fields:
-        if f.name not in present:
-            cols.append(F.lit(None).cast(f.dataType).alias(f.name))
-        elif f.name == "price":
+        if f.name == "price":
             cols.append(parse_price("price").alias("price"))
         elif f.name == "last_review":
-            cols.append(F.col(f.name).cast("string").try_cast("date").alias(f.name))
+            cols.append(parse_date(f.name).alias(f.name))
         elif isinstance(f.dataType, T.DoubleType):
             cols.append(nan_to_null(F.col(f.name).try_cast("double")).alias(f.name))
         else:
@@ -70,10 +83,17 @@ def conform(raw: DataFrame) -> DataFrame:
 TEXT_SCHEMA = T.StructType([T.StructField(f.name, T.StringType()) for f in LISTINGS_SCHEMA.fields])
 
 
-def read_listings_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Scan listing CSV files (header row, quoted multi-line fields) and conform
-    them to the listing schema (:func:`conform`)."""
-    raw = (spark.read.option("header", True).option("multiLine", True)
+def read_listings_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Scan listing CSV files (header row, quoted fields) and conform them to the
+    listing schema (:func:`conform`).
+
+    Columns are found by the names in the header; a file whose header has other names
+    or another order than the first one's fails the scan.  ``multi_line`` is for dumps
+    with line breaks inside quotes: each file is then read by one task, while without
+    it large files are split.
+    """
+    raw = (spark.read.option("header", True).option("multiLine", multi_line)
+           .option("enforceSchema", False)
            .option("escape", '"').option("mode", "PERMISSIVE").csv(path))
     return conform(raw)
 

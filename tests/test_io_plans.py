@@ -30,7 +30,7 @@ def test_csv_ingestion(spark):
     p = os.path.join(d, "listings.csv")
     with open(p, "w") as f:
         f.write(CSV)
-    rows = {r.id: r for r in read_listings_csv(spark, p).collect()}
+    rows = {r.id: r for r in read_listings_csv(spark, p, multi_line=True).collect()}
     assert rows[1].price == 1234.0 and rows[1].name == "Flat, sea view"
     assert rows[2].name == 'Say "hi"\ntwice' and rows[2].price == 80.0
     assert rows[2].last_review is None and rows[2].neighbourhood_group is None
@@ -39,6 +39,40 @@ def test_csv_ingestion(spark):
     assert rows[1].number_of_reviews == 10 and rows[3].availability_365 == 365
 
 
+def test_csv_headers_and_missing_columns(spark):
+    d = _tmp()
+    header = CSV.splitlines()[0]
+    line = "1,x,7,Ana,North,Alpha,-22.9,-43.1,Private room,80,1,10,03/15/2020,0.25,1,0"
+    with open(os.path.join(d, "a.csv"), "w") as f:
+        f.write(f"{header}\n{line}\n")
+    assert str(read_listings_csv(spark, d).collect()[0].last_review) == "2020-03-15"
+
+    def swapped(text):
+        first, second, *rest = text.split(",")
+        return ",".join([second, first, *rest])
+
+    with open(os.path.join(d, "b.csv"), "w") as f:
+        f.write(f"{swapped(header)}\n{swapped(line)}\n")
+    with pytest.raises(Exception, match="CSV header does not conform"):
+        read_listings_csv(spark, d).collect()
+    row = read_listings_csv(spark, os.path.join(d, "b.csv")).collect()[0]
+    assert (row.id, row.name) == (1, "x")
+    with open(os.path.join(d, "c.csv"), "w") as f:
+        f.write("id,name\n1,x\n")
+    with pytest.raises(ValueError, match="price"):
+        read_listings_csv(spark, os.path.join(d, "c.csv"))
+
+
+def test_date_formats(spark):
+    from staylens.sources.listings import parse_date
+    texts = ["2020-03-15", "03/15/2020", "15/03/2020", "2020/3/15", "Mar 15, 2020",
+             "15 Mar 2020", "20200315", "2020-03-15 10:11:12", " 2020-03-15 "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {str(r.d) for r in df.select(parse_date("t").alias("d")).collect()} == {"2020-03-15"}
+    bad = spark.createDataFrame([(t,) for t in ("soon", "2024-13-01", "", None)], "t string")
+    assert all(r.d is None for r in bad.select(parse_date("t").alias("d")).collect())
+
+
 def test_exports_round_trip(spark):
     df = listings(spark, [dict(price=10.0), dict(price=20.0, last_review=None)])
     df = enrich(df, price_bounds(df))
@@ -154,7 +188,8 @@ def test_csv_stream_parses_text_prices(spark):
     os.makedirs(src)
     with open(os.path.join(src, "part1.csv"), "w") as f:
         f.write(CSV)
-    bounds = price_bounds(read_listings_csv(spark, os.path.join(src, "part1.csv")).where("price < 10000"))
+    raw = read_listings_csv(spark, os.path.join(src, "part1.csv"), multi_line=True)
+    bounds = price_bounds(raw.where("price < 10000"))
     out = run_to_memory(kpi_stream(enriched_stream(spark, src, bounds, fmt="csv")), "kpi_csv",
                         os.path.join(d, "ckpt"))
     got = {r.room_type: (r.listings, r.avg_price) for r in out.collect()}
