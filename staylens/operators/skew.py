@@ -2,62 +2,46 @@
 
 ``rows JOIN groupBy(key).agg(...)`` shuffles every row to the task owning its
 key; a key holding a third of all rows would make one task read a third of the
-table.  :func:`attach_key_count` keeps that bounded:
+table.  :func:`attach_key_count` keeps that bounded, by one plan for all sizes:
 
 1. counts per key come from a ``groupBy`` with map-side partial aggregation (a
    hot key costs one row per map task, not a shuffle of its rows);
-2. keys with more than ``hot_rows`` rows are collected (at most ``max_hot``;
-   more raises) - that is a proven bound on the broadcast table;
+2. a key is hot if it has more than one in ``SHARES`` of all rows, so there are
+   fewer than ``SHARES`` hot keys: a proven bound on the table that is broadcast;
 3. rows of hot keys get a salt ``pmod(xxhash64(salt_col), buckets)`` - a
    deterministic value, so a retried task after executor loss computes the same
    salt - and the hot keys' count rows are replicated once per bucket; the
-   join on ``(key, salt)`` then gives every task at most ~``hot_rows`` rows of a
-   key.  Cold keys keep salt 0 and need no replication.
+   join on ``(key, salt)`` then gives every task at most about one in ``SHARES`` of the
+   rows for a key.  Other keys keep salt 0 and need no replication.
+
+Nothing is collected or kept: the counts are part of the plan, and Spark reuses
+their exchange.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+SHARES = 1000
 
 
 def attach_key_count(df: DataFrame, key: str, name: str, salt_col: str, *,
-                     hot_rows: int = 2_000_000, max_hot: int = 100_000,
-                     held: list | None = None, max_rows: int | None = None) -> DataFrame:
-    """``df`` with a column ``name`` = number of rows sharing its ``key``.
-
-    The per-key counts are persisted; they are appended to ``held`` (when given)
-    so the caller can release them once the result is materialised.  When the
-    caller knows ``df`` has at most ``max_rows <= hot_rows`` rows, no key can be
-    hot and the detection pass is skipped (plain join)."""
-    if max_rows is not None and max_rows <= hot_rows:
-        return df.join(df.groupBy(key).agg(F.count(F.lit(1)).alias(name)), key)
-    spark = df.sparkSession
-    # one row per key; kept so that finding the hot keys and the join share one pass
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias(name)).persist(StorageLevel.MEMORY_AND_DISK)
-    if held is not None:
-        held.append(counts)
-    hot = (counts.where(F.col(name) > F.lit(hot_rows)).limit(max_hot + 1).collect())
-    if len(hot) > max_hot:
-        raise ValueError(f"attach_key_count: more than {max_hot} keys above {hot_rows} rows")
-    if not hot:
-        return df.join(counts, key)
-    key_type = df.schema[key].dataType
-    hot_df = spark.createDataFrame(
-        [(r[key], int(math.ceil(r[name] / hot_rows))) for r in hot],
-        T.StructType([T.StructField(key, key_type), T.StructField("_buckets", T.IntegerType())]))
-    salted_rows = (df.join(F.broadcast(hot_df), key, "left")
-                   .withColumn("_salt", F.when(F.col("_buckets").isNull(), F.lit(0))
-                               .otherwise(F.pmod(F.xxhash64(F.col(salt_col)), F.col("_buckets"))
-                                          .cast("int")))
+                     shares: int = SHARES) -> DataFrame:
+    """``df`` with a column ``name`` = number of rows sharing its ``key``; rows with a
+    null key go."""
+    counts = (df.where(F.col(key).isNotNull()).groupBy(key)
+              .agg(F.count(F.lit(1)).alias(name)))
+    total = counts.agg(F.sum(name).alias("_total"))
+    hot = (counts.crossJoin(F.broadcast(total))   # one row
+           .where(F.col(name) * F.lit(shares) > F.col("_total"))
+           .select(key, F.ceil(F.col(name) * F.lit(shares) / F.col("_total")).cast("int")
+                   .alias("_buckets")))
+    buckets = F.coalesce(F.col("_buckets"), F.lit(1))
+    salted_rows = (df.join(F.broadcast(hot), key, "left")
+                   .withColumn("_salt", F.pmod(F.xxhash64(F.col(salt_col)), buckets).cast("int"))
                    .drop("_buckets"))
-    salted_counts = (counts.join(F.broadcast(hot_df), key, "left")
-                     .withColumn("_salt", F.explode(
-                         F.when(F.col("_buckets").isNull(), F.array(F.lit(0)))
-                         .otherwise(F.sequence(F.lit(0), F.col("_buckets") - 1))))
+    salted_counts = (counts.join(F.broadcast(hot), key, "left")
+                     .withColumn("_salt", F.explode(F.sequence(F.lit(0), buckets - 1)))
                      .select(key, "_salt", name))
     return salted_rows.join(salted_counts, [key, "_salt"]).drop("_salt")

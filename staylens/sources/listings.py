@@ -102,8 +102,7 @@ def read_tpch(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def listings_from_tpch(spark: SparkSession, sf_dir: str, hot_rows: int = 2_000_000,
-                       held: list | None = None) -> DataFrame:
+def listings_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The listing star view over orders, customer, nation, region and lineitem.
 
     One listing per order.  Shape of the plan at scale:
@@ -163,9 +162,5 @@ def listings_from_tpch(spark: SparkSession, sf_dir: str, hot_rows: int = 2_000_0
         (F.col("li_n") / F.lit(4.0)).alias("reviews_per_month"),
         ((k * 37) % 366).cast("int").alias("availability_365"),
     )
-    # one listing per order: the orders row count (Parquet metadata) bounds every
-    # host's count, so small inputs skip the hot-key detection pass
-    n_orders = read_tpch(spark, sf_dir, "orders").count()
-    out = attach_key_count(listings, "host_id", "calculated_host_listings_count",
-                           salt_col="id", hot_rows=hot_rows, held=held, max_rows=n_orders)
+    out = attach_key_count(listings, "host_id", "calculated_host_listings_count", salt_col="id")
     return out.select(*[F.col(f.name) for f in LISTINGS_SCHEMA.fields])
