@@ -6,11 +6,14 @@ order statistics are found by *selection* instead:
 
 1. one aggregate pass: ``count``, ``min``, ``max`` per group;
 2. while a target rank sits in an interval holding more than ``direct_limit``
-   rows: an equal-width histogram pass over that interval (``groupBy(interval,
+   rows of several values: a histogram pass over that interval (``groupBy(interval,
    bucket)`` with partial aggregation - only ``intervals x buckets`` counts are
-   shuffled), then the interval shrinks to the ``[min, max]`` of the bucket that
-   contains the rank;
-3. a final pass ranks only the rows of each (now bounded) interval with
+   shuffled, and a running sum picks one bucket per target), then the interval
+   shrinks to the ``[min, max]`` of the bucket that contains the rank.  Buckets are of
+   equal width on the plain and on a logarithmic scale in turn: whatever the values,
+   about a dozen passes of 2048 buckets separate any two doubles, and one or two do
+   for ordinary data;
+3. a final pass ranks only the rows of each interval, ``direct_limit`` at most, with
    ``row_number`` and picks the wanted ranks.
 
 The interpolation ``lo * (1 - frac) + hi * frac`` at position ``p * (n - 1)`` is done
@@ -25,10 +28,13 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Most rows of an interval that are ranked in one task.
+DIRECT_LIMIT = 10_000
+
 
 @dataclass
 class _Target:
@@ -66,8 +72,13 @@ def _group_stats(data: DataFrame, by: Sequence[str], max_groups: int) -> list:
     return [r for r in stats if r["n"]]
 
 
+def _log_scale(x: Column) -> Column:
+    """A non-decreasing scale on which all doubles lie within 1,456 of 0."""
+    return F.coalesce(F.signum(x) * (F.ln(F.abs(x)) + F.lit(746.0)), F.lit(0.0))
+
+
 def _select(data: DataFrame, by: Sequence[str], targets: dict[tuple, _Target], *,
-            direct_limit: int, buckets: int, max_passes: int) -> None:
+            direct_limit: int, buckets: int) -> None:
     """Fill ``value`` of every target (histogram narrowing, then ranking)."""
     spark = data.sparkSession
     group_fields = [f for f in data.schema.fields if f.name in by]
@@ -95,32 +106,30 @@ def _select(data: DataFrame, by: Sequence[str], targets: dict[tuple, _Target], *
         joined = data.join(F.broadcast(iv), cond, "inner")
         return joined.select("_iid", "_lo", "_hi", data["_x"])
 
-    for _ in range(max_passes):
-        active = [t for t in targets.values() if t.value is None and t.count > direct_limit]
-        if not active:
-            break
+    before = F.coalesce(F.sum("c").over(
+        Window.partitionBy("_iid").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0))
+    turn = 0
+    while active := [t for t in targets.values() if t.value is None and t.count > direct_limit]:
         iv, keys = intervals_frame(active)
-        width = (F.col("_hi") - F.col("_lo"))
-        bucket = F.least(F.floor((F.col("_x") - F.col("_lo")) / width * F.lit(float(buckets))),
-                         F.lit(buckets - 1)).cast("int")
+        x, lo, hi = [_log_scale(F.col(c)) if turn % 2 else F.col(c) for c in ("_x", "_lo", "_hi")]
+        part = F.coalesce(F.try_divide(x - lo, hi - lo), F.lit(0.0))
+        bucket = F.least(F.floor(part * F.lit(float(buckets))), F.lit(buckets - 1)).cast("int")
         hist = (join_intervals(iv).withColumn("_b", bucket)
                 .groupBy("_iid", "_b")
                 .agg(F.count("*").alias("c"), F.min("_x").alias("bmn"), F.max("_x").alias("bmx"))
-                .collect())
-        by_iv: dict[int, list] = {}
-        for r in hist:
-            by_iv.setdefault(r["_iid"], []).append((r["_b"], r["c"], r["bmn"], r["bmx"]))
-        for t in active:
-            rows = sorted(by_iv.get(keys[(t.group, t.lo, t.hi)], []))
-            rel = t.rank - t.below
-            before = 0
-            for _b, c, bmn, bmx in rows:
-                if before + c > rel:
-                    t.lo, t.hi, t.below, t.count = bmn, bmx, t.below + before, c
-                    if bmn == bmx:
-                        t.value = bmn
-                    break
-                before += c
+                .withColumn("_before", before))
+        wanted = spark.createDataFrame(
+            [(i, keys[(t.group, t.lo, t.hi)], t.rank - t.below) for i, t in enumerate(active)],
+            "_tid int, _iid int, _rel long")
+        hit = hist.join(F.broadcast(wanted), "_iid").where(
+            (F.col("_rel") >= F.col("_before")) & (F.col("_rel") < F.col("_before") + F.col("c")))
+        for r in hit.select("_tid", "_before", "c", "bmn", "bmx").collect():   # one per target
+            t = active[r["_tid"]]
+            t.lo, t.hi, t.below, t.count = r["bmn"], r["bmx"], t.below + r["_before"], r["c"]
+            if t.lo == t.hi:
+                t.value = t.lo
+        turn += 1
 
     pending = [t for t in targets.values() if t.value is None]
     if pending:
@@ -138,8 +147,8 @@ def _select(data: DataFrame, by: Sequence[str], targets: dict[tuple, _Target], *
 
 def order_statistics(df: DataFrame, value: str, ranks, by: Sequence[str] = (), *,
                      ranks_by_group: dict | None = None, stats: Sequence[dict] | None = None,
-                     direct_limit: int = 2_000_000, buckets: int = 2048,
-                     max_groups: int = 10_000, max_passes: int = 16) -> dict[tuple, dict]:
+                     direct_limit: int = DIRECT_LIMIT, buckets: int = 2048,
+                     max_groups: int = 10_000) -> dict[tuple, dict]:
     """The k-th smallest values (0-based ``ranks``) per group.
 
     ``ranks`` is a function ``n -> iterable of ranks`` (called with each group's
@@ -176,8 +185,7 @@ def order_statistics(df: DataFrame, value: str, ranks, by: Sequence[str] = (), *
                 if t.lo == t.hi:
                     t.value = t.lo
                 targets[(g, r)] = t
-    _select(data, by, targets, direct_limit=direct_limit, buckets=buckets,
-            max_passes=max_passes)
+    _select(data, by, targets, direct_limit=direct_limit, buckets=buckets)
     out: dict[tuple, dict] = {g: {"n": n} for g, n in sizes.items()}
     for (g, r), t in targets.items():
         out[g][r] = t.value

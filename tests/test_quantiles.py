@@ -73,3 +73,15 @@ def test_approx_quantiles_are_opt_in_and_close(spark):
     exact = exact_quantiles(df, "x", [0.1, 0.5, 0.9])[()]
     approx = approx_quantiles(df, "x", [0.1, 0.5, 0.9], accuracy=1000)[()]
     assert all(abs(a - e) <= 2.0 for a, e in zip(approx, exact))
+
+
+def test_quantiles_of_extreme_values(spark):
+    rng = np.random.default_rng(2)
+    wide = [float(v) for v in 10.0 ** rng.uniform(-300, 300, 3000)]
+    plain = [float(v) for v in rng.normal(size=3000)]
+    for vals in (wide, [-v for v in wide] + wide, plain + [-1.7e308, 1.7e308, 5e-324, 0.0]):
+        df = spark.createDataFrame([(v,) for v in vals], "x double")
+        n = len(vals)
+        got = exact_quantiles(df, "x", [0.0, 100 / (n - 1), 0.5, 1.0], direct_limit=20)[()]
+        for p, q in zip([0.0, 100 / (n - 1), 0.5, 1.0], got):
+            assert q == pytest.approx(_ref(vals, p), rel=1e-9)
