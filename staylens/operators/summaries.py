@@ -252,24 +252,19 @@ def review_activity(df: DataFrame, k: int = 15) -> DataFrame:
                     rnd("reviews_per_month", 2).alias("reviews_per_month")))
 
 
-def room_mix(df: DataFrame, k: int = 10, max_room_types: int = 1000) -> DataFrame:
-    """Room-type shares inside the ``k`` most listed neighbourhoods, zeros kept.
-
-    Pivot with an explicit value list (no extra planning job), fill 0, unpivot to
-    long form ``(neighbourhood, room_type, listings, pct)``.
-    """
-    sub = keep_top_k(df.where(F.col("room_type").isNotNull()), "neighbourhood", k)
-    types = [r[0] for r in sub.select("room_type").distinct().limit(max_room_types + 1).collect()]
-    if len(types) > max_room_types:
-        raise ValueError("room_mix: too many room types to pivot")
-    types = sorted(types)
-    if not types:
-        return df.sparkSession.createDataFrame(
-            [], "neighbourhood string, room_type string, listings long, pct double")
-    wide = sub.groupBy("neighbourhood").pivot("room_type", types).count().fillna(0, subset=types)
-    long = wide.unpivot("neighbourhood", types, "room_type", "listings")
+def room_mix(df: DataFrame, k: int = 10) -> DataFrame:
+    """Room-type shares inside the ``k`` most listed neighbourhoods, zeros kept, in long
+    form ``(neighbourhood, room_type, listings, pct)``.  Listings without a room type
+    count for the choice of neighbourhoods, not for the shares."""
+    sub = keep_top_k(df, "neighbourhood", k).where(F.col("room_type").isNotNull())
+    counts = sub.groupBy("neighbourhood", "room_type").agg(F.count(F.lit(1)).alias("n"))
+    # the grid is the result's own size: at most k rows against the room types
+    grid = counts.select("room_type").distinct().crossJoin(
+        F.broadcast(counts.select("neighbourhood").distinct()))
+    long = grid.join(counts, ["neighbourhood", "room_type"], "left").withColumn(
+        "listings", F.coalesce("n", F.lit(0)).cast("long"))
     total = F.sum("listings").over(Window.partitionBy("neighbourhood"))
-    return long.select("neighbourhood", "room_type", F.col("listings").cast("long").alias("listings"),
+    return long.select("neighbourhood", "room_type", "listings",
                        rnd(F.col("listings") * F.lit(100.0) / total, 2).alias("pct"))
 
 

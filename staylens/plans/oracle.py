@@ -540,7 +540,7 @@ def oracle_queries() -> dict[str, str]:
            FROM top10 t CROSS JOIN rt
            LEFT JOIN cnt c ON c.neighbourhood = t.neighbourhood AND c.room_type = rt.room_type
            JOIN (SELECT neighbourhood, sum(n) AS n FROM cnt GROUP BY 1) tot ON tot.neighbourhood = t.neighbourhood""",
-        ctes="""top10 AS (SELECT neighbourhood FROM filt WHERE neighbourhood IS NOT NULL AND room_type IS NOT NULL
+        ctes="""top10 AS (SELECT neighbourhood FROM filt WHERE neighbourhood IS NOT NULL
                   GROUP BY 1 ORDER BY count(*) DESC, neighbourhood LIMIT 10),
            sub AS (SELECT * FROM filt WHERE room_type IS NOT NULL AND neighbourhood IN (SELECT neighbourhood FROM top10)),
            rt AS (SELECT DISTINCT room_type FROM sub),
