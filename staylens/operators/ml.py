@@ -201,10 +201,15 @@ def fit_kmeans(df: DataFrame, k: int = fixed.KMEANS_DEFAULT_K,
               .groupBy("z0").agg(F.min(F.struct(key, *names)).alias("who")).collect()}
     centres = [tuple(float(starts[v][n]) for n in names) for v in wanted]
 
+    cells = [[f"c{j}_{i}" for i in range(len(features))] for j in range(k)]
+    place = _nearest([F.col(n) for n in names], [[F.col(c) for c in row] for row in cells], weights)
+    sums = [F.sum(F.col(n).cast("decimal(20,0)")).alias(n) for n in names]
+
     def assigned(centres):
-        place = _nearest([F.col(n) for n in names], centres, weights)
-        sums = [F.sum(F.col(n).cast("decimal(20,0)")).alias(n) for n in names]
-        return (z.groupBy(place.cast("int").alias("place"))
+        # one row of centres: as literals they would make Spark compile every pass anew
+        at = df.sparkSession.createDataFrame(
+            [sum(centres, ())], ", ".join(f"{c} double" for row in cells for c in row))
+        return (z.crossJoin(F.broadcast(at)).groupBy(place.cast("int").alias("place"))
                 .agg(F.count(F.lit(1)).alias("n"), *sums).collect())
 
     for _ in range(max_iter):
