@@ -216,20 +216,25 @@ def match_items(docs: DataFrame, items: DataFrame, window: int = WINDOW,
                 chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Per document: doc_id, n_words, spans (hit word ranges), items (sorted ids)."""
     plain = docs.select("doc_id", whole_text().alias("text"))
-    parts = [_scan(plain, chunk, window) for chunk in item_chunks(items, chunk_bytes)]
-    if len(parts) == 1:
-        return parts[0].drop("text_hash")
+    chunks = list(item_chunks(items, chunk_bytes))
+    if len(chunks) == 1:
+        return _scan(plain, chunks[0], window).drop("text_hash")
     # equal rows give equal results in every chunk: merged once, returned as often
-    merged = (store(_union_all(parts), "decontaminate-chunks")
+    merged = (store(_scan_all(plain, chunks, window), "decontaminate-chunks")
               .groupBy("doc_id", "text_hash", "n_words")
               .agg(F.collect_set("spans").alias("s"), F.collect_set("items").alias("i"),
                    F.count("*").alias("n")))
-    copies = F.explode(F.sequence(F.lit(1), (F.col("n") / len(parts)).cast("int"))).alias("nth")
+    copies = F.explode(F.sequence(F.lit(1), (F.col("n") / len(chunks)).cast("int"))).alias("nth")
     return merged.select("doc_id", "n_words", _union_spans(F.col("s")).alias("spans"),
                          F.array_sort(F.array_distinct(F.flatten("i"))).alias("items"),
                          copies).drop("nth")
 
 
+def _scan_all(docs: DataFrame, chunks: list[tuple], window: int) -> DataFrame:
+    """One row per document and chunk."""
+    return _union_all([_scan(docs, chunk, window) for chunk in chunks])
+
+
 def _union_all(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
@@ -247,30 +252,33 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
         (n_hit > 0).alias("contaminated"))
 
 
-def cut_spans(text: str, automata: list[ItemAutomaton], drop_coverage: float) -> str | None:
+def cut_words(text: str, spans: list) -> str:
+    """``text`` without the word ranges, which are disjoint and in order; a cut leaves a
+    line break."""
+    raw = text.encode()
+    places = [m.span() for m in _WORD.finditer(raw.translate(_PLAIN))]
+    out, at = [], 0
+    for start, end in spans:
+        out.append(raw[at:places[start][0]])
+        at = places[end - 1][1]
+    return b"\n".join([*out, raw[at:]]).decode()
+
+
+def cut_spans(text: str, automaton: ItemAutomaton, drop_coverage: float) -> str | None:
     """``text`` without hit spans, None if more than ``drop_coverage`` of its words were
-    hit.  A cut leaves a line break; cutting repeats until nothing is hit, since the
-    words on both sides of a cut could form a new window."""
+    hit.  Cutting repeats until nothing is hit, since the words on both sides of a cut
+    could form a new window."""
     total = hit = 0
     while True:
-        raw = text.encode()
-        places = [m.span() for m in _WORD.finditer(raw.translate(_PLAIN))]
         seq = words(text)
         total = total or len(seq)
-        spans = sorted(s for a in automata for s in a.scan(seq)[0])
+        spans = automaton.scan(seq)[0]
         if not spans:
             return text
-        out, at, inside = [], 0, 0
-        for start, end in spans:
-            start = max(start, inside)
-            if start >= end:
-                continue
-            hit += end - start
-            out.append(raw[at:places[start][0]])
-            at, inside = places[end - 1][1], end
+        hit += sum(end - start for start, end in spans)
         if hit > drop_coverage * total:
             return None
-        text = b"\n".join([*out, raw[at:]]).decode()
+        text = cut_words(text, spans)
 
 
 def remove_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
@@ -278,17 +286,59 @@ def remove_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW
                          chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The documents with contaminated spans cut out of their text, without those of
     which more than ``drop_coverage`` of the words are hit; all columns kept (n_chars
-    follows the text).  Untouched documents come back as they are."""
+    follows the text).  Untouched documents come back as they are.  The result is the
+    same for any ``chunk_bytes``."""
     chunks = list(item_chunks(items, chunk_bytes))
     if len(chunks) == 1:
         return _cut_chunk(docs, chunks[0], window, drop_coverage)
-    # a cut may bring words together that another chunk's window spans: repeat until clean
+    return _cut_rounds(docs, chunks, window, drop_coverage)
+
+
+def _cut_rounds(docs: DataFrame, chunks: list[tuple], window: int,
+                drop_coverage: float) -> DataFrame:
+    """``cut_spans`` for several chunks.  A round finds the spans of all chunks, unites
+    them and cuts once; documents that were cut go into the next round with their first
+    word count and the words hit so far."""
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    left = docs.withColumns({"__total": F.lit(None).cast("long"),
+                             "__hit": F.lit(0).cast("long")})
+    clean = []
     while True:
-        for chunk in chunks:
-            docs = _cut_chunk(docs, chunk, window, drop_coverage)
-        docs = store(docs, "decontaminate-cut")
-        if match_items(docs, items, window, chunk_bytes).filter(F.size("spans") > 0).isEmpty():
-            return docs
+        plain = left.select("doc_id", whole_text().alias("text"))
+        hit = store(_scan_all(plain, chunks, window).filter(F.size("spans") > 0),
+                    "decontaminate-hits")
+        if hit.isEmpty():
+            return _union_all([*clean, left.select(*names)])
+        spans = (hit.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__md5"),
+                             F.col("n_words").alias("__words"))
+                 .agg(F.collect_set("spans").alias("s"))
+                 .select("__id", "__md5", "__words", _union_spans(F.col("s")).alias("__spans")))
+        same = (F.col("doc_id").eqNullSafe(F.col("__id"))
+                & (F.unhex(F.md5(whole_text().cast("binary"))) == F.col("__md5")))
+        clean.append(left.join(spans, same, "left_anti").select(*names))
+        n_hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
+        met = (left.join(spans, same)
+               .withColumns({"__total": F.coalesce("__total", "__words"),
+                             "__hit": F.col("__hit") + n_hit})
+               .filter(F.col("__hit") <= F.lit(drop_coverage) * F.col("__total"))
+               .select(*names, "__total", "__hit", "__spans"))
+        cut = _cut_united(met).drop("__spans")
+        if "n_chars" in docs.columns:
+            cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+        left = store(cut, "decontaminate-cut")
+
+
+def _cut_united(met: DataFrame) -> DataFrame:
+    """``met`` with the ranges of ``__spans`` cut out of its text."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [cut_words(*row) for row in rows_of([batch], "text", "__spans")]
+            field = batch.schema.field("text")
+            yield batch.set_column(batch.schema.get_field_index("text"), field,
+                                   pa.array(texts, type=field.type))
+
+    return map_arrow(met, cut, met.schema)
 
 
 def _cut_chunk(docs: DataFrame, chunk: tuple, window: int, drop_coverage: float) -> DataFrame:
@@ -301,7 +351,7 @@ def _cut_chunk(docs: DataFrame, chunk: tuple, window: int, drop_coverage: float)
             texts = batch.column("text").to_pylist()
             kept, changed = [], {}
             for i, text in enumerate(texts):
-                new = text if text is None else cut_spans(text, [automaton], drop_coverage)
+                new = text if text is None else cut_spans(text, automaton, drop_coverage)
                 if new is None and text is not None:
                     continue
                 kept.append(i)

@@ -242,6 +242,34 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate.contamination(docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_cuts_are_the_same_for_any_chunk_size(spark):
+    rng = np.random.default_rng(4)
+    draw = lambda n: " ".join(rng.choice(list("abc"), n))
+    items = [(i, draw(int(rng.integers(3, 16)))) for i in range(12)]
+    rows = [(i, draw(int(rng.integers(0, 30))) + " . " + " ".join(
+        f"x{i}_{k}" for k in range(int(rng.integers(0, 90))))) for i in range(60)]
+    # two items of 30 words each in a text of 100; two items that overlap in a text
+    halves = [" ".join(f"{c}{k}" for k in range(30)) for c in "pq"]
+    line = [f"r{k}" for k in range(27)]
+    items += [(100, halves[0]), (101, halves[1]), (102, " ".join(line[:20])),
+              (103, " ".join(line[15:]))]
+    fill = [" ".join(f"{c}{k}" for k in range(40)) for c in "st"]
+    rows += [(1000, f"{halves[0]} {fill[0]} {halves[1]}"),
+             (1001, f"{fill[0]} {' '.join(line)} {fill[1]}"), (1002, None),
+             (None, f"{fill[0]} {halves[0]}"), (1003, f"{fill[0]} {halves[0]}"),
+             (1003, f"{fill[0]} {halves[0]}")]
+    table = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows],
+                                  "doc_id long, text string, n_chars int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    key = lambda r: (r["doc_id"] is None, r["doc_id"], r["text"] or "")
+    one, many = (sorted(decontaminate.remove_contamination(table, bench, chunk_bytes=b)
+                        .collect(), key=lambda r: str(key(r))) for b in (600_000, 60))
+    assert one == many and 0 < len(one) < len(rows)
+    texts = {r["doc_id"]: r["text"] for r in many}
+    assert 1000 not in texts and texts[1001].split() == (fill[0] + " " + fill[1]).split()
+    assert all(r["n_chars"] == len(r["text"] or "") for r in many)
+
+
 def test_language(spark, docs, empty):
     en, de = "the cat and the dog were there", "der hund und die katze waren dort"
     table = spark.createDataFrame(
