@@ -8,9 +8,11 @@ out of a word's candidates.  Viterbi over the words, with a penalty for each swi
 labels spans.  The prediction is the language of most lettered words; its share of
 them is the score.
 
-Most texts are of one language: the constant path is the best one whenever no run of
-words gains more than the penalty by another language, which one pass of cumulative
-sums shows exactly; only the other texts take the step-by-step recursion.
+Most texts are of one language: the constant path is the best one if no run of words
+gains more than the penalty by another language, and no run from the start and run to
+the end gain more than it together (k segments pay k - 1 penalties, and each lies at an
+end or between two others).  One pass of cumulative sums shows this; the other texts
+take the step-by-step recursion.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0 and no
 spans, and so is every text when nothing was learned; rows with a null language
@@ -171,7 +173,8 @@ def viterbi(scores: np.ndarray, penalty: float) -> list[int]:
     best = int(total.argmax())
     gain = np.cumsum(scores - scores[:, best:best + 1], axis=0)
     low = np.minimum.accumulate(np.vstack([np.zeros(gain.shape[1]), gain[:-1]]), axis=0)
-    if (gain - low).max() <= penalty:
+    runs = gain - low       # the best run that ends here
+    if runs.max() <= penalty and gain.max() + runs[-1].max() <= penalty:
         return [best] * len(scores)
     held = [0.0] * scores.shape[1]
     back: list[tuple[int, list[bool]]] = []

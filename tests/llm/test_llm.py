@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import zlib
 
@@ -298,6 +299,22 @@ def test_viterbi_equals_all_paths():
         assert math.isclose(value(path), best)
 
 
+def test_viterbi_of_several_languages():
+    """Two languages may win together over a third that is the best alone."""
+    def value(s, p):
+        return sum(s[i, x] for i, x in enumerate(p)) - 12.0 * sum(
+            a != b for a, b in zip(p, p[1:]))
+
+    halves = np.array([[0.0, -25, -10], [-25, 0, -10]])
+    assert language.viterbi(halves, 12.0) == [0, 1]
+    rng = np.random.default_rng(6)
+    for _ in range(600):
+        n, k = int(rng.integers(1, 6)), int(rng.integers(3, 5))
+        s = rng.normal(size=(n, k)) * rng.choice([4, 8, 16])
+        best = max(value(s, p) for p in itertools.product(range(k), repeat=n))
+        assert math.isclose(value(s, language.viterbi(s, 12.0)), best, abs_tol=1e-9)
+
+
 def test_toxicity(spark, docs, empty):
     rows = [(i, ("you idiot scum " if i % 4 == 0 else "kind words ") + f"more text n{i % 50}")
             for i in range(400)]
