@@ -3,7 +3,9 @@
 A tree is built from the page's tags with the usual implied ends (a block closes an
 open paragraph, list items, table cells and rows close their predecessors) and void
 elements.  Elements that a browser does not show (scripts, styles, templates, hidden
-or ``display:none`` ones, the head) are left out.  Everything else is emitted:
+or ``display:none`` ones, the head) are left out; ``visibility`` is inherited, and a
+visible element inside an invisible one is emitted.  Everything else is emitted, formulas,
+the text of drawings, text areas and the chosen options of a selection too:
 blocks stand on lines of their own, paragraphs and headings apart by a blank line,
 ``br`` breaks the line, list items are indented and marked by ``-`` or their number,
 preformatted text keeps its spaces, and a table's cells are padded so that columns
@@ -33,7 +35,14 @@ from staylens.llm.common import map_arrow, rows_of, slices
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 UNSHOWN = frozenset("""script style template noscript head title meta link iframe object
-    noembed noframes svg math canvas audio video datalist param area base textarea select""".split())
+    noembed noframes canvas audio video datalist param area base""".split())
+# Of drawings and formulas: not drawn by themselves; where HTML goes on; HTML tags that end them.
+FOREIGN_UNSHOWN = frozenset("""desc metadata defs symbol clippath mask pattern marker filter
+    lineargradient radialgradient annotation annotation-xml mphantom""".split())
+INTEGRATION = frozenset("foreignobject desc mi mo mn ms mtext annotation-xml".split())
+BREAKOUT = frozenset("""b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6
+    head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table
+    tt u ul var""".split())
 BLOCK = frozenset("""html body address article aside blockquote center dd details dialog dir div dl
     dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main
     menu nav ol optgroup option p pre search section summary table ul caption thead tbody tfoot
@@ -48,6 +57,7 @@ IMPLIED = {
     "dd": (frozenset(("dt", "dd")), frozenset(("dl",))),
     "td": (_CELL, _TABLE | _ROW), "th": (_CELL, _TABLE | _ROW),
     "tr": (_CELL | _ROW, _TABLE), "option": (frozenset(("option",)), frozenset(("select",))),
+    "optgroup": (frozenset(("option", "optgroup")), frozenset(("select",))),
     "thead": (_CELL | _ROW | {"thead", "tbody", "tfoot"}, _TABLE),
     "tbody": (_CELL | _ROW | {"thead", "tbody", "tfoot"}, _TABLE),
     "tfoot": (_CELL | _ROW | {"thead", "tbody", "tfoot"}, _TABLE),
@@ -61,28 +71,50 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)>|<[!?][^>]*>",
     re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+))?")
-_HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_HIDDEN_STYLE = re.compile(r"display\s*:\s*none|content-visibility\s*:\s*hidden", re.I)
+_VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(visible|initial|hidden|collapse)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    """An element; ``children`` holds nodes and strings in order."""
+    """An element; ``children`` holds nodes and strings in order.  ``space`` is svg, text
+    (below a drawing's text element), math or empty; ``seen`` its visibility."""
 
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "space", "seen")
 
-    def __init__(self, tag: str, attrs: dict[str, str]):
+    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None = None):
         self.tag, self.attrs, self.children = tag, attrs, []
+        self.space = _space(tag, parent) if parent else ""
+        self.see(parent is None or parent.seen)
+
+    def see(self, inherited: bool) -> None:
+        own = _VISIBILITY.findall(self.attrs["style"]) if "style" in self.attrs else ()
+        self.seen = own[-1].lower() in ("visible", "initial") if own else inherited
+
+    def add(self, text: str) -> None:
+        """Text directly inside; a drawing shows only that of its text elements."""
+        if self.seen and (self.space != "svg" or self.tag == "foreignobject"):
+            self.children.append(text)
 
     def shown(self) -> bool:
         a = self.attrs
-        if self.tag in UNSHOWN or self.tag == "dialog" and "open" not in a:
+        if (self.tag in UNSHOWN or self.space and self.tag in FOREIGN_UNSHOWN
+                or self.tag == "dialog" and "open" not in a):
             return False
         if not a:
             return True
-        return not ("hidden" in a or a.get("type", "").lower() == "hidden"
+        return not ("hidden" in a or self.tag == "input" and a.get("type", "").lower() == "hidden"
                     or "style" in a and _HIDDEN_STYLE.search(a["style"]))
 
 
+def _space(tag: str, parent: Node) -> str:
+    if tag in ("svg", "math"):
+        return tag
+    if parent.tag in INTEGRATION:
+        return ""
+    return "text" if parent.space == "svg" and tag == "text" else parent.space
+
+
 def parse(page: str) -> Node:
     """The page's tree."""
     root = Node("html", {})
@@ -90,7 +122,7 @@ def parse(page: str) -> Node:
     at = 0
     while match := _TOKEN.search(page, at):
         if match.start() > at:
-            open_[-1].children.append(html.unescape(page[at:match.start()]))
+            open_[-1].add(html.unescape(page[at:match.start()]))
         at = match.end()
         if not match[2]:
             continue
@@ -104,20 +136,25 @@ def parse(page: str) -> Node:
                 attrs.setdefault(name.lower(), html.unescape(value.strip("\"'")))
         if tag == "html" or tag == "body" and any(n.tag == "body" for n in open_):
             open_[0].attrs.update(attrs if tag == "html" else {})
+            open_[0].see(True)
             continue
+        if tag in BREAKOUT and open_[-1].tag not in INTEGRATION:
+            while open_[-1].space:
+                open_.pop()
         _imply(open_, tag)
-        node = Node(tag, attrs)
+        node = Node(tag, attrs, open_[-1])
         open_[-1].children.append(node)
-        if tag in VOID:
+        if tag in VOID or node.space and match[3].endswith("/"):
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>|\Z", re.I).search(page, at)
-            node.children.append(page[at:end.start()])
+            raw = page[at:end.start()]
+            node.add(html.unescape(raw).removeprefix("\n") if tag == "textarea" else raw)
             at = end.end()
             continue
         open_.append(node)
     if at < len(page):
-        open_[-1].children.append(html.unescape(page[at:]))
+        open_[-1].add(html.unescape(page[at:]))
     return root
 
 
@@ -244,8 +281,17 @@ def render(root: Node) -> str:
         elif tag == "hr":
             to.block(2)
         elif tag == "img":
-            if alt := node.attrs.get("alt", "").strip():
+            if node.seen and (alt := node.attrs.get("alt", "").strip()):
                 to.text(alt)
+        elif tag == "textarea":
+            to.block(1)
+            to.verbatim("".join(node.children))
+            to.block(1)
+        elif tag == "select":
+            _select(node, to)
+        elif node.space == "math" and tag in ("mfrac", "mtd"):
+            parts = [part for child in node.children for part in (" ", child)]
+            work.extend((part, to, False) for part in reversed([*parts, " "]))
         elif tag == "table":
             rows: list[list[_Out]] = []
 
@@ -273,7 +319,7 @@ def render(root: Node) -> str:
             extra = min(int(span), 100) - 1 if span.isdecimal() else 0
             tables[-1][-1].extend(_Out() for _ in range(extra))
             _children(work, node, cell, pre)
-        elif tag in BLOCK:
+        elif tag in BLOCK or tag == node.space == "text" or tag == "mtr":
             _block(work, node, to, pre)
         else:
             _children(work, node, to, pre)
@@ -304,7 +350,7 @@ def _block(work: list, node: Node, to: _Out, pre: bool) -> None:
         for child in node.children:
             if isinstance(child, Node) and child.tag == "li":
                 if child.shown():
-                    mark = f"{number}. " if tag == "ol" else "- "
+                    mark = "" if not child.seen else f"{number}. " if tag == "ol" else "- "
                     number += 1
                     entries.append((child, mark))
             else:
@@ -320,6 +366,50 @@ def _block(work: list, node: Node, to: _Out, pre: bool) -> None:
     _children(work, node, to, pre or tag == "pre")
 
 
+def _select(node: Node, to: _Out) -> None:
+    """The chosen option of a selection, the first if none is; all options of one that
+    shows a list."""
+    options: list[tuple[Node, str, bool, bool]] = []     # node, label, can be chosen, listed
+    work = [(child, False, node.shown()) for child in reversed(node.children)]
+    while work:
+        child, disabled, listed = work.pop()
+        if isinstance(child, str):
+            continue
+        disabled = disabled or "disabled" in child.attrs
+        listed = listed and child.shown()
+        if child.tag == "option":
+            label = child.attrs.get("label") or _SPACE.sub(" ", _inner(child)).strip(" ")
+            options.append((child, label if child.seen else "", not disabled, listed))
+            continue
+        if child.tag == "optgroup" and child.seen:
+            options.append((child, child.attrs.get("label", ""), False, listed))
+        work.extend((c, disabled, listed) for c in reversed(child.children))
+    size = node.attrs.get("size", "")
+    if "multiple" in node.attrs or size.isdecimal() and int(size) > 1:
+        for _, label, _, listed in options:
+            if listed:
+                to.block(1)
+                to.text(label)
+                to.block(1)
+        return
+    chosen = [label for n, label, _, _ in options if n.tag == "option" and "selected" in n.attrs]
+    first = [label for n, label, can, _ in options if n.tag == "option" and can]
+    if node.seen and (label := chosen[-1] if chosen else first[0] if first else ""):
+        to.text(f" {label} ")
+
+
+def _inner(node: Node) -> str:
+    """The text inside a node."""
+    out, work = [], [node]
+    while work:
+        item = work.pop()
+        if isinstance(item, str):
+            out.append(item)
+        elif item is node or item.shown():
+            work.extend(reversed(item.children))
+    return "".join(out)
+
+
 def _item(node: Node, mark: str, to: _Out, pre: bool) -> list:
     """Steps for one list item: its mark stands before its first text, further lines
     under that text."""

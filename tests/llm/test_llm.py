@@ -385,3 +385,22 @@ def test_html(spark):
     got = [(r["page_id"], r["text"]) for r in html_text.extract_text(rows).collect()]
     assert sorted(got) == [(1, ""), (2, ""), (3, "deep"), (3, "x")]
     assert html_text.extract_text(rows.limit(0)).count() == 0
+
+
+def test_html_shows_what_a_browser_shows():
+    text = html_text.page_text
+    assert text("a <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac>"
+                "<annotation>tex</annotation></math> b") == "a x= 1 2 b"
+    assert text("<svg>no<title>no</title><defs><text>no</text></defs><path d='m'/><style>no</style>"
+                "<g><text x=1>one <tspan>1</tspan></text><text/><text>two</text></g></svg>end"
+                ) == "one 1\ntwo\nend"
+    assert text("<svg><g><p>after an open drawing") == "after an open drawing"
+    assert text("a<textarea>\nx  &lt;b>\n y</textarea>b") == "a\nx  <b>\n y\nb"
+    options = "<option>one<option>two &amp; 2<optgroup label=g><option{}>three</select>b"
+    assert text("a<select>" + options.format("")) == "a one b"
+    assert text("a<select>" + options.format(" selected")) == "a three b"
+    assert text("a<select multiple>" + options.format("")) == "a\none\ntwo & 2\ng\nthree\nb"
+    assert text("<div style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no"
+                "<i>no</i></div><ol><li style='visibility:hidden'>no<li>z</ol>") == "yes\n\n2. z"
+    assert text("<div style='display:none'>no<b style='visibility:visible'>no</b></div>") == ""
+    assert text("<ul type=hidden><li>x</ul><input type=hidden>") == "- x"
