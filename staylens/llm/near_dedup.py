@@ -139,7 +139,7 @@ def alignment_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY
     place = order[np.minimum(place, n2 - 1)]
     hit = np.flatnonzero(b[place] == a)
     # a similarity of at least ``least`` leaves that many elements unmatched at most
-    band = (n1 + n2) * (1 - least) / (1 + least)
+    band = (n1 + n2) * (1 - least) / (1 + least) + 1e-6
     there = place[hit]
     near = np.abs(there - hit) <= band
     there = there[near]

@@ -185,6 +185,31 @@ def test_near_closing_pass(spark, monkeypatch):
     assert got == want and 0 < links < 120 * 119 / 2
 
 
+def test_alignment_equals_a_plain_one():
+    """Without a band; text in front that makes the similarity exactly 0.8 included."""
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            old, row = row, [0]
+            for j, y in enumerate(b):
+                row.append(old[j] + 1 if x == y else max(old[j + 1], row[j]))
+        found = row[-1] / (len(a) + len(b) - row[-1])
+        return found if found >= 0.8 else 0.0
+
+    for k in range(1, 30):
+        a = np.arange(5 * k, dtype="<u4")
+        for b in (a[k:], a[:-k], a[k // 2:len(a) - (k - k // 2)]):
+            assert near_dedup.alignment_similarity(a, b) == plain(a, b) == 0.8
+            assert near_dedup.alignment_similarity(b, a) == 0.8
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        a = rng.permutation(60)[:int(rng.integers(1, 40))].astype("<u4")
+        b = np.delete(a, rng.integers(0, len(a), int(rng.integers(0, 1 + len(a) // 4))))
+        at = int(rng.integers(0, len(b) + 1))
+        b = np.insert(b, at, rng.permutation(np.arange(100, 110))[:int(rng.integers(0, 5))])
+        assert near_dedup.alignment_similarity(a, b.astype("<u4")) == plain(a, b)
+
+
 def test_near(spark, docs, empty):
     rng = np.random.default_rng(1)
     base = [" ".join(rng.choice(list("abcdefghijklmnop"), 4)) for _ in range(100)]
