@@ -425,14 +425,22 @@ def _joined(blocks: DataFrame, table: DataFrame, name: str) -> DataFrame:
 
 
 def _hot_histories(pairs: DataFrame) -> dict:
-    """Sums of the hot histories over the buckets; at most 1 / HOT_SHARE rows."""
-    out: dict = {}
-    for r in (pairs.filter("kind = 'hot'").orderBy("block", "bucket")
-              .select("block", "n", "hist", "more").collect()):
-        types, small, mass = out.get(r["block"], (0, np.zeros(K, dtype=np.int64), 0.0))
-        out[r["block"]] = (types + r["n"], small + np.array(r["hist"]),
-                           mass + float(np.frombuffer(r["more"], np.float64)[0]))
-    return out
+    """Sums of the hot histories over the buckets; at most 1 / HOT_SHARE rows reach the
+    driver.  Masses are added in the order of the buckets."""
+    summed = (pairs.filter("kind = 'hot'").groupBy("block")
+              .agg(F.sum("n").alias("n"),
+                   F.array(*(F.sum(F.col("hist")[i]) for i in range(K))).alias("hist"),
+                   F.array_sort(F.collect_list(F.struct("bucket", "more"))).alias("parts")))
+    schema = pa.schema([("block", pa.int64()), ("n", pa.int64()),
+                        ("hist", pa.list_(pa.int64())), ("mass", pa.float64())])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from slices(((block, n, hist, sum(
+            float(np.frombuffer(p["more"], np.float64)[0]) for p in parts))
+            for block, n, hist, parts in rows_of(batches, "block", "n", "hist", "parts")), schema)
+
+    rows = map_arrow(summed, add, "block long, n long, hist array<long>, mass double").collect()
+    return {r["block"]: (r["n"], np.array(r["hist"]), r["mass"]) for r in rows}
 
 
 def _score_blocks(full: DataFrame, uni: Unigrams, level: Level, hot: dict,

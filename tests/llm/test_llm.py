@@ -399,6 +399,21 @@ def test_katz_against_brute_force(spark, docs, empty):
     assert katz.score_documents(empty).count() == 0
 
 
+def test_hot_histories_meet_before_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [("hot", b, h, None, None, rng.random(1).tobytes(), b + 1, [h, b, 1, 2, 3])
+            for h in range(3) for b in range(50)]
+    pairs = spark.createDataFrame(rows, katz._TABLE_DDL).repartition(5)
+    kind, sizes = type(pairs), []
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda df: sizes.append(len(r := collect(df))) or r)
+    got = katz._hot_histories(pairs)
+    assert sizes == [3] and sorted(got) == [0, 1, 2]
+    for h, (n, small, mass) in got.items():
+        assert (n, list(small)) == (1275, [50 * h, 1225, 50, 100, 150])
+        assert mass == sum(float(np.frombuffer(r[5])[0]) for r in rows if r[2] == h)
+
+
 def test_html(spark):
     page = ("<title>t</title>a <b>b</b>c<p>one<p>two<br>three<ul><li>x<li>y<ul><li>z</ul></ul>"
             "<table><tr><td>k<td>v<tr><td>longer<td>w</table><div hidden>no</div>"
