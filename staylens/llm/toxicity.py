@@ -12,8 +12,9 @@
 4. A logistic regression on lexical features is trained on the model's posterior
    labels of a bounded sample and scores every document.
 
-Counts of features come from at most about ``MAX_ROWS`` labelled rows per fold (a
-hash sample); the vote patterns come from all documents and are at most 3**voters.
+Counts of features and the labelled vote patterns come from all labelled rows of their
+fold, the other vote patterns from all documents; patterns are at most 3**voters.  Only
+the classifier is fitted to a hash sample of about ``MAX_ROWS`` labelled rows.
 
 Defined cases: a null or empty text has no features and gets the score of the
 intercept; rows without a label, or with a null one, are not learned from; a document
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staylens.llm.common import id_remainder, map_arrow, rows_of, slices, whole_text
+from staylens.llm.common import id_remainder, map_arrow, rows_of, slices, store, whole_text
 from staylens.llm.language import letters_of
 
 MAX_ROWS = 20_000
@@ -303,27 +304,27 @@ def _votes(docs: DataFrame, table: dict, carried: list[str]) -> DataFrame:
     return map_arrow(docs.select(*carried, "text"), vote, f"{fields}, pattern long")
 
 
-def sample_labels(labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """(doc_id, y, fold) of at most about ``max_rows`` labelled training rows per fold,
-    chosen by hash; fold 0 induces lexicons, fold 1 trains the models."""
+def training_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, y, fold) of the labelled training rows; fold 0 induces lexicons, fold 1
+    trains the models."""
     rest = id_remainder("doc_id", 4)
-    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()
-                          & (rest != HELD_OUT)).select(
+    return labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()
+                         & (rest != HELD_OUT)).select(
         "doc_id", F.col("toxic").cast("double").alias("y"),
         F.when(rest == 0, 0).otherwise(1).alias("fold"))
-    counts = {r["fold"]: r["n"] for r in known.groupBy("fold").agg(F.count("*").alias("n")).collect()}
+
+
+def sample_labels(rows: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """At most about ``max_rows`` of the rows, chosen by hash of the id."""
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 12) / float(1 << 52)
-    share = F.when(F.col("fold") == 0, max_rows / max(counts.get(0, 1), 1)).otherwise(
-        max_rows / max(counts.get(1, 1), 1))
-    return known.filter(place < share)
+    return rows.filter(place < max_rows / max(rows.count(), 1))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, int], np.ndarray, float]:
     """Feature numbers, weights and intercept of the linear classifier."""
     texts = docs.select("doc_id", whole_text().alias("text"))
-    # about 2 * MAX_ROWS rows: bounded by the sample
-    sampled = texts.join(F.broadcast(sample_labels(labels)), "doc_id")
-    table = feature_table(sampled.filter("fold = 0").select("text", "y"))
+    labelled = store(texts.join(training_labels(labels), "doc_id"), "toxicity-labelled")
+    table = feature_table(labelled.filter("fold = 0").select("text", "y"))
     share = labels.filter(id_remainder("doc_id", 4) != HELD_OUT).agg(F.avg("toxic")).first()[0]
     if not table:
         p = min(max(share or 0.0, 1e-6), 1 - 1e-6)
@@ -333,8 +334,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, int], np.ndarra
     learned = id_remainder("doc_id", 4) != HELD_OUT
     patterns = (_votes(texts.filter(learned), table, ["doc_id"])
                 .groupBy("pattern").agg(F.count("*").alias("n")).collect())
-    chosen = _votes(sampled.filter("fold = 1").select("doc_id", "y", "text"), table,
-                    ["doc_id", "y"])
+    models = labelled.filter("fold = 1").select("doc_id", "y", "text")
+    chosen = _votes(models, table, ["doc_id", "y"])
     marked = chosen.groupBy("pattern", "y").agg(F.count("*").alias("n")).collect()
     codes = sorted({r["pattern"] for r in [*patterns, *marked]})
     at = {c: i for i, c in enumerate(codes)}
@@ -346,7 +347,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, int], np.ndarra
         labelled[at[r["pattern"]], int(r["y"] >= 0.5)] += r["n"]
     p = LabelModel().fit(votes, unlabelled, labelled).posterior(votes)
     posterior = {c: float(p[i]) for c, i in at.items()}
-    return _train_linear(sampled.filter("fold = 1"), table, posterior)
+    return _train_linear(sample_labels(models), table, posterior)
 
 
 def _train_linear(sample: DataFrame, table: dict, posterior: dict[int, float]):

@@ -352,6 +352,17 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score_toxicity(empty, labels).count() == 0
 
 
+def test_toxicity_learns_words_from_all_labelled_rows(spark, monkeypatch):
+    rows = [(i, ("you idiot scum " if i % 4 == 0 else "kind words ") + f"more text n{i % 50}")
+            for i in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)],
+                                   "doc_id long, toxic int")
+    whole = toxicity.train(table, labels)[0]
+    monkeypatch.setattr(toxicity.sample_labels, "__defaults__", (20,))
+    assert toxicity.train(table, labels)[0] == whole and "w:idiot" in whole
+
+
 def test_label_model_counts_correlated_voters_once():
     votes = np.array([[2, 2, 1], [1, 1, 2], [1, 1, 1]])
     model = toxicity.LabelModel().fit(votes, np.array([50.0, 50.0, 400.0]),
