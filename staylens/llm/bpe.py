@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import sys
 import unicodedata
 from functools import lru_cache
@@ -24,7 +25,6 @@ _PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^\s{L}{N}]+|\s+(?!\S)
 _OLD_RANGES = ((0x2010, 0x2027), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5),
                (0xAC00, 0xD7A3))
 
-
 def _ranges(kind: str) -> str:
     out, start = [], None
     spans = [(0, _STABLE - 1), *_OLD_RANGES]
@@ -42,7 +42,7 @@ def _ranges(kind: str) -> str:
 class WordBpe:
     """Ids of words and texts under one tokenizer file (byte-level BPE)."""
 
-    def __init__(self, path: str, cache_words: int = 300_000):
+    def __init__(self, path: str, cache_words: int = 400_000):
         spec = json.load(open(path, encoding="utf-8"))
         pre = spec["pre_tokenizer"]
         if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec["normalizer"]:
@@ -61,6 +61,7 @@ class WordBpe:
         shown = byte_letters()
         self._letters = {b: shown[b] for b in range(256)}
         self._cache: dict[str, tuple[int, ...]] = {}
+        self._packed: dict[str, bytes] = {}
         self._cache_words = cache_words
 
     def split(self, text: str) -> list[str]:
@@ -98,6 +99,24 @@ class WordBpe:
             out += got
         return out
 
+    def packed(self, text: str, width: int) -> bytes:
+        """Ids of a text as little-endian integers of ``width`` bytes: words that the
+        cache lacks are encoded first, then the text is one join over the cache."""
+        words, cache = self.split(text), self._packed
+        if len(cache) >= self._cache_words:
+            cache.clear()
+        new = set(words).difference(cache)
+        for word in new:
+            ids = self.word(word)
+            cache[word] = struct.pack(f"<{len(ids)}{'H' if width == 2 else 'I'}", *ids)
+        out = b"".join(map(cache.__getitem__, words))
+        if len(new) > self._cache_words:      # one text of very many words
+            cache.clear()
+        for word in new:
+            if len(word) > 64:                # rare, and large together
+                cache.pop(word, None)
+        return out
+
     def pieces(self) -> list[bytes]:
         """Bytes of each id's piece; an added token stands for its own string."""
         back = {c: b for b, c in byte_letters().items()}

@@ -36,10 +36,17 @@ SAMPLE = 256
 
 _SEGMENT = pa.schema([
     ("part", pa.int32()), ("seg", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()),
-    ("width", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("low_bits", pa.int32()),
-    ("low", pa.binary()), ("high", pa.binary()), ("samples", pa.binary()), ("ids", pa.binary())])
-_SEGMENT_DDL = ("part int, seg int, before long, n_ids long, width int, doc_ids array<long>, "
-                "low_bits int, low binary, high binary, samples binary, ids binary")
+    ("width", pa.int32()), ("n_null", pa.int32()), ("first_id", pa.int64()),
+    *((f"{c}_{f.name}", f.type) for c in ("bound", "doc") for f in (
+        pa.field("n", pa.int32()), pa.field("low_bits", pa.int32()), pa.field("low", pa.binary()),
+        pa.field("high", pa.binary()), pa.field("samples", pa.binary()))),
+    ("ids", pa.binary())])
+_SEGMENT_DDL = ("part int, seg int, before long, n_ids long, width int, n_null int, "
+                "first_id long, "
+                + "".join(f"{c}_n int, {c}_low_bits int, {c}_low binary, {c}_high binary, "
+                          f"{c}_samples binary, " for c in ("bound", "doc")) + "ids binary")
+_BOUNDS = ("bound_n", "bound_low_bits", "bound_low", "bound_high", "bound_samples")
+_DOC_IDS = ("n_null", "first_id", "doc_n", "doc_low_bits", "doc_low", "doc_high", "doc_samples")
 _DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()),
                    ("ids_crc32", pa.int64())])
 _DOCS_DDL = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -68,6 +75,9 @@ class EliasFano:
         high = np.packbits(vector, bitorder="little").tobytes()
         return cls(n, low_bits, low, high, ones[::SAMPLE].astype("<u4").tobytes())
 
+    def parts(self) -> tuple:
+        return self.n, self.low_bits, self.low, self.high, self.samples
+
     def select(self, i: int) -> int:
         """The ``i``-th value: from the nearest sample, bytes are skipped by popcount."""
         if not 0 <= i < self.n:
@@ -101,6 +111,20 @@ class EliasFano:
         return (high << self.low_bits) | low
 
 
+def _id_code(doc_ids: list) -> tuple:
+    """Number of null ids (they come first), the first id, and the code of the rest."""
+    known = [d for d in doc_ids if d is not None]
+    first = known[0] if known else 0
+    code = EliasFano.encode(np.array([d - first for d in known], dtype=np.uint64))
+    return (len(doc_ids) - len(known), first), code
+
+
+def _ids_of(n_null: int, first: int, *code) -> list:
+    """The documents' ids of a segment."""
+    ids = EliasFano(*code).values() + np.int64(first)
+    return [None] * n_null + ids.tolist()
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0,
                       segment_ids: int = SEGMENT_IDS) -> str:
     """Encode every text and write the segments below ``path``."""
@@ -111,24 +135,24 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(tokenizer)
-        kind, width = ("<u2", 2) if bpe.size <= 1 << 16 else ("<u4", 4)
+        width = 2 if bpe.size <= 1 << 16 else 4
+        end = end_id.to_bytes(width, "little")
         part = TaskContext.get().partitionId()
         seg, before, held, size = 0, 0, [], 0
 
         def close():
             bounds = np.zeros(len(held) + 1, dtype=np.int64)
             np.cumsum([len(ids) // width for _, ids in held], out=bounds[1:])
-            code = EliasFano.encode(bounds)
-            return (part, seg, before, size, width, [d for d, _ in held], code.low_bits,
-                    code.low, code.high, code.samples, b"".join(ids for _, ids in held))
+            head, doc_code = _id_code([d for d, _ in held])
+            return (part, seg, before, size, width, *head, *EliasFano.encode(bounds).parts(),
+                    *doc_code.parts(), b"".join(ids for _, ids in held))
 
         def rows():
             nonlocal seg, before, held, size
             for doc_id, text in rows_of(batches, "doc_id", "text"):
-                ids = bpe.ids(text)
-                ids.append(end_id)
-                held.append((doc_id, np.array(ids, dtype=kind).tobytes()))
-                size += len(ids)
+                ids = bpe.packed(text, width) + end
+                held.append((doc_id, ids))
+                size += len(ids) // width
                 if size >= segment_ids:
                     yield close()
                     seg, before, held, size = seg + 1, before + size, [], 0
@@ -160,16 +184,14 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32 (of the ids as
     little-endian unsigned 32-bit integers)."""
-    fields = ("start", "width", "doc_ids", "low_bits", "low", "high", "samples", "ids")
+    fields = ("start", "width", "ids", *_BOUNDS, *_DOC_IDS)
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            for start, width, doc_ids, low_bits, low, high, samples, ids in \
-                    rows_of(batches, *fields):
-                code = EliasFano(len(doc_ids) + 1, low_bits, low, high, samples)
-                bounds = code.values().tolist()
+            for start, width, ids, *codes in rows_of(batches, *fields):
+                bounds = EliasFano(*codes[:len(_BOUNDS)]).values().tolist()
                 words = np.frombuffer(ids, f"<u{width}").astype("<u4")
-                for doc_id, a, b in zip(doc_ids, bounds, bounds[1:]):
+                for doc_id, a, b in zip(_ids_of(*codes[len(_BOUNDS):]), bounds, bounds[1:]):
                     yield doc_id, start + a, b - a, zlib.crc32(words[a:b].tobytes())
 
         yield from slices(rows(), _DOCS, size=20_000)
@@ -178,26 +200,38 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def document_ids(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
-    """Random access: (doc_id, ids) of the documents named in ``wanted.doc_id``; each
-    is cut out of its segment by two selects."""
-    listed = (read_segments(spark, path)
-              .select("part", "seg", F.posexplode("doc_ids").alias("nth", "doc_id"))
-              .join(wanted.select("doc_id").distinct(), "doc_id")
-              .groupBy("part", "seg").agg(F.collect_list(F.struct("nth", "doc_id")).alias("ask")))
-    fields = ("ask", "width", "doc_ids", "low_bits", "low", "high", "samples", "ids")
+    """Random access: (doc_id, ids) of the documents named in ``wanted.doc_id``, each cut
+    out of its segment by two selects.  The ids' codes are read first; only segments
+    that hold a wanted document have their token ids read.  A null id names nothing."""
+    files = spark.read.schema(_SEGMENT_DDL).parquet(path)
+    places = pa.schema([("part", pa.int32()), ("seg", pa.int32()), ("nth", pa.int32()),
+                        ("doc_id", pa.int64())])
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for part, seg, *code in rows_of(batches, "part", "seg", *_DOC_IDS):
+                for nth, doc_id in enumerate(_ids_of(*code)):
+                    if doc_id is not None:
+                        yield part, seg, nth, doc_id
+
+        yield from slices(rows(), places, size=20_000)
+
+    asked = (map_arrow(files.select("part", "seg", *_DOC_IDS), listed,
+                       "part int, seg int, nth int, doc_id long")
+             .join(wanted.select("doc_id").distinct(), "doc_id")
+             .groupBy("part", "seg").agg(F.collect_list(F.struct("nth", "doc_id")).alias("ask")))
     out = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))])
+    fields = ("ask", "width", "ids", *_BOUNDS)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            for ask, width, doc_ids, low_bits, low, high, samples, ids in \
-                    rows_of(batches, *fields):
-                code = EliasFano(len(doc_ids) + 1, low_bits, low, high, samples)
-                words = np.frombuffer(ids, f"<u{width}")
+            for ask, width, ids, *code in rows_of(batches, *fields):
+                bounds, words = EliasFano(*code), np.frombuffer(ids, f"<u{width}")
                 for one in ask:
-                    a, b = code.select(one["nth"]), code.select(one["nth"] + 1)
+                    a, b = bounds.select(one["nth"]), bounds.select(one["nth"] + 1)
                     yield one["doc_id"], words[a:b].tolist()
 
         yield from slices(rows(), out)
 
-    asked = read_segments(spark, path).join(listed, ["part", "seg"]).select(*fields)
-    return map_arrow(asked, cut, "doc_id long, ids array<long>")
+    return map_arrow(files.join(asked, ["part", "seg"]).select(*fields), cut,
+                     "doc_id long, ids array<long>")

@@ -455,3 +455,10 @@ def test_html_shows_what_a_browser_shows():
                 "<i>no</i></div><ol><li style='visibility:hidden'>no<li>z</ol>") == "yes\n\n2. z"
     assert text("<div style='display:none'>no<b style='visibility:visible'>no</b></div>") == ""
     assert text("<ul type=hidden><li>x</ul><input type=hidden>") == "- x"
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(-2**63, 2**63 - 1), max_size=20), st.integers(0, 3))
+def test_segment_ids_round_trip(ids, nulls):
+    head, code = token_files._id_code([None] * nulls + sorted(ids))
+    assert token_files._ids_of(*head, *code.parts()) == [None] * nulls + sorted(ids)
