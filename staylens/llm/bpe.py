@@ -25,6 +25,7 @@ _PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^\s{L}{N}]+|\s+(?!\S)
 _OLD_RANGES = ((0x2010, 0x2027), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5),
                (0xAC00, 0xD7A3))
 
+
 def _ranges(kind: str) -> str:
     out, start = [], None
     spans = [(0, _STABLE - 1), *_OLD_RANGES]

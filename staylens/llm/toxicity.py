@@ -15,12 +15,18 @@
 Counts of features and the labelled vote patterns come from all labelled rows of their
 fold, the other vote patterns from all documents; patterns are at most 3**voters.  Only
 the classifier is fitted to a hash sample of about ``MAX_ROWS`` labelled rows.
+``MAX_FEATURES`` is the size of the model: that many features, those of the largest
+|z|, are its inputs, whatever the size of the corpus.
+
+Texts are read twice: the labelled ones of the lexicon fold, then all of them once, which
+leaves per document its vote pattern and the numbers of its active features.  Labels
+meet those small rows; the models and the scores need no text again.
 
 Defined cases: a null or empty text has no features and gets the score of the
 intercept; rows without a label, or with a null one, are not learned from; a document
-with several labels counts once for each; with no labelled rows of both kinds the
-score is the share of toxic labels (0 if none); repeated rows score alike; other
-columns never matter.
+with several labels counts once for each; unless either fold has labelled rows of both
+kinds, and some feature tells them apart, every score is the share of toxic labels (0 if
+there are none); repeated rows score alike; other columns never matter.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staylens.llm.common import id_remainder, map_arrow, rows_of, slices, store, whole_text
@@ -158,8 +164,16 @@ class Voters:
         self.n_kinds = len(kinds)
         self.n = self.n_kinds + 3
 
-    def __call__(self, text: str) -> list[int]:
+    def encode(self, text: str) -> tuple[int, list[int]]:
+        """The vote pattern and the numbers of active features."""
         counts, words = self.counter(text)
+        code = 0
+        for v in self.votes(counts, words):
+            code = 3 * code + v + 1
+        return code, active(counts, words)
+
+    def votes(self, counts: dict[int, int], words: int) -> list[int]:
+        """The votes; the two counts that are no features are taken out of ``counts``."""
         hits, weak = [0] * self.n_kinds, 0
         fixed, shouts = counts.pop(self.fixed, 0), counts.pop(self.shout, 0)
         for f, n in counts.items():
@@ -174,12 +188,6 @@ class Voters:
         votes.append(-1 if not weak and not fixed and words >= 5 else 0)
         return votes
 
-    def pattern(self, text: str) -> int:
-        code = 0
-        for v in self(text):
-            code = 3 * code + v + 1
-        return code
-
     def unpack(self, code: int) -> list[int]:
         out = []
         for _ in range(self.n):
@@ -287,21 +295,22 @@ def active(counts: dict[int, int], words: int) -> list[int]:
 
 # --- the operator ------------------------------------------------------------------------
 
-def _votes(docs: DataFrame, table: dict, carried: list[str]) -> DataFrame:
-    """The carried columns and the vote pattern of each document."""
-    sent = docs.sparkSession.sparkContext.broadcast(table)
+def encode(docs: DataFrame, table: dict) -> DataFrame:
+    """Per document: doc_id, held_out, the vote pattern, the numbers of active features."""
+    sent = docs.sparkSession.sparkContext.broadcast(table)   # at most MAX_FEATURES entries
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()),
+                        ("pattern", pa.int64()), ("on", pa.list_(pa.int32()))])
 
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         voters = Voters(sent.value)
-        for batch in batches:
-            codes = [voters.pattern(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in carried), pa.array(codes, pa.int64())],
-                names=[*carried, "pattern"])
+        for doc_id, held_out, text in rows_of(batches, "doc_id", "held_out", "text"):
+            yield doc_id, held_out, *voters.encode(text)
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}"
-                       for f in docs.schema if f.name in carried)
-    return map_arrow(docs.select(*carried, "text"), vote, f"{fields}, pattern long")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+                        (id_remainder("doc_id", 4) == HELD_OUT).alias("held_out"),
+                        whole_text().alias("text"))
+    return map_arrow(texts, lambda batches: slices(rows(batches), schema, 10_000),
+                     "doc_id long, held_out boolean, pattern long, on array<int>")
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
@@ -314,29 +323,43 @@ def training_labels(labels: DataFrame) -> DataFrame:
         F.when(rest == 0, 0).otherwise(1).alias("fold"))
 
 
-def sample_labels(rows: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """At most about ``max_rows`` of the rows, chosen by hash of the id."""
+def sample_labels(n: int, max_rows: int = MAX_ROWS) -> Column:
+    """Holds for about ``max_rows`` of ``n`` rows, chosen by hash of the id."""
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 12) / float(1 << 52)
-    return rows.filter(place < max_rows / max(rows.count(), 1))
-
-
-def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, int], np.ndarray, float]:
-    """Feature numbers, weights and intercept of the linear classifier."""
-    texts = docs.select("doc_id", whole_text().alias("text"))
-    labelled = store(texts.join(training_labels(labels), "doc_id"), "toxicity-labelled")
-    table = feature_table(labelled.filter("fold = 0").select("text", "y"))
-    share = labels.filter(id_remainder("doc_id", 4) != HELD_OUT).agg(F.avg("toxic")).first()[0]
+    return place < max_rows / max(n, 1)
+
+
+def lexicon(docs: DataFrame, marks: DataFrame) -> dict[str, tuple[float, float]]:
+    """The feature table of the lexicon fold.  Only that fold's texts meet their labels,
+    in a join that deals both sides by id at every size."""
+    fold = docs.filter(id_remainder("doc_id", 4) == 0).select(
+        F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    mine = marks.filter("fold = 0").select("doc_id", "y")
+    return feature_table(fold.join(mine.hint("merge"), "doc_id").select("text", "y"))
+
+
+def train(docs: DataFrame, labels: DataFrame) -> tuple[dict, np.ndarray, float, DataFrame]:
+    """The feature table, weights and intercept of the linear classifier, and the
+    encoded documents (stored)."""
+    marks = store(training_labels(labels), "toxicity-labels")
+    kinds = {(r["fold"], r["y"] >= 0.5): r["n"] for r in
+             marks.groupBy("fold", "y").agg(F.count("*").alias("n")).collect()}
+    total = sum(kinds.values())
+    share = sum(n for (_, toxic), n in kinds.items() if toxic) / total if total else 0.0
+    p = min(max(share, 1e-6), 1 - 1e-6)
+    base = float(np.log(p / (1 - p)))
+    table = lexicon(docs, marks) if len(kinds) == 4 else {}
+    encoded = store(encode(docs, table), "toxicity-encoded")
+    weights = np.zeros(2 * len(table))
     if not table:
-        p = min(max(share or 0.0, 1e-6), 1 - 1e-6)
-        return {}, np.zeros(0), float(np.log(p / (1 - p)))
+        return table, weights, base, encoded
 
     voters = Voters(table)
-    learned = id_remainder("doc_id", 4) != HELD_OUT
-    patterns = (_votes(texts.filter(learned), table, ["doc_id"])
-                .groupBy("pattern").agg(F.count("*").alias("n")).collect())
-    models = labelled.filter("fold = 1").select("doc_id", "y", "text")
-    chosen = _votes(models, table, ["doc_id", "y"])
-    marked = chosen.groupBy("pattern", "y").agg(F.count("*").alias("n")).collect()
+    patterns = (encoded.filter("not held_out").groupBy("pattern")
+                .agg(F.count("*").alias("n")).collect())
+    mine = marks.filter("fold = 1").select("doc_id", "y")
+    marked = (encoded.select("doc_id", "pattern").join(mine.hint("merge"), "doc_id")
+              .groupBy("pattern", "y").agg(F.count("*").alias("n")).collect())
     codes = sorted({r["pattern"] for r in [*patterns, *marked]})
     at = {c: i for i, c in enumerate(codes)}
     votes = np.array([voters.unpack(c) for c in codes], dtype=int).reshape(len(codes), voters.n)
@@ -345,50 +368,38 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, int], np.ndarra
         unlabelled[at[r["pattern"]]] = r["n"]
     for r in marked:
         labelled[at[r["pattern"]], int(r["y"] >= 0.5)] += r["n"]
+    if not labelled.sum(axis=0).all():      # labels whose documents are not in the table
+        return table, weights, base, encoded
     p = LabelModel().fit(votes, unlabelled, labelled).posterior(votes)
-    posterior = {c: float(p[i]) for c, i in at.items()}
-    return _train_linear(sample_labels(models), table, posterior)
-
-
-def _train_linear(sample: DataFrame, table: dict, posterior: dict[int, float]):
-    """The classifier on posterior labels of the sample; only feature numbers of the
-    bounded sample reach the driver."""
-    known = {f: i for i, f in enumerate(sorted(table))}
-    sent = sample.sparkSession.sparkContext.broadcast((table, known, posterior))
-    schema = pa.schema([("y", pa.float64()), ("on", pa.list_(pa.int32()))])
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, known, posterior = sent.value
-        voters, counter = Voters(table), FeatureCounter(known)
-        yield from slices(((posterior[voters.pattern(t)], active(*counter(t)))
-                           for (t,) in rows_of(batches, "text")), schema)
-
-    rows = map_arrow(sample.select("text"), encode, "y double, on array<int>").collect()
-    rows.sort(key=lambda r: (r["y"], r["on"]))      # sums in one order, whatever the tasks
-    w, b = fit_logistic([np.array(r["on"], dtype=np.int64) for r in rows],
-                        np.array([r["y"] for r in rows]), 2 * len(known))
-    return known, w, b
+    chosen = sample_labels(int(labelled.sum()))
+    rows = (encoded.filter(chosen).select("doc_id", "pattern", "on")
+            .join(mine.filter(chosen), "doc_id").select("pattern", "on").collect())
+    # sums in one order, whatever the tasks
+    rows = sorted((float(p[at[r["pattern"]]]), r["on"]) for r in rows)
+    if rows:
+        weights, base = fit_logistic([np.array(on, dtype=np.int64) for _, on in rows],
+                                     np.array([y for y, _ in rows]), len(weights))
+    return table, weights, base, encoded
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
-    known, weights, bias = train(docs, labels)
-    sent = docs.sparkSession.sparkContext.broadcast((known, weights, bias))
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()),
-                        ("predicted", pa.int32())])
+    _, weights, bias, encoded = train(docs, labels)
+    sent = docs.sparkSession.sparkContext.broadcast((weights, bias))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, weights, bias = sent.value
-        counter = FeatureCounter(known)
-
-        def rows():
-            for doc_id, held_out, text in rows_of(batches, "doc_id", "held_out", "text"):
-                z = bias + float(weights[active(*counter(text))].sum())
-                p = 1 / (1 + np.exp(-min(max(z, -30.0), 30.0)))
-                yield doc_id, held_out, float(p), int(p >= THRESHOLD)
-
-        yield from slices(rows(), schema, 10_000)
+        weights, bias = sent.value
+        for batch in batches:
+            on = batch.column("on")
+            sizes = np.diff(on.offsets.to_numpy())
+            z = bias + np.bincount(np.repeat(np.arange(len(sizes)), sizes),
+                                   weights=weights[on.flatten().to_numpy()],
+                                   minlength=len(sizes))
+            p = 1 / (1 + np.exp(-np.clip(z, -30.0, 30.0)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(p),
+                 pa.array((p >= THRESHOLD).astype(np.int32))],
+                names=["doc_id", "held_out", "score", "predicted"])
 
-    texts = docs.select("doc_id", (id_remainder("doc_id", 4) == HELD_OUT).alias("held_out"),
-                        whole_text().alias("text"))
-    return map_arrow(texts, score, "doc_id long, held_out boolean, score double, predicted int")
+    return map_arrow(encoded.select("doc_id", "held_out", "on"), score,
+                     "doc_id long, held_out boolean, score double, predicted int")

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import uuid
 import zlib
 
 import numpy as np
@@ -66,7 +67,7 @@ def test_ids_equal_the_library(tokenizer):
 
 
 def test_token_files(spark, docs, empty, tokenizer):
-    path = scratch_path(spark, "test-token-files")
+    path = scratch_path(spark, f"test-token-files-{uuid.uuid4().hex}")
     token_files.write_token_files(docs, path + "-a", PATH, segment_ids=50)
     got = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"])
                  for r in token_files.read_token_files(spark, path + "-a").collect())
@@ -363,6 +364,33 @@ def test_toxicity_learns_words_from_all_labelled_rows(spark, monkeypatch):
     assert toxicity.train(table, labels)[0] == whole and "w:idiot" in whole
 
 
+def test_toxicity_without_labels_of_both_kinds_in_both_folds(spark, docs):
+    fold = lambda i: zlib.crc32(str(i).encode()) % 4
+    table = spark.createDataFrame(
+        [(i, ("you idiot scum " if i % 4 == 0 else "kind words ") + f"n{i % 9}", "x", 1)
+         for i in range(400)] + [(3, None, None, None), (3, "", "y", 0), (None, "kind", "z", 0)],
+        "doc_id long, text string, pattern string, y int")
+    for mine in ([i for i in range(400) if fold(i) == 0], [i for i in range(400) if fold(i) == 1],
+                 [i for i in range(400) if fold(i) == 0 or i % 4 == 0], []):
+        labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in mine], "doc_id long, toxic int")
+        used = [i for i in mine if fold(i) != 2]
+        want = sum(i % 4 == 0 for i in used) / len(used) if used else 0.0
+        got = toxicity.score_toxicity(table, labels).collect()
+        assert len(got) == 403 and all(abs(r["score"] - want) < 1e-5 for r in got)
+    # labels of documents that are not there teach nothing; repeated and empty texts score alike
+    labels = spark.createDataFrame([(i + 10_000, int(i % 4 == 0)) for i in range(400)],
+                                   "doc_id long, toxic int")
+    assert len({round(r["score"], 9) for r in toxicity.score_toxicity(table, labels).collect()}) == 1
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    got = toxicity.score_toxicity(table, labels).collect()
+    assert len(got) == 403 and all(0 <= r["score"] <= 1 for r in got)
+    empties = {r["score"] for r in got if r["doc_id"] == 3 and r["score"] != next(
+        x["score"] for x in got if x["doc_id"] == 7)}
+    assert len(empties) == 1
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, labels).collect()}
+    assert scores[0] == scores[1] and scores[6] == scores[7] and scores[8] == scores[9]
+
+
 def test_label_model_counts_correlated_voters_once():
     votes = np.array([[2, 2, 1], [1, 1, 2], [1, 1, 1]])
     model = toxicity.LabelModel().fit(votes, np.array([50.0, 50.0, 400.0]),
