@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from staylens.llm import (bpe_tables, decontaminate, exact_dedup, html_text, katz, language,
-                          near_dedup, shards, token_files, toxicity)
+                          near_dedup, personal, shards, token_files, toxicity)
 from staylens.llm.common import table
 from staylens.session import scratch_path
 
@@ -60,6 +60,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.span_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_rendezvous_shards": op2_rendezvous_shards,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_language_id": op9_language_id,
     "op10_html_text": op10_html_text,
+    "op11_personal_data": op11_personal_data,
 }
 
 ORACLE_SQL: dict[str, str] = {
