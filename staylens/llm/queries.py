@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from staylens.llm import (bpe_tables, decontaminate, exact_dedup, html_text, katz, language,
-                          near_dedup, personal, shards, token_files, toxicity)
+                          near_dedup, personal, phrases, shards, token_files, toxicity)
 from staylens.llm.common import table
 from staylens.session import scratch_path
 
@@ -64,6 +64,10 @@ def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.span_digests(table(spark, sf_dir, "documents"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_rendezvous_shards": op2_rendezvous_shards,
@@ -76,9 +80,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_html_text": op10_html_text,
     "op11_personal_data": op11_personal_data,
+    "op12_phrases": op12_phrases,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_decontaminate": decontaminate.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
+    "op12_phrases": phrases.ORACLE,
 }
