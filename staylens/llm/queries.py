@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from staylens.llm import (bpe_tables, decontaminate, exact_dedup, html_text, katz, language,
+from staylens.llm import (bpe_tables, decontaminate, divergence, exact_dedup, html_text, katz, language,
                           near_dedup, personal, phrases, shards, token_files, toxicity)
 from staylens.llm.common import table
 from staylens.session import scratch_path
@@ -68,6 +68,10 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine_phrases(table(spark, sf_dir, "documents"))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_rendezvous_shards": op2_rendezvous_shards,
@@ -81,10 +85,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_text": op10_html_text,
     "op11_personal_data": op11_personal_data,
     "op12_phrases": op12_phrases,
+    "op13_divergence": op13_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_decontaminate": decontaminate.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op12_phrases": phrases.ORACLE,
+    "op13_divergence": divergence.ORACLE,
 }
