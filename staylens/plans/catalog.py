@@ -15,13 +15,15 @@ from pyspark.sql import functions as F
 
 from staylens.operators import filters as flt
 from staylens.operators import ml
+from staylens.operators import spatial
 from staylens.operators import stats as st
 from staylens.operators import summaries as sm
 from staylens.operators.summaries import rnd
 from staylens.plans.context import Context, tpch_context
 from staylens.session import scratch_path
 from staylens.sources import sinks
-from staylens.sources.listings import listings_from_tpch, parse_price, read_listings_csv
+from staylens.sources.listings import (listings_from_tpch, parse_price, points_from_tpch,
+                                       read_listings_csv)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -120,6 +122,13 @@ def q_map_density(c: Context) -> DataFrame:
     return sm.map_density(c.filtered, MAP_CELL_DEG)
 
 
+def nearest_poi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each listing's nearest point of a table of points, and its distance."""
+    listings = _ctx(spark, sf_dir).baseline.select("id", "latitude", "longitude")
+    found = spatial.nearest_point(listings, points_from_tpch(spark, sf_dir))
+    return found.select("id", "nearest_poi", "distance_km")
+
+
 # --- filters -----------------------------------------------------------------------------
 
 def q_filter(c: Context) -> DataFrame:
@@ -274,6 +283,7 @@ QUERIES: dict[str, Query] = {
     "host_experience": _q(q_host_experience),
     "map_points": _q(q_map_points),
     "map_density": _q(q_map_density),
+    "nearest_poi": nearest_poi,
     # filters
     "filter_listings": _q(q_filter),
     "filter_custom": _q(q_filter_custom),

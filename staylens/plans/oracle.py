@@ -445,6 +445,15 @@ def oracle_queries() -> dict[str, str]:
         f"occupancy_rate, {R('estimated_revenue')} AS estimated_revenue FROM enr")
     q["enrich_season"] = _sql("SELECT id, last_review, review_month, review_season FROM enr")
     q["distance_to_poi"] = _sql(f"SELECT id, {R('distance_to_beach')} AS distance_to_beach FROM enr")
+    q["nearest_poi"] = _sql(
+        f"SELECT id, nearest_poi, {R('km')} AS distance_km FROM ("
+        "SELECT id, arg_min(poi_id, (km, poi_id)) AS nearest_poi, min(km) AS km FROM ("
+        f"SELECT id, poi_id, {R('6371E0 * (2E0 * atan2(sqrt(a), sqrt(1E0 - a)))')} AS km FROM ("
+        "SELECT e.id, p.poi_id, pow(sin(radians(p.plat - latitude) / 2E0), 2) "
+        "+ cos(radians(latitude)) * cos(radians(p.plat)) "
+        "* pow(sin(radians(p.plon - longitude) / 2E0), 2) AS a "
+        "FROM enr e, (SELECT c_custkey AS poi_id, -22.91E0 - ((c_custkey * 37) % 1901) / 1E4 AS plat, "
+        "-43.11E0 - ((c_custkey * 101) % 5407) / 1E4 AS plon FROM customer) p)) GROUP BY id)")
     q["price_quintile"] = _sql("SELECT id, price, price_category FROM enr")
     q["host_category"] = _sql("SELECT id, calculated_host_listings_count, host_category FROM enr")
     q["poi_proximity"] = _sql("SELECT id, beach_proximity FROM enr")

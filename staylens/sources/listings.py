@@ -102,6 +102,15 @@ def read_tpch(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def points_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of points of interest, one per customer: poi_id, latitude, longitude."""
+    k = F.col("c_custkey")
+    return read_tpch(spark, sf_dir, "customer").select(
+        k.cast("long").alias("poi_id"),
+        (F.lit(-22.91) - ((k * 37) % 1901) / F.lit(10000.0)).alias("latitude"),
+        (F.lit(-43.11) - ((k * 101) % 5407) / F.lit(10000.0)).alias("longitude"))
+
+
 def listings_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The listing star view over orders, customer, nation, region and lineitem.
 
