@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from staylens.functions import fixed
 from staylens.functions.expressions import exact_avg, round2, sorted_small
 from staylens.operators.quantiles import order_statistics
-from staylens.operators.summaries import corr_matrix, rnd
+from staylens.operators.summaries import corr_matrix, correlations, rnd
 
 FEATURES = tuple(fixed.CLUSTER_FEATURES)
 GRID_BITS = 20
@@ -195,7 +195,7 @@ def fit_kmeans(df: DataFrame, k: int = fixed.KMEANS_DEFAULT_K,
     z = df.select(key, *[c.alias(n) for c, n in zip(_on_grid(features, steps), names)])
 
     ranks = [(2 * j + 1) * r["n"] // (2 * k) for j in range(k)]
-    at = order_statistics(z, names[0], lambda n: ranks)[()]
+    at = order_statistics(z, names[0], ranks)[()]
     wanted = [int(at[rank]) for rank in ranks]
     starts = {row["z0"]: row["who"] for row in z.where(F.col("z0").isin(sorted(set(wanted))))
               .groupBy("z0").agg(F.min(F.struct(key, *names)).alias("who")).collect()}
@@ -271,14 +271,10 @@ def feature_corr(df: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame
     return corr_matrix(df, features)
 
 
-def strong_correlations(df: DataFrame, features: Sequence[str] = FEATURES,
+def strong_correlations(df: DataFrame, features: Sequence[str] = tuple(fixed.CORRELATION_FEATURES),
                         threshold: float = fixed.STRONG_CORRELATION) -> DataFrame:
-    """Pairs i < j with |r| > threshold: direction and value."""
-    pos = {f: i for i, f in enumerate(features)}
-    m = corr_matrix(df, features)
-    idx = F.create_map(*[c for f, i in pos.items() for c in (F.lit(f), F.lit(i))])
-    return (m.where((F.element_at(idx, F.col("feature_x")) < F.element_at(idx, F.col("feature_y")))
-                    & (F.abs("r") > F.lit(threshold)))
-            .select("feature_x", "feature_y",
+    """Pairs i < j with |r| > threshold (before rounding): direction and value."""
+    m = correlations(df, features).where((F.col("x") != F.col("y")) & (F.abs("r") > F.lit(threshold)))
+    return m.select(F.col("x").alias("feature_x"), F.col("y").alias("feature_y"),
                     F.when(F.col("r") > 0, "positive").otherwise("negative").alias("direction"),
-                    "r"))
+                    rnd("r").alias("r"))

@@ -1,57 +1,45 @@
-"""Exact, linearly interpolated quantiles that scale with the data.
-
-``percentile`` keeps a map of every distinct value of a group inside one
-aggregation buffer, which grows with the data for a continuous column.  Here the
-order statistics are found by *selection* instead:
-
-1. one aggregate pass: ``count``, ``min``, ``max`` per group;
-2. while a target rank sits in an interval holding more than ``direct_limit``
-   rows of several values: a histogram pass over that interval (``groupBy(interval,
-   bucket)`` with partial aggregation - only ``intervals x buckets`` counts are
-   shuffled, and a running sum picks one bucket per target), then the interval
-   shrinks to the ``[min, max]`` of the bucket that contains the rank.  Buckets are of
-   equal width on the plain and on a logarithmic scale in turn: whatever the values,
-   about a dozen passes of 2048 buckets separate any two doubles, and one or two do
-   for ordinary data;
-3. a final pass ranks only the rows of each interval, ``direct_limit`` at most, with
-   ``row_number`` and picks the wanted ranks.
-
-The interpolation ``lo * (1 - frac) + hi * frac`` at position ``p * (n - 1)`` is done
-on the driver from the two order statistics; no data passes through the driver,
-only per-group counts and a few values per target.  Group keys must be of low
-cardinality (categories), guarded by ``max_groups``.
+"""Exact, linearly interpolated quantiles in two passes over the data.
+
+``percentile`` keeps a map of every distinct value of a group inside one aggregation
+buffer, which grows with the data for a continuous column.  Here a mergeable sketch
+finds where each wanted rank lies, and one counting pass picks the value:
+
+1. one aggregate: ``count`` and a quantile summary (``percentile_approx``: merged from
+   the tasks' summaries, rank error at most ``n / (SKETCH * grid)`` whatever the order of rows)
+   read at ``grid + 1`` even shares.  Two grid steps to both sides of a rank's share hold the
+   rank for certain; brackets that touch become one;
+2. one pass counts, per group, rows by zone: between brackets as one number, within a
+   bracket by value.  Partial aggregation leaves a few counts a task and the brackets'
+   distinct values: about ``4 / grid`` of the rows for each rank.
+
+The rest runs on those counts: a running sum in order names each rank's value; where
+brackets may hold very many rows it goes by zone and slice first, and by value only in
+slices that hold a rank.  Summaries of few groups pass through the driver (a few numbers
+each); those of many are joined on the executors and made once more, so the number
+of groups has no limit.  Every pick is checked: a rank outside its bracket raises.
+
+The interpolation is ``lo * (1 - frac) + hi * frac`` at position ``p * (n - 1)``.
+Nulls, NaN and null group keys are left out.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Most rows of an interval that are ranked in one task.
-DIRECT_LIMIT = 10_000
-
-
-@dataclass
-class _Target:
-    group: tuple
-    rank: int          # 0-based rank within the group
-    lo: float
-    hi: float
-    below: int         # rows of the group with value < lo
-    count: int         # rows of the group within [lo, hi]
-    value: float | None = None
-
-
-def _rank_positions(n: int, p: float) -> tuple[int, int, float]:
-    h = p * (n - 1)
-    lo = int(math.floor(h))
-    hi = min(lo + 1, n - 1)
-    return lo, hi, h - lo
+#: Shares at which a group's summary is read.
+GRID = 200
+#: The summary's accuracy is this many times the grid's.
+SKETCH = 4
+#: Slices of a bracket that are counted before values are.
+SLICES = 1024
+#: Up to so many groups, their summaries pass through the driver.
+FEW_GROUPS = 1000
+#: Up to so many rows in a group's brackets, one running sum goes over them.
+DIRECT_ROWS = 2_000_000
 
 
 def _prepare(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
@@ -62,187 +50,178 @@ def _prepare(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     return data
 
 
-def _group_stats(data: DataFrame, by: Sequence[str], max_groups: int) -> list:
-    stats = (data.groupBy(*by)
-             .agg(F.count("_x").alias("n"), F.min("_x").alias("mn"), F.max("_x").alias("mx"))
-             .limit(max_groups + 1).collect())
-    if len(stats) > max_groups:
-        raise ValueError(f"quantiles: more than {max_groups} groups in {list(by)}")
-    # a global aggregate over no rows still returns one row with n = 0
-    return [r for r in stats if r["n"]]
-
-
-def _log_scale(x: Column) -> Column:
-    """A non-decreasing scale on which all doubles lie within 1,456 of 0."""
-    return F.coalesce(F.signum(x) * (F.ln(F.abs(x)) + F.lit(746.0)), F.lit(0.0))
-
-
-def _select(data: DataFrame, by: Sequence[str], targets: dict[tuple, _Target], *,
-            direct_limit: int, buckets: int) -> None:
-    """Fill ``value`` of every target (histogram narrowing, then ranking)."""
-    spark = data.sparkSession
-    group_fields = [f for f in data.schema.fields if f.name in by]
-
-    def intervals_frame(active: list[_Target]) -> tuple[DataFrame, dict]:
-        keys: dict[tuple, int] = {}
-        rows = []
-        for t in active:
-            k = (t.group, t.lo, t.hi)
-            if k not in keys:
-                keys[k] = len(keys)
-                rows.append((*t.group, keys[k], float(t.lo), float(t.hi)))
-        schema = T.StructType(
-            [T.StructField(f.name, f.dataType, True) for f in group_fields]
-            + [T.StructField("_iid", T.IntegerType(), False),
-               T.StructField("_lo", T.DoubleType(), False),
-               T.StructField("_hi", T.DoubleType(), False)])
-        return spark.createDataFrame(rows, schema), keys
-
-    def join_intervals(iv: DataFrame) -> DataFrame:
-        # The interval table is built on the driver from at most one row per
-        # target (groups x ranks): a proven bound, so it is broadcast.
-        cond = [data[c] == iv[c] for c in by]
-        cond.append(data["_x"].between(iv["_lo"], iv["_hi"]))
-        joined = data.join(F.broadcast(iv), cond, "inner")
-        return joined.select("_iid", "_lo", "_hi", data["_x"])
-
-    before = F.coalesce(F.sum("c").over(
-        Window.partitionBy("_iid").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0))
-    turn = 0
-    while active := [t for t in targets.values() if t.value is None and t.count > direct_limit]:
-        iv, keys = intervals_frame(active)
-        x, lo, hi = [_log_scale(F.col(c)) if turn % 2 else F.col(c) for c in ("_x", "_lo", "_hi")]
-        part = F.coalesce(F.try_divide(x - lo, hi - lo), F.lit(0.0))
-        bucket = F.least(F.floor(part * F.lit(float(buckets))), F.lit(buckets - 1)).cast("int")
-        hist = (join_intervals(iv).withColumn("_b", bucket)
-                .groupBy("_iid", "_b")
-                .agg(F.count("*").alias("c"), F.min("_x").alias("bmn"), F.max("_x").alias("bmx"))
-                .withColumn("_before", before))
-        wanted = spark.createDataFrame(
-            [(i, keys[(t.group, t.lo, t.hi)], t.rank - t.below) for i, t in enumerate(active)],
-            "_tid int, _iid int, _rel long")
-        hit = hist.join(F.broadcast(wanted), "_iid").where(
-            (F.col("_rel") >= F.col("_before")) & (F.col("_rel") < F.col("_before") + F.col("c")))
-        for r in hit.select("_tid", "_before", "c", "bmn", "bmx").collect():   # one per target
-            t = active[r["_tid"]]
-            t.lo, t.hi, t.below, t.count = r["bmn"], r["bmx"], t.below + r["_before"], r["c"]
-            if t.lo == t.hi:
-                t.value = t.lo
-        turn += 1
-
-    pending = [t for t in targets.values() if t.value is None]
-    if pending:
-        iv, keys = intervals_frame(pending)
-        wanted_rows = sorted({(keys[(t.group, t.lo, t.hi)], t.rank - t.below) for t in pending})
-        wanted = spark.createDataFrame(wanted_rows, "_iid int, _rn int")
-        w = Window.partitionBy("_iid").orderBy("_x")
-        ranked = (join_intervals(iv)
-                  .withColumn("_rn", (F.row_number().over(w) - 1).cast("int")))
-        picked = ranked.join(F.broadcast(wanted), ["_iid", "_rn"]).select("_iid", "_rn", "_x")
-        found = {(r["_iid"], r["_rn"]): r["_x"] for r in picked.collect()}
-        for t in pending:
-            t.value = found[(keys[(t.group, t.lo, t.hi)], t.rank - t.below)]
-
-
-def order_statistics(df: DataFrame, value: str, ranks, by: Sequence[str] = (), *,
-                     ranks_by_group: dict | None = None, stats: Sequence[dict] | None = None,
-                     direct_limit: int = DIRECT_LIMIT, buckets: int = 2048,
-                     max_groups: int = 10_000) -> dict[tuple, dict]:
-    """The k-th smallest values (0-based ``ranks``) per group.
-
-    ``ranks`` is a function ``n -> iterable of ranks`` (called with each group's
-    size); alternatively ``ranks_by_group`` maps a single group key (first ``by``
-    column) to one rank.  ``stats`` may carry per-group ``n`` / ``mn`` / ``mx``
-    (non-null count, min, max of ``value``) that the caller already aggregated,
-    which saves the first pass.  Returns ``{group: {rank: value}}`` plus
-    ``{group: {"n": n}}`` entries.
-    """
-    if ranks_by_group is not None:
-        def ranks_for(g, n):
-            return [ranks_by_group[g[0]]]
-    else:
-        def ranks_for(g, n):
-            return ranks(n)
+def summary(value: str | Column, grid: int = GRID) -> Column:
+    """The quantile summary of a column without NaN, read at ``grid + 1`` even shares: an
+    aggregate for callers that aggregate anyway."""
+    shares = F.lit(np.arange(grid + 1) / grid)      # one literal, not an expression a share
+    return F.percentile_approx(value, shares, F.lit(SKETCH * grid))
+
+
+def _summaries(data: DataFrame, by: Sequence[str], ranks: Column, grid: int,
+               taken: DataFrame | None = None) -> DataFrame:
+    """Per group: n, the wanted ``ranks`` (rising, 0-based) and the ``zones`` that hold them."""
+    found = taken if taken is not None else data.groupBy(*by).agg(
+        F.count("_x").alias("_n"), summary("_x", grid).alias("_g"))
+    found = found.where(F.col("_n") > 0).withColumn("_ranks", ranks)
+
+    def bound(step: Column) -> Column:
+        return F.get(F.col("_g"), F.least(F.greatest(step, F.lit(0)), F.lit(grid)).cast("int"))
+
+    def zone(k: Column) -> Column:
+        return F.struct(bound(F.floor(k / F.col("_n") * grid) - 2).alias("lo"),
+                        bound(F.ceil((k + 2) / F.col("_n") * grid) + 2).alias("hi"))
+
+    def joined(zones: Column, new: Column) -> Column:
+        last = F.element_at(zones, -1)
+        wider = F.struct(last["lo"].alias("lo"), F.greatest(last["hi"], new["hi"]).alias("hi"))
+        return F.when((F.size(zones) > 0) & (F.try_element_at(zones, F.lit(-1))["hi"] >= new["lo"]),
+                      F.concat(F.slice(zones, 1, F.size(zones) - 1), F.array(wider))) \
+            .otherwise(F.concat(zones, F.array(new)))
+
+    empty = F.array().cast("array<struct<lo:double,hi:double>>")
+    zones = F.aggregate(F.transform("_ranks", zone), empty, joined)
+    return found.select(*by, "_n", "_ranks", zones.alias("_zones"))
+
+
+def _values_at(data: DataFrame, by: Sequence[str], ranks: Column, most: int, grid: int,
+               taken: DataFrame | None = None,
+               direct_rows: float | None = None) -> DataFrame | None:
+    """Per group: ``_n`` and ``_at``, a map from rank to value.  ``ranks`` is an expression
+    of the group's ``_n`` and keys with ``most`` ranks at most."""
     by = list(by)
-    data = _prepare(df, value, by)
-    targets: dict[tuple, _Target] = {}
-    sizes = {}
-    if stats is not None:
-        if len(stats) > max_groups:
-            raise ValueError(f"quantiles: more than {max_groups} groups in {list(by)}")
-        group_rows = [r for r in stats if r["n"]]
+    direct_rows = DIRECT_ROWS if direct_rows is None else direct_rows
+    found = _summaries(data, by, ranks, grid, taken)
+    known = found.limit(FEW_GROUPS + 1).collect()
+    if not known:
+        return None
+    large, hint = True, (lambda many: many)
+    if len(known) <= FEW_GROUPS:      # few small rows: the first pass is not made again
+        held = max(r["_n"] for r in known) * 5 * most / grid
+        large = held > direct_rows
+        found = data.sparkSession.createDataFrame(known, found.schema)
+        hint = F.broadcast            # FEW_GROUPS rows at most
+    if not by:
+        zones = known[0]["_zones"]
+        rows, ends = data, [F.lit(float(e)) for z in zones for e in (z["lo"], z["hi"])]
+        one = {"_n": F.lit(known[0]["_n"]),
+               "_ranks": F.array(*[F.lit(k) for k in known[0]["_ranks"]])}
+
+        def with_group(small: DataFrame) -> DataFrame:
+            return small.withColumns(one)
     else:
-        group_rows = _group_stats(data, by, max_groups)
-    for row in group_rows:
-        g = tuple(row[c] for c in by)
-        n = row["n"]
-        sizes[g] = n
-        for r in ranks_for(g, n):
-            r = max(0, min(int(r), n - 1))
-            if (g, r) not in targets:
-                t = _Target(g, r, row["mn"], row["mx"], 0, n)
-                if t.lo == t.hi:
-                    t.value = t.lo
-                targets[(g, r)] = t
-    _select(data, by, targets, direct_limit=direct_limit, buckets=buckets)
-    out: dict[tuple, dict] = {g: {"n": n} for g, n in sizes.items()}
-    for (g, r), t in targets.items():
-        out[g][r] = t.value
-    return out
+        ends = [F.col(f"_e{i}") for i in range(2 * most)]
+        flat = [F.get("_zones", F.lit(i))[side].alias(f"_e{2 * i + (side == 'hi')}")
+                for i in range(most) for side in ("lo", "hi")]
+        rows = data.join(hint(found.select(*by, *flat)), by)
+
+        def with_group(small: DataFrame) -> DataFrame:
+            return small.join(hint(found.select(*by, "_n", "_ranks")), by)
+    # zone 2 i lies between brackets, zone 2 i + 1 is the i-th bracket; a group's unused
+    # ends are null and never hold
+    x, zone = F.col("_x"), F.lit(0)
+    for i, end in reversed(list(enumerate(ends))):
+        beyond = x > end if i % 2 else x >= end
+        zone = F.when(beyond, zone if i < len(ends) - 1 else F.lit(len(ends))).otherwise(F.lit(i))
+    counts = (rows.withColumn("_zone", zone)
+              .groupBy(*by, "_zone", F.when(F.col("_zone") % 2 == 1, x).alias("_v"))
+              .agg(F.count(F.lit(1)).alias("_c")))
+    picked = (_sliced if large else _running)(counts, by, with_group)
+    return picked.groupBy(*by, "_n").agg(
+        F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))
+
+
+def _before(window) -> Column:
+    return F.coalesce(F.sum("_c").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def _mine(valid: Column | None = None) -> Column:
+    """The wanted ranks among a row's; where ``valid`` does not hold there must be none."""
+    mine = F.filter("_ranks", lambda k: (k >= F.col("_start")) & (k < F.col("_start") + F.col("_c")))
+    return mine if valid is None else F.when(valid | (F.size(mine) == 0), mine).otherwise(
+        F.raise_error(F.lit("a quantile's rank lies outside its bracket")))
+
+
+def _running(counts: DataFrame, by: list[str], with_group: Callable) -> DataFrame:
+    """Rank and value, by one running sum over the counts of each group."""
+    start = _before(Window.partitionBy(*by).orderBy("_zone", "_v"))
+    return (with_group(counts.withColumn("_start", start))
+            .withColumn("_rank", F.explode(_mine(F.col("_zone") % 2 == 1)))
+            .select(*by, "_n", "_rank", "_v"))
+
+
+def _sliced(counts: DataFrame, by: list[str], with_group: Callable) -> DataFrame:
+    """:func:`_running` for brackets of very many values: running sums by zone, by slice
+    of a zone, and by value in the slices that hold a rank.  Brackets are sliced evenly
+    between the least and greatest value that they hold."""
+    zones = counts.groupBy(*by, "_zone").agg(
+        F.sum("_c").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    start = _before(Window.partitionBy(*by).orderBy("_zone"))
+    hit = (with_group(zones.withColumn("_start", start))
+           .withColumn("_ranks", _mine(F.col("_zone") % 2 == 1)).where(F.size("_ranks") > 0)
+           .select(*by, "_zone", "_lo", "_hi", "_n", "_ranks", F.col("_start").alias("_first")))
+    share = F.coalesce(F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
+    held = counts.join(hit, [*by, "_zone"]).withColumn("_slice", F.floor(share * SLICES).cast("int"))
+    keys = [*by, "_zone", "_slice"]
+    slices = (held.groupBy(*keys).agg(F.sum("_c").alias("_c"), F.first("_first").alias("_first"),
+                                      F.first("_n").alias("_n"), F.first("_ranks").alias("_ranks"))
+              .withColumn("_start", F.col("_first") + _before(
+                  Window.partitionBy(*by, "_zone").orderBy("_slice")))
+              .withColumn("_ranks", _mine()).where(F.size("_ranks") > 0)
+              .select(*keys, "_n", "_ranks", F.col("_start").alias("_first")))
+    return (held.select(*keys, "_v", "_c").join(slices, keys)
+            .withColumn("_start", F.col("_first") + _before(Window.partitionBy(*keys).orderBy("_v")))
+            .withColumn("_rank", F.explode(_mine())).select(*by, "_n", "_rank", "_v"))
+
+
+def _positions(p: float) -> tuple[Column, Column, Column]:
+    """Lower rank, upper rank and the share between them, of ``_n`` values."""
+    h = F.lit(float(p)) * (F.col("_n") - 1)
+    low = F.floor(h).cast("long")
+    return low, F.least(low + 1, F.col("_n") - 1), h - low
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
-                    by: Sequence[str] = (), **kw) -> dict[tuple, list[float | None]]:
-    """Quantiles of ``value`` at ``probs`` per group of ``by`` (linear rule).
-
-    Nulls (and null group keys) are ignored.  Returns ``{group_tuple: [q...]}``;
-    groups without values are absent.
-    """
-    def ranks(n):
-        for p in probs:
-            lo, hi, _ = _rank_positions(n, p)
-            yield lo
-            yield hi
-
-    stats = order_statistics(df, value, ranks, by, **kw)
-    out: dict[tuple, list[float | None]] = {}
-    for g, vals in stats.items():
-        row = []
-        for p in probs:
-            lo, hi, frac = _rank_positions(vals["n"], p)
-            a, b = vals[lo], vals[hi]
-            # same interpolation form as SQL engines' quantile_cont
-            row.append(a if frac == 0 else a * (1.0 - frac) + b * frac)
-        out[g] = row
-    return out
+def quantile_frame(df: DataFrame, value: str, probs: Sequence[float],
+                   names: Sequence[str], by: Sequence[str] = (), grid: int = GRID,
+                   taken: DataFrame | None = None) -> DataFrame:
+    """Quantiles of ``value`` at ``probs`` (linear rule) per group of ``by``: a DataFrame
+    ``(by..., names...)`` with one row per group that has values.  ``taken`` may hold each
+    group's ``_n`` and ``_g`` (:func:`summary`) if the caller has them; the first pass is
+    then not needed."""
+    ends = [k for p in probs for k in _positions(p)[:2]]
+    ranks = F.array_sort(F.array_distinct(F.array(*ends)))
+    found = _values_at(_prepare(df, value, by), by, ranks, len(ends), grid, taken)
+    if found is None:
+        fields = ", ".join(f"{n} double" for n in names)
+        return df.sparkSession.createDataFrame([], fields)
+
+    def quantile(p: float) -> Column:
+        low, high, frac = _positions(p)
+        a, b = F.element_at("_at", low), F.element_at("_at", high)
+        # same interpolation form as SQL engines' quantile_cont
+        return F.when(frac == 0, a).otherwise(a * (F.lit(1.0) - frac) + b * frac)
+
+    return found.select(*by, *[quantile(p).alias(n) for p, n in zip(probs, names)])
 
 
-def quantile_frame(df: DataFrame, value: str, probs: Sequence[float],
-                   names: Sequence[str], by: Sequence[str] = (), **kw) -> DataFrame:
-    """:func:`exact_quantiles` as a small DataFrame ``(by..., names...)``.
-
-    One row per non-empty group; built on the driver from a result whose size is
-    ``groups x probs`` (bounded by ``max_groups``).
-    """
-    res = exact_quantiles(df, value, probs, by, **kw)
-    spark = df.sparkSession
-    by_fields = [T.StructField(f.name, f.dataType, True)
-                 for f in df.schema.fields if f.name in by]
-    schema = T.StructType(by_fields + [T.StructField(n, T.DoubleType(), True) for n in names])
-    rows = [(*g, *[None if v is None else float(v) for v in vals]) for g, vals in res.items()]
-    return spark.createDataFrame(rows, schema)
-
-
-def approx_quantiles(df: DataFrame, value: str, probs: Sequence[float],
-                     by: Sequence[str] = (), accuracy: int = 10_000) -> dict[tuple, list]:
-    """Opt-in approximate quantiles (``percentile_approx``, one aggregate pass).
-
-    Rank error is about ``n / accuracy``.  Not used by any registered query: the
-    exact selection above is the default; this is for users who accept the error.
-    """
-    by = list(by)
-    data = _prepare(df, value, by)
-    rows = (data.groupBy(*by)
-            .agg(F.percentile_approx("_x", list(probs), accuracy).alias("_q")).collect())
-    return {tuple(r[c] for c in by): list(r["_q"]) for r in rows}
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
+                    by: Sequence[str] = (), grid: int = GRID) -> dict[tuple, list[float]]:
+    """:func:`quantile_frame` as ``{group_tuple: [q...]}``, for groups that fit on the
+    driver; groups without values are absent."""
+    names = [f"_q{i}" for i in range(len(probs))]
+    rows = quantile_frame(df, value, probs, names, by, grid).collect()
+    return {tuple(r[c] for c in by): [r[n] for n in names] for r in rows}
+
+
+def order_statistics(df: DataFrame, value: str, ranks: Sequence[int] | Column,
+                     by: Sequence[str] = (), most: int = 1,
+                     grid: int = GRID) -> dict[tuple, dict[int, float]]:
+    """The k-th smallest values (0-based) per group, ``{group: {rank: value}}``.  ``ranks``
+    are numbers, or an array expression of the ``by`` columns (``most`` ranks at most);
+    ranks that a group does not have are left out."""
+    if not isinstance(ranks, Column):
+        most = len(ranks)
+        ranks = F.array(*[F.lit(int(k)).cast("long") for k in sorted(set(ranks))])
+    known = F.filter(ranks, lambda k: (k >= 0) & (k < F.col("_n")))
+    found = _values_at(_prepare(df, value, by), by, known, most, grid)
+    rows = found.collect() if found is not None else []
+    return {tuple(r[c] for c in by): dict(r["_at"]) for r in rows}

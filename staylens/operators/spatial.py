@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from staylens.functions.expressions import haversine_km, round2
 
 DIGITS = 6
-LEAF_POINTS = 32
+LEAF_POINTS = 8
 TOP_LEVEL, DEEPEST = 2, 20      # 64 cubes in all; cubes 12 m a side
 SLACK = 1e-9                    # of chords: 6 mm, above rounding at DIGITS
 _AXES = ("x", "y", "z")
@@ -150,5 +150,7 @@ def nearest_point(df: DataFrame, points: DataFrame, lat: str = "latitude",
         return F.struct(round2(km, DIGITS).alias("km"), p["id"].alias("id"))
 
     best = F.array_min(F.transform("_points", distance))
-    return (rows.join(arrays, "_cube", "left").withColumn("_best", best)
-            .select(*df.columns, F.col("_best.id").alias(out_id), F.col("_best.km").alias(out_km)))
+    # the struct is taken apart by one generator row, so that it is made once
+    return (rows.join(arrays, "_cube", "left")
+            .select(*df.columns, F.inline_outer(F.array(best)).alias(out_km, out_id))
+            .select(*df.columns, out_id, out_km))

@@ -1,21 +1,25 @@
 """Statistics: histogram, Gaussian KDE, linear and local trends, stable samples.
 
-All work is aggregations over the whole table; only scalars (min, max, n, std)
-and fixed-size grids reach the driver.
+All work is aggregations over the whole table; only scalars (min, max, n, std), sums by
+cell of a fixed grid and values at grid points reach the driver.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staylens.functions import fixed
 from staylens.functions.expressions import round2, safe_corr, sorted_small
+from staylens.operators.moments import Cells, gaussian_sums, matrix, power_sums, tricube_sums
 from staylens.operators.quantiles import exact_quantiles, order_statistics
 
 DIGITS = 6
+#: Cells of the x axis of a local trend.
+CELLS = 1024
 
 
 def _scalars(df: DataFrame, col: str) -> dict:
@@ -53,27 +57,23 @@ def price_kde(df: DataFrame, col: str = "price", points: int = fixed.KDE_GRID_PO
               bins: int = fixed.HISTOGRAM_BINS) -> DataFrame:
     """Gaussian KDE (Scott bandwidth ``std * n**-0.2``) on ``points`` evenly
     spaced values from min to max, scaled to histogram counts by
-    ``n * (max - min) / bins``.  One aggregate pass with one sum per grid point;
-    zero variance or fewer than two values give an empty result."""
+    ``n * (max - min) / bins``.  One pass adds up the powers of each value's place in its
+    cell of the line, whatever the number of points (:func:`gaussian_sums`); zero
+    variance or fewer than two values give an empty result."""
     spark = df.sparkSession
-    empty = spark.createDataFrame([], "point int, x double, density double")
+    ddl = "point int, x double, density double"
     s = _scalars(df, col)
     n, sd = s["n"], s["sd"]
     if not n or n < 2 or sd is None or sd == 0 or math.isnan(sd):
-        return empty
+        return spark.createDataFrame([], ddl)
     mn, mx = float(s["mn"]), float(s["mx"])
     h = float(sd) * n ** (-0.2)
     step = (mx - mn) / (points - 1)
     grid = [mn + i * step for i in range(points - 1)] + [mx]
-    x = F.col(col)
-    sums = [F.sum(F.exp(F.lit(-0.5) * F.pow((F.lit(g) - x) / F.lit(h), 2))).alias(f"k{i}")
-            for i, g in enumerate(grid)]
-    row = df.where(x.isNotNull()).agg(*sums)
     scale = 1.0 / (n * h * math.sqrt(2 * math.pi)) * n * (mx - mn) / bins
-    items = [F.struct(F.lit(i).alias("point"), F.lit(g).alias("x"),
-                      (F.col(f"k{i}") * F.lit(scale)).alias("density"))
-             for i, g in enumerate(grid)]
-    return row.select(F.inline(F.array(*items))).select(
+    sums = gaussian_sums(df, F.col(col), grid, mn, mx, h)
+    rows = [(i, g, float(k) * scale) for i, (g, k) in enumerate(zip(grid, sums))]
+    return spark.createDataFrame(rows, ddl).select(
         "point", round2("x", DIGITS).alias("x"), round2("density", DIGITS).alias("density"))
 
 
@@ -97,148 +97,158 @@ def local_trend(df: DataFrame, x: str = "price", y: str = "number_of_reviews",
     """Locally weighted linear regression (LOWESS) evaluated on ``points`` evenly
     spaced x values, with ``iterations`` robustifying rounds.
 
-    * span radius per grid point: distance to its ``int(frac * n)``-th nearest x,
-      from the exact order-statistics operator over (row, grid point) distances;
-    * fit: tricube-weighted sums per grid point give the local line in closed form;
+    * span radius per grid point: distance to its ``int(frac * n)``-th nearest x
+      (:func:`knn_radius`);
+    * fit: the tricube weight is a polynomial on either side of a grid point, so cells of
+      the x axis that a span covers wholly enter by their power sums, whatever their
+      number of rows; only rows of the three cells that hold a grid point or an end of
+      its span meet that point itself.  One pass a round, one sum per cell and power;
     * robust rounds: residuals at every row against the current fit (linear
-      interpolation between grid points), their median absolute value from the
-      selection operator, bisquare weights ``(1 - (r / 6 mad)^2)^2`` multiplied
-      into the tricube weights, then refit.  Only the ``points`` fitted values
-      reach the driver between rounds.
+      interpolation between grid points), their exact median absolute value, bisquare
+      weights ``(1 - (r / 6 mad)^2)^2`` multiplied into the sums, then refit.
 
-    Rows fan out to the fixed grid through a generator (constant factor), never
-    to pairs of rows.
+    Only sums by cell (``CELLS`` rows) and by point reach the driver.
     """
     spark = df.sparkSession
-    empty = spark.createDataFrame([], "point int, x double, fitted double")
+    ddl = "point int, x double, fitted double"
     data = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")) \
         .where(F.col("x").isNotNull() & F.col("y").isNotNull())
     s = _scalars(data, "x")
     n = s["n"]
     if not n or n <= min_rows:
-        return empty
+        return spark.createDataFrame([], ddl)
     mn, mx = float(s["mn"]), float(s["mx"])
     step = (mx - mn) / (points - 1) if points > 1 else 0.0
     grid = [mn + i * step for i in range(points - 1)] + [mx]
     k = max(1, int(frac * n + 1e-10))
-    rad = knn_radius(data, "x", grid, k, bounds=(mn, mx))
-    # fit passes: each grid point carries its radius, and a row only reaches the
-    # grid points whose span covers it (zero tricube weight elsewhere)
-    near = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("point"), F.lit(g).alias("g"),
-                 F.lit(float(rad.get(i, 0.0))).alias("r"))
-        for i, g in enumerate(grid)])).alias("p")
-    local = (data.select("x", "y", near)
-             .select("x", "y", "p.point", "p.g", "p.r", F.abs(F.col("x") - F.col("p.g")).alias("d"))
-             .where((F.col("d") < F.col("r")) | (F.col("d") == 0)))
-    rcol = F.col("r")
-    u = F.when(rcol > 0, F.col("d") / rcol).otherwise(F.when(F.col("d") == 0, 0.0))
-    tricube = F.when(u < 1, F.pow(F.lit(1.0) - F.pow(u, 3), 3)).otherwise(F.lit(0.0))
-
-    def fit(robust: Column) -> DataFrame:
-        sums = (local.withColumn("w", tricube * robust).groupBy("point", "g").agg(
-            F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("x")).alias("swx"),
-            F.sum(F.col("w") * F.col("y")).alias("swy"),
-            F.sum(F.col("w") * F.col("x") * F.col("x")).alias("swxx"),
-            F.sum(F.col("w") * F.col("x") * F.col("y")).alias("swxy")))
-        xb = F.col("swx") / F.col("sw")
-        yb = F.col("swy") / F.col("sw")
-        den = F.col("swxx") - F.col("sw") * xb * xb
-        slope = F.when(F.abs(den) > F.lit(1e-12) * F.col("swxx"),
-                       (F.col("swxy") - F.col("sw") * xb * yb) / den).otherwise(F.lit(0.0))
-        return sums.select("point", "g", F.when(F.col("sw") > 0, yb + slope * (F.col("g") - xb))
-                           .alias("fitted"))
-
-    robust = F.lit(1.0)
-    fitted = fit(robust)
+    cells = Cells.over(mn, mx, CELLS)
+    rad = knn_radius(data, "x", grid, k, cells)
+    spans = [(g, float(rad.get(i, 0.0))) for i, g in enumerate(grid)]
+    fitted = _local_fit(data.withColumn("resid", F.lit(0.0)), cells, spans, 1.0)
     for _ in range(iterations):
-        vals = {r["point"]: r["fitted"] for r in fitted.collect()}   # `points` rows
-        if any(vals.get(i) is None for i in range(len(grid))) or step <= 0:
+        if any(v is None for v in fitted) or step <= 0:
             break
-        resid = F.col("y") - _interpolate(F.col("x"), mn, step, [vals[i] for i in range(len(grid))])
-        mad = exact_quantiles(data.select(F.abs(resid).alias("r")), "r", [0.5]).get((), [None])[0]
+        rest = _residuals(data, mn, step, fitted)
+        mad = exact_quantiles(rest.select(F.abs("resid").alias("r")), "r", [0.5]).get((), [None])[0]
         if not mad:
             break
-        v = resid / F.lit(6.0 * mad)
-        robust = F.when(F.abs(v) < 1, F.pow(F.lit(1.0) - v * v, 2)).otherwise(F.lit(0.0))
-        fitted = fit(robust)
-    return sorted_small(fitted.select("point", round2("g", DIGITS).alias("x"),
-                                      round2("fitted", DIGITS).alias("fitted")), "point")
+        fitted = _local_fit(rest, cells, spans, 6.0 * mad)
+    rows = [(i, g, v) for i, (g, v) in enumerate(zip(grid, fitted))]
+    return spark.createDataFrame(rows, ddl).select(
+        "point", round2("x", DIGITS).alias("x"), round2("fitted", DIGITS).alias("fitted"))
+
+
+def _beside(data: DataFrame, by_cell: dict[int, list[tuple]], fields: str) -> DataFrame:
+    """``data`` (with a ``cell`` column) beside the array ``at`` of the structs that
+    ``by_cell`` has for its cell, null where it has none.  The table holds a few structs
+    for each grid point."""
+    table = data.sparkSession.createDataFrame(sorted(by_cell.items()),
+                                              f"cell int, at array<struct<{fields}>>")
+    return data.join(F.broadcast(table), "cell", "left")
+
+
+def _local_fit(data: DataFrame, cells: Cells, spans: list[tuple[float, float]],
+               scale: float) -> list[float | None]:
+    """Fitted values at the points, rows weighted by the bisquare of ``resid / scale`` and
+    their span's tricube."""
+    edges = [{cells.number_of(v) for v in (g - r, g, g + r)} for g, r in spans]
+    near: dict[int, list[tuple]] = {}
+    for i, ((g, r), own) in enumerate(zip(spans, edges)):
+        for cell in own:
+            near.setdefault(cell, []).append((i, g, r))
+    v = F.col("resid") / F.lit(float(scale))
+    robust = F.when(F.abs(v) < 1, (F.lit(1.0) - v * v) * (F.lit(1.0) - v * v)).otherwise(F.lit(0.0))
+    rows = data.select("x", "y", robust.alias("w"), cells.number(F.col("x")).alias("cell"))
+    # every row once for its cell's sums, and once for each point whose edge its cell is
+    once = F.array(F.struct(F.lit(-1).alias("point"), F.lit(0.0).alias("g"), F.lit(0.0).alias("r")))
+    rows = _beside(rows, near, "point: int, g: double, r: double").select(
+        "x", "y", "w", "cell", F.explode(F.concat(once, F.coalesce("at", F.array().cast(
+            "array<struct<point:int,g:double,r:double>>")))).alias("p"))
+    d = F.col("x") - F.col("p.g")
+    u = F.when(F.col("p.r") > 0, F.abs(d) / F.col("p.r")).otherwise(F.when(d == 0, 0.0))
+    rest = F.lit(1.0) - u * u * u
+    tricube = F.when(u < 1, rest * rest * rest).otherwise(F.lit(0.0))
+    direct = F.col("p.point") >= 0
+    weight = F.when(direct, F.col("w") * tricube).otherwise(F.col("w"))
+    place = F.when(direct, d).otherwise(cells.place(F.col("x"), F.col("cell")))
+    key = F.when(direct, -1 - F.col("p.point")).otherwise(F.col("cell"))
+    sums = (rows.select(key.alias("key"), weight.alias("w"), place.alias("t"),
+                        (weight * F.col("y")).alias("wy"))
+            .groupBy("key").agg(power_sums(F.col("t"), F.col("w"), 11).alias("m"),
+                                power_sums(F.col("t"), F.col("wy"), 10).alias("v")).collect())
+    # the key of a point's own sums is below 0; a point's first five sums are those of
+    # the weighted line, a cell's are its power sums
+    mine = {-1 - r["key"]: np.array(r["m"][:3] + r["v"][:2])
+            for r in sums if r["key"] < 0}
+    held = sorted((r for r in sums if r["key"] >= 0), key=lambda r: r["key"])
+    number = np.array([r["key"] for r in held])
+    ones, values = matrix(held, "m", 11), matrix(held, "v", 10)
+    out: list[float | None] = []
+    for i, ((g, r), own) in enumerate(zip(spans, edges)):
+        inside = (number > cells.number_of(g - r)) & (number < cells.number_of(g + r)) \
+            & (number != cells.number_of(g))
+        total = mine.get(i, np.zeros(5))
+        if r > 0 and inside.any():
+            total = total + tricube_sums(cells, number[inside], ones[inside], values[inside], g, r)
+        sw, sd, sdd, sy, syd = total
+        if not sw > 0:
+            out.append(None)
+            continue
+        db, yb = sd / sw, sy / sw
+        spread = sdd - sw * db * db
+        flat = abs(spread) <= 1e-12 * (sdd + 2 * g * sd + g * g * sw)
+        out.append(float(yb - (0.0 if flat else (syd - sd * yb) / spread) * db))
+    return out
 
 
 def knn_radius(data: DataFrame, x: str, grid: list[float], k: int,
-               buckets: int = 4096, bounds: tuple[float, float] | None = None) -> dict[int, float]:
+               cells: Cells) -> dict[int, float]:
     """Exact distance from each grid value to its ``k``-th nearest ``x``.
 
-    1. one histogram pass over ``x`` (``buckets`` rows of count/min/max reach
-       the driver) brackets each grid point's radius in ``[lo, hi]``: buckets
-       wholly within ``hi`` hold at least ``k`` rows, buckets that can reach
-       below ``lo`` hold fewer than ``k``;
-    2. one aggregate counts, per grid point, the rows closer than ``lo``;
-    3. the order-statistics operator ranks only the rows inside the bracket.
+    1. counts, least and greatest values of the cells (``cells.n`` rows reach the driver):
+       running sums over them, ordered by distance, bracket each radius in ``[lo, hi]`` and
+       count the rows of cells that are nearer for certain;
+    2. only rows of the cells that reach into a bracket meet that grid point, and the
+       order-statistics operator picks the remaining rank among their distances.
     """
-    if bounds is None:
-        s = data.agg(F.min(x).alias("mn"), F.max(x).alias("mx")).collect()[0]
-        bounds = (float(s["mn"]), float(s["mx"]))
-    mn, mx = bounds
-    width = (mx - mn) / buckets if mx > mn else 1.0
-    b = F.least(F.floor((F.col(x) - F.lit(mn)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
-    hist = (data.groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(x).alias("lo"),
-                                           F.max(x).alias("hi")).collect())
-    brackets = {}
+    hist = (data.groupBy(cells.number(F.col(x)).alias("cell"))
+            .agg(F.count(F.lit(1)).alias("c"), F.min(x).alias("lo"), F.max(x).alias("hi")).collect())
+    number = np.array([r["cell"] for r in hist])
+    count = np.array([r["c"] for r in hist], dtype=np.int64)
+    low, high = (np.array([float(r[c]) for r in hist]) for c in ("lo", "hi"))
+    near: dict[int, list[tuple]] = {}
+    ranks = []
     for i, g in enumerate(grid):
-        near, far = [], []
-        for r in hist:
-            lo, hi, c = float(r["lo"]), float(r["hi"]), r["c"]
-            dmin = 0.0 if lo <= g <= hi else min(abs(lo - g), abs(hi - g))
-            near.append((dmin, c))
-            far.append((max(abs(lo - g), abs(hi - g)), c))
-        acc, r_hi = 0, None
-        for dmax, c in sorted(far):
-            acc += c
-            if acc >= k:
-                r_hi = dmax
-                break
-        acc, r_lo = 0, 0.0
-        for dmin, c in sorted(near):
-            if acc + c >= k:
-                r_lo = dmin
-                break
-            acc += c
-        brackets[i] = (r_lo, r_hi)
-    fan = F.explode(F.array(*[F.struct(F.lit(i).alias("point"), F.lit(float(g)).alias("g"),
-                                       F.lit(brackets[i][0]).alias("r_lo"),
-                                       F.lit(brackets[i][1]).alias("r_hi"))
-                              for i, g in enumerate(grid)])).alias("p")
-    dist = (data.select(F.col(x), fan)
-            .select("p.point", "p.r_lo", "p.r_hi", F.abs(F.col(x) - F.col("p.g")).alias("d")))
-    # one aggregate: rows closer than the bracket, and count/min/max inside it
-    # (which seed the selection, so it needs no statistics pass of its own)
-    in_bracket = (F.col("d") >= F.col("r_lo")) & (F.col("d") <= F.col("r_hi"))
-    agg = (dist.where(F.col("d") <= F.col("r_hi")).groupBy("point").agg(
-        F.count(F.when(F.col("d") < F.col("r_lo"), 1)).alias("below"),
-        F.count(F.when(in_bracket, 1)).alias("n"),
-        F.min(F.when(in_bracket, F.col("d"))).alias("mn"),
-        F.max(F.when(in_bracket, F.col("d"))).alias("mx")).collect())   # one row per point
-    below = {r["point"]: r["below"] for r in agg}
-    inside = dist.where(in_bracket)
-    ranks = {i: k - 1 - below.get(i, 0) for i in range(len(grid))}
-    stats = order_statistics(inside, "d", None, ["point"], ranks_by_group=ranks,
-                             stats=[{"point": r["point"], "n": r["n"], "mn": r["mn"], "mx": r["mx"]}
-                                    for r in agg])
-    return {g[0]: v[ranks[g[0]]] for g, v in stats.items()}
-
-
-def _interpolate(xc: Column, start: float, step: float, values: list[float]) -> Column:
-    """Piecewise-linear value at ``xc`` of a curve given on an even grid."""
+        least = np.where((low <= g) & (g <= high), 0.0, np.minimum(np.abs(low - g), np.abs(high - g)))
+        most = np.maximum(np.abs(low - g), np.abs(high - g))
+        order = np.argsort(most, kind="stable")
+        r_hi = most[order][np.searchsorted(np.cumsum(count[order]), k)]
+        order = np.argsort(least, kind="stable")
+        r_lo = least[order][np.searchsorted(np.cumsum(count[order]), k)]
+        ranks.append(k - 1 - int(count[most < r_lo].sum()))
+        for cell in number[(most >= r_lo) & (least <= r_hi)].tolist():
+            near.setdefault(cell, []).append((i, float(g)))
+    rows = data.select(F.col(x).alias("x"), cells.number(F.col(x)).alias("cell"))
+    dist = (_beside(rows, near, "point: int, g: double")
+            .select("x", F.explode("at").alias("p"))
+            .select("p.point", F.abs(F.col("x") - F.col("p.g")).alias("d")))
+    rank = F.get(F.array(*[F.lit(r).cast("long") for r in ranks]), F.col("point"))
+    found = order_statistics(dist, "d", F.array(rank), ["point"])
+    return {g[0]: v[ranks[g[0]]] for g, v in found.items()}
+
+
+def _residuals(data: DataFrame, start: float, step: float, values: list[float]) -> DataFrame:
+    """``data`` with ``resid``, y less the curve given on an even grid (linear between its
+    points).  The curve is a small table, so that every round runs the same compiled code."""
     last = len(values) - 2
-    j = F.least(F.greatest(F.floor((xc - F.lit(start)) / F.lit(step)), F.lit(0)),
-                F.lit(last)).cast("int")
-    arr = F.array(*[F.lit(float(v)) for v in values])
-    f0 = F.element_at(arr, j + 1)
-    f1 = F.element_at(arr, j + 2)
-    g0 = F.lit(start) + j * F.lit(step)
-    return f0 + (f1 - f0) * (xc - g0) / F.lit(step)
+    piece = F.least(F.greatest(F.floor((F.col("x") - F.lit(start)) / F.lit(step)), F.lit(0)),
+                    F.lit(last)).cast("int")
+    curve = data.sparkSession.createDataFrame(
+        [(j, start + j * step, values[j], values[j + 1] - values[j]) for j in range(last + 1)],
+        "piece int, g0 double, f0 double, rise double")
+    return data.withColumn("piece", piece).join(F.broadcast(curve), "piece").select(
+        "x", "y", (F.col("y") - (F.col("f0") + F.col("rise") * (F.col("x") - F.col("g0"))
+                                 / F.lit(step))).alias("resid"))
 
 
 def stable_sample(df: DataFrame, n: int = fixed.SAMPLE_SIZE, seed: int = fixed.SAMPLE_SEED,

@@ -12,6 +12,7 @@ Conventions:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,7 +23,7 @@ from staylens.functions import fixed
 from staylens.functions.expressions import (cut, exact_avg, exact_sum, label_dimension,
                                             nan_to_null, round2, safe_corr, sorted_small)
 from staylens.operators.filters import keep_top_k
-from staylens.operators.quantiles import exact_quantiles, quantile_frame
+from staylens.operators.quantiles import quantile_frame, summary
 
 DIGITS = 6
 
@@ -72,36 +73,12 @@ def grouped_summary(df: DataFrame, key: str, aggs: Sequence[tuple[str, Column]],
 
 
 def _with_medians(data: DataFrame, key: str, aggs: Sequence[tuple[str, Column]],
-                  medians: Sequence[tuple[str, str]], max_groups: int = 10_000) -> DataFrame:
-    """The grouped aggregate plus exact medians.
-
-    The same aggregate also computes count/min/max of each median column; its rows
-    (one per group, guarded by ``max_groups``) seed the quantile selection, so the
-    medians need no separate statistics pass.  The result is a small frame built
-    from those rows.
-    """
-    extra = []
-    for i, (_name, col) in enumerate(medians):
-        c = F.col(col).cast("double")
-        ok = c.isNotNull() & ~F.isnan(c)
-        extra += [F.count(F.when(ok, c)).alias(f"_n{i}"), F.min(F.when(ok, c)).alias(f"_mn{i}"),
-                  F.max(F.when(ok, c)).alias(f"_mx{i}")]
-    agg_df = data.groupBy(key).agg(*[a.alias(n) for n, a in aggs], *extra)
-    rows = agg_df.limit(max_groups + 1).collect()
-    if len(rows) > max_groups:
-        raise ValueError(f"grouped_summary: more than {max_groups} groups in {key}")
-    values = []
-    for i, (_name, col) in enumerate(medians):
-        stats = [{key: r[key], "n": r[f"_n{i}"], "mn": r[f"_mn{i}"], "mx": r[f"_mx{i}"]}
-                 for r in rows]
-        values.append(exact_quantiles(data, col, [0.5], [key], stats=stats,
-                                      max_groups=max_groups))
-    fields = [f for f in agg_df.schema.fields if not f.name.startswith("_")]
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields]
-                          + [T.StructField(n, T.DoubleType(), True) for n, _ in medians])
-    out_rows = [tuple(r[f.name] for f in fields)
-                + tuple(v.get((r[key],), [None])[0] for v in values) for r in rows]
-    return data.sparkSession.createDataFrame(out_rows, schema)
+                  medians: Sequence[tuple[str, str]]) -> DataFrame:
+    """The grouped aggregate joined with exact medians, whatever the number of groups."""
+    out = data.groupBy(key).agg(*[a.alias(n) for n, a in aggs])
+    for name, col in medians:
+        out = out.join(quantile_frame(data, col, [0.5], [name], [key]), key, "left")
+    return out
 
 
 # --- E1-E4 KPIs --------------------------------------------------------------------
@@ -288,37 +265,55 @@ def host_portfolio(df: DataFrame) -> DataFrame:
 
 # --- E17, E20 correlation ------------------------------------------------------------------
 
-def corr_matrix(df: DataFrame, cols: Sequence[str] = tuple(fixed.CORRELATION_FEATURES)) -> DataFrame:
-    """Pearson matrix in long form ``(feature_x, feature_y, r)`` over
-    pairwise-complete rows; null for constants or fewer than two rows.
-
-    Each row fans out to one ``(pair, a, b)`` struct per column pair (a constant
-    factor), rows missing either side are dropped, and ``groupBy(pair)`` with
-    partial aggregation computes covariance and deviations.  A small aggregation
-    buffer keeps the pass inside whole-stage codegen (one wide aggregate of every
-    pair would exceed the generated-code field limit and fall back).
+def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Pearson r of every pair i <= j of columns over pairwise-complete rows, unrounded:
+    ``(x, y, r)``; null for constants or fewer than two rows.
+
+    One scan without copies of rows: rows are grouped by which of their columns are
+    null (a bit mask: the patterns that occur, mostly one), and each pattern's
+    sums of values and of products of two values are taken once for all pairs.  A pair's
+    sums are those of the patterns that have both.  Values are taken from a typical
+    row's, so that large offsets do not cancel.
     """
+    spark = df.sparkSession
     cols = [c for c in cols if c in df.columns]
-    keys = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    if not keys:
-        return df.sparkSession.createDataFrame([], "feature_x string, feature_y string, r double")
-    fan = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("a"),
-                 F.col(b).cast("double").alias("b"))
-        for i, (a, b) in enumerate(keys)])).alias("p")
-    pairs = (df.select(fan).select("p.*")
-             .where(F.col("a").isNotNull() & F.col("b").isNotNull()))
-    stats = pairs.groupBy("pair").agg(
-        F.try_divide(F.covar_samp("a", "b"), F.stddev_samp("a") * F.stddev_samp("b")).alias("r"))
-    # every pair is listed, also those without complete rows (r null)
-    all_pairs = df.sparkSession.createDataFrame(
-        [(i, a, b) for i, (a, b) in enumerate(keys)], "pair int, x string, y string")
-    j = all_pairs.join(F.broadcast(stats), "pair", "left")   # <= len(keys) rows each side
+    if not cols:
+        return spark.createDataFrame([], "x string, y string, r double")
+    values = df.select(*[nan_to_null(F.col(c).cast("double")).alias(f"v{i}")
+                         for i, c in enumerate(cols)])
+    first = values.first()
+    n = len(cols)
+    shifted = [F.coalesce(F.col(f"v{i}") - F.lit(float((first and first[i]) or 0.0)), F.lit(0.0))
+               for i in range(n)]
+    missing = sum((F.when(F.col(f"v{i}").isNull(), 1 << i).otherwise(0) for i in range(n)), F.lit(0))
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+    rows = (values.select(missing.alias("missing"), *[c.alias(f"d{i}") for i, c in enumerate(shifted)])
+            .groupBy("missing").agg(
+                F.count(F.lit(1)).alias("n"), *[F.sum(f"d{i}").alias(f"s{i}") for i in range(n)],
+                *[F.sum(F.col(f"d{i}") * F.col(f"d{j}")).alias(f"p{i}_{j}") for i, j in pairs])
+            .orderBy("missing").collect())                  # at most 2**columns rows
+    out = []
+    for i, j in pairs:
+        both = [r for r in rows if not r["missing"] >> i & 1 and not r["missing"] >> j & 1]
+        count, sx, sy, sxx, syy, sxy = (math.fsum(r[c] for r in both) for c in (
+            "n", f"s{i}", f"s{j}", f"p{i}_{i}", f"p{j}_{j}", f"p{i}_{j}"))
+        r = None
+        if count >= 2:
+            vx, vy = sxx - sx * sx / count, syy - sy * sy / count
+            # what is left of a constant column is rounding
+            if vx > 1e-14 * sxx and vy > 1e-14 * syy:
+                r = (sxy - sx * sy / count) / math.sqrt(vx * vy)
+        out.append((cols[i], cols[j], r))
+    return spark.createDataFrame(out, "x string, y string, r double")
+
+
+def corr_matrix(df: DataFrame, cols: Sequence[str] = tuple(fixed.CORRELATION_FEATURES)) -> DataFrame:
+    """Pearson matrix in long form ``(feature_x, feature_y, r)`` (:func:`correlations`)."""
     both = F.explode(F.array(
         F.struct(F.col("x").alias("feature_x"), F.col("y").alias("feature_y"), F.col("r")),
         F.when(F.col("x") != F.col("y"),   # mirrored cell, off the diagonal only
                F.struct(F.col("y").alias("feature_x"), F.col("x").alias("feature_y"), F.col("r")))))
-    return (j.select(both.alias("m")).where(F.col("m").isNotNull())
+    return (correlations(df, cols).select(both.alias("m")).where(F.col("m").isNotNull())
             .select("m.feature_x", "m.feature_y", rnd("m.r").alias("r")))
 
 
@@ -455,12 +450,14 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """count, mean, std, min, 25/50/75% (linear), max per numeric column, long form.
 
-    One aggregate over the columns side by side gives the moments (whole numbers are
-    summed exactly, whatever their size), and its count/min/max seed the quantile
-    selection.  Only the selection unpivots the columns to ``(column, v)``.
+    Two passes: one aggregate over the columns side by side gives the moments (whole
+    numbers are summed exactly, whatever their size) and the quantile summaries; the
+    quantiles' counting pass unpivots the columns to ``(column, v)``.
     """
     spark = df.sparkSession
     cols = list(cols) if cols is not None else numeric_columns(df)
+    ddl = ("column string, count long, mean double, std double, min double, max double, "
+           "_g array<double>")
     aggs = []
     for i, c in enumerate(cols):
         v = nan_to_null(F.col(c).cast("double"))
@@ -469,23 +466,20 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
                 if whole else F.avg(v))
         aggs += [F.count(v).alias(f"n{i}"), mean.alias(f"mean{i}"),
                  F.stddev_samp(v).alias(f"std{i}"), F.min(v).alias(f"mn{i}"),
-                 F.max(v).alias(f"mx{i}")]
+                 F.max(v).alias(f"mx{i}"), summary(v).alias(f"g{i}")]
     one = df.agg(*aggs).collect()[0] if cols else {}
-    found = [{"column": c, **{s: one[f"{s}{i}"] for s in ("n", "mean", "std", "mn", "mx")}}
-             for i, c in enumerate(cols)]
+    found = spark.createDataFrame([
+        (c, *[one[f"{s}{i}"] for s in ("n", "mean", "std", "mn", "mx", "g")])
+        for i, c in enumerate(cols)], ddl)
     stacked = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols
-    ])).alias("s")).select("s.column", "s.v").where(F.col("v").isNotNull() & ~F.isnan("v"))
-    q = exact_quantiles(stacked, "v", [0.25, 0.5, 0.75], ["column"], stats=found)
-    rows = []
-    for r in found:
-        rows.append((r["column"], r["n"], r["mean"], r["std"], r["mn"],
-                     *q.get((r["column"],), [None, None, None]), r["mx"]))
-    out = spark.createDataFrame(rows, "column string, count long, mean double, std double, "
-                                      "min double, p25 double, p50 double, p75 double, "
-                                      "max double")
-    return out.select("column", "count", *[rnd(c, 2).alias(c) for c in
-                                           ("mean", "std", "min", "p25", "p50", "p75", "max")])
+    ])).alias("s")).select("s.column", "s.v") if cols else spark.createDataFrame(
+        [], "column string, v double")
+    q = quantile_frame(stacked, "v", [0.25, 0.5, 0.75], ["p25", "p50", "p75"], ["column"],
+                       taken=found.select("column", F.col("count").alias("_n"), "_g"))
+    return found.join(q, "column", "left").select(
+        "column", "count", *[rnd(c, 2).alias(c) for c in
+                             ("mean", "std", "min", "p25", "p50", "p75", "max")])
 
 
 def categorical_top5(df: DataFrame, cols: Sequence[str] = tuple(fixed.CATEGORICAL_SUMMARY_COLUMNS),

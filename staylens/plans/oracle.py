@@ -823,10 +823,12 @@ def oracle_queries() -> dict[str, str]:
         f"SELECT '{a}' AS feature_x, '{b}' AS feature_y, {R(_corr(a, b))} AS r FROM filt"
         for a, b in pairs3))
     strong = []
-    for i, a in enumerate(feats3):
-        for b in feats3[i + 1:]:
-            strong.append(f"SELECT '{a}' AS feature_x, '{b}' AS feature_y, {R(_corr(a, b))} AS r FROM filt")
+    feats7 = ["price", "number_of_reviews", "reviews_per_month", "availability_365",
+              "calculated_host_listings_count", "occupancy_rate", "estimated_revenue"]
+    for i, a in enumerate(feats7):
+        for b in feats7[i + 1:]:
+            strong.append(f"SELECT '{a}' AS feature_x, '{b}' AS feature_y, {_corr(a, b)} AS r FROM filt")
     q["strong_correlations"] = _sql(
-        f"SELECT feature_x, feature_y, CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END AS direction, r "
-        f"FROM ({' UNION ALL '.join(strong)}) WHERE abs(r) > {_num(fixed.STRONG_CORRELATION)}")
+        f"SELECT feature_x, feature_y, CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END AS direction, "
+        f"{R('r')} AS r FROM ({' UNION ALL '.join(strong)}) WHERE abs(r) > 0.5E0")
     return q

@@ -14,8 +14,12 @@ def _ref(vals, p):
     return a if a == b else a + (b - a) * (h - lo)
 
 
-@pytest.mark.parametrize("direct_limit", [2_000_000, 7, 50])
-def test_quantiles_match_linear_rule(spark, direct_limit):
+@pytest.mark.parametrize("grid,direct,few", [(2, 1e9, 1000), (9, 0, 1000), (60, 0, 1),
+                                             (60, 1e9, 1), (500, 1e9, 1000)])
+def test_quantiles_match_linear_rule(spark, monkeypatch, grid, direct, few):
+    from staylens.operators import quantiles
+    monkeypatch.setattr(quantiles, "DIRECT_ROWS", direct)
+    monkeypatch.setattr(quantiles, "FEW_GROUPS", few)
     rng = np.random.default_rng(1)
     g = rng.integers(0, 3, 3000)
     x = np.round(rng.lognormal(4, 1, 3000), 2)
@@ -23,12 +27,12 @@ def test_quantiles_match_linear_rule(spark, direct_limit):
     rows = [(int(a), float(b)) for a, b in zip(g, x)] + [(1, None), (None, 3.0)]
     df = spark.createDataFrame(rows, "g int, x double")
     probs = [0.0, 0.2, 0.25, 0.5, 0.85, 1.0]
-    res = exact_quantiles(df, "x", probs, ["g"], direct_limit=direct_limit, buckets=16)
+    res = exact_quantiles(df, "x", probs, ["g"], grid=grid)
     for grp in range(3):
         vals = x[g == grp]
         for p, got in zip(probs, res[(grp,)]):
             assert got == pytest.approx(_ref(vals, p), rel=0, abs=1e-9)
-    glob = exact_quantiles(df, "x", probs, direct_limit=direct_limit, buckets=8)
+    glob = exact_quantiles(df, "x", probs, grid=grid)
     allv = np.concatenate([x, [3.0]])
     for p, got in zip(probs, glob[()]):
         assert got == pytest.approx(_ref(allv, p), rel=0, abs=1e-9)
@@ -52,12 +56,12 @@ from hypothesis import strategies as st  # noqa: E402
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(values=st.lists(st.one_of(st.integers(-5, 5).map(float),
                                  st.floats(-1e6, 1e6, allow_nan=False)), min_size=1, max_size=300),
-       groups=st.integers(1, 3), direct_limit=st.integers(1, 400), buckets=st.integers(2, 64),
+       groups=st.integers(1, 3), grid=st.integers(1, 64),
        probs=st.lists(st.floats(0, 1), min_size=1, max_size=4))
-def test_quantiles_property(spark, values, groups, direct_limit, buckets, probs):
+def test_quantiles_property(spark, values, groups, grid, probs):
     rows = [(i % groups, v) for i, v in enumerate(values)]
     df = spark.createDataFrame(rows, "g int, x double")
-    got = exact_quantiles(df, "x", probs, ["g"], direct_limit=direct_limit, buckets=buckets)
+    got = exact_quantiles(df, "x", probs, ["g"], grid=grid)
     for g in range(groups):
         vals = [v for k, v in rows if k == g]
         if not vals:
@@ -67,12 +71,38 @@ def test_quantiles_property(spark, values, groups, direct_limit, buckets, probs)
             assert q == pytest.approx(_ref(vals, p), rel=1e-12, abs=1e-9)
 
 
-def test_approx_quantiles_are_opt_in_and_close(spark):
-    from staylens.operators.quantiles import approx_quantiles
-    df = spark.createDataFrame([(float(i),) for i in range(1, 1001)], "x double")
-    exact = exact_quantiles(df, "x", [0.1, 0.5, 0.9])[()]
-    approx = approx_quantiles(df, "x", [0.1, 0.5, 0.9], accuracy=1000)[()]
-    assert all(abs(a - e) <= 2.0 for a, e in zip(approx, exact))
+def test_brackets_hold_few_rows_and_many_groups_pass(spark):
+    from pyspark.sql import functions as F
+
+    from staylens.operators import quantiles as q
+    df = spark.range(200_000).select((F.col("id") % 4).alias("g"),
+                                     (F.xxhash64("id") / 1e12).alias("x"))
+    found = q._summaries(q._prepare(df, "x", ["g"]), ["g"], F.array(F.lit(25_000).cast("long")), 500)
+    wide = df.join(found, "g").where((F.col("x") >= F.col("_zones")[0]["lo"])
+                                     & (F.col("x") <= F.col("_zones")[0]["hi"])).count()
+    assert 0 < wide < 200_000 * 7 / 500
+    many = df.withColumn("g", F.col("id") % 20_000) if "id" in df.columns else \
+        spark.range(60_000).select((F.col("id") % 20_000).alias("g"), F.col("id").cast("double").alias("x"))
+    got = q.quantile_frame(many, "x", [0.5], ["m"], ["g"])
+    assert got.where("m = g + 20000").count() == 20_000
+    at = q.order_statistics(df, "x", [0, 49_999, 50_000, -1], ["g"])
+    for g, r in at.items():
+        ends = df.where(F.col("g") == g[0]).agg(F.min("x"), F.max("x")).first()
+        assert sorted(r) == [0, 49_999] and (r[0], r[49_999]) == tuple(ends)
+
+
+def test_two_passes_over_the_data(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from staylens.operators import quantiles as q
+    path = str(tmp_path / "t")
+    spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("x")) \
+        .write.parquet(path)
+    df = spark.read.parquet(path)
+    grouped = q.quantile_frame(df, "x", [0.25, 0.5], ["a", "b"], ["g"])
+    grouped.collect()
+    plan = grouped._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan parquet") - 2 <= plan.count("ReusedExchange")
 
 
 def test_quantiles_of_extreme_values(spark):
@@ -82,6 +112,6 @@ def test_quantiles_of_extreme_values(spark):
     for vals in (wide, [-v for v in wide] + wide, plain + [-1.7e308, 1.7e308, 5e-324, 0.0]):
         df = spark.createDataFrame([(v,) for v in vals], "x double")
         n = len(vals)
-        got = exact_quantiles(df, "x", [0.0, 100 / (n - 1), 0.5, 1.0], direct_limit=20)[()]
+        got = exact_quantiles(df, "x", [0.0, 100 / (n - 1), 0.5, 1.0], grid=60)[()]
         for p, q in zip([0.0, 100 / (n - 1), 0.5, 1.0], got):
             assert q == pytest.approx(_ref(vals, p), rel=1e-9)

@@ -67,14 +67,10 @@ def _lowess_at(x, y, g, k, robust=None):
     return yb + b * (g - xb)
 
 
-@pytest.mark.parametrize("direct_limit", [None, 37])
-def test_local_trend_against_brute_force(sample, monkeypatch, direct_limit):
+@pytest.mark.parametrize("cells", [4096, 37, 1])
+def test_local_trend_against_brute_force(sample, monkeypatch, cells):
     df, price, reviews, _ = sample
-    if direct_limit:   # force the histogram-narrowing path of the radius search
-        from staylens.operators import quantiles
-        orig = quantiles.order_statistics
-        monkeypatch.setattr(st, "order_statistics",
-                            lambda *a, **kw: orig(*a, direct_limit=direct_limit, buckets=8, **kw))
+    monkeypatch.setattr(st, "CELLS", cells)
     k = int(0.3 * len(price) + 1e-10)
     grid = np.linspace(price.min(), price.max(), 20)
     plain = [_lowess_at(price, reviews, g, k) for g in grid]
@@ -182,7 +178,7 @@ def test_strong_pairs(spark):
     y = 0.9 * x + math.sqrt(1 - 0.81) * rng.normal(size=300)
     rows = [dict(price=float(100 + 10 * a), number_of_reviews=int(round(50 + 20 * b)),
                  availability_365=int(rng.integers(0, 366))) for a, b in zip(x, y)]
-    out = ml.strong_correlations(_enriched(spark, rows)).collect()
+    out = ml.strong_correlations(_enriched(spark, rows), ml.FEATURES).collect()
     assert [(r.feature_x, r.feature_y, r.direction) for r in out] == [
         ("price", "number_of_reviews", "positive")]
 
@@ -194,7 +190,7 @@ def test_correlation_of_exactly_half_is_not_strong(spark):
     df = _enriched(spark, rows)
     m = {(r.feature_x, r.feature_y): r.r for r in ml.feature_corr(df).collect()}
     assert m[("price", "number_of_reviews")] == 0.5
-    pairs = {(r.feature_x, r.feature_y) for r in ml.strong_correlations(df).collect()}
+    pairs = {(r.feature_x, r.feature_y) for r in ml.strong_correlations(df, ml.FEATURES).collect()}
     assert ("price", "number_of_reviews") not in pairs
     # availability (10, 30, 20) has r = 0.5 with price as well, and r = 1 with reviews
     assert pairs == {("number_of_reviews", "availability_365")}
