@@ -70,6 +70,20 @@ def scan_listings_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_listings_csv(spark, path)
 
 
+def scan_listings_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The star view as CSV files with line breaks and quotes inside names, every other
+    listing in files whose columns stand in another order, scanned back in splits."""
+    raw = listings_from_tpch(spark, sf_dir)
+    name = F.when(F.col("id") % 3 == 0, F.concat(F.col("name"), F.lit('\n"sea, view"\n'), F.col("id"))
+                  ).otherwise(F.col("name"))
+    text = raw.withColumn("name", name).select(*[F.col(c).cast("string") for c in raw.columns])
+    path = scratch_path(spark, f"listings-split-{uuid.uuid4().hex}")
+    for i, columns in enumerate((raw.columns, raw.columns[::-1])):
+        part = text.where(F.col("id") % 2 == i).select(*columns)
+        part.write.option("header", True).option("escape", '"').csv(f"{path}/part={i}")
+    return read_listings_csv(spark, f"{path}/part=*", multi_line=True)
+
+
 def q_parse_price(c: Context) -> DataFrame:
     """Prices rendered as ``$1,234.56`` text and parsed back."""
     text = F.concat(F.lit("$"), F.format_number(F.col("price"), 2))
@@ -272,6 +286,7 @@ QUERIES: dict[str, Query] = {
     # sources and projections
     "listings_view": listings_view,
     "scan_listings": scan_listings_csv,
+    "scan_listings_split": scan_listings_split,
     "parse_price": _q(q_parse_price),
     "clean_listings": _q(q_clean),
     "enrich_basic": _q(q_enrich_basic),

@@ -435,6 +435,9 @@ def oracle_queries() -> dict[str, str]:
     q["scan_listings"] = (
         f"WITH {_VIEW} SELECT * REPLACE (CAST(replace(format('{{:,.2f}}', price), ',', '') "
         f"AS DOUBLE) AS price) FROM raw")
+    q["scan_listings_split"] = (
+        f"WITH {_VIEW} SELECT * REPLACE (CASE WHEN id % 3 = 0 THEN "
+        "name || chr(10) || '\"sea, view\"' || chr(10) || id ELSE name END AS name) FROM raw")
     q["parse_price"] = _sql(
         "SELECT id, price_text, CAST(replace(replace(price_text, '$', ''), ',', '') AS DOUBLE) "
         "AS parsed_price FROM (SELECT id, '$' || format('{:,.2f}', price) AS price_text FROM enr)")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+import weakref
 
 from pyspark.sql import SparkSession
 
@@ -78,6 +80,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), name)
 
 
+_SHIPPED: weakref.WeakSet = weakref.WeakSet()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the executors, once per context (as ``--py-files`` would);
+    the archive is made on the driver and Spark distributes it."""
+    sc = spark.sparkContext
+    if sc in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    root, name = os.path.split(package)
+    archive = os.path.join(tempfile.mkdtemp(prefix="staylens-code-"), name)
+    sc.addPyFile(shutil.make_archive(archive, "zip", root, name))
+    _SHIPPED.add(sc)
+
+
 def input_bytes(paths) -> int:
     """Total size of the files under ``paths`` (local or mounted folders)."""
     total = 0

@@ -7,6 +7,7 @@ Every reader returns the canonical listing schema :data:`LISTINGS_SCHEMA`; bad
 from __future__ import annotations
 
 import os
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 
 from staylens.functions.expressions import nan_to_null
 from staylens.operators.skew import attach_key_count
+from staylens.sources import csv_records
 
 LISTINGS_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()),
@@ -80,22 +82,31 @@ def conform(raw: DataFrame) -> DataFrame:
     return raw.select(*cols)
 
 
-TEXT_SCHEMA = T.StructType([T.StructField(f.name, T.StringType()) for f in LISTINGS_SCHEMA.fields])
+COLUMNS = [f.name for f in LISTINGS_SCHEMA.fields]
+TEXT_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in COLUMNS])
 
 
 def read_listings_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Scan listing CSV files (header row, quoted fields) and conform them to the
     listing schema (:func:`conform`).
 
-    Columns are found by the names in the header; a file whose header has other names
-    or another order than the first one's fails the scan.  ``multi_line`` is for dumps
-    with line breaks inside quotes: each file is then read by one task, while without
-    it large files are split.
+    Columns are found by the names in each file's own header, so files may have them in
+    different orders; a file without one of the columns raises.  ``multi_line`` is for
+    dumps with line breaks inside quotes; large files are split either way
+    (:mod:`csv_records`).
     """
-    raw = (spark.read.option("header", True).option("multiLine", multi_line)
-           .option("enforceSchema", False)
-           .option("escape", '"').option("mode", "PERMISSIVE").csv(path))
-    return conform(raw)
+    if multi_line:
+        records, headers = csv_records.read_records(spark, path)
+        return conform(csv_records.parsed(records, headers, COLUMNS))
+    files: dict[str, list[str]] = {}
+    for file, line in sorted(csv_records.file_headers(spark, path).items()):
+        files.setdefault(line, []).append(file)
+    reader = spark.read.option("header", True).options(**csv_records.OPTIONS)
+    if not files:
+        return spark.createDataFrame([], LISTINGS_SCHEMA)
+    if len(files) == 1:      # one header: one scan of the path as given
+        return conform(reader.option("enforceSchema", False).csv(path))
+    return reduce(DataFrame.union, [conform(reader.csv(group)) for group in files.values()])
 
 
 def read_tpch(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
