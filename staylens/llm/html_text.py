@@ -9,11 +9,13 @@ the text of drawings, text areas and the chosen options of a selection too:
 blocks stand on lines of their own, paragraphs and headings apart by a blank line,
 ``br`` breaks the line, list items are indented and marked by ``-`` or their number,
 preformatted text keeps its spaces, and a table's cells are padded so that columns
-stand under each other.
+stand under each other, cells beside those that reach down from rows above included.
+A page is read by a cursor, in time linear in its length.
 
 Defined cases: null or empty HTML gives empty text; text outside any tag is visible;
-unclosed tags end with the page, stray end tags are ignored; a ``<`` that opens no tag
-is text; depth is not limited (no recursion); repeated pages give repeated rows;
+unclosed elements end with the page, stray end tags are ignored; a ``<`` that opens no tag
+is text; a tag in which the page ends is dropped, with what it swallows; spans count up
+to the standard's largest ones (1000 columns, 65534 rows), a list's start below 2**31; depth is not limited (no recursion); repeated pages give repeated rows;
 columns other than page_id, url and html are not read.
 """
 
@@ -23,6 +25,7 @@ import hashlib
 import html
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -67,12 +70,15 @@ CLOSES_P = BLOCK - {"html", "body", "td", "th", "tr", "thead", "tbody", "tfoot",
                     "option", "optgroup", "legend"}
 SCOPE = frozenset("table td th caption button html template object".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)>|<[!?][^>]*>",
-    re.S)
-_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+))?")
+_TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|(!--)|[!?])")
+# One attribute from a cursor on: quotes count only where a value begins.
+_ATTR = re.compile(r"[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|"
+                   r"(?![\"'])([^\s>]*+)|([\"'])))?")
+_TAG_END = re.compile(r"[\s/]*+>")
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|content-visibility\s*:\s*hidden", re.I)
 _VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(visible|initial|hidden|collapse)", re.I)
+# The standard's largest spans.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -118,73 +124,112 @@ def _space(tag: str, parent: Node) -> str:
 def parse(page: str) -> Node:
     """The page's tree."""
     root = Node("html", {})
-    open_: list[Node] = [root]
+    open_ = _Open(root)
     at = 0
-    while match := _TOKEN.search(page, at):
+    while match := _TAG.search(page, at):
         if match.start() > at:
-            open_[-1].add(html.unescape(page[at:match.start()]))
+            open_.top.add(html.unescape(page[at:match.start()]))
         at = match.end()
         if not match[2]:
+            mark = "-->" if match[3] else ">"
+            end = page.find(mark, at)
+            at = end + len(mark) if end >= 0 else len(page)
             continue
         tag = match[2].lower()
+        attrs, closed, at = _attributes(page, at)
+        if at < 0:
+            return root                     # the page ends inside this tag
         if match[1]:
-            _close(open_, tag)
+            open_.close(tag)
             continue
-        attrs = {}
-        if match[3] and not match[3].isspace():
-            for name, value in _ATTR.findall(match[3]):
-                attrs.setdefault(name.lower(), html.unescape(value.strip("\"'")))
-        if tag == "html" or tag == "body" and any(n.tag == "body" for n in open_):
-            open_[0].attrs.update(attrs if tag == "html" else {})
-            open_[0].see(True)
+        if tag == "html" or tag == "body" and open_.has("body"):
+            root.attrs.update(attrs if tag == "html" else {})
+            root.see(True)
             continue
-        if tag in BREAKOUT and open_[-1].tag not in INTEGRATION:
-            while open_[-1].space:
-                open_.pop()
-        _imply(open_, tag)
-        node = Node(tag, attrs, open_[-1])
-        open_[-1].children.append(node)
-        if tag in VOID or node.space and match[3].endswith("/"):
+        if tag in BREAKOUT and open_.top.tag not in INTEGRATION:
+            while open_.top.space:
+                open_.cut(len(open_.nodes) - 1)
+        open_.imply(tag)
+        node = Node(tag, attrs, open_.top)
+        open_.top.children.append(node)
+        if tag in VOID or node.space and closed:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>|\Z", re.I).search(page, at)
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])|\Z", re.I).search(page, at)
             raw = page[at:end.start()]
             node.add(html.unescape(raw).removeprefix("\n") if tag == "textarea" else raw)
-            at = end.end()
+            after = page.find(">", end.end())
+            at = after + 1 if after >= 0 else len(page)
             continue
-        open_.append(node)
+        open_.push(node)
     if at < len(page):
-        open_[-1].add(html.unescape(page[at:]))
+        open_.top.add(html.unescape(page[at:]))
     return root
 
 
-def _imply(open_: list[Node], tag: str) -> None:
-    if tag in CLOSES_P:
-        for i in range(len(open_) - 1, 0, -1):
-            if open_[i].tag == "p":
-                del open_[i:]
-                break
-            if open_[i].tag in SCOPE:
-                break
-    if tag in IMPLIED:
-        ends, bounds = IMPLIED[tag]
-        cut = None
-        for i in range(len(open_) - 1, 0, -1):
-            if open_[i].tag in bounds:
-                break
-            if open_[i].tag in ends:
-                cut = i
-        if cut is not None:
-            del open_[cut:]
-
-
-def _close(open_: list[Node], tag: str) -> None:
-    for i in range(len(open_) - 1, 0, -1):
-        if open_[i].tag == tag:
-            del open_[i:]
-            return
-        if open_[i].tag in SCOPE and tag not in SCOPE and tag not in BLOCK:
-            return
+def _attributes(page: str, at: int) -> tuple[dict[str, str], bool, int]:
+    """The attributes from ``at`` on, whether a slash ends the tag, and where the page goes on
+    behind it; -1 if the page ends before the tag does."""
+    attrs: dict[str, str] = {}
+    while not (end := _TAG_END.match(page, at)):
+        one = _ATTR.match(page, at)
+        if not one or one[5]:
+            return attrs, False, -1
+        value = one[2] or one[3] or one[4] or ""
+        attrs.setdefault(one[1].lower(), html.unescape(value))
+        at = one.end()
+    return attrs, page[end.end() - 2] == "/", end.end()
+
+
+class _Open:
+    """The open elements, with the places of each tag: no step looks through them all."""
+
+    def __init__(self, root: Node):
+        self.nodes = [root]
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+
+    @property
+    def top(self) -> Node:
+        return self.nodes[-1]
+
+    def has(self, tag: str) -> bool:
+        return bool(self.places.get(tag))
+
+    def _last(self, tag: str) -> int:
+        places = self.places.get(tag)
+        return places[-1] if places else 0
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in SCOPE:
+            self.scopes.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, first: int) -> None:
+        """End the elements from a place on."""
+        while len(self.nodes) > first:
+            tag = self.nodes.pop().tag
+            self.places[tag].pop()
+            if tag in SCOPE:
+                self.scopes.pop()
+
+    def close(self, tag: str) -> None:
+        place = self._last(tag)
+        hidden = tag not in SCOPE and tag not in BLOCK and self.scopes and self.scopes[-1] > place
+        if place and not hidden:
+            self.cut(place)
+
+    def imply(self, tag: str) -> None:
+        if tag in CLOSES_P and (place := self._last("p")) > (self.scopes[-1] if self.scopes else 0):
+            self.cut(place)
+        if tag in IMPLIED:
+            ends, bounds = IMPLIED[tag]
+            bound = max(map(self._last, bounds), default=0)
+            found = [places[i] for end in ends if (places := self.places.get(end))
+                     and (i := bisect_right(places, bound)) < len(places)]
+            if found:
+                self.cut(min(found))
 
 
 class _Out:
@@ -242,6 +287,41 @@ def _width(text: str) -> int:
                2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 
+def _whole(text: str, most: int) -> int | None:
+    """A whole number written in digits, ``most`` at most; null for other text."""
+    text = text.strip(" \t\n\r\f")
+    if not text.isascii() or not text.isdigit():
+        return None
+    digits = text.lstrip("0")
+    return most if len(digits) > 10 else min(int(digits or "0"), most)
+
+
+def _columns(rows: list[list[tuple]]) -> list[list[str]]:
+    """Cells (text, colspan, rowspan) of a table's rows on their columns: a cell moves right of
+    those that reach down from rows above.  Columns in which no cell begins take no space."""
+    placed, reach = [], {}              # column -> rows that a cell still reaches down
+    for row in rows:
+        line, column, below = [], 0, {}
+        for text, wide, deep in row:
+            while reach.get(column):
+                column += 1
+            line.append((column, text))
+            if deep > 1:
+                below.update(dict.fromkeys(range(column, column + wide), deep - 1))
+            column += wide
+        reach = {c: n - 1 for c, n in reach.items() if n > 1} | below
+        placed.append(line)
+    number = {c: i for i, c in enumerate(sorted({c for line in placed for c, _ in line}))}
+    out = []
+    for line in placed:
+        cells: list[str] = []
+        for column, text in line:
+            cells.extend([""] * (number[column] - len(cells)))
+            cells.append(text)
+        out.append(cells)
+    return out
+
+
 def _pad(rows: list[list[str]]) -> list[str]:
     """Cells under each other; a cell's further lines take further lines of the row."""
     lines: list[list[str]] = []
@@ -262,7 +342,7 @@ def render(root: Node) -> str:
     entries are nodes or strings to write, or steps to take when an element ends."""
     out = _Out()
     work: list = [(root, out, False)]
-    tables: list[list[list[_Out]]] = []     # rows of cells of the open tables
+    tables: list[list[list[tuple]]] = []    # rows of (cell, colspan, rowspan) of the open tables
 
     while work:
         item = work.pop()
@@ -293,12 +373,12 @@ def render(root: Node) -> str:
             parts = [part for child in node.children for part in (" ", child)]
             work.extend((part, to, False) for part in reversed([*parts, " "]))
         elif tag == "table":
-            rows: list[list[_Out]] = []
+            rows: list[list[tuple]] = []
 
             def end(rows=rows, to=to):
                 tables.pop()
                 to.block(2)
-                for line in _pad([[c.result() for c in row] for row in rows]):
+                for line in _pad(_columns([[(c.result(), *span) for c, *span in row] for row in rows])):
                     if line:
                         to.verbatim(line)
                         to.block(1)
@@ -314,10 +394,8 @@ def render(root: Node) -> str:
             cell = _Out()
             if not tables[-1]:
                 tables[-1].append([])
-            span = node.attrs.get("colspan", "1")
-            tables[-1][-1].append(cell)
-            extra = min(int(span), 100) - 1 if span.isdecimal() else 0
-            tables[-1][-1].extend(_Out() for _ in range(extra))
+            tables[-1][-1].append((cell, _whole(node.attrs.get("colspan", "1"), MOST_COLUMNS) or 1,
+                                   _whole(node.attrs.get("rowspan", "1"), MOST_ROWS) or 1))
             _children(work, node, cell, pre)
         elif tag in BLOCK or tag == node.space == "text" or tag == "mtr":
             _block(work, node, to, pre)
@@ -345,7 +423,8 @@ def _block(work: list, node: Node, to: _Out, pre: bool) -> None:
     work.append(end)
     if tag in _LISTS:
         start = node.attrs.get("start", "1")
-        number = int(start) if start.isdecimal() else 1
+        number = _whole(start, 1 << 31)
+        number = 1 if number is None or number == 1 << 31 else number
         entries: list = []
         for child in node.children:
             if isinstance(child, Node) and child.tag == "li":
@@ -385,7 +464,7 @@ def _select(node: Node, to: _Out) -> None:
             options.append((child, child.attrs.get("label", ""), False, listed))
         work.extend((c, disabled, listed) for c in reversed(child.children))
     size = node.attrs.get("size", "")
-    if "multiple" in node.attrs or size.isdecimal() and int(size) > 1:
+    if "multiple" in node.attrs or (_whole(size, 2) or 0) > 1:
         for _, label, _, listed in options:
             if listed:
                 to.block(1)
