@@ -59,14 +59,35 @@ def store(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataF
 
 def store_bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
     """Like :func:`store`, bucketed by ``column``: joins on it shuffle only the other
-    side.  The table is external; its files lie below the shared checkpoint folder."""
+    side.  The files lie below the shared checkpoint folder; the table's name, which only
+    Spark's writer needs, is dropped from the catalogue (files of an external table stay)."""
     spark = df.sparkSession
     key = uuid.uuid4().hex
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     title = f"llm_{name.replace('-', '_')}_{key}"
     (df.write.bucketBy(n, column).sortBy(column).format("parquet")
      .option("path", scratch_path(spark, f"llm-{name}-{key}")).saveAsTable(title))
-    return spark.table(title)
+    table_ = spark.table(title)
+    spark.sql(f"DROP TABLE {title}")
+    return table_
+
+
+def without_marked(named: DataFrame, digest: str, fates: DataFrame) -> DataFrame:
+    """The rows of ``named`` without those whose ``digest`` and doc_id ``fates`` (digest,
+    doc_id, kept, copies) names; of rows repeated in both that it names as kept, one stays.
+
+    Texts are dealt out once, in the anti join.  The repeated rows, few or none, are listed
+    first and fetched by a join with their own short list."""
+    own = fates.select(F.col(fates.columns[0]).alias("__d"), F.col("doc_id").alias("__i"),
+                       "kept", "copies")
+    same = [F.col(digest) == F.col("__d"), F.col("doc_id").eqNullSafe(F.col("__i"))]
+    single = named.join(own, same, "left_anti")
+    repeated = store(own.filter(F.col("kept") & (F.col("copies") > 1)).select("__d", "__i"),
+                     "repeated-rows")
+    if repeated.isEmpty():
+        return single
+    return single.unionByName(named.join(repeated, same, "left_semi")
+                              .dropDuplicates([digest, "doc_id"]))
 
 
 def id_remainder(doc_id: str, modulus: int) -> Column:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staylens.llm.common import store, whole_text
+from staylens.llm.common import store, whole_text, without_marked
 
 SUPPORT = 0.001
 
@@ -43,9 +43,9 @@ def winners(rows: DataFrame, support: float = SUPPORT) -> DataFrame:
                  .filter(F.col("group_size") > F.lit(support * total)), "winners")
 
 
-def mark_copies(rows: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """For each row of :func:`digests`: doc_id, digest, keep_id, group_size, kept."""
-    hot = winners(rows, support)
+def mark_copies(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """For each row of :func:`digests`: doc_id, digest, keep_id, group_size, kept; ``hot``
+    are their :func:`winners`."""
     marked = rows.join(F.broadcast(hot), "digest", "left")
     columns = ["doc_id", "digest", "keep_id", "group_size"]
     is_hot = F.col("group_size").isNotNull()
@@ -66,35 +66,29 @@ def mark_copies(rows: DataFrame, support: float = SUPPORT) -> DataFrame:
 
 def exact_dedup(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    return mark_copies(digests(docs), support).select(
+    rows = digests(docs)
+    return mark_copies(rows, winners(rows, support)).select(
         "doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
 def drop_exact_copies(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     """The documents that stay, with all their columns.
 
-    A winner's copies are dropped where they are read; the others by a join with
-    the (digest, doc_id) pairs that go.  Rows repeated in id and text are rare and
-    are thinned to one in a branch of their own.
+    A winner's copies are dropped where they are read; of the others, the (digest,
+    doc_id) pairs that go are taken out by one join (:func:`without_marked`).
     """
     rows = digests(docs)
-    fates = (mark_copies(rows, support).groupBy("digest", "doc_id")
+    hot = winners(rows, support)
+    fates = (mark_copies(rows, hot).groupBy("digest", "doc_id")
              .agg(F.max("kept").alias("kept"), F.count("*").alias("copies"))
              .filter(~F.col("kept") | (F.col("copies") > 1)))
-    hot = winners(rows, support)
-    digest, hot_id, fate, one = "__digest", "__hot_id", "__fate", "__copies"
+    digest, hot_id = "__digest", "__hot_id"
     named = docs.withColumn(digest, F.sha2(whole_text().cast("binary"), 256))
-    hot = hot.select(F.col("digest").alias(digest), F.struct("keep_id").alias(hot_id))
-    named = (named.join(F.broadcast(hot), digest, "left")
+    known = hot.select(F.col("digest").alias(digest), F.struct("keep_id").alias(hot_id))
+    named = (named.join(F.broadcast(known), digest, "left")
              .filter(F.col(hot_id).isNull() | F.col(hot_id)["keep_id"].eqNullSafe(F.col("doc_id")))
              .drop(hot_id))
-    right = fates.select(F.col("digest").alias("__d"), F.col("doc_id").alias("__i"),
-                         F.col("kept").alias(fate), F.col("copies").alias(one))
-    joined = named.join(right, (F.col(digest) == F.col("__d"))
-                        & F.col("doc_id").eqNullSafe(F.col("__i")), "left")
-    single = joined.filter(F.col(fate).isNull()).select(*docs.columns)
-    repeated = (joined.filter(F.col(fate)).dropDuplicates([digest]).select(*docs.columns))
-    return single.unionByName(repeated)
+    return without_marked(named, digest, fates).select(*docs.columns)
 
 
 ORACLE = """

@@ -51,7 +51,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staylens.llm.common import map_arrow, rows_of, slices, store, whole_text
+from staylens.llm.common import (map_arrow, rows_of, slices, store, whole_text,
+                                 without_marked)
 from staylens.llm.components import components
 from staylens.llm.decontaminate import words
 
@@ -402,12 +403,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The documents that stay, with all their columns."""
-    fates = (mark_near_copies(docs, least).groupBy("doc_id", "text_md5")
-             .agg(F.max("kept").alias("__kept"), F.count("*").alias("__copies"))
-             .filter(~F.col("__kept") | (F.col("__copies") > 1))
-             .withColumnsRenamed({"doc_id": "__id", "text_md5": "__md5"}))
-    joined = docs.join(fates, F.col("doc_id").eqNullSafe(F.col("__id"))
-                       & (F.md5(whole_text().cast("binary")) == F.col("__md5")), "left")
-    single = joined.filter(F.col("__kept").isNull()).select(*docs.columns)
-    repeated = joined.filter("__kept").dropDuplicates(["__id", "__md5"]).select(*docs.columns)
-    return single.unionByName(repeated)
+    fates = (mark_near_copies(docs, least).groupBy("text_md5", "doc_id")
+             .agg(F.max("kept").alias("kept"), F.count("*").alias("copies"))
+             .filter(~F.col("kept") | (F.col("copies") > 1)))
+    named = docs.withColumn("__md5", F.md5(whole_text().cast("binary")))
+    return without_marked(named, "__md5", fates).select(*docs.columns)
