@@ -3,6 +3,13 @@
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and
 returns a DataFrame that is written as Parquet and read again as the next one's
 ``docs``.
+
+Defined cases: documents without a letter (null and empty ones too) or without a main
+language go in the first stage; of equal texts the row with the largest id stays, of rows
+repeated in id and text one; a document made mostly of benchmark passages goes, others
+lose them; null ids are kept and told apart by text; empty tables give empty
+results; other columns pass through all stages but the last, which returns
+``doc_id``, ``n_tokens``, ``ids``, ``ids_sha256`` and ``decoded_sha256``.
 """
 
 from __future__ import annotations
