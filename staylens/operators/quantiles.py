@@ -191,8 +191,7 @@ def quantile_frame(df: DataFrame, value: str, probs: Sequence[float],
     ranks = F.array_sort(F.array_distinct(F.array(*ends)))
     found = _values_at(_prepare(df, value, by), by, ranks, len(ends), grid, taken)
     if found is None:
-        fields = ", ".join(f"{n} double" for n in names)
-        return df.sparkSession.createDataFrame([], fields)
+        return df.limit(0).select(*by, *[F.lit(None).cast("double").alias(n) for n in names])
 
     def quantile(p: float) -> Column:
         low, high, frac = _positions(p)

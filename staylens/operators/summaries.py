@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from staylens.functions import fixed
-from staylens.functions.expressions import (cut, exact_avg, exact_sum, label_dimension,
+from staylens.functions.expressions import (EXACT_TYPE, cut, exact_avg, exact_sum, label_dimension,
                                             nan_to_null, round2, safe_corr, sorted_small)
 from staylens.operators.filters import keep_top_k
 from staylens.operators.quantiles import quantile_frame, summary
@@ -83,19 +83,38 @@ def _with_medians(data: DataFrame, key: str, aggs: Sequence[tuple[str, Column]],
 
 # --- E1-E4 KPIs --------------------------------------------------------------------
 
-def kpi_summary(filtered: DataFrame, baseline: DataFrame, approx_hosts: bool = False) -> DataFrame:
-    """Listings, mean price, mean occupancy and distinct hosts, with their change
-    against the unfiltered table (share %, % difference, percentage points).
-
-    Distinct hosts are exact by default (one row per host is shuffled);
-    ``approx_hosts=True`` opts into ``approx_count_distinct`` (HyperLogLog++, about
-    1% error, no key shuffle)."""
-    def one(df, p):
-        hosts = F.approx_count_distinct("host_id") if approx_hosts else F.countDistinct("host_id")
-        return df.agg(F.count(F.lit(1)).alias(p + "n"), exact_avg("price").alias(p + "price"),
-                      exact_avg("occupancy_rate").alias(p + "occ"), hosts.alias(p + "hosts"))
-    f, b = one(filtered, "f_"), one(baseline, "b_")
-    j = f.crossJoin(b)  # two one-row frames
+def kpi_summary(baseline: DataFrame, kept: Column, approx_hosts: bool = False) -> DataFrame:
+    """Listings, mean price, mean occupancy and distinct hosts of the rows for which ``kept``
+    holds, with their change against the whole table (share %, % difference, percentage
+    points).
+
+    One scan: rows are added up per host, with and without ``kept`` (combined in the
+    tasks, so that a hot host is one row a task), then the hosts are.  That counts hosts
+    exactly; ``approx_hosts=True`` opts into ``approx_count_distinct`` (HyperLogLog++,
+    about 1% error, no key shuffle)."""
+    sums = {}
+    for p, own in (("f_", kept), ("b_", F.lit(True))):
+        sums[p + "n"] = F.count(F.when(own, 1))
+        for name, col in (("price", "price"), ("occ", "occupancy_rate")):
+            value = F.when(own, F.col(col).cast(EXACT_TYPE))
+            sums[f"{p}{name}"], sums[f"{p}{name}_n"] = F.sum(value), F.count(value)
+    if approx_hosts:
+        one = baseline.agg(*[c.alias(n) for n, c in sums.items()],
+                           F.approx_count_distinct(F.when(kept, F.col("host_id"))).alias("f_hosts"),
+                           F.approx_count_distinct("host_id").alias("b_hosts"))
+    else:
+        hosts = baseline.groupBy("host_id").agg(*[c.alias(n) for n, c in sums.items()])
+        named = F.col("host_id").isNotNull()
+        one = hosts.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) if n.endswith("n")
+                          else F.sum(n).alias(n) for n in sums],
+                        F.count(F.when(named & (F.col("f_n") > 0), 1)).alias("f_hosts"),
+                        F.count(F.when(named, 1)).alias("b_hosts"))
+
+    def mean(name):
+        return F.try_divide(F.col(name).cast("double"), F.col(f"{name}_n")).alias(name)
+
+    j = one.select("f_n", "b_n", "f_hosts", "b_hosts",
+                   *[mean(p + name) for p in ("f_", "b_") for name in ("price", "occ")])
     return j.select(
         F.col("f_n").alias("total_listings"),
         rnd(F.try_divide(F.col("f_n") * F.lit(100.0), F.col("b_n")), 2).alias("share_of_total_pct"),
@@ -487,43 +506,48 @@ def categorical_top5(df: DataFrame, cols: Sequence[str] = tuple(fixed.CATEGORICA
     """Top ``k`` values per column with count and % of *all* rows (nulls in the
     denominator).  Ordered categories list their empty labels too.
 
-    Each column is a ``groupBy`` with partial aggregation followed by a
-    distributed top-k (``orderBy + limit``), so a high-cardinality column never
-    sits in one task; the per-column results (k rows each) are unioned.
+    One scan: all columns' values, and the rows, are counted as grouping sets (combined in
+    the tasks); every task then keeps a column's first ``k`` before they meet, so a column
+    of very many values never sits in one task.  ``k`` rows a column reach the driver.
     """
     spark = df.sparkSession
+    ddl = "column string, value string, listings long, total long, position int"
     ordered = {"host_category": fixed.HOST_CATEGORY_LABELS,
                "price_category": fixed.PRICE_CATEGORY_LABELS}
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    parts = []
-    for c in [c for c in cols if c in df.columns]:
-        present = df.where(F.col(c).isNotNull())
-        if c in ordered:   # an ordered category holds only its labels: bounded counts
-            present = present.where(F.col(c).isin(*ordered[c]))
-        counts = (present.groupBy(F.col(c).cast("string").alias("value"))
-                  .agg(F.count(F.lit(1)).alias("listings")))
-        if c in ordered:
-            dim = label_dimension(spark, ordered[c], "value")
-            counts = (dim.join(F.broadcast(counts), "value", "left")
-                      .select("value", F.coalesce("listings", F.lit(0)).cast("long").alias("listings"),
-                              "rank"))
-        else:
-            counts = counts.withColumn("rank", F.lit(None).cast("int"))
-        top = (counts.orderBy(F.desc("listings"), F.asc_nulls_last("rank"), F.asc("value"))
-               .limit(k))
-        w = Window.orderBy(F.desc("listings"), F.asc_nulls_last("rank"), F.asc("value"))
-        parts.append(top.select(F.lit(c).alias("column"), "value", "listings",
-                                F.row_number().over(w).cast("int").alias("position")))
-    if not parts:
-        return spark.createDataFrame(
-            [], "column string, value string, listings long, pct double, position int")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return (out.crossJoin(total)  # one-row total
-            .select("column", "value", "listings",
-                    rnd(F.try_divide(F.col("listings") * F.lit(100.0), F.col("total")), 2).alias("pct"),
-                    "position"))
+    cols = [c for c in cols if c in df.columns]
+    found: dict[str, list[tuple[int, str]]] = {c: [] for c in cols}
+    total = 0
+    if cols:
+        every = (1 << len(cols)) - 1                 # grouping_id of the set without columns
+        one_set = {every & ~(1 << (len(cols) - 1 - i)): c for i, c in enumerate(cols)}
+        value, place = F.lit(None).cast("string"), F.lit(None).cast("int")
+        for number, c in one_set.items():
+            value = F.when(F.col("set") == number, F.col(c)).otherwise(value)
+            for i, label in enumerate(ordered.get(c, ())):
+                place = F.when((F.col("set") == number) & (F.col(c) == label), i).otherwise(place)
+            if c in ordered:      # other values than the labels stand last
+                place = F.when((F.col("set") == number) & place.isNull(), len(ordered[c])).otherwise(place)
+        counts = (df.select(*[F.col(c).cast("string").alias(c) for c in cols])
+                  .groupingSets([[F.col(c)] for c in cols] + [[]], *[F.col(c) for c in cols])
+                  .agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("set"))
+                  .select("set", "n", value.alias("value"), place.alias("place"))
+                  .where(F.col("value").isNotNull() | (F.col("set") == every)))
+        first = Window.partitionBy("set").orderBy(F.desc("n"), F.asc_nulls_last("place"), F.asc("value"))
+        rows = (counts.withColumn("position", F.row_number().over(first))
+                .where(F.col("position") <= k).collect())
+        total = sum(r["n"] for r in rows if r["set"] == every)
+        for r in sorted((r for r in rows if r["set"] != every), key=lambda r: r["position"]):
+            found[one_set[r["set"]]].append((r["n"], r["value"]))
+    out = []
+    for c, mine in found.items():
+        labels = ordered.get(c)
+        if labels:
+            mine = [m for m in mine if m[1] in labels]
+            mine += [(0, label) for label in labels if label not in {v for _, v in mine}]
+        out += [(c, v, n, total, i) for i, (n, v) in enumerate(mine[:k], 1)]
+    return spark.createDataFrame(out, ddl).select(
+        "column", "value", "listings",
+        rnd(F.try_divide(F.col("listings") * F.lit(100.0), F.col("total")), 2).alias("pct"), "position")
 
 
 def explorer_kpis(df: DataFrame) -> DataFrame:
@@ -592,10 +616,9 @@ def top_efficiency(df: DataFrame, k: int = 20) -> DataFrame:
 
 # --- E36-E39 export page --------------------------------------------------------------------------
 
-def filter_summary(filtered: DataFrame, baseline: DataFrame, spec, band) -> DataFrame:
-    """Label/value rows describing the active filters and the kept share."""
-    counts = filtered.agg(F.count(F.lit(1)).alias("f")).crossJoin(
-        baseline.agg(F.count(F.lit(1)).alias("b")))
+def filter_summary(baseline: DataFrame, kept: Column, spec, band) -> DataFrame:
+    """Label/value rows describing the active filters and the kept share (one scan)."""
+    counts = baseline.agg(F.count(F.when(kept, 1)).alias("f"), F.count(F.lit(1)).alias("b"))
     lo, hi = band if band is not None else (None, None)
     price_txt = (f"${lo:.0f} - ${hi:.0f}" if lo is not None else "")
     rows = [

@@ -7,6 +7,7 @@ applies the default filter set, then runs one operator over the whole table.
 
 from __future__ import annotations
 
+import datetime
 import uuid
 from collections.abc import Callable
 
@@ -31,6 +32,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 ADHOC_GROUPS = ["AMERICA", "EUROPE"]
 ADHOC_PATTERN = "nation_1"
 ADHOC_PRICES = (50.0, 600.0)
+ADHOC_DATES = (datetime.date(1994, 3, 1), datetime.date(1995, 2, 28))
+ADHOC_ROOMS = ["1-URGENT", "3-MEDIUM"]
 GENERATED_AT = "2024-01-01 00:00:00"
 # Fixed parameters of the registered non-default sidebar filter.
 CUSTOM_FILTER = dict(neighbourhood_group="ASIA", room_type="1-URGENT", price_range=(50.0, 500.0),
@@ -188,6 +191,14 @@ def q_export_bundle(c: Context) -> DataFrame:
     return c.spark.read.schema(schema).option("header", True).csv(paths["summary"])
 
 
+def q_export_listings(c: Context) -> DataFrame:
+    """The two-dataset export; returns the listings dataset as read back."""
+    src = _export_cols(c.filtered)
+    paths = sinks.export_bundle(src, sm.export_summary(c.filtered, GENERATED_AT),
+                                scratch_path(c.spark, f"export-listings-{uuid.uuid4().hex}"))
+    return c.spark.read.schema(src.schema).option("header", True).csv(paths["listings"])
+
+
 def q_default_band(c: Context) -> DataFrame:
     b = flt.default_price_band(c.bounds, c.spark)
     return b.select(*[rnd(x).alias(x) for x in b.columns])
@@ -215,6 +226,13 @@ def q_adhoc(c: Context) -> DataFrame:
     return f.select("id", "neighbourhood_group", "neighbourhood", "price")
 
 
+def q_adhoc_dates(c: Context) -> DataFrame:
+    """Listings whose last review lies between two dates, both included."""
+    f = flt.adhoc_filter(c.filtered, [flt.ColumnFilter("last_review", between=ADHOC_DATES),
+                                      flt.ColumnFilter("room_type", values=ADHOC_ROOMS)])
+    return f.select("id", "room_type", "last_review")
+
+
 def q_explorer_kpis(c: Context) -> DataFrame:
     f = flt.adhoc_filter(c.filtered, [
         flt.ColumnFilter("neighbourhood_group", values=ADHOC_GROUPS),
@@ -226,11 +244,12 @@ def q_explorer_kpis(c: Context) -> DataFrame:
 # --- summaries -----------------------------------------------------------------------------
 
 def q_kpi(c: Context) -> DataFrame:
-    return sm.kpi_summary(c.filtered, c.baseline)
+    return sm.kpi_summary(c.baseline, flt.filter_predicate(c.spec, c.bounds))
 
 
 def q_filter_summary(c: Context) -> DataFrame:
-    return sm.filter_summary(c.filtered, c.baseline, c.spec, c.spec.resolved_price_range(c.bounds))
+    return sm.filter_summary(c.baseline, flt.filter_predicate(c.spec, c.bounds), c.spec,
+                             c.spec.resolved_price_range(c.bounds))
 
 
 def q_export_summary(c: Context) -> DataFrame:
@@ -306,6 +325,7 @@ QUERIES: dict[str, Query] = {
     "iqr_clean": _q(q_iqr_clean),
     "value_domain": _q(q_value_domain),
     "adhoc_filter": _q(q_adhoc),
+    "adhoc_dates": _q(q_adhoc_dates),
     # aggregations
     "kpi_summary": _q(q_kpi),
     "price_by_room": _filtered(sm.price_by_room),
@@ -349,6 +369,7 @@ QUERIES: dict[str, Query] = {
     "export_csv": _q(q_export_csv),
     "export_json": _q(q_export_json),
     "export_bundle": _q(q_export_bundle),
+    "export_listings": _q(q_export_listings),
     # statistics
     "price_histogram": _filtered(st.price_histogram),
     "price_kde": _filtered(st.price_kde),

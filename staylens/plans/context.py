@@ -18,9 +18,16 @@ from pyspark.sql import DataFrame, SparkSession
 from staylens.operators.features import PriceBounds, clean_listings, derive, finish, price_bounds
 from staylens.operators.filters import FilterSpec, apply_filters, iqr_clean, with_reviews_filter
 from staylens.operators.ml import KMeansModel, PCAResult, fit_kmeans, fit_pca
-from staylens.session import has_shared_checkpoint_dir, scratch_path
+from staylens.functions import expressions, fixed
+from staylens.operators import features, skew
+from staylens.plans.kept import fingerprint, keep
+from staylens.session import has_shared_checkpoint_dir
+from staylens.sources import listings
 from staylens.sources.listings import listings_from_tpch
 
+#: The code that makes the derived table: part of its fingerprint.
+CODE = (listings, features, skew, expressions, fixed)
+
 
 @dataclass
 class Context:
@@ -29,6 +36,7 @@ class Context:
     filtered: DataFrame
     bounds: PriceBounds
     spec: FilterSpec
+    kept: str | None = None          # name of the kept table, if there is one
     _iqr: DataFrame | None = None
     _models: dict = field(default_factory=dict)
 
@@ -60,28 +68,25 @@ class Context:
 def build_context(spark: SparkSession, raw: DataFrame, spec: FilterSpec = FilterSpec(),
                   materialize: str = "auto", partition_by: tuple[str, ...] = ()) -> Context:
     """``materialize``: ``"table"`` (Parquet under the shared checkpoint folder,
-    cuts lineage), ``"cache"``, ``"none"``, or ``"auto"`` = table when the platform
+    cuts lineage; a later session with the same input files finds it again, see
+    :mod:`kept`), ``"cache"``, ``"none"``, or ``"auto"`` = table when the platform
     names ``spark.checkpoint.dir``, else cache.  ``partition_by`` (table only):
     low-cardinality columns such as ``room_type`` whose filters then prune whole
     directories."""
     if materialize == "auto":
         materialize = "table" if has_shared_checkpoint_dir(spark) else "cache"
     staged = derive(clean_listings(raw))
+    kept = None
     if materialize == "table":
-        path = scratch_path(spark, f"listings-derived-{uuid.uuid4().hex}")
-        cols = staged.columns
-        writer = staged.write.mode("overwrite")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(path)
-        # partition columns come back last: keep the schema's order
-        staged = spark.read.schema(staged.schema).parquet(path).select(*cols)
+        mark = fingerprint(staged, CODE)
+        kept = "-".join([mark or uuid.uuid4().hex, *partition_by])
+        staged = keep(staged, kept, partition_by)
     elif materialize == "cache":
         staged = staged.cache()
     bounds = price_bounds(staged)
     baseline = finish(staged, bounds)
     filtered = apply_filters(baseline, spec, bounds)
-    return Context(spark, baseline, filtered, bounds, spec)
+    return Context(spark, baseline, filtered, bounds, spec, kept)
 
 
 _MEMO: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()

@@ -12,7 +12,50 @@ the selection-based quantiles, a closed-form 3 x 3 eigen-solution for PCA, a
 
 from __future__ import annotations
 
-from staylens.functions import fixed
+
+class fixed:  # noqa: N801 - read as fixed.NAME
+    """FIXED VALUES - what the dashboard uses, written out again for the SQL side: a
+    wrong value in the library must not be right here."""
+
+    PRICE_CATEGORY_LABELS = ["Budget", "Economy", "Standard", "Premium", "Luxury"]
+    HOST_CATEGORY_EDGES = [0, 1, 5, 20, None]
+    HOST_CATEGORY_LABELS = ["Single Property", "Small Portfolio", "Medium Portfolio",
+                            "Large Portfolio"]
+    BEACH_PROXIMITY_EDGES = [0, 1, 3, 5, None]
+    BEACH_PROXIMITY_LABELS = ["Beachfront (<1km)", "Near Beach (1-3km)", "Mid Distance (3-5km)",
+                              "Inland (>5km)"]
+    HOST_EXPERIENCE_EDGES = [0, 10, 50, 100, None]
+    HOST_EXPERIENCE_LABELS = ["New (0-10 reviews)", "Growing (11-50)", "Experienced (51-100)",
+                              "Veteran (>100)"]
+    OCCUPANCY_BAND_EDGES = [0, 0.2, 0.4, 0.6, 0.8, 1.0]
+    OCCUPANCY_BAND_LABELS = ["0-20%", "20-40%", "40-60%", "60-80%", "80-100%"]
+    PRICE_RANGE_EDGES = [0, 50, 100, 200, 500, None]
+    PRICE_RANGE_LABELS = ["$0-50", "$51-100", "$101-200", "$201-500", "$500+"]
+    MIN_NIGHTS_EDGES = [0, 1, 3, 7, 30, None]
+    MIN_NIGHTS_LABELS = ["1 night", "2-3 nights", "4-7 nights", "1-4 weeks", "1+ months"]
+    GUEST_TYPE_EDGES = [0, 1, 4, 15, 30, None]
+    GUEST_TYPE_LABELS = ["Tourist (1 night)", "Short Stay (2-4 nights)",
+                         "Extended Stay (5-15 nights)", "Monthly (16-30 nights)",
+                         "Long-term (30+ nights)"]
+    SEASON_BY_MONTHS = [("Summer", [12, 1, 2]), ("Fall", [3, 4, 5]), ("Winter", [6, 7, 8]),
+                        ("Spring", [9, 10, 11])]
+    BEACH_POINTS = [(-22.9711, -43.1823), (-22.9838, -43.2096), (-22.9874, -43.2232),
+                    (-23.0107, -43.3015), (-23.0241, -43.4757)]
+    COMPETITION_WEIGHTS = (0.4, 0.3, 0.3)
+    CORRELATION_FEATURES = ["price", "number_of_reviews", "reviews_per_month", "availability_365",
+                            "calculated_host_listings_count", "occupancy_rate", "estimated_revenue"]
+    CLUSTER_FEATURES = ["price", "number_of_reviews", "availability_365"]
+    CATEGORICAL_SUMMARY_COLUMNS = ["room_type", "neighbourhood_group", "host_category",
+                                   "price_category"]
+    HISTOGRAM_BINS = 50
+    KDE_GRID_POINTS = 100
+    SAMPLE_SIZE = 2000
+    SAMPLE_SEED = 42
+
+
+# Parameters of registered queries, written out again.
+ADHOC_GROUPS, ADHOC_PATTERN, ADHOC_PRICES = ["AMERICA", "EUROPE"], "nation_1", (50.0, 600.0)
+MAP_CELL_DEG, GENERATED_AT = 0.01, "2024-01-01 00:00:00"
 
 
 def _num(v) -> str:
@@ -266,7 +309,6 @@ def _argmax(key: str, value: str, labels) -> str:
 
 
 def _adhoc_where() -> str:
-    from staylens.plans.catalog import ADHOC_GROUPS, ADHOC_PATTERN, ADHOC_PRICES
     groups = ", ".join(f"'{g}'" for g in ADHOC_GROUPS)
     return (f"neighbourhood_group IN ({groups}) AND "
             f"regexp_matches(neighbourhood, '(?i){ADHOC_PATTERN}') AND "
@@ -429,7 +471,6 @@ def _xxhash64_sql(col: str, int_seed: int, seed: int = 42) -> list[str]:
 
 
 def oracle_queries() -> dict[str, str]:
-    from staylens.plans.catalog import GENERATED_AT, MAP_CELL_DEG
     q: dict[str, str] = {}
     q["listings_view"] = f"WITH {_VIEW} SELECT * FROM raw"
     q["scan_listings"] = (
@@ -482,6 +523,9 @@ def oracle_queries() -> dict[str, str]:
         "UNION ALL SELECT DISTINCT 'host_category', host_category FROM enr")
     q["adhoc_filter"] = _sql(
         f"SELECT id, neighbourhood_group, neighbourhood, price FROM filt WHERE {_adhoc_where()}")
+    q["adhoc_dates"] = _sql(
+        "SELECT id, room_type, last_review FROM filt WHERE last_review BETWEEN DATE '1994-03-01' "
+        "AND DATE '1995-02-28' AND room_type IN ('1-URGENT', '3-MEDIUM')")
     q["explorer_kpis"] = _sql(
         f"SELECT count(*) AS listings, round_even(avg(CAST(price AS DECIMAL(28,10))), 2) AS avg_price, "
         f"round_even(CAST(sum(CAST(estimated_revenue AS DECIMAL(28,10))) AS DOUBLE), 2) AS total_revenue FROM filt WHERE {_adhoc_where()}")
@@ -739,6 +783,7 @@ def oracle_queries() -> dict[str, str]:
                                        for c, _ in prof_cols) + " FROM filt"
     q["export_csv"] = _sql(export_sel)
     q["export_json"] = _sql(export_sel)
+    q["export_listings"] = _sql(export_sel)
     q["export_bundle"] = q["export_summary"]
     q["preview"] = _sql(export_sel + " ORDER BY id LIMIT 10")
 
@@ -826,8 +871,7 @@ def oracle_queries() -> dict[str, str]:
         f"SELECT '{a}' AS feature_x, '{b}' AS feature_y, {R(_corr(a, b))} AS r FROM filt"
         for a, b in pairs3))
     strong = []
-    feats7 = ["price", "number_of_reviews", "reviews_per_month", "availability_365",
-              "calculated_host_listings_count", "occupancy_rate", "estimated_revenue"]
+    feats7 = fixed.CORRELATION_FEATURES
     for i, a in enumerate(feats7):
         for b in feats7[i + 1:]:
             strong.append(f"SELECT '{a}' AS feature_x, '{b}' AS feature_y, {_corr(a, b)} AS r FROM filt")

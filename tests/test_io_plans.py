@@ -8,6 +8,8 @@ import pytest
 from rows import listings
 from staylens.operators import summaries as sm
 from staylens.operators.features import enrich, price_bounds
+from staylens.plans.context import tpch_context
+from staylens.session import scratch_path
 from staylens.sources.listings import read_listings_csv
 from staylens.sources.sinks import export_bundle, export_csv, export_json
 from staylens.streaming import enriched_stream, kpi_stream, run_to_memory
@@ -20,6 +22,8 @@ twice",7,Ana,,Alpha,,,Private room,80,3,0,2024-13-01,,2,73
 4,x,9,Cy,North,Beta,-22.98,-43.20,Shared room,NaN,4,11,2023-12-01,1.5,6,365
 '''
 
+SF = "/root/testdata/sf0.001"
+
 
 def _tmp():
     return tempfile.mkdtemp(prefix="staylens-test-")
@@ -212,3 +216,16 @@ def test_stream_snapshot_sink(spark):
     q.stop()
     got = {r.room_type: r.listings for r in spark.read.parquet(os.path.join(d, "snap")).collect()}
     assert got == {"A": 10, "B": 10}
+
+
+def test_one_scan_for_kpis_and_top_values(spark):
+    from staylens.operators import filters as flt
+    from staylens.operators import summaries as sm
+    c = tpch_context(spark, SF)
+    kept = flt.filter_predicate(c.spec, c.bounds)
+    path = scratch_path(spark, "one-scan-test")
+    c.baseline.write.mode("overwrite").parquet(path)
+    base = spark.read.parquet(path)
+    for df in (sm.kpi_summary(base, kept), sm.filter_summary(base, kept, c.spec, (1.0, 2.0))):
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("FileScan") == 1 and "NestedLoop" not in plan

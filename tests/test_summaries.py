@@ -135,7 +135,7 @@ def test_empty_input_gives_empty_frames(spark):
     assert sm.price_by_room(df).count() == 0
     assert [r.listings for r in sm.price_by_proximity(df).collect()] == [0, 0, 0, 0]
     assert sm.monthly_metrics(df).count() == 0
-    assert sm.kpi_summary(df, df).collect()[0].total_listings == 0
+    assert sm.kpi_summary(df, F.lit(True)).collect()[0].total_listings == 0
     assert sm.describe_numeric(df).where("count > 0").count() == 0
 
 
@@ -199,8 +199,8 @@ def test_adhoc_filter_date_range_and_pattern(spark):
 
 def test_kpi_approx_hosts_opt_in(spark):
     df = _enriched(spark, [dict(host_id=h) for h in range(50)] + [dict(host_id=1)])
-    exact = sm.kpi_summary(df, df).collect()[0]
-    approx = sm.kpi_summary(df, df, approx_hosts=True).collect()[0]
+    exact = sm.kpi_summary(df, F.lit(True)).collect()[0]
+    approx = sm.kpi_summary(df, F.lit(True), approx_hosts=True).collect()[0]
     assert exact.active_hosts == 50 and abs(approx.active_hosts - 50) <= 2
 
 
