@@ -40,6 +40,7 @@ SCRIPT_SHARE = 0.01
 OUT_OF_SCRIPT = -40.0
 MIN_SHARE = 0.5
 CACHE_WORDS = 300_000
+FOLD_WORDS = 8192
 
 # First code point of ranges of scripts, in order.
 SCRIPT_RANGES = ((0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"),
@@ -129,8 +130,9 @@ def learn(docs: DataFrame) -> LanguageModel:
             for token, n in seen.pop(lang).items():
                 if word := letters_of(token):
                     merged[word] += n
-            if merged:
-                words, n = list(merged), np.array(list(merged.values()), dtype=float)
+            every, counts = list(merged), np.array(list(merged.values()), dtype=float)
+            for first in range(0, len(every), FOLD_WORDS):     # n-grams of few words at a time
+                words, n = every[first:first + FOLD_WORDS], counts[first:first + FOLD_WORDS]
                 owner, bucket = ngram_buckets(words)
                 grams += np.bincount(bucket, weights=n[owner], minlength=len(grams))
                 scripts += np.bincount(scripts_of(words), weights=n, minlength=len(scripts))
