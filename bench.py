@@ -32,7 +32,7 @@ def main() -> None:
     checkpoint_dir(spark)
     tables = ("orders", "customer", "nation", "region", "lineitem")
     partitions = tune_for_input(spark, input_bytes(
-        [os.path.join(sf_dir, f"{t}.parquet") for t in tables]))
+        spark, [os.path.join(sf_dir, f"{t}.parquet") for t in tables]))
 
     times: dict[str, float] = {}
     t0 = time.perf_counter()

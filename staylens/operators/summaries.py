@@ -347,10 +347,6 @@ def price_by_occupancy(clean_iqr: DataFrame) -> DataFrame:
         counts=["listings"])
 
 
-def with_reviews(clean_iqr: DataFrame) -> DataFrame:
-    return clean_iqr.where(F.col("number_of_reviews") > 0)
-
-
 def reviews_by_price_range(review_df: DataFrame) -> DataFrame:
     d = review_df.withColumn("price_range", cut("price", fixed.PRICE_RANGE_EDGES,
                                                 fixed.PRICE_RANGE_LABELS))

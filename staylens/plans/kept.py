@@ -19,7 +19,7 @@ from types import ModuleType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staylens.session import scratch_path
+from staylens.session import file_system, scratch_path
 
 FOLDER = "listings-kept"
 
@@ -39,14 +39,8 @@ def fingerprint(df: DataFrame, code: tuple[ModuleType, ...]) -> str | None:
     return hashlib.sha256(text.encode()).hexdigest()[:32]
 
 
-def _file_system(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
-
-
 def is_complete(spark: SparkSession, path: str) -> bool:
-    fs, place = _file_system(spark, f"{path}/_SUCCESS")
+    fs, place = file_system(spark, f"{path}/_SUCCESS")
     return fs.exists(place)
 
 
@@ -64,7 +58,7 @@ def keep(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFr
 
 
 def kept_names(spark: SparkSession) -> list[str]:
-    fs, place = _file_system(spark, scratch_path(spark, FOLDER))
+    fs, place = file_system(spark, scratch_path(spark, FOLDER))
     return sorted(s.getPath().getName() for s in fs.listStatus(place)) if fs.exists(place) else []
 
 
@@ -72,6 +66,6 @@ def remove_kept(spark: SparkSession, but: tuple[str, ...] = ()) -> list[str]:
     """Remove the kept tables, but for those named; returns the names of the removed ones."""
     gone = [n for n in kept_names(spark) if n not in but]
     for name in gone:
-        fs, place = _file_system(spark, scratch_path(spark, f"{FOLDER}/{name}"))
+        fs, place = file_system(spark, scratch_path(spark, f"{FOLDER}/{name}"))
         fs.delete(place, True)
     return gone

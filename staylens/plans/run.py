@@ -34,7 +34,7 @@ TABLES = ("orders", "customer", "nation", "region", "lineitem")
 def run(spark: SparkSession, input_dir: str, output_dir: str, queries=None,
         partition_by: tuple[str, ...] = (), tune: bool = False) -> dict[str, float]:
     if tune:
-        tune_for_input(spark, input_bytes([os.path.join(input_dir, f"{t}.parquet") for t in TABLES]))
+        tune_for_input(spark, input_bytes(spark, [os.path.join(input_dir, f"{t}.parquet") for t in TABLES]))
     t0 = time.perf_counter()
     ctx = build_context(spark, listings_from_tpch(spark, input_dir), FilterSpec(),
                         partition_by=partition_by)

@@ -96,14 +96,19 @@ def ship_code(spark: SparkSession) -> None:
     _SHIPPED.add(sc)
 
 
-def input_bytes(paths) -> int:
-    """Total size of the files under ``paths`` (local or mounted folders)."""
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path for it: any store that Spark reads."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def input_bytes(spark: SparkSession, paths) -> int:
+    """Total size of the files under ``paths``, local or remote; a missing path counts 0."""
     total = 0
     for p in paths:
-        if os.path.isfile(p):
-            total += os.path.getsize(p)
-        for root, _dirs, files in os.walk(p):
-            total += sum(os.path.getsize(os.path.join(root, f)) for f in files)
+        fs, place = file_system(spark, p)
+        if fs.exists(place):
+            total += fs.getContentSummary(place).getLength()
     return total
 
 

@@ -229,3 +229,13 @@ def test_one_scan_for_kpis_and_top_values(spark):
     for df in (sm.kpi_summary(base, kept), sm.filter_summary(base, kept, c.spec, (1.0, 2.0))):
         plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
         assert plan.count("FileScan") == 1 and "NestedLoop" not in plan
+
+
+def test_input_bytes_through_spark(spark, tmp_path):
+    from staylens.session import input_bytes
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x").write_bytes(b"1" * 700)
+    (tmp_path / "y").write_bytes(b"2" * 30)
+    for prefix in ("", "file://"):
+        assert input_bytes(spark, [f"{prefix}{tmp_path}/a", f"{prefix}{tmp_path}/y",
+                                   f"{prefix}{tmp_path}/none"]) == 730
