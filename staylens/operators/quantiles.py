@@ -85,11 +85,18 @@ def _summaries(data: DataFrame, by: Sequence[str], ranks: Column, grid: int,
 
 def _values_at(data: DataFrame, by: Sequence[str], ranks: Column, most: int, grid: int,
                taken: DataFrame | None = None,
-               direct_rows: float | None = None) -> DataFrame | None:
+               direct_rows: float | None = None, rows: int | None = None) -> DataFrame | None:
     """Per group: ``_n`` and ``_at``, a map from rank to value.  ``ranks`` is an expression
     of the group's ``_n`` and keys with ``most`` ranks at most."""
     by = list(by)
     direct_rows = DIRECT_ROWS if direct_rows is None else direct_rows
+    if rows is not None and not by and rows <= direct_rows:
+        # so few values are put in order by themselves
+        counts = data.groupBy(F.lit(1).alias("_zone"), F.col("_x").alias("_v")).agg(
+            F.count(F.lit(1)).alias("_c"))
+        picked = _running(counts, by, lambda small: small.withColumn("_n", F.lit(int(rows)))
+                          .withColumn("_ranks", ranks))
+        return _mapped(picked, by) if rows else None
     found = _summaries(data, by, ranks, grid, taken)
     known = found.limit(FEW_GROUPS + 1).collect()
     if not known:
@@ -102,7 +109,7 @@ def _values_at(data: DataFrame, by: Sequence[str], ranks: Column, most: int, gri
         hint = F.broadcast            # FEW_GROUPS rows at most
     if not by:
         zones = known[0]["_zones"]
-        rows, ends = data, [F.lit(float(e)) for z in zones for e in (z["lo"], z["hi"])]
+        spread, ends = data, [F.lit(float(e)) for z in zones for e in (z["lo"], z["hi"])]
         one = {"_n": F.lit(known[0]["_n"]),
                "_ranks": F.array(*[F.lit(k) for k in known[0]["_ranks"]])}
 
@@ -112,7 +119,7 @@ def _values_at(data: DataFrame, by: Sequence[str], ranks: Column, most: int, gri
         ends = [F.col(f"_e{i}") for i in range(2 * most)]
         flat = [F.get("_zones", F.lit(i))[side].alias(f"_e{2 * i + (side == 'hi')}")
                 for i in range(most) for side in ("lo", "hi")]
-        rows = data.join(hint(found.select(*by, *flat)), by)
+        spread = data.join(hint(found.select(*by, *flat)), by)
 
         def with_group(small: DataFrame) -> DataFrame:
             return small.join(hint(found.select(*by, "_n", "_ranks")), by)
@@ -122,10 +129,13 @@ def _values_at(data: DataFrame, by: Sequence[str], ranks: Column, most: int, gri
     for i, end in reversed(list(enumerate(ends))):
         beyond = x > end if i % 2 else x >= end
         zone = F.when(beyond, zone if i < len(ends) - 1 else F.lit(len(ends))).otherwise(F.lit(i))
-    counts = (rows.withColumn("_zone", zone)
+    counts = (spread.withColumn("_zone", zone)
               .groupBy(*by, "_zone", F.when(F.col("_zone") % 2 == 1, x).alias("_v"))
               .agg(F.count(F.lit(1)).alias("_c")))
-    picked = (_sliced if large else _running)(counts, by, with_group)
+    return _mapped((_sliced if large else _running)(counts, by, with_group), by)
+
+
+def _mapped(picked: DataFrame, by: list[str]) -> DataFrame:
     return picked.groupBy(*by, "_n").agg(
         F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))
 
@@ -182,14 +192,16 @@ def _positions(p: float) -> tuple[Column, Column, Column]:
 
 def quantile_frame(df: DataFrame, value: str, probs: Sequence[float],
                    names: Sequence[str], by: Sequence[str] = (), grid: int = GRID,
-                   taken: DataFrame | None = None) -> DataFrame:
+                   taken: DataFrame | None = None, rows: int | None = None) -> DataFrame:
     """Quantiles of ``value`` at ``probs`` (linear rule) per group of ``by``: a DataFrame
     ``(by..., names...)`` with one row per group that has values.  ``taken`` may hold each
     group's ``_n`` and ``_g`` (:func:`summary`) if the caller has them; the first pass is
-    then not needed."""
+    then not needed.  Nor is it without ``by`` columns where ``rows``, the number of values
+    (neither null nor NaN), is known to be at most DIRECT_ROWS."""
     ends = [k for p in probs for k in _positions(p)[:2]]
     ranks = F.array_sort(F.array_distinct(F.array(*ends)))
-    found = _values_at(_prepare(df, value, by), by, ranks, len(ends), grid, taken)
+    found = _values_at(_prepare(df, value, by), by, ranks, len(ends), grid, taken,
+                       rows=rows)
     if found is None:
         return df.limit(0).select(*by, *[F.lit(None).cast("double").alias(n) for n in names])
 
@@ -203,12 +215,27 @@ def quantile_frame(df: DataFrame, value: str, probs: Sequence[float],
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
-                    by: Sequence[str] = (), grid: int = GRID) -> dict[tuple, list[float]]:
+                    by: Sequence[str] = (), grid: int = GRID,
+                    rows: int | None = None) -> dict[tuple, list[float]]:
     """:func:`quantile_frame` as ``{group_tuple: [q...]}``, for groups that fit on the
     driver; groups without values are absent."""
     names = [f"_q{i}" for i in range(len(probs))]
-    rows = quantile_frame(df, value, probs, names, by, grid).collect()
-    return {tuple(r[c] for c in by): [r[n] for n in names] for r in rows}
+    found = quantile_frame(df, value, probs, names, by, grid, rows=rows).collect()
+    return {tuple(r[c] for c in by): [r[n] for n in names] for r in found}
+
+
+def bracketed_values(rows: DataFrame, by: Sequence[str], bracket: tuple[str, str],
+                     rank: Column) -> dict[tuple, float]:
+    """The value of one rank (0-based) per group, of ``rows`` with a column ``_x``, where the
+    caller knows brackets (two columns) that hold it: one pass."""
+    x, (low, high) = F.col("_x"), bracket
+    zone = F.when(x < F.col(low), 0).when(x <= F.col(high), 1).otherwise(2)
+    counts = (rows.withColumn("_zone", zone)
+              .groupBy(*by, "_zone", F.when(F.col("_zone") == 1, x).alias("_v"))
+              .agg(F.count(F.lit(1)).alias("_c")))
+    found = _running(counts, list(by), lambda small: small.withColumn("_n", F.lit(0))
+                     .withColumn("_ranks", F.array(rank))).collect()
+    return {tuple(r[c] for c in by): r["_v"] for r in found}
 
 
 def order_statistics(df: DataFrame, value: str, ranks: Sequence[int] | Column,

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from staylens.functions import fixed
 from staylens.functions.expressions import round2, safe_corr, sorted_small
 from staylens.operators.moments import Cells, gaussian_sums, matrix, power_sums, tricube_sums
-from staylens.operators.quantiles import exact_quantiles, order_statistics
+from staylens.operators.quantiles import bracketed_values, exact_quantiles
 
 DIGITS = 6
 #: Cells of the x axis of a local trend.
@@ -129,7 +129,8 @@ def local_trend(df: DataFrame, x: str = "price", y: str = "number_of_reviews",
         if any(v is None for v in fitted) or step <= 0:
             break
         rest = _residuals(data, mn, step, fitted)
-        mad = exact_quantiles(rest.select(F.abs("resid").alias("r")), "r", [0.5]).get((), [None])[0]
+        mad = exact_quantiles(rest.select(F.abs("resid").alias("r")), "r", [0.5],
+                              rows=n).get((), [None])[0]
         if not mad:
             break
         fitted = _local_fit(rest, cells, spans, 6.0 * mad)
@@ -208,8 +209,8 @@ def knn_radius(data: DataFrame, x: str, grid: list[float], k: int,
     1. counts, least and greatest values of the cells (``cells.n`` rows reach the driver):
        running sums over them, ordered by distance, bracket each radius in ``[lo, hi]`` and
        count the rows of cells that are nearer for certain;
-    2. only rows of the cells that reach into a bracket meet that grid point, and the
-       order-statistics operator picks the remaining rank among their distances.
+    2. only rows of the cells that reach into a bracket meet that grid point, and one
+       counting pass picks the remaining rank among their distances.
     """
     hist = (data.groupBy(cells.number(F.col(x)).alias("cell"))
             .agg(F.count(F.lit(1)).alias("c"), F.min(x).alias("lo"), F.max(x).alias("hi")).collect())
@@ -227,14 +228,14 @@ def knn_radius(data: DataFrame, x: str, grid: list[float], k: int,
         r_lo = least[order][np.searchsorted(np.cumsum(count[order]), k)]
         ranks.append(k - 1 - int(count[most < r_lo].sum()))
         for cell in number[(most >= r_lo) & (least <= r_hi)].tolist():
-            near.setdefault(cell, []).append((i, float(g)))
+            near.setdefault(cell, []).append((i, float(g), float(r_lo), float(r_hi)))
     rows = data.select(F.col(x).alias("x"), cells.number(F.col(x)).alias("cell"))
-    dist = (_beside(rows, near, "point: int, g: double")
+    dist = (_beside(rows, near, "point: int, g: double, lo: double, hi: double")
             .select("x", F.explode("at").alias("p"))
-            .select("p.point", F.abs(F.col("x") - F.col("p.g")).alias("d")))
+            .select("p.point", "p.lo", "p.hi", F.abs(F.col("x") - F.col("p.g")).alias("_x")))
     rank = F.get(F.array(*[F.lit(r).cast("long") for r in ranks]), F.col("point"))
-    found = order_statistics(dist, "d", F.array(rank), ["point"])
-    return {g[0]: v[ranks[g[0]]] for g, v in found.items()}
+    found = bracketed_values(dist, ["point"], ("lo", "hi"), rank)
+    return {point: v for (point,), v in found.items()}
 
 
 def _residuals(data: DataFrame, start: float, step: float, values: list[float]) -> DataFrame:

@@ -38,6 +38,17 @@ def test_quantiles_match_linear_rule(spark, monkeypatch, grid, direct, few):
         assert got == pytest.approx(_ref(allv, p), rel=0, abs=1e-9)
 
 
+def test_quantiles_of_a_known_number_of_rows(spark, monkeypatch):
+    from staylens.operators import quantiles as q
+    vals = [3.0, 1.0, 1.0, 9.0, 2.5, float("nan")]
+    df = spark.createDataFrame([(v,) for v in vals] + [(None,)], "x double")
+    for direct in (100, 0):          # in order by themselves, and by brackets
+        monkeypatch.setattr(q, "DIRECT_ROWS", direct)
+        got = exact_quantiles(df, "x", [0.0, 0.3, 0.5, 1.0], rows=5)[()]
+        assert got == pytest.approx([_ref(vals[:5], p) for p in (0.0, 0.3, 0.5, 1.0)])
+    assert exact_quantiles(df.limit(0), "x", [0.5], rows=0) == {}
+
+
 def test_quantiles_small_and_empty(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (4.0,), (5.0,),
                                 (6.0,), (7.0,), (8.0,), (9.0,), (10.0,)], "x double")
