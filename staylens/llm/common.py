@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import shutil
 import tempfile
@@ -35,7 +36,22 @@ def ship_code(spark: SparkSession) -> None:
 def map_arrow(df: DataFrame, fn: Callable, ddl: str) -> DataFrame:
     """``df.mapInArrow`` for functions of this package."""
     ship_code(df.sparkSession)
-    return df.mapInArrow(fn, ddl)
+    return df.mapInArrow(_returning_memory(fn), ddl)
+
+
+def _returning_memory(fn: Callable) -> Callable:
+    """``fn``, after which the worker gives unused memory back: workers serve one stage
+    after the other, and each would keep the most that any of them needed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # freed blocks of the system's allocator go back at once, Arrow's own would stay
+        pa.set_memory_pool(pa.system_memory_pool())
+        yield from fn(batches)
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return run
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
