@@ -25,7 +25,8 @@ from pyspark.sql import SparkSession
 from staylens.operators.filters import FilterSpec
 from staylens.plans.catalog import QUERIES
 from staylens.plans.context import build_context, register_context
-from staylens.session import input_bytes, tune_for_input
+from staylens.plans.kept import FOLDER
+from staylens.session import input_bytes, remove_scratch, tune_for_input
 from staylens.sources.listings import listings_from_tpch
 
 TABLES = ("orders", "customer", "nation", "region", "lineitem")
@@ -59,6 +60,7 @@ def main(argv=None) -> None:
     spark = SparkSession.builder.appName("staylens-run").getOrCreate()
     times = run(spark, a.input, a.output, [q for q in a.queries.split(",") if q] or None,
                 tuple(c for c in a.partition_by.split(",") if c), a.tune)
+    remove_scratch(spark, but=(FOLDER,))      # results are written; kept tables stay
     print(json.dumps(times))
 
 

@@ -75,9 +75,32 @@ def has_shared_checkpoint_dir(spark: SparkSession) -> bool:
     return bool(current) and current not in _OWN_DIRS
 
 
+_SCRATCH: dict[str, set[str]] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared checkpoint folder for written intermediate tables."""
-    return os.path.join(checkpoint_dir(spark), name)
+    """A path below the shared checkpoint folder for written intermediate tables.
+
+    Results may read such tables, so they stay until :func:`remove_scratch`."""
+    path = os.path.join(checkpoint_dir(spark), name)
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
+
+
+def remove_scratch(spark: SparkSession, but: tuple[str, ...] = ()) -> list[str]:
+    """Remove what this application has written below :func:`scratch_path`, at its end or
+    when no result that reads it is needed any more; paths that hold one of ``but`` stay.
+    Returns the removed paths."""
+    gone = []
+    for path in sorted(_SCRATCH.get(spark.sparkContext.applicationId, ())):
+        if any(part in path for part in but):
+            continue
+        fs, place = file_system(spark, path)
+        if fs.exists(place):
+            fs.delete(place, True)
+            gone.append(path)
+        _SCRATCH[spark.sparkContext.applicationId].discard(path)
+    return gone
 
 
 _SHIPPED: weakref.WeakSet = weakref.WeakSet()

@@ -5,6 +5,7 @@ import shutil
 
 import pytest
 
+from staylens import session
 from staylens.plans import kept
 from staylens.plans.context import build_context
 from staylens.sources.listings import listings_from_tpch
@@ -64,3 +65,15 @@ def test_incomplete_table_is_written_again(spark, folder):
 
 def test_rows_without_files_have_no_fingerprint(spark):
     assert kept.fingerprint(spark.createDataFrame([(1,)], "a int"), ()) is None
+
+
+def test_scratch_is_removed(spark):
+    from staylens.session import file_system, remove_scratch, scratch_path
+    own, stays = scratch_path(spark, "scratch-test/a"), scratch_path(spark, "scratch-kept/b")
+    for path in (own, stays):
+        spark.range(3).write.mode("overwrite").parquet(path)
+    others = tuple(p for p in session._SCRATCH[spark.sparkContext.applicationId] if p != own)
+    assert remove_scratch(spark, but=others) == [own]
+    fs, place = file_system(spark, own)
+    assert not fs.exists(place) and fs.exists(file_system(spark, stays)[1])
+    assert spark.read.parquet(stays).count() == 3
