@@ -40,7 +40,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, class) of the nodes of ``links`` (u, v); a class is named by its smallest
-    node.  Self-links are ignored; no links give no rows."""
+    node.  Links of a node with itself or with a null end are ignored; repeated links count
+    once; no links give no rows."""
     edges = store(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
                   .filter(F.col("u") != F.col("v")).distinct(), "links")
     while not _are_stars(edges):

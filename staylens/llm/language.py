@@ -3,9 +3,9 @@
 Learning counts hashed character n-grams (orders 1 to 5, word ends included) per
 language over all training texts, and in which scripts a language is written.  A
 word's score under a language is its mean n-gram log probability summed over its
-letters; scripts that a language hardly uses (share below ``SCRIPT_SHARE``) take it
-out of a word's candidates.  Viterbi over the words, with a penalty for each switch of language,
-labels spans.  The prediction is the language of most lettered words; its share of
+letters; a language that hardly uses the word's script (share below ``SCRIPT_SHARE``) is
+set back by ``OUT_OF_SCRIPT``, unless no language uses it.  Viterbi over the words, with
+a penalty for each switch of language, labels spans.  The prediction is the language of most lettered words; its share of
 them is the score.
 
 Most texts are of one language: the constant path is the best one if no run of words

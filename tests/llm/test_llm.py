@@ -229,7 +229,8 @@ def test_near(spark, docs, empty):
 
 
 def test_components(spark):
-    chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)],
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [
+        (100, 101), (101, 100), (100, 101), (7, 7), (500, None), (None, 501), (None, None)],
                                   "u long, v long")
     got = {r["node"]: r["class"] for r in components.components(chain).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
