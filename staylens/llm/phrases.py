@@ -40,9 +40,9 @@ LEAST = 10              # occurrences of a candidate
 SHARE = 50              # per cent of a candidate's occurrences that lie in a longer one
 TOP = 2000              # rows of each language
 SCALE = 1_000_000       # of the score
-SHARD_TOKENS = 6_000_000
+SHARD_TOKENS = 3_000_000
 BLOCK_CHARS = 1 << 20
-UNION_KEYS = 6_000_000
+UNION_KEYS = 4_000_000
 SAMPLE_DOCS = 3000
 
 # The characters that end a piece, and those that end a word.
@@ -114,15 +114,18 @@ class Shard:
         stream = np.concatenate(self.streams)
         self.streams = []
         stream = rank[stream.astype(np.int64)]
-        keys = []
+        keys = np.empty(3 * len(stream), dtype=np.uint64)
+        size = 0
         for n in (1, 2, 3):         # sequences of context alone were counted before
             ends = len(stream) - n + 1
             first = max(0, self.context - n + 1)
             if ends > first:
                 columns = [stream[first + i:ends + i] for i in range(n)]
                 whole = np.logical_and.reduce([c > 0 for c in columns])
-                keys.append(key(*(c[whole] for c in columns)))
-        return CountTransducer(words, *counted(np.concatenate(keys or [stream[:0]])))
+                found = key(*(c[whole] for c in columns))
+                keys[size:size + len(found)] = found
+                size += len(found)
+        return CountTransducer(words, *counted(keys[:size]))
 
 
 def _blocks(text: str) -> Iterator[list[str]]:
@@ -350,7 +353,9 @@ def top_phrases(scored: DataFrame, top: int = TOP) -> DataFrame:
     hash and every part keeps its first, then ever fewer parts are ranked together."""
     order = (F.col("score").desc(), F.col("a").desc(), F.col("phrase"))
     n = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    for ways in (n, max(1, min(16, n // 8)), 1):
+    ways = 4 * n
+    while ways > 1:
+        ways = max(1, ways // 4)
         place = F.pmod(F.xxhash64("phrase"), F.lit(ways))
         window = Window.partitionBy("lang", "place").orderBy(*order)
         scored = (scored.withColumn("place", place)
