@@ -95,9 +95,15 @@ def round2(c: str | Column, digits: int = 2) -> Column:
     """
     x = _col(c)
     if digits == 0:
-        return F.bround(x, 0)
+        return half_even(x)
     scale = F.lit(float(10 ** digits))
-    return F.bround(x * scale, 0) / scale
+    return half_even(x * scale) / scale
+
+
+def half_even(x: Column) -> Column:
+    """A double to its nearest whole number, ties to the even one: ``bround(x, 0)`` without
+    the decimal that Spark makes of every value for it."""
+    return F.rint(x) + F.lit(0.0)      # -0.0 becomes 0.0, as there
 
 
 EXACT_TYPE = T.DecimalType(28, 10)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staylens.functions import fixed
-from staylens.functions.expressions import exact_avg, round2, sorted_small
+from staylens.functions.expressions import exact_avg, half_even, round2, sorted_small
 from staylens.operators.quantiles import order_statistics
 from staylens.operators.summaries import corr_matrix, correlations, rnd
 
@@ -142,15 +142,11 @@ class KMeansModel:
 
     def cluster(self) -> Column:
         place = _nearest(_on_grid(self.features, self.steps), self.centres, self.weights)
-        label = None
-        for i, name in enumerate(self.ids):
-            if name is not None:
-                label = (F if label is None else label).when(place == i, F.lit(name))
-        return label.cast("int")
+        return F.get(F.array(*[F.lit(i).cast("int") for i in self.ids]), place.cast("int"))
 
 
 def _on_grid(features: Sequence[str], steps: Sequence[float]) -> list[Column]:
-    return [F.bround(F.coalesce(F.col(f).cast("double"), F.lit(0.0)) / F.lit(s), 0).cast("long")
+    return [half_even(F.coalesce(F.col(f).cast("double"), F.lit(0.0)) / F.lit(s)).cast("long")
             for f, s in zip(features, steps)]
 
 
@@ -175,14 +171,16 @@ def fit_kmeans(df: DataFrame, k: int = fixed.KMEANS_DEFAULT_K,
     numbers.  The first centres are the rows at ``k`` evenly spaced ranks of the first
     feature, the smallest key among equals.  It stops when the squared shifts of the
     centres, in deviations, add up to ``tol`` or less.  A centre that no row is nearest
-    to stays where it is.  Every pass reads ``df`` once and returns at most ``k`` rows:
-    ``df`` should be a stored table.
+    to stays where it is.  ``df`` is read twice; the rows' places on the grid, a few whole
+    numbers each, are kept by the executors (in memory, else on their disks) for the passes,
+    which return at most ``k`` rows each.
     """
     if k < 2:
         raise ValueError("k-means needs at least two clusters")
     filled = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]
     r = df.agg(F.count(F.lit(1)).alias("n"),
-               *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(filled)]).collect()[0]
+               *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(filled)],
+               *[F.avg(c).alias(f"m{i}") for i, c in enumerate(filled)]).collect()[0]
     if r["n"] <= min_rows:
         return None
     steps, weights = [], []
@@ -192,39 +190,55 @@ def fit_kmeans(df: DataFrame, k: int = fixed.KMEANS_DEFAULT_K,
         steps.append(power / 2 ** GRID_BITS if s else 1.0)
         weights.append(round(power * power / (s * s), DIGITS) if s else 0.0)
     names = [f"z{i}" for i in range(len(features))]
-    z = df.select(key, *[c.alias(n) for c, n in zip(_on_grid(features, steps), names)])
+    z = df.select(key, *[c.alias(n) for c, n in zip(_on_grid(features, steps), names)]).persist()
+    try:
+        middle = [round(r[f"m{i}"] / s) for i, s in enumerate(steps)]
+        centres, ids = _lloyd(z, key, r["n"], middle, weights, k, max_iter, tol)
+    finally:
+        z.unpersist()
+    return KMeansModel(tuple(features), tuple(steps), tuple(weights), tuple(centres), ids)
 
-    ranks = [(2 * j + 1) * r["n"] // (2 * k) for j in range(k)]
+
+def _lloyd(z: DataFrame, key: str, n_rows: int, middle: Sequence[int], weights: Sequence[float],
+           k: int, max_iter: int, tol: float):
+    """The centres, and the cluster id of each, of rows ``z`` on the grid (``z0``, ``z1``, ...).
+
+    Sums are of distances from ``middle``, the columns' means: over n rows these add up to
+    2**(GRID_BITS + 1) * n at most, so that the sums are exact as 64-bit numbers.
+    """
+    names = [f"z{i}" for i in range(len(weights))]
+    ranks = [(2 * j + 1) * n_rows // (2 * k) for j in range(k)]
     at = order_statistics(z, names[0], ranks)[()]
     wanted = [int(at[rank]) for rank in ranks]
     starts = {row["z0"]: row["who"] for row in z.where(F.col("z0").isin(sorted(set(wanted))))
               .groupBy("z0").agg(F.min(F.struct(key, *names)).alias("who")).collect()}
     centres = [tuple(float(starts[v][n]) for n in names) for v in wanted]
 
-    cells = [[f"c{j}_{i}" for i in range(len(features))] for j in range(k)]
+    cells = [[f"c{j}_{i}" for i in range(len(names))] for j in range(k)]
     place = _nearest([F.col(n) for n in names], [[F.col(c) for c in row] for row in cells], weights)
-    sums = [F.sum(F.col(n).cast("decimal(20,0)")).alias(n) for n in names]
+    sums = [F.sum(F.col(n) - F.lit(m)).alias(n) for n, m in zip(names, middle)]
 
     def assigned(centres):
         # one row of centres: as literals they would make Spark compile every pass anew
-        at = df.sparkSession.createDataFrame(
+        at = z.sparkSession.createDataFrame(
             [sum(centres, ())], ", ".join(f"{c} double" for row in cells for c in row))
-        return (z.crossJoin(F.broadcast(at)).groupBy(place.cast("int").alias("place"))
-                .agg(F.count(F.lit(1)).alias("n"), *sums).collect())
+        found = (z.crossJoin(F.broadcast(at)).groupBy(place.cast("int").alias("place"))
+                 .agg(F.count(F.lit(1)).alias("n"), *sums).collect())
+        return {row["place"]: tuple(float(row[n] + row["n"] * m) / row["n"]
+                                    for n, m in zip(names, middle)) for row in found}
 
     for _ in range(max_iter):
         moved = list(centres)
-        for row in assigned(centres):
-            moved[row["place"]] = tuple(float(row[n]) / row["n"] for n in names)
+        for i, mean in assigned(centres).items():
+            moved[i] = mean
         shift = sum((a - b) * (a - b) * w for old, new in zip(centres, moved)
                     for a, b, w in zip(old, new, weights))
         centres = moved
         if shift <= tol * 4.0 ** GRID_BITS:
             break
-    means = sorted((float(row["z0"]) / row["n"], row["place"]) for row in assigned(centres))
+    means = sorted((mean[0], i) for i, mean in assigned(centres).items())
     ids = {place: i for i, (_, place) in enumerate(means)}
-    return KMeansModel(tuple(features), tuple(steps), tuple(weights), tuple(centres),
-                       tuple(ids.get(i) for i in range(k)))
+    return centres, tuple(ids.get(i) for i in range(k))
 
 
 def with_clusters(df: DataFrame, model: KMeansModel | None) -> DataFrame:

@@ -98,3 +98,14 @@ def test_rounding_half_even_like_pandas(spark):
     assert got == [0.12, 0.38, 2.68, 535.62]   # numpy.round gives the same
     six = df.select(round2("x", 6)).collect()[3][0]
     assert six == 535.620363   # numpy.round(535.6203625, 6)
+
+
+def test_whole_numbers_are_those_of_bround(spark):
+    xs = [0.5, 1.5, 2.5, -0.5, -1.5, -0.3, -0.0, 0.49999999999999994, 0.50000000000000011, 1e20,
+          4503599627370495.5, 4503599627370497.0, -1e300, float("inf"), float("-inf"), None]
+    df = spark.createDataFrame([(x,) for x in [*xs, float("nan")]], "x double")
+    both = df.select(round2("x", 0).alias("a"), F.bround("x", 0).alias("b"))
+    rows = both.collect()
+    assert all(repr(r.a) == repr(r.b) for r in rows)       # with the sign of zero
+    plan = df.select(round2("x", 6))._jdf.queryExecution().optimizedPlan().toString()
+    assert "bround" not in plan.lower()                     # a decimal a value

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rows import listings
 from staylens.operators import ml
@@ -151,6 +152,29 @@ def test_kmeans_of_few_values(spark):
     assert sorted((r.cluster, r["count"]) for r in got) == [(0, 10), (1, 10)]
 
 
+def test_kmeans_reads_its_rows_twice_whatever_the_passes(sample):
+    spark, df = sample[0].sparkSession, sample[0].select("id", *ml.FEATURES)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        read.add(1)
+        return x
+
+    price = F.udf(counted, "double").asNondeterministic()("price")
+    model = ml.fit_kmeans(df.select("id", price.alias("price"), *ml.FEATURES[1:]), k=4)
+    assert read.value <= 2 * df.count()
+    assert model == ml.fit_kmeans(df, k=4)
+
+
+def test_kmeans_of_values_far_from_zero(spark):
+    rows = [(i, float(p), i % 7, i % 5) for i, p in enumerate([1, 2, 3, 40, 41, 43, 90, 91, 95] * 3)]
+    df = spark.createDataFrame(rows, "id long, price double, number_of_reviews int, availability_365 int")
+    far = df.withColumn("price", F.col("price") + F.lit(float(2 ** 40)))
+    near = {r.id: r.cluster for r in ml.kmeans_clusters(df, k=3).collect()}
+    assert near == {r.id: r.cluster for r in ml.kmeans_clusters(far, k=3).collect()}
+    assert len(near) == 27 and set(near.values()) == {0, 1, 2}
+
+
 def test_segments_have_all_columns(sample):
     df = sample[0]
     out = ml.segments(df, ml.fit_kmeans(df), ml.fit_pca(df))
