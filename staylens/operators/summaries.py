@@ -310,7 +310,7 @@ def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             .groupBy("missing").agg(
                 F.count(F.lit(1)).alias("n"), *[F.sum(f"d{i}").alias(f"s{i}") for i in range(n)],
                 *[F.sum(F.col(f"d{i}") * F.col(f"d{j}")).alias(f"p{i}_{j}") for i, j in pairs])
-            .orderBy("missing").collect())                  # at most 2**columns rows
+            .collect())                                     # at most 2**columns rows
     out = []
     for i, j in pairs:
         both = [r for r in rows if not r["missing"] >> i & 1 and not r["missing"] >> j & 1]

@@ -128,15 +128,16 @@ def listings_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
     One listing per order.  Shape of the plan at scale:
 
     * ``lineitem`` is pre-aggregated per order (partial aggregation before the
-      shuffle), and the join with ``orders`` reuses that hash partitioning;
+      shuffle), and the join with ``orders``, still narrow, reuses that hash partitioning;
+    * ``nation`` and ``region`` are dimension tables - left to the planner's
+      size-checked automatic broadcast - and join ``customer``, the smaller side, first;
     * ``orders`` joins ``customer`` on the customer key (shuffle join; AQE may
       turn it into a broadcast when the runtime size is small);
-    * ``nation`` and ``region`` are dimension tables - left to the planner's
-      size-checked automatic broadcast;
     * the per-host listing count is a ``groupBy(host_id).count()`` joined back,
       not a window, with hot hosts salted (:func:`attach_key_count`): a host
       holding a third of all rows is spread over many join tasks instead of
-      landing whole in one.
+      landing whole in one.  Columns that follow from an order's own are computed
+      after that join, so that its shuffle does not carry them.
     """
     orders = read_tpch(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
@@ -147,11 +148,12 @@ def listings_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
           .groupBy("l_orderkey")
           .agg(F.count(F.lit(1)).alias("li_n"), F.sum("l_quantity").alias("li_q")))
 
+    hosts = (customer
+             .join(nation, customer.c_nationkey == nation.n_nationkey)
+             .join(region, F.col("n_regionkey") == region.r_regionkey))
     base = (orders
-            .join(customer, orders.o_custkey == customer.c_custkey)
-            .join(nation, F.col("c_nationkey") == nation.n_nationkey)
-            .join(region, F.col("n_regionkey") == region.r_regionkey)
-            .join(li, F.col("o_orderkey") == li.l_orderkey, "left"))
+            .join(li, orders.o_orderkey == li.l_orderkey, "left")
+            .join(hosts, F.col("o_custkey") == hosts.c_custkey))
 
     k = F.col("o_orderkey")
     host_id = (F.when(k % 5 == 0, F.lit(10000000) + k)
@@ -165,10 +167,14 @@ def listings_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
                    .otherwise(odate.cast("date")))
     price_div = F.when(k % 50 == 0, F.lit(32)).otherwise(F.lit(400))
 
-    listings = base.select(
+    hosted = attach_key_count(
+        base.select("o_orderkey", host_id.alias("host_id"), "c_name", "r_name", "n_name",
+                    "o_orderpriority", "o_totalprice", "o_orderdate", "li_n", "li_q"),
+        "host_id", "calculated_host_listings_count", salt_col="o_orderkey")
+    return hosted.select(
         k.alias("id"),
         F.concat(F.lit("Listing "), k.cast("string")).alias("name"),
-        host_id.alias("host_id"),
+        F.col("host_id"),
         F.col("c_name").alias("host_name"),
         F.col("r_name").alias("neighbourhood_group"),
         F.col("n_name").alias("neighbourhood"),
@@ -180,7 +186,6 @@ def listings_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.col("li_q"), F.lit(0.0)).cast("long").alias("number_of_reviews"),
         last_review.alias("last_review"),
         (F.col("li_n") / F.lit(4.0)).alias("reviews_per_month"),
+        F.col("calculated_host_listings_count"),
         ((k * 37) % 366).cast("int").alias("availability_365"),
     )
-    out = attach_key_count(listings, "host_id", "calculated_host_listings_count", salt_col="id")
-    return out.select(*[F.col(f.name) for f in LISTINGS_SCHEMA.fields])
